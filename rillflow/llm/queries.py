@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rillflow.llm import packing, quality_rules, secret_scan, sentence_pieces, substring_dedup, suffix_dedup, url_filter
+from rillflow.llm import odd_sketches, packing, quality_rules, secret_scan, sentence_pieces, substring_dedup, suffix_dedup, tool_links, tree_forest, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -43,6 +43,20 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+TOOLS = {
+    "search": {"query": tool_links.Field("string", least=3), "n_words": tool_links.Field("integer", least=1)},
+    "answer": {"query": tool_links.Field("string", least=20), "n_words": tool_links.Field("integer", least=13)},
+}
+
+
+def op4_tool_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tool_links.link(*tool_links.turns_as_tools(_table(spark, sf_dir, "conversations")), TOOLS)
+
+
+def op5_tree_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tree_forest.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
@@ -51,6 +65,10 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_filter(_table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op8_odd_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return odd_sketches.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.secret_scan(_table(spark, sf_dir, "documents").select("doc_id", "text", "source")))
 
@@ -63,13 +81,28 @@ QUERIES: dict[str, Query] = {
     "op1_sentence_pieces": op1_sentence_pieces,
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_quality_rules": op3_quality_rules,
+    "op4_tool_links": op4_tool_links,
+    "op5_tree_forest": op5_tree_forest,
     "op6_packing": op6_packing,
     "op7_url_filter": op7_url_filter,
+    "op8_odd_sketches": op8_odd_sketches,
     "op9_secret_scan": op9_secret_scan,
     "op10_substring_dedup": op10_substring_dedup,
 }
 
 SQL: dict[str, str] = {
+    "op4_tool_links": r"""
+WITH RECURSIVE u AS (SELECT conv_id, turn, coalesce(text, '') AS q, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS n FROM conversations WHERE role = 'user'),
+c AS (SELECT conv_id, turn, 'call:' || conv_id || ':' || turn AS call_id, CASE WHEN n <= 12 THEN 'search' ELSE 'answer' END AS name, q, n FROM u),
+lv AS (SELECT conv_id, turn, 0 AS level FROM c WHERE NOT EXISTS (SELECT 1 FROM c p WHERE p.conv_id = c.conv_id AND p.turn = c.turn - 2)
+  UNION ALL SELECT c.conv_id, c.turn, lv.level + 1 FROM c JOIN lv ON c.conv_id = lv.conv_id AND c.turn = lv.turn + 2),
+j AS (SELECT c.*, lv.level, a.turn AS result_turn, a.text AS result, concat_ws(', ',
+    CASE WHEN name = 'search' AND length(q) < 3 THEN 'query: below 3' WHEN name = 'answer' AND length(q) < 20 THEN 'query: below 20' END,
+    CASE WHEN name = 'search' AND n < 1 THEN 'n_words: below 1' END) AS errors
+  FROM c JOIN lv USING (conv_id, turn) LEFT JOIN conversations a ON a.role = 'assistant' AND a.conv_id = c.conv_id AND a.turn = c.turn + 1)
+SELECT conv_id, turn, call_id, name, level, result_turn, errors, errors = '' AS valid,
+  '{"arguments":{"n_words":' || n || ',"query":' || to_json(q) || '},"call_id":"' || call_id || '","needs":["call:' || conv_id || ':' || (turn - 2) || '"],"name":"' || name || '",'
+  || coalesce('"result":' || to_json(result) || ',', '') || '"valid":' || (errors = '') || '}' AS json FROM j""",
     "op3_quality_rules": r"""
 WITH w AS (SELECT doc_id, coalesce(text, '') AS body, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
 win AS (SELECT doc_id, unnest(range(1, len(ws) - 1)) AS i, ws FROM w WHERE len(ws) > 2),
