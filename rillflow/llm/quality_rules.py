@@ -9,12 +9,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BLANK = r"[\x20\x09-\x0D]+"
-NOT_SYMBOLS = r"[^#*$%&|<>]+"
-
 
 @dataclass(frozen=True)
 class QualityRule:
@@ -36,46 +33,55 @@ RULES = (
 )
 
 
-def base_counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with body, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words.
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
+BASE_FAILED = "n_words < 50 or 100 * n_repeat_words > 50 * n_words"
+
+
+def _let(names: dict[str, str], body: str) -> str:
+    """``body`` with names for expressions. As one expression it stays one however often the optimiser moves it."""
+    for name, value in reversed(names.items()):
+        body = f"get(transform(array({value}), {name} -> {body}), 0)"
+    return body
+
+
+def counted(text: str, result: str) -> Column:
+    """``result``, an expression over ``body`` (the text, null as empty) and ``COUNTS``.
 
     n_repeat_words: the starts of windows are sorted by the windows' 64-bit hash; those with an equal neighbour
     repeat, and in position order each adds the words (3 at most) that the start before it did not cover.
     """
-    out = docs.withColumn("body", F.coalesce(F.col(text), F.lit("")))
-    out = out.withColumn("_w", F.array_remove(F.split("body", BLANK), "")).withColumn(
-        "_l", F.filter(F.split("body", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    )
-    out = out.withColumn("n_words", F.size("_w").cast("long")).withColumn(
-        "_h", F.expr("if(n_words < 4, array(), transform(slice(_w, 1, size(_w) - 2), (w, i) -> xxhash64(w, get(_w, i + 1), get(_w, i + 2))))")
-    )
-    out = out.withColumn(
-        "_s", F.expr("if(size(array_distinct(_h)) = size(_h), array(), sort_array(transform(_h, (h, i) -> struct(h as h, i as i))))")
-    )
-    out = out.withColumn("_p", F.expr("sort_array(transform(filter(_s, (s, j) -> coalesce(s.h = get(_s, j - 1).h, false) or coalesce(s.h = get(_s, j + 1).h, false)), s -> s.i))"))
-    out = out.withColumn("n_repeat_words", F.expr("aggregate(_p, struct(-3 as last, 0L as n), (a, p) -> struct(p as last, a.n + least(3, p - a.last) as n)).n"))
-    return out.select(
-        *docs.columns, "body", "n_words", "n_repeat_words",
-        F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
-        F.length(F.regexp_replace("body", NOT_SYMBOLS, "")).cast("long").alias("n_symbols"),
-        F.size("_l").cast("long").alias("n_lines"),
-        (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
-    )
-
-
-def cascade(counted: DataFrame, rules: Sequence[QualityRule] = RULES, sample_rows: int = 2000) -> list[QualityRule]:
-    """``rules`` in the order to run them: rejection rate per unit of cost, both measured on ``sample_rows`` rows at most."""
-    sample = counted.limit(sample_rows)
-    row = sample.agg(
-        F.count(F.lit(1)).alias("n"), F.avg(F.length("body")).alias("chars"), F.avg("n_words").alias("words"),
-        *[F.avg(F.expr(f"if({r.rejects}, 1.0D, 0.0D)")).alias(f"r{i}") for i, r in enumerate(rules)],
-    ).first()
-    worth = {r: ((row[f"r{i}"] or 0.0) / (1.0 + r.char_cost * (row["chars"] or 0.0) + r.word_cost * (row["words"] or 0.0))) for i, r in enumerate(rules)}
+    names = {
+        "body": f"coalesce(`{text}`, '')",
+        "w": r"array_remove(split(body, r'[\x20\x09-\x0D]+'), '')",
+        "l": r"filter(split(body, '\n'), x -> rlike(x, r'[^\x20\x09-\x0D]'))",
+        "n_words": "cast(size(w) as bigint)",
+        "word_chars": "cast(length(array_join(w, '')) as bigint)",
+        "n_symbols": "cast(length(regexp_replace(body, '[^#*$%&|<>]+', '')) as bigint)",
+        "n_lines": "cast(size(l) as bigint)",
+        "n_dup_lines": "n_lines - size(array_distinct(l))",
+        "h": "if(n_words < 4, array(), transform(slice(w, 1, size(w) - 2), (x, i) -> xxhash64(x, get(w, i + 1), get(w, i + 2))))",
+        "s": "if(size(array_distinct(h)) = size(h), array(), sort_array(transform(h, (x, i) -> struct(x as h, i as i))))",
+        "p": "sort_array(transform(filter(s, (x, j) -> coalesce(x.h = get(s, j - 1).h, false) or coalesce(x.h = get(s, j + 1).h, false)), x -> x.i))",
+        "n_repeat_words": "aggregate(p, struct(-3 as last, 0L as n), (a, x) -> struct(x as last, a.n + least(3, x - a.last) as n)).n",
+    }
+    return F.expr(_let(names, result))
+
+
+def cascade(docs: DataFrame, rules: Sequence[QualityRule] = RULES, sample_rows: int = 2000, text: str = "text") -> list[QualityRule]:
+    """``rules`` in the order to run them: rejection rate per unit of cost, both measured on ``sample_rows`` rows at most.
+
+    The sample is the table's first rows, of which only lengths and verdicts come back; Spark reads no more files than it takes.
+    """
+    flags = ", ".join(f"if({r.rejects}, 1, 0)" for r in rules)
+    rows = docs.select(counted(text, f"struct(length(body) as chars, n_words as words, array({flags}) as flags)").alias("s")).limit(sample_rows).collect()
+    n = max(1, len(rows))
+    chars, words = sum(r.s.chars for r in rows) / n, sum(r.s.words for r in rows) / n
+    worth = {r: sum(x.s.flags[i] for x in rows) / n / (1.0 + r.char_cost * chars + r.word_cost * words) for i, r in enumerate(rules)}
     return sorted(rules, key=lambda r: -worth[r])
 
 
 def quality(docs: DataFrame, rules: Sequence[QualityRule] = RULES, sample_rows: int = 2000, text: str = "text") -> DataFrame:
-    """``docs`` with the base counts, base_failed, rejected_by (the first rule of the cascade that rejects; null if none) and kept.
+    """``docs`` with ``COUNTS``, base_failed, rejected_by (the first rule of the cascade that rejects; null if none) and kept.
 
     base_failed: fewer than 50 words, or over half of the words in repeated 3-word windows. Other rows pass through
     the cascade: a ``CASE`` whose branches Spark evaluates one after the other, so a row that an early rule rejects
@@ -83,11 +89,10 @@ def quality(docs: DataFrame, rules: Sequence[QualityRule] = RULES, sample_rows:
     the base; repeated rows give repeated results; an empty table gives none. A column of ``docs`` with the name of
     a result is replaced.
     """
-    made = {"body", "n_words", "n_repeat_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "base_failed", "rejected_by", "kept"}
-    counted = base_counts(docs.select(*[c for c in docs.columns if c.lower() not in made and not c.startswith("_")]), text)
-    order = cascade(counted.select("body", "n_words", "n_repeat_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines"), rules, sample_rows)
-    failed = F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words")
-    by = F.when(failed, F.lit("base"))
-    for rule in order:
-        by = by.when(F.expr(rule.rejects), F.lit(rule.name))
-    return counted.withColumn("rejected_by", by).withColumn("base_failed", failed).withColumn("kept", F.col("rejected_by").isNull()).drop("body")
+    made = {*COUNTS, "base_failed", "rejected_by", "kept", "_judged"}
+    given = docs.select(*[f"`{c}`" for c in docs.columns if c.lower() not in made])
+    order = cascade(given, rules, sample_rows, text)
+    branches = " ".join(f"when {r.rejects} then '{r.name}'" for r in order)
+    result = f"struct({', '.join(COUNTS)}, {BASE_FAILED} as base_failed, case when {BASE_FAILED} then 'base' {branches} end as rejected_by)"
+    judged = given.withColumn("_judged", counted(text, result))
+    return judged.select(*[f"`{c}`" for c in given.columns], "_judged.*", F.col("_judged.rejected_by").isNull().alias("kept"))
