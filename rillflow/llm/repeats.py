@@ -21,11 +21,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rillflow.llm.cut import cut
-from rillflow.llm.text_arrays import Rolling, U, byte_symbols, chunks, word_symbols, words
+from rillflow.llm.text_arrays import CHUNK_BYTES, Rolling, U, byte_symbols, chunks, word_symbols, words
 
 NULL_ID = -(1 << 63)
 #: Bytes of pieces that a solver takes at once, beyond which it starts a new group of seeds.
@@ -110,6 +111,34 @@ def _keyed(docs: DataFrame, text: str) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("_id"), F.xxhash64(body).alias("_th"), body.alias("_text"))
 
 
+def _squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    press = zstandard.ZstdCompressor(level=3)
+    for batch in batches:
+        texts = [press.compress(x.as_buffer()) for x in batch.column(2).cast(pa.large_binary())]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.binary())], names=["_id", "_th", "_z"])
+
+
+def squeezed(docs: DataFrame, text: str) -> DataFrame:
+    """(_id, _th, _z): texts go through a shuffle in half the bytes when compressed one by one."""
+    return _keyed(docs, text).mapInArrow(_squeeze, "_id bigint, _th bigint, _z binary")
+
+
+def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches with ``_z`` as ``_text`` again, a few MB at a time."""
+    press = zstandard.ZstdDecompressor()
+    for batch in batches:
+        at = batch.schema.get_field_index("_z")
+        names = [n if n != "_z" else "_text" for n in batch.schema.names]
+        i, size, texts = 0, 0, []
+        for j, z in enumerate(batch.column(at)):
+            texts.append(press.decompress(z.as_buffer()))
+            size += len(texts[-1])
+            if size > CHUNK_BYTES or j == batch.num_rows - 1:
+                part = batch.slice(i, j + 1 - i)
+                yield pa.RecordBatch.from_arrays([pa.array(texts, pa.large_binary()) if k == at else part.column(k) for k in range(part.num_columns)], names=names)
+                i, size, texts = j + 1, 0, []
+
+
 _PIECE = "_id bigint, _th bigint, seed bigint, piece bigint, start int, end int, nth int, self int"
 
 
@@ -135,7 +164,7 @@ def _slices(how: Repeats) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
     """Rows (_id, _th, _text, wanted: array of seed, piece, start, end, whole, hot) to a row with the text of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, body, at in chunks(batches, "_text"):
+        for batch, body, at in chunks(opened(batches), "_text"):
             _, first, begin, end = how.symbols(body, at)
             listed = batch.column(3)
             counts = np.diff(np.asarray(listed.offsets))
@@ -250,7 +279,7 @@ def repeated_spans(docs: DataFrame, how: Repeats, solve: Solve, text: str = "tex
 
     wanted = F.struct("seed", "piece", "start", "end", F.col("gone").alias("whole"), "hot")
     asked = places.where("solve").groupBy("_id", "_th").agg(F.collect_list(wanted).alias("wanted"))
-    texts = keyed.join(asked, ["_id", "_th"]).select("_id", "_th", "_text", "wanted")
+    texts = squeezed(docs, text).join(asked, ["_id", "_th"]).select("_id", "_th", "_z", "wanted")
     schema = "_id bigint, _th bigint, seed bigint, piece bigint, start int, whole boolean, hot boolean, text binary"
     sliced = texts.mapInArrow(_slices(how), schema)
     whole = places.where("gone").select("_id", "_th", "start", "end")
@@ -284,7 +313,6 @@ def covered(length: int, spans: list[dict] | None) -> np.ndarray:
 
 
 def with_spans(docs: DataFrame, spans: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with _id, _th, _text and spans (null where nothing is removed); every row of ``docs`` once."""
-    body = F.coalesce(F.col(text), F.lit(""))
-    keyed = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)), "_th": F.xxhash64(body), "_text": body})
-    return keyed.join(spans, ["_id", "_th"], "left")
+    """(doc_id, _z, spans: null where nothing is removed) of every row of ``docs`` once."""
+    rows = squeezed(docs, text).join(spans, ["_id", "_th"], "left")
+    return rows.select(F.when(F.col("_id") != NULL_ID, F.col("_id")).alias("doc_id"), "_z", "spans")

@@ -61,7 +61,7 @@ def solve(texts: list[bytes], ids: np.ndarray, starts: np.ndarray, how: repeats.
 
 
 def _strip(batches: Iterator[pa.RecordBatch], keep_text: bool) -> Iterator[pa.RecordBatch]:
-    for batch, body, at in chunks(batches, "_text"):
+    for batch, body, at in chunks(repeats.opened(batches), "_text"):
         begin, end, first = words(body, at)
         raw = body.tobytes()
         spans = batch.column(batch.schema.get_field_index("spans")).to_pylist()
@@ -97,6 +97,6 @@ def remove_repeated_words(docs: DataFrame, how: repeats.Repeats = WORDS, text: s
     words stay. An empty table gives none; other columns are ignored.
     """
     rows = docs.selectExpr("cast(doc_id as bigint) as doc_id", f"`{text}` as text")
-    joined = repeats.with_spans(rows, repeats.repeated_spans(rows, how, solve)).select("doc_id", "_text", "spans")
+    joined = repeats.with_spans(rows, repeats.repeated_spans(rows, how, solve))
     schema = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string" + ", kept string" * keep_text
     return joined.mapInArrow(lambda batches: _strip(batches, keep_text), schema)
