@@ -27,20 +27,3 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-@query(
-    "grpo_advantage",
-    """SELECT l_orderkey AS uid, l_quantity AS reward,
-       round(CASE WHEN count(*) OVER w = 1 THEN l_quantity / (1 + 1e-6::DOUBLE)
-             ELSE (l_quantity - avg(l_quantity) OVER w) / (stddev_samp(l_quantity) OVER w + 1e-6::DOUBLE) END, 6) AS advantage
-       FROM lineitem WINDOW w AS (PARTITION BY l_orderkey)""",
-)
-def grpo_advantage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-    from pyspark.sql import functions as F
-
-    w = Window.partitionBy("uid")
-    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("uid"), F.col("l_quantity").alias("reward"))
-    z = (F.col("reward") - F.avg("reward").over(w)) / (F.stddev_samp("reward").over(w) + 1e-6)
-    return rows.select("uid", "reward", F.round(F.when(F.count("*").over(w) == 1, F.col("reward") / (1 + 1e-6)).otherwise(z), 6).alias("advantage"))
