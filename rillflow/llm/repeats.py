@@ -30,7 +30,7 @@ from rillflow.llm.text_arrays import CHUNK_BYTES, Rolling, U, byte_symbols, chun
 
 NULL_ID = -(1 << 63)
 #: Bytes of pieces that a solver takes at once, beyond which it starts a new group of seeds.
-BAG_BYTES = 4 << 20
+BAG_BYTES = 1 << 20
 
 
 @dataclass(frozen=True)

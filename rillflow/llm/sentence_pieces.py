@@ -251,7 +251,7 @@ def encode(docs: DataFrame, model_path: str, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = unigram(model_path)
-        for batch, body, at in chunks((marked(b, "_text") for b in batches), "_text", 2 * CHUNK_BYTES):
+        for batch, body, at in chunks((marked(b, "_text") for b in batches), "_text", 4 * CHUNK_BYTES):
             flat, upto = model.encode(body, at)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.array(flat.astype(np.int32)))], names=["doc_id", "ids"])
 
@@ -283,7 +283,7 @@ def round_trip(docs: DataFrame, model_path: str, text: str = "text") -> DataFram
         model = unigram(model_path)
         byte = np.zeros(len(model.vocabulary.pieces), bool)
         byte[model.vocabulary.byte_ids[model.vocabulary.byte_ids >= 0]] = True
-        for batch, body, at in chunks((marked(b, "_text") for b in batches), "_text", 2 * CHUNK_BYTES):
+        for batch, body, at in chunks((marked(b, "_text") for b in batches), "_text", 4 * CHUNK_BYTES):
             flat, upto = model.encode(body, at)
             back, places = model.decode(flat, upto)
             odd = np.concatenate([[0], np.cumsum(byte[flat])])[upto]

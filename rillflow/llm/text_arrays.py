@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled at once. A longer text is handled alone and whole.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 _POWERS: dict[str, np.ndarray] = {}
 U = np.uint64
 
