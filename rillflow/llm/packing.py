@@ -23,7 +23,7 @@ from rillflow.llm.word_cache import WordCache
 
 WINDOW = 2048
 #: Tokens of padding that a cut at a sentence's end, or in the middle of a sentence, is worth avoiding.
-SENTENCE_PENALTY, HARD_PENALTY, GRID = 4, 64, 128
+SENTENCE_PENALTY, HARD_PENALTY, GRID = 2, 12, 32
 #: Tokens gathered before a run of the dynamic programme; what its last window holds is carried to the next run.
 RUN_TOKENS = 1 << 20
 

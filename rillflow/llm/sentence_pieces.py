@@ -173,10 +173,13 @@ class Unigram:
 
     @staticmethod
     def _together(start: np.ndarray, end: np.ndarray, score: np.ndarray, ids: np.ndarray, begin: np.ndarray, best: np.ndarray, back: np.ndarray, by: np.ndarray) -> None:
+        if not len(start):
+            return
         order = np.lexsort((start, end, end - begin))
         start, end, score, ids, begin = start[order], end[order], score[order], ids[order], begin[order]
         depth = end - begin
-        for a, b in zip(np.flatnonzero(np.diff(depth, prepend=-1)).tolist(), [*np.flatnonzero(np.diff(depth)).__add__(1).tolist(), len(depth)], strict=True):
+        firsts = np.flatnonzero(np.diff(depth, prepend=-1))
+        for a, b in zip(firsts.tolist(), np.append(firsts[1:], len(depth)).tolist(), strict=True):
             total = np.where(start[a:b] == begin[a:b], 0.0, best[start[a:b]]) + score[a:b]
             heads = np.flatnonzero(np.diff(end[a:b], prepend=-1))
             top = np.maximum.reduceat(total, heads)
