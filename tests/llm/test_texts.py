@@ -1,0 +1,217 @@
+"""Tokenizing, packing, quality rules, secrets, URL filters and tool links."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from rillflow.llm import packing, quality_rules, queries, secret_scan, sentence_pieces, tool_links, url_filter
+
+public_tokenizers = pytest.importorskip("public_tokenizers")
+PIECES, WORDS = public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("word_bpe_49k.json")
+ODD = ["hello world", "  two  spaces ", "", None, "日本語 text\n\tx", "été naïve 🙂 zz", "a▁b ▁ c", "́ x", "x" * 300, "don't ÉCOLE ΣΑΣ. 12 3!!.. ﬁ", "<|endoftext|> q", "a\x85b\xa0c\x1cd"]
+
+
+def test_pieces_are_the_best_segmentation():
+    rng = random.Random(1)
+    pieces = ["<unk>", *[f"<0x{b:02X}>" for b in range(256)], "▁", *{"".join(rng.choice("ab▁") for _ in range(1)) + "".join(rng.choice("ab") for _ in range(rng.randint(0, 4))) for _ in range(40)}]
+    pieces = list(dict.fromkeys(pieces))
+    scores = np.array([-rng.random() * 9 for _ in pieces])
+    byte = np.arange(1, 257)
+    v = sentence_pieces.Vocabulary(pieces, scores, byte, np.array([i > 256 for i in range(len(pieces))]), 0)
+    model = sentence_pieces.Unigram(v)
+    known = {p.replace("▁", " "): s for p, s, o in zip(pieces, scores, v.ordinary, strict=True) if o}
+
+    def best(text):
+        top = [0.0] + [-1e18] * len(text)
+        for e in range(1, len(text) + 1):
+            for s in range(e):
+                score = known.get(text[s:e], model.unknown_score if e - s == 1 and text[s:e] not in known else None)
+                if score is not None:
+                    top[e] = max(top[e], top[s] + score)
+        return top[-1]
+
+    for text in [" " + "".join(rng.choice("aab bc") for _ in range(rng.randint(1, 90))) for _ in range(60)]:
+        flat, _ = model.encode(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)]))
+        odd = flat <= 256
+        total = sum(scores[i] for i in flat[~odd]) + odd.sum() * model.unknown_score
+        assert total == pytest.approx(best(text))
+
+
+def test_pieces_equal_the_library():
+    sentencepiece = pytest.importorskip("sentencepiece")
+    from sentencepiece import sentencepiece_model_pb2
+
+    model = sentencepiece_model_pb2.ModelProto()
+    model.ParseFromString(open(PIECES, "rb").read())
+    model.trainer_spec.model_type = 1
+    for p in model.pieces:  # the library sums in single precision, which scores of -1e9 would swamp
+        p.score = max(p.score, -40_000)
+    library = sentencepiece.SentencePieceProcessor(model_proto=model.SerializeToString())
+    mine = sentence_pieces.unigram(PIECES)
+    for text in ODD:
+        batch = sentence_pieces.marked(pa.RecordBatch.from_arrays([pa.array([text], pa.string())], names=["t"]), "t")
+        body = np.frombuffer((batch.column(0)[0].as_py()).encode(), np.uint8)
+        assert mine.encode(body, np.array([0, len(body)]))[0].tolist() == library.encode(text or "")
+
+
+def test_round_trip(spark):
+    docs = spark.createDataFrame([(i, t, 1) for i, t in enumerate(ODD)] + [(None, "x", 1)], "doc_id long, text string, ids int")
+    rows = {r.doc_id: r for r in sentence_pieces.round_trip(docs, PIECES).collect()}
+    assert len(rows) == len(ODD) + 1 and all(r.exact for r in rows.values())
+    for i, t in enumerate(ODD):
+        assert rows[i].decoded_sha256 == hashlib.sha256((t or "").replace("▁", " ").encode()).hexdigest()
+    back = {r.doc_id: r.text for r in sentence_pieces.decode(sentence_pieces.encode(docs, PIECES), PIECES).collect()}
+    assert all(back[i] == (t or "").replace("▁", " ") for i, t in enumerate(ODD))
+
+
+def test_word_tokens_equal_the_library():
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(WORDS)
+    library.encode_special_tokens = True
+    texts = [t or "" for t in ODD] + ["it's they'll a'b 'x' x,y;z 1a2 -é- İx", "q." * 40]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    got = [x.tolist() for _, rows in packing.tokens(iter([batch]), WORDS, "text", 1) for x in rows]
+    assert got == [e.ids + [1] for e in library.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_cuts_are_optimal():
+    rng = random.Random(7)
+    for _ in range(60):
+        n = rng.randint(1, 60)
+        docs = np.array(sorted({n, *(rng.randint(1, n) for _ in range(4))}))
+        sentences = np.array(sorted({rng.randint(1, n) for _ in range(8)}))
+        points, penalty = packing.cut_points(n, docs, sentences, grid=5, window=12)
+        cuts = packing.best_cuts(points, penalty, 12)
+        cost = dict(zip(points.tolist(), penalty.tolist(), strict=True))
+        best = {0: 0}
+        for p in points.tolist():
+            best[p] = min(best[q] + 12 - (p - q) + cost[p] for q in best if p - 12 <= q < p)
+        spent = sum(12 - (b - a) + cost[b] for a, b in zip([0, *cuts], cuts))
+        assert cuts[-1] == n and spent == best[n]
+
+
+def check_packing(rows, docs, window=2048):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(WORDS)
+    library.encode_special_tokens = True
+    ids = {i: library.encode(t or "", add_special_tokens=False).ids + [1] for i, t in docs}
+    by_doc, by_sequence = defaultdict(list), defaultdict(list)
+    for r in rows:
+        by_doc[r["doc_id"]].append(r), by_sequence[r["sequence_id"]].append(r)
+    assert set(by_doc) == set(ids)
+    for i, parts in by_doc.items():
+        at = 0
+        for p in sorted(parts, key=lambda p: p["start"]):
+            assert p["start"] == at and p["length"] > 0 and p["doc_tokens"] == len(ids[i])
+            assert p["ids_crc32"] == zlib.crc32(np.array(ids[i][at : at + p["length"]], "<u4").tobytes())
+            at += p["length"]
+        assert at == len(ids[i])
+    for parts in by_sequence.values():
+        at = 0
+        for p in sorted(parts, key=lambda p: p["offset"]):
+            assert p["offset"] == at
+            at += p["length"]
+        assert at <= window
+    sizes = [sum(p["length"] for p in parts) for parts in by_sequence.values()]
+    return sum(0 if n & (n - 1) == 0 else window - n for n in sizes) / sum(sizes)
+
+
+@pytest.mark.parametrize("run_tokens", [1 << 20, 3000])
+def test_packing(spark, run_tokens):
+    rng = random.Random(2)
+    docs = [(i, " ".join(rng.choice(["a", "the", "ship", "sails."]) for _ in range(rng.choice([0, 3, 60, 700, 5000])))) for i in range(40)] + [(900, None), (901, ""), (902, "x" * 9000)]
+    made = spark.createDataFrame([(*d, 5) for d in docs], "doc_id long, text string, length int").repartition(2)
+    rows = [r.asDict() for r in packing.pack(made, WORDS, run_tokens=run_tokens).collect()]
+    assert check_packing(rows, docs) < 0.05
+    assert packing.pack(made.limit(0), WORDS).count() == 0
+
+
+def test_quality_counts(spark):
+    rng = random.Random(3)
+    texts = [None, "", " \n\t", "a b c", "x " * 200, *[" ".join(rng.choice("ab cd e\n f#".split(" ")) for _ in range(rng.randint(1, 200))) for _ in range(60)], "é\xa0b\x1cc " * 60]
+    docs = spark.createDataFrame([(i, t, 1, "q") for i, t in enumerate(texts)], "doc_id long, text string, n_words int, s string")
+    for r in quality_rules.quality(docs).where("kept or not kept").collect():
+        t = texts[r.doc_id] or ""
+        w = re.findall(r"[^\x20\x09-\x0D]+", t)
+        n, covered = Counter(zip(w, w[1:], w[2:])), set()
+        for i in range(len(w) - 2):
+            if n[tuple(w[i : i + 3])] > 1:
+                covered |= {i, i + 1, i + 2}
+        lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        want = (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(covered))
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == want
+        assert r.base_failed == (len(w) < 50 or 100 * len(covered) > 50 * len(w)) and (not r.base_failed or not r.kept)
+    assert quality_rules.quality(docs.limit(0)).count() == 0
+
+
+def test_cascade_order(spark):
+    docs = spark.createDataFrame([(i, "one two three " * 30 + "### " * 60) for i in range(4)], "doc_id long, text string")
+    assert quality_rules.cascade(docs)[0].name == "symbols"
+
+
+def test_base_secrets():
+    text = 'password: token: abcdefghijklmnop; API-KEY=x; api_key = "AKIA1234567890ABCD" 0123456789abcdef0 PassWord=\'short\' secret=' + "z" * 12
+    got = secret_scan.base_spans(text)
+    want = []
+    for kind, pattern, group, least in secret_scan.BASE:
+        want += [(m.start(), m.end(), kind) for m in pattern.finditer(text) if len(m.group(group)) >= least]
+    assert got == sorted(want, key=lambda x: (x[0], secret_scan.KINDS.index(x[2]))) and {k for _, _, k in got} == {"assign", "access", "hex"}
+
+
+def test_secrets(spark):
+    shared, own = "Abcdefgh1234IJKLmnop56", "Zyxwvuts9876HGFEdcba54"
+    rows = [(i, f"see {shared} here", f"s{i}") for i in range(12)] + [(50, f"mine {own} and secret={'q' * 20} é {'ab' * 10}", "s1"), (51, None, None), (None, "", "s2"), (50, f"mine {own}", "s1")]
+    docs = spark.createDataFrame([(*r, "v") for r in rows], "doc_id long, text string, source string, value string")
+    scanned = secret_scan.secret_scan(docs)
+    out = secret_scan.digest(scanned).collect()
+    assert len(out) == len(rows)
+    assert all(r.spans == "" for r in out if r.doc_id != 50)
+    full = next(r for r in out if r.n_assign)
+    text = rows[12][1]
+    spans = sorted([(text.index(own), f"token:{text.index(own)}:{text.index(own) + len(own)}")] + [(a, f"{k}:{a}:{b}") for a, b, k in secret_scan.base_spans(text)])
+    assert full.spans == ",".join(s for _, s in spans)
+    assert full.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, b, k in secret_scan.base_spans(text)).encode()).hexdigest()
+    clean = secret_scan.redact(docs.where("source = 's1' and text like '%secret=%'"), scanned).first()
+    assert clean.text == "mine [SECRET] and [SECRET] é [SECRET]" and clean.value == "v"
+    assert secret_scan.secret_scan(docs.limit(0)).count() == 0
+
+
+def test_urls(spark):
+    urls = ["https://www.a.com/en/5", "https://www.a.com:80//en/5/", "https://x.example.com/en/77", "HTTP://B.NET/de/1#f", "notcom/en/", None, "x", "https://a.com/fr/5?u=://b.org/es/", "ftp://com/en/"]
+    pages = spark.createDataFrame([(i, u, 3) for i, u in enumerate(urls)], "page_id long, url string, host int")
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.url_filter(pages, queries.URL_RULES).collect()}
+    assert got == {
+        0: ("www.a.com", "/en/5", "com/en/", "block"), 1: ("www.a.com:80", "//en/5/", None, "block"), 2: ("x.example.com", "/en/77", "example.com/en/7", "allow"), 3: ("b.net", "/de/1", "net/de/", "block"),
+        4: ("", "", None, "allow"), 5: ("", "", None, "allow"), 6: ("", "", None, "allow"), 7: ("a.com", "/fr/5", None, "allow"), 8: ("com", "/en/", "com/en/", "block"),
+    }
+
+
+def test_bloom_has_no_false_negatives(spark):
+    rows = spark.range(3000).selectExpr("concat('u', id) as k")
+    listed = rows.where("hash(k) % 3 = 0")
+    for limit in (4 << 20, 0):
+        out = url_filter.listed_in(rows, "k", listed, limit)
+        assert out.where("is_listed <> (hash(k) % 3 = 0)").count() == 0 and out.count() == 3000
+
+
+def test_tool_links(spark):
+    call = '<tool_call>{{"id": "{0}", "name": "search", "arguments": {1}, "needs": {2}}}</tool_call>'
+    texts = [
+        call.format("a", '{"n_words": 2, "query": "abc"}', "[]") + call.format("b", '{"query": "ab", "x": 1}', '["a"]'), '<tool_result>{"id": "a", "content": "r"}</tool_result><tool_result>{"id": "zz", "content": "s"}</tool_result>',
+        call.format("c", "[1]", '["d"]') + call.format("d", '{"query": 5, "n_words": 1.5}', '["c"]') + call.format("e", '{"query": "abcd", "n_words": 3}', '["b", "gone"]'), None,
+    ]
+    messages = spark.createDataFrame([(1, i, "assistant", t, 0) for i, t in enumerate(texts)], "conv_id long, turn long, role string, text string, level int")
+    got = {r.call_id: r for r in tool_links.link(tool_links.calls_in(messages), tool_links.results_in(messages), queries.TOOLS).collect()}
+    assert {k: r.level for k, r in got.items()} == {"a": 0, "b": 1, "e": 2, "c": None, "d": None}
+    assert got["a"].json == '{"arguments":{"n_words":2,"query":"abc"},"call_id":"a","needs":[],"name":"search","result":"r","valid":true}'
+    assert got["b"].errors == "query: below 3, n_words: missing, extra: x"
+    assert got["c"].errors == "not an object, query: missing, n_words: missing, cycle" and got["d"].errors.startswith("query: not string")
+    assert tool_links.link(tool_links.calls_in(messages.limit(0)), tool_links.results_in(messages.limit(0)), queries.TOOLS).count() == 0
