@@ -196,10 +196,13 @@ def near_duplicates(docs: DataFrame, percent: int = 75, text: str = "text") -> D
     top = sizes.groupBy("band").agg(F.max(F.struct("k", "component")).alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("band", F.col("top.component").alias("top"))
     open_ = cut(member.join(top, "band").join(sketch, "c"), "open")
     longer = texts(open_.select("c", F.col("c").alias("pivot"))).mapInArrow(_sign_long, "c bigint, long array<bigint>").groupBy("c").agg(F.first("long").alias("long"))
-    open_ = cut(open_.join(longer, "c"), "open")
-    other = open_.select("band", F.col("c").alias("pivot"), F.col("component").alias("pcomponent"), F.col("odd").alias("podd"), F.col("long").alias("plong"))
-    again = open_.where("component != top").join(other, "band").where("component != pcomponent").where(_allowed("odd", "podd"))
+    shared_bands = open_.groupBy("c").agg(F.collect_set("band").alias("bands"))  # BANDS at most
+    open_ = cut(open_.join(longer, "c").join(shared_bands, "c"), "open")
+    other = open_.select("band", F.col("c").alias("pivot"), F.col("component").alias("pcomponent"), F.col("odd").alias("podd"), F.col("long").alias("plong"), F.col("bands").alias("pbands"))
+    again = open_.where("component != top").join(other, "band").where("component != pcomponent and (pcomponent = top or c > pivot)").where(_allowed("odd", "podd"))
     again = again.where(_allowed("long", "plong", LONG_BITS, most_bits(LONG_LEAST, LONG_SAMPLES, LONG_BITS)))
+    # A pair that meets in several open bands counts in the least of them.
+    again = again.where("band = array_min(array_intersect(bands, pbands))")
     again = again.select(F.greatest("c", "pivot").alias("c"), F.least("c", "pivot").alias("pivot")).distinct()
     again = cut(again.join(first.select(F.greatest("c", "pivot").alias("c"), F.least("c", "pivot").alias("pivot")), ["c", "pivot"], "left_anti"), "pairs")
     if not again.isEmpty():
