@@ -261,3 +261,42 @@ def tool_calls(text: Column) -> Column:
     """(name, arguments) of ``<tool_call>`` JSON blocks; blocks that aren't JSON with a name are left out."""
     every = F.transform(found(text, r"(?s)<tool_call>\s*(.*?)\s*</tool_call>"), lambda b: F.struct(F.get_json_object(b, "$.name").alias("name"), F.get_json_object(b, "$.arguments").alias("arguments")))
     return F.filter(every, lambda c: c.getField("name").isNotNull())
+
+
+# What the answer format of quantitative reasoning sets replaces and removes, in this order.
+SUBSTITUTIONS = (("an ", ""), ("a ", ""), (".$", "$"), ("\\$", ""), ("\\ ", ""), (" ", ""), ("mbox", "text"), (",\\text{and}", ","), ("\\text{and}", ","), ("\\text{m}", "\\text{}"))
+REMOVED = (
+    "square", "ways", "integers", "dollars", "mph", "inches", "hours", "km", "units", "\\ldots", "sue", "points", "feet", "minutes", "digits", "cents", "degrees", "cm", "gm", "pounds",
+    "meters", "meals", "edges", "students", "childrentickets", "multiples", "\\text{s}", "\\text{.}", "\\text{\ns}", "\\text{}^2", "\\text{}^3", "\\text{\n}", "\\text{}", "\\mathrm{th}",
+    "^\\circ", "^{\\circ}", "\;", ",\\!", "{,}", '"', "\\dots",
+)
+REWRITES = (
+    (r"(.*?)(\$)(.*?)(\$)(.*)", r"\$$3\$"), (r"(\\text\{)(.*?)(\})", "$2"), (r"(\\textbf\{)(.*?)(\})", "$2"), (r"(\\overline\{)(.*?)(\})", "$2"), (r"(\\boxed\{)(.*)(\})", "$2"),
+    (r"(frac)([^{])(.)", r"frac{$2}{$3}"), (r"(sqrt)([^{])", r"sqrt{$2}"),
+)
+
+
+def quantity_form(answer: Column) -> Column:
+    """The normal form of a final answer: after the last ``=``, with units and LaTeX dressing removed."""
+    out = F.substring_index(answer, "=", -1)
+    for a, b in SUBSTITUTIONS:
+        out = F.replace(out, F.lit(a), F.lit(b))
+    for a in REMOVED:
+        out = F.replace(out, F.lit(a), F.lit(""))
+    for a, b in REWRITES:
+        out = F.regexp_replace(out, a, b)
+    out = F.replace(out, F.lit("$"), F.lit(""))
+    bare = F.replace(out, F.lit(","), F.lit(""))
+    return F.trim(F.when(bare.rlike(r"^\d+$"), bare).otherwise(out))
+
+
+def quantity_answer(text: Column) -> Column:
+    """The normal form of what follows the last ``Answer:``; ``[INVALID]`` without one."""
+    return quantity_form(F.coalesce(last(found(text, r"(?i)Answer\s*:\s*([^\n]+)")), F.lit("[INVALID]")))
+
+
+def quantity_score(text: Column, truth: Column) -> Column:
+    """(score, acc, pred) from a response's last 300 characters: 1 or -1."""
+    pred = quantity_answer(F.right(text, F.lit(300)))
+    acc = pred == quantity_form(truth)
+    return F.struct(F.when(acc, 1.0).otherwise(-1.0).alias("score"), acc.alias("acc"), pred.alias("pred"))
