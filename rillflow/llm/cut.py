@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -19,9 +20,16 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
-def cut(df: DataFrame, name: str = "step") -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: computed once, no lineage behind it."""
+def cut(df: DataFrame, name: str = "step", clean: bool = False) -> DataFrame:
+    """Write ``df`` as a table in the shared folder and read it back: computed once, no lineage behind it.
+
+    Spark deletes the shuffle files of a plan after the driver has collected the plan as garbage. ``clean`` asks for
+    that at once, so that what led to a large table doesn't stay on the executors' disks beside what comes next.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/rillflow/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if clean:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)

@@ -174,10 +174,10 @@ def near_duplicates(docs: DataFrame, percent: int = 75, text: str = "text") -> D
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("_id"), F.xxhash64(body).alias("_th"), body.alias("_text"))
     signed = cut(keyed.mapInArrow(_sign, "_id bigint, _th bigint, n bigint, c bigint, bands array<bigint>, odd array<bigint>"), "signatures")
     full = signed.where("c is not null")
-    classes = cut(full.groupBy("c").agg(F.min(F.struct("_id", "_th")).alias("rep"), F.first("bands").alias("bands"), F.first("odd").alias("odd")), "classes")
+    classes = cut(full.groupBy("c").agg(F.min(F.struct("_id", "_th")).alias("rep"), F.first("bands").alias("bands"), F.first("odd").alias("odd")), "classes", clean=True)
     bands = classes.select("c", F.explode("bands").alias("band"))
     met = bands.groupBy("band").agg(F.min("c").alias("pivot"), F.max("c").alias("last")).where("pivot != last").drop("last")
-    shared = cut(bands.join(met, "band"), "bands")
+    shared = cut(bands.join(met, "band"), "bands", clean=True)
     sketch = classes.select("c", "odd")
     first = shared.where("c != pivot").select("c", "pivot").distinct()
     first = first.join(sketch, "c").join(sketch.select(F.col("c").alias("pivot"), F.col("odd").alias("podd")), "pivot")
@@ -188,7 +188,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, text: str = "text") -> D
         reps = classes.join(need, "c").select("c", F.col("rep._id").alias("_id"), F.col("rep._th").alias("_th"))
         return keyed.join(reps, ["_id", "_th"]).select("c", "_text")
 
-    links = cut(confirmed(first, texts(first), percent), "links")
+    links = cut(confirmed(first, texts(first), percent), "links", clean=True)
     parts = components(links)
     # Bands whose members are in several components.
     member = shared.select("band", "c").join(parts.withColumnRenamed("id", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))

@@ -275,7 +275,7 @@ def repeated_spans(docs: DataFrame, how: Repeats, solve: Solve, text: str = "tex
     mine = (F.col("_id") if how.first else F.xxhash64("_id", "_th")) == F.col("lo")
     places = places.withColumn("mine", mine & (F.col("nth") == 0))
     gone = (F.col("dup") & ~F.col("mine")) if how.first else F.col("dup")
-    places = cut(places.select("_id", "_th", "seed", "piece", "start", "end", gone.alias("gone"), (F.col("mine") & F.expr("n > 1 or self > 0")).alias("solve"), "hot"), "pieces")
+    places = cut(places.select("_id", "_th", "seed", "piece", "start", "end", gone.alias("gone"), (F.col("mine") & F.expr("n > 1 or self > 0")).alias("solve"), "hot"), "pieces", clean=True)
 
     wanted = F.struct("seed", "piece", "start", "end", F.col("gone").alias("whole"), "hot")
     asked = places.where("solve").groupBy("_id", "_th").agg(F.collect_list(wanted).alias("wanted"))
@@ -286,7 +286,7 @@ def repeated_spans(docs: DataFrame, how: Repeats, solve: Solve, text: str = "tex
     if places.where("solve and hot").isEmpty():
         spans = whole.unionAll(sliced.repartition("seed").sortWithinPartitions("seed").mapInArrow(_solved(how, solve), _SPAN))
     else:
-        sliced = cut(sliced, "slices")
+        sliced = cut(sliced, "slices", clean=True)
         spans = whole.unionAll(sliced.where("not hot").repartition("seed").sortWithinPartitions("seed").mapInArrow(_solved(how, solve), _SPAN))
         windows = sliced.where("hot").mapInArrow(_windows(how), "_id bigint, _th bigint, w1 bigint, w2 bigint, start int, whole boolean")
         if how.first:
