@@ -1,8 +1,8 @@
 """Chat formatting: tool calls linked to results, ordered, validated and serialised.
 
 All DataFrame expressions. Calls and results meet in a hash join on the call's identifier. A call's level is one more
-than the highest level among the calls it needs: each round settles the calls whose needs are all settled, joining
-only what is left; calls on a cycle, or behind one, never settle and are marked. Arguments are parsed once as a
+than the highest level among the calls it needs: chains of single needs are followed by pointer doubling, calls with
+several needs settle round by round; calls on a cycle, or behind one, never settle and are marked. Arguments are parsed once as a
 variant, whose objects keep their keys sorted, so that serialising it again is canonical. Nothing is gathered by
 conversation: rows carry (conv_id, level, turn), which orders a conversation of any length.
 """
@@ -74,22 +74,45 @@ def errors(schemas: Mapping[str, Mapping[str, Field]], name: Column, arguments:
     return F.when(name.isNull(), F.array(F.lit("unknown tool"))).otherwise(out)
 
 
-def levels(calls: DataFrame, rounds: int = 10_000) -> DataFrame:
-    """(call_id, level) of every call with settled needs; needs that no call has count as settled. Roots have level 0."""
+def _jumps(single: DataFrame, calls: int) -> DataFrame:
+    """(call_id, anchor, distance, open) of calls with one need: where following single needs ends, by pointer doubling.
+
+    ``open`` stays true for calls that never end: they lead into a cycle."""
+    state = cut(single.select("call_id", F.col("need").alias("anchor"), F.lit(1).alias("distance"), F.lit(True).alias("open")), "jumps")
+    for _ in range(calls.bit_length() + 1):
+        if state.where("open").isEmpty():
+            break
+        by = state.select(F.col("call_id").alias("anchor"), F.col("anchor").alias("_to"), F.col("distance").alias("_more"))
+        moved = state.join(by, "anchor", "left").withColumn("open", F.col("_to").isNotNull())
+        state = cut(moved.select("call_id", F.coalesce("_to", "anchor").alias("anchor"), (F.col("distance") + F.coalesce("_more", F.lit(0))).alias("distance"), "open"), "jumps")
+    return state
+
+
+def levels(calls: DataFrame) -> DataFrame:
+    """(call_id, level) of every call with settled needs; needs that no call has count as settled. Roots have level 0.
+
+    Chains of calls with one need each, however long, are followed by doubling. What is left are calls with several
+    needs, each leading to a root or to another such call at a known distance: a round settles those whose ends are settled.
+    """
     known = calls.select("call_id").where("call_id is not null").distinct()
     needs = calls.where("call_id is not null").select("call_id", F.explode("needs").alias("need")).distinct()
     needs = cut(needs.join(known.withColumnRenamed("call_id", "need"), "need").select("call_id", "need"), "needs")
-    left = needs.select("call_id").distinct()
-    settled = cut(known.join(left, "call_id", "left_anti").withColumn("level", F.lit(0)), "level")
-    every = settled
-    for level in range(1, rounds):
-        if settled.isEmpty() or needs.isEmpty():
+    many = needs.groupBy("call_id").agg(F.count(F.lit(1)).alias("n"))
+    single, several = (needs.join(many.where(c), "call_id", "left_semi") for c in ("n = 1", "n > 1"))
+    settled = cut(known.join(many, "call_id", "left_anti").withColumn("level", F.lit(0)), "level")
+    jumps = _jumps(single, known.count())
+    ends = jumps.select(F.col("call_id").alias("need"), F.when(~F.col("open"), F.col("anchor")).otherwise(F.col("call_id")).alias("anchor"), "distance")
+    edges = several.join(ends, "need", "left").select("call_id", F.coalesce("anchor", "need").alias("anchor"), (F.coalesce("distance", F.lit(0)) + 1).alias("distance"))
+    edges = cut(edges, "edges")
+    while not edges.isEmpty():
+        met = edges.join(settled.select(F.col("call_id").alias("anchor"), F.col("level").alias("_l")), "anchor", "left")
+        now = met.groupBy("call_id").agg(F.count_if(F.col("_l").isNull()).alias("left"), F.max(F.col("_l") + F.col("distance")).alias("level")).where("left = 0")
+        now = cut(now.select("call_id", "level"), "level")
+        if now.isEmpty():
             break
-        now = settled.select(F.col("call_id").alias("need"))
-        open_ = cut(needs.join(now, "need", "left_anti").select("call_id", "need"), "needs")
-        settled = cut(needs.select("call_id").distinct().join(open_.select("call_id").distinct(), "call_id", "left_anti").withColumn("level", F.lit(level)), "level")
-        every, needs = every.unionAll(settled), open_
-    return every
+        settled, edges = settled.unionAll(now), cut(edges.join(now, "call_id", "left_anti"), "edges")
+    ended = jumps.where("not open").join(settled.withColumnRenamed("call_id", "anchor"), "anchor")
+    return settled.unionAll(ended.select("call_id", (F.col("level") + F.col("distance")).cast("int").alias("level")))
 
 
 def link(calls: DataFrame, results: DataFrame, schemas: Mapping[str, Mapping[str, Field]]) -> DataFrame:
