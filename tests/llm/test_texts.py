@@ -215,3 +215,14 @@ def test_tool_links(spark):
     assert got["b"].errors == "query: below 3, n_words: missing, extra: x"
     assert got["c"].errors == "not an object, query: missing, n_words: missing, cycle" and got["d"].errors.startswith("query: not string")
     assert tool_links.link(tool_links.calls_in(messages.limit(0)), tool_links.results_in(messages.limit(0)), queries.TOOLS).count() == 0
+
+
+def test_levels_are_longest_paths(spark):
+    rng = random.Random(5)
+    needs = {i: [i - 1] if 0 < i < 150 else [] for i in range(150)} | {i: sorted({rng.randrange(i) for _ in range(rng.randint(0, 3))}) for i in range(150, 260)}
+    needs |= {300: [301], 301: [302], 302: [301], 303: [300, 5]}
+    level = {}
+    for i in range(260):
+        level[i] = max([level[n] + 1 for n in needs[i]], default=0)
+    calls = spark.createDataFrame([(f"c{i}", [f"c{n}" for n in ns]) for i, ns in needs.items()], "call_id string, needs array<string>")
+    assert {r.call_id: r.level for r in tool_links.levels(calls).collect()} == {f"c{i}": n for i, n in level.items()}
