@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType
@@ -81,23 +82,74 @@ def equal_answers(a: str | None, b: str | None) -> bool:
     return False
 
 
+def prefix_sums(texts: list[str]) -> np.ndarray:
+    """For each text the sum of neighbours' common prefixes in suffix order. One suffix array by prefix doubling, the text's number leading each key."""
+    body = np.frombuffer("\0".join([*texts, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    many = np.array([len(t) + 1 for t in texts])
+    total, owner, last = len(body), np.repeat(np.arange(len(texts)), many), np.repeat(np.cumsum(many) - 1, many)
+    place = np.arange(total)
+    # Characters by dense numbers from 1; 0 is the end of a text. As many as fit make the first key.
+    letter = np.searchsorted(np.unique(body), body) + 1
+    letter[place == last] = 0
+    bits, room = int(letter.max(initial=1)).bit_length(), 63 - len(texts).bit_length()
+    width = room // bits
+    padded, key = np.append(letter, np.zeros(width, letter.dtype)), owner.astype(np.int64)
+    for t in range(width):
+        key = key << bits | np.where(place + t < last, padded[t : t + total], 0)
+    order = np.argsort(key, kind="stable")
+    new = np.append(True, key[order[1:]] != key[order[:-1]])
+    rank = np.empty(total, np.int64)
+    rank[order] = np.maximum.accumulate(np.where(new, place, 0))
+    # Places of the order whose suffixes are still equal to a neighbour.
+    live = np.flatnonzero(~new | ~np.append(new[1:], True))
+    levels, reach = [], width
+    while len(live):
+        levels.append((reach, rank.copy()))
+        at = order[live]
+        both = rank[at] * total + rank[at + reach]
+        by = np.argsort(both, kind="stable")
+        order[live], both = at[by], both[by]
+        new = np.append(True, both[1:] != both[:-1])
+        rank[order[live]] = live[np.maximum.accumulate(np.where(new, np.arange(len(live)), 0))]
+        live, reach = live[~new | ~np.append(new[1:], True)], 2 * reach
+    same = owner[order[:-1]] == owner[order[1:]]
+    i, j = order[:-1][same], order[1:][same]
+    of, common = owner[i], np.zeros(len(i), np.int64)
+    deep = np.flatnonzero(key[i] == key[j])
+    for reach, ranks in reversed(levels):
+        step = np.where(ranks[i[deep]] == ranks[j[deep]], reach, 0)
+        common[deep] += step
+        i[deep], j[deep] = i[deep] + step, j[deep] + step
+    differ = key[i] ^ key[j]
+    for t in range(width):
+        common += differ >> bits * t == 0
+    return np.bincount(of, common, len(texts))
+
+
+def repeated_shares(texts: list[str], chunk: int = 1 << 15) -> list[float]:
+    """Sum of neighbours' common prefixes in suffix order over ``n (n + 1) / 2``, of each text as a whole; texts go in chunks of so many characters."""
+    out, part, size = [], [], 0
+    for k, text in enumerate(texts):
+        part.append(text)
+        size += len(text)
+        if size >= chunk or k == len(texts) - 1:
+            out += [2 * s / (len(t) * (len(t) + 1)) if len(t) > 1 else 0.0 for s, t in zip(prefix_sums(part).tolist(), part, strict=True)]
+            part, size = [], 0
+    return out
+
+
 def repeated_share(text: str) -> float:
-    """Sum of neighbours' common prefixes in suffix order over its largest possible value."""
-    n = len(text)
-    if n < 2:
-        return 0.0
-    order = sorted(range(n), key=lambda i: text[i : i + 256])
-    total = 0
-    for i, j in zip(order, order[1:], strict=False):
-        k = 0
-        while i + k < n and j + k < n and k < 256 and text[i + k] == text[j + k]:
-            k += 1
-        total += k
-    return 2 * total / (n * (n - 1))
+    return repeated_shares([text])[0]
 
 
 def without_accents(text: str) -> str:
-    return "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
+    if text.isascii():
+        return text
+    text = unicodedata.normalize("NFKD", text)
+    for c in set(text):
+        if unicodedata.combining(c):
+            text = text.replace(c, "")
+    return text
 
 
 @F.pandas_udf(StringType())
@@ -117,7 +169,7 @@ def latex_normal(text: pd.Series) -> pd.Series:
 
 @F.pandas_udf(DoubleType())
 def repetition(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: repeated_share(t or ""))
+    return pd.Series(repeated_shares([t or "" for t in text]), dtype=float)
 
 
 @F.pandas_udf(StringType())

@@ -152,7 +152,7 @@ def math_boxed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("math_repetition")
 def math_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", (mt.repetition(F.substring("text", 1, 300)) > 0.2).alias("repetitive"), mt.strip_accents(F.substring("text", 1, 40)).alias("plain"))
+    return table(spark, sf_dir, "documents").select("doc_id", (mt.repetition("text") > 0.2).alias("repetitive"), mt.strip_accents("text").alias("plain"))
 
 
 @query("reward_on_last_token", """WITH t AS (SELECT user_id AS seq, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos, sum((event_type <> 'error')::INT) OVER (PARTITION BY user_id) AS n FROM events)
