@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,6 +21,19 @@ def number(rows: DataFrame, *order: Column | str) -> DataFrame:
     return placed.join(F.broadcast(offsets), "_p").withColumn("row_id", F.col("_i") + F.col("_o")).drop("_p", "_i", "_o")
 
 
+def running(rows: DataFrame, order: str, value: Column, total: Callable[[Column], Column], until: int = 0) -> DataFrame:
+    """``_here`` and ``_before``: ``total`` of ``value`` up to each row (``until`` rows on) within its range of the numeric ``order``, and over all earlier
+    ranges; null where there are no rows. Ranges are bounded by quantiles, so no task sorts all rows, and one row a range is joined back."""
+    parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    bounds = sorted(set(rows.select(F.col(order).cast("double").alias("o")).approxQuantile("o", [i / parts for i in range(1, parts)], 0.25 / parts))) if parts > 1 else []
+    place = F.coalesce(F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col(order).cast("double"))), F.lit(0)) if bounds else F.lit(0)
+    placed = rows.withColumn("_range", F.when(F.col(order).isNull(), -1).otherwise(place)).withColumn("_value", value)
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = placed.groupBy("_range").agg(total(F.col("_value")).alias("_t")).select("_range", total(F.col("_t")).over(before).alias("_before"))  # one row a range
+    here = Window.partitionBy("_range").orderBy(order).rowsBetween(Window.unboundedPreceding, until)
+    return placed.withColumn("_here", total(F.col("_value")).over(here)).join(F.broadcast(ranges), "_range").drop("_range", "_value")
+
+
 def project(rows: DataFrame, *columns: str) -> DataFrame:
     return rows.select("row_id", *columns)
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rillflow.functions.tokens import clip
+from rillflow.operators import batches
 from rillflow.operators.registry import KL_CONTROLLERS, POLICY_LOSSES
 
 
@@ -137,4 +138,5 @@ def fixed_kl(steps: DataFrame, start: float) -> DataFrame:
 def adaptive_kl(steps: DataFrame, start: float, target: float, horizon: float, step: str = "step", kl: str = "kl", n: str = "n") -> DataFrame:
     """``beta`` after each step: times 1 + clip(kl / target - 1, 0.2) n / horizon. A running product, by logarithms."""
     factor = 1 + clip(F.col(kl) / target - 1, -0.2, 0.2) * F.col(n) / horizon
-    return steps.withColumn("beta", start * F.exp(F.sum(F.log(factor)).over(Window.orderBy(step))))
+    over = batches.running(steps, step, F.log(factor), F.sum)
+    return over.withColumn("beta", start * F.exp(F.coalesce(F.col("_before") + F.col("_here"), "_before", "_here"))).drop("_before", "_here")

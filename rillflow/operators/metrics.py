@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rillflow.operators import batches
+
 
 def long_form(one_row: DataFrame, *keys: str) -> DataFrame:
     """(keys, key, value) of a row of metrics."""
@@ -159,8 +161,8 @@ def pair_winner(rows: DataFrame, pair: str, item: str, score: str) -> DataFrame:
 
 def running_best(rows: DataFrame, step: str, value: str) -> DataFrame:
     """``improved``: strictly above all earlier steps."""
-    w = Window.orderBy(step).rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("improved", F.coalesce(F.col(value) > F.max(value).over(w), F.lit(True)))
+    over = batches.running(rows, step, F.col(value), F.max, until=-1)
+    return over.withColumn("improved", F.coalesce(F.col(value) > F.greatest("_before", "_here"), F.lit(True))).drop("_before", "_here")
 
 
 def islands(rows: DataFrame, order: str, value: str, partition: str | None = None) -> DataFrame:

@@ -177,6 +177,13 @@ def adaptive_kl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _r6(losses.adaptive_kl(steps, 0.2, 0.06, 10000.0).select("step", "beta"), "beta")
 
 
+@query("adaptive_kl_all", """WITH s AS (SELECT event_id, (event_id % 17) / 100.0::DOUBLE AS kl, 64 AS n FROM events)
+  SELECT event_id, round(0.2::DOUBLE * exp(sum(ln(1 + greatest(least(kl / 0.06::DOUBLE - 1, 0.2::DOUBLE), -0.2::DOUBLE) * n / 10000.0::DOUBLE)) OVER (ORDER BY event_id)), 6) AS kl_coef FROM s""")
+def adaptive_kl_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    steps = table(spark, sf_dir, "events").selectExpr("event_id as step", "(event_id % 17) / 100.0D as kl", "64 as n")
+    return _r6(losses.adaptive_kl(steps, 0.2, 0.06, 10000.0).select(F.col("step").alias("event_id"), F.col("beta").alias("kl_coef")), "kl_coef")
+
+
 @query("dpo_losses", f"""WITH {T}, z AS (SELECT id, (new - old) - (ref - old) AS z FROM t), y AS (SELECT id, z, 0.5::DOUBLE * z AS x FROM z)
   SELECT id, round(0.9::DOUBLE * (greatest(-x, 0) + ln(1 + exp(-abs(x)))) + 0.1::DOUBLE * (greatest(x, 0) + ln(1 + exp(-abs(x)))), 6) AS sigmoid, round((z - 1) * (z - 1), 6) AS ipo FROM y""")
 def dpo_losses(spark: SparkSession, sf_dir: str) -> DataFrame:

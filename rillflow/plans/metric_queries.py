@@ -130,6 +130,11 @@ def running_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.running_best(table(spark, sf_dir, "events").where("event_id < 2000").select("event_id", "value"), "event_id", "value").select("event_id", "improved")
 
 
+@query("running_best_all", "SELECT event_id, coalesce(value > max(value) OVER (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), TRUE) AS improved FROM events")
+def running_best_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.running_best(table(spark, sf_dir, "events").select("event_id", "value"), "event_id", "value").select("event_id", "improved")
+
+
 @query("trajectory_islands", """WITH n AS (SELECT user_id, event_id, event_type, (event_type IS DISTINCT FROM lag(event_type) OVER w)::INT AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
   s AS (SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY event_id) AS s FROM n) SELECT event_id, (row_number() OVER (PARTITION BY user_id, s ORDER BY event_id) - 1)::INT AS place FROM s""")
 def trajectory_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
