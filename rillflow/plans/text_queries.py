@@ -44,6 +44,11 @@ def grade_plain_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", g.plain_answer(F.regexp_replace(F.substring("text", 1, 60), "[^ -~]", "x")).alias("answer"))
 
 
+@query("grade_plain_answer_whole", r"""SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(lower(regexp_replace(text, '[^\t\n -~]', 'x', 'g')), '[!-/:-@\[-`{-~]', '', 'g'), '\b(a|an|the)\b', ' ', 'g'), '\s+', ' ', 'g')) AS answer FROM documents""")
+def grade_plain_answer_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", g.plain_answer(F.regexp_replace("text", r"[^\t\n -~]", "x")).alias("answer"))
+
+
 @query("grade_tag_answer", """SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 0.0 WHEN 1 THEN 1.0 WHEN 2 THEN 0.1 ELSE 0.25 END::DOUBLE AS score, CASE doc_id % 4 WHEN 0 THEN 0.0 WHEN 2 THEN 0.1 WHEN 3 THEN 0.25 ELSE 1.0 END::DOUBLE AS sub FROM documents""")
 def grade_tag_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.col("doc_id") % 4

@@ -38,3 +38,10 @@ def test_math_repetition_reads_whole_texts(spark, tmp_path):
         assert got[i].repetitive == (brute_share(t or "") > 0.2)
         assert got[i].plain == (None if t is None else "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)))
     assert [got[i].repetitive for i in range(4)] == [True, True, False, False]
+
+
+def test_plain_answer_reads_whole_texts(spark, tmp_path):
+    texts = ["x " * 40 + "The  end,\n\tof\n\n(an) answer: a-b é THE", None, ""]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.answer for r in catalog.QUERIES["grade_plain_answer_whole"](spark, str(tmp_path)).collect()}
+    assert got == {0: "x " * 40 + "end of answer ab x", 1: None, 2: ""}
