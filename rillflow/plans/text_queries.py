@@ -97,10 +97,18 @@ def grade_named_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("grade_code_traces", "SELECT doc_id, round((doc_id % 4) / 4.0::DOUBLE, 6) AS passed, doc_id % 2 = 0 AS fenced, TRUE AS tagged, 0.75::DOUBLE AS quality FROM documents WHERE doc_id % 4 <> 0")
 def grade_code_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _code_traces(table(spark, sf_dir, "documents").where("doc_id % 4 <> 0"))
+
+
+@query("grade_code_traces_all", "SELECT doc_id, round((doc_id % 4) / 4.0::DOUBLE, 6) AS passed, doc_id % 2 = 0 AS fenced, TRUE AS tagged, 0.75::DOUBLE AS quality FROM documents")
+def grade_code_traces_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _code_traces(table(spark, sf_dir, "documents"))
+
+
+def _code_traces(rows: DataFrame) -> DataFrame:
     k = (F.col("doc_id") % 4).cast("int")
     code = F.when(F.col("doc_id") % 2 == 0, "<Code>```python\nx\n```</Code>").otherwise("<Code>x</Code>")
     t = F.concat(code, F.repeat(F.lit("<Execute>fine</Execute>"), k), F.repeat(F.lit("<Execute>[Error]: bad</Execute>"), 4 - k))
-    rows = table(spark, sf_dir, "documents").where("doc_id % 4 <> 0")
     return rows.select("doc_id", F.round(g.execute_pass_ratio(t), 6).alias("passed"), g.code_blocks_fenced(t).alias("fenced"), g.has_tags(t, "Code", "Execute").alias("tagged"), g.judged(F.concat(t, F.lit(" SCORE: 1 SCORE: 3")), "SCORE", 4).alias("quality"))
 
 
