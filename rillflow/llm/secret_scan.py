@@ -27,7 +27,7 @@ BASE = (
     ("hex", re.compile(r"[0-9a-f]+"), 0, 16),
 )
 #: Runs of key-like characters; those with upper and lower case and digits, of high entropy, are candidates.
-CANDIDATE = re.compile(r"(?a)(?<![\w+/-])[A-Za-z0-9_+/-]{20,512}={0,2}(?![\w+/-])")
+CANDIDATE = re.compile(r"(?a)(?<![\w+/-])[A-Za-z0-9_+/-]{20,}={0,2}(?![\w+/-])")
 KINDS = ("assign", "access", "hex", "token")
 _HEX = re.compile(r"[0-9a-f]{16,}")
 
@@ -101,8 +101,8 @@ def ownership(found: DataFrame, owner: Column, repository: Column) -> DataFrame:
     return by_owner.groupBy("value").agg(F.count(F.lit(1)).alias("n_owners"), F.sum("repositories").alias("n_repositories"), F.sum("n").alias("n_uses"))
 
 
-def secret_scan(docs: DataFrame, owner: str = "source", repository: str = "doc_id", most_owners: int = 2, most_repositories: int = 8) -> DataFrame:
-    """(doc_id, spans): every base span, and candidates seen with at most ``most_owners`` owners and ``most_repositories`` repositories.
+def secret_scan(docs: DataFrame, owner: str = "source", repository: str = "doc_id", most_owners: int = 2) -> DataFrame:
+    """(doc_id, spans): every base span, and candidates seen with at most ``most_owners`` owners, in however many of their repositories.
 
     Each span has start, end (code points, end exclusive), kind, value (hash), n_owners, n_repositories and
     example: whether its value is a widely copied one (base spans stay either way). Rows are keyed by an id of their
@@ -112,7 +112,7 @@ def secret_scan(docs: DataFrame, owner: str = "source", repository: str = "doc_i
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("_text"), F.col(owner).cast("string").alias("owner"), F.col(repository).cast("string").alias("repository"))
     found = cut(scan(rows.withColumn("row", F.monotonically_increasing_id()), "_text"), "secrets")
     known = ownership(found.where("size(found) > 0"), F.col("owner"), F.col("repository"))
-    wide = (F.col("n_owners") > most_owners) | (F.col("n_repositories") > most_repositories)
+    wide = F.col("n_owners") > most_owners
     each = found.where("size(found) > 0").select("row", F.explode("found").alias("s")).withColumn("value", F.col("s.value")).join(known, "value")
     each = each.select("row", F.struct("s.start", "s.end", "s.kind", "value", "n_owners", "n_repositories", wide.alias("example")).alias("s")).where("s.kind != 'token' or not s.example")
     order = F.expr("sort_array(collect_list(struct(s.start as start, array_position(array('assign', 'access', 'hex', 'token'), s.kind) as rank, s as s)))")

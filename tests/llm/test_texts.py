@@ -226,3 +226,11 @@ def test_levels_are_longest_paths(spark):
         level[i] = max([level[n] + 1 for n in needs[i]], default=0)
     calls = spark.createDataFrame([(f"c{i}", [f"c{n}" for n in ns]) for i, ns in needs.items()], "call_id string, needs array<string>")
     assert {r.call_id: r.level for r in tool_links.levels(calls).collect()} == {f"c{i}": n for i, n in level.items()}
+
+
+def test_secrets_of_one_owner_and_long_runs(spark):
+    own, key = "Zyxwvuts9876HGFEdcba54", "MIIEvQ1bAdANBgkqhkiG9w0B" * 70 + "=="
+    rows = [(i, f"mine {own}", "s1") for i in range(30)] + [(40, f"-- {key}\n", "s2")] + [(50 + i, "see Abcdefgh1234IJKLmnop56", f"s{i}") for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: r.spans for r in secret_scan.digest(secret_scan.secret_scan(docs)).collect()}
+    assert got == {i: f"token:5:{5 + len(own)}" for i in range(30)} | {40: f"token:3:{3 + len(key)}"} | {50 + i: "" for i in range(3)}
