@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rillflow.llm import odd_sketches, packing, quality_rules, secret_scan, substring_dedup
@@ -15,29 +15,37 @@ from rillflow.llm.cut import cut, shared_dir
 from rillflow.llm.queries import tokenizer_path
 
 
+def _text_hash() -> Column:
+    """Tells apart the texts of rows that share a doc_id, or have none."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the quality rules."""
     return quality_rules.quality(docs).where("kept").select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one of least doc_id; of repeated rows one."""
-    stay = odd_sketches.near_duplicates(docs).where("kept").select("doc_id").distinct()
-    kept = docs.join(stay, docs["doc_id"].eqNullSafe(stay["doc_id"]), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    """One document of each group of near copies: the one of least doc_id, then of least text hash; of rows with one doc_id and text one."""
+    stay = odd_sketches.near_duplicates(docs, hashed=True).where("first").select("doc_id", "text_hash").distinct()
+    keyed = docs.withColumn("_th", _text_hash())
+    kept = keyed.join(stay, keyed["doc_id"].eqNullSafe(stay["doc_id"]) & (keyed["_th"] == stay["text_hash"]), "left_semi")
+    return kept.dropDuplicates(["doc_id", "_th"]).select(*docs.columns)
 
 
 def substring(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the word windows that start earlier in the corpus; those with no word left go."""
-    made = substring_dedup.remove_repeated_words(docs).where("n_words > n_removed").select(F.col("doc_id").alias("_id"), "kept", "n_removed")
-    out = docs.join(made, docs["doc_id"].eqNullSafe(made["_id"]))
+    made = substring_dedup.remove_repeated_words(docs, hashed=True).where("n_words > n_removed").select(F.col("doc_id").alias("_id"), "text_hash", "kept", "n_removed")
+    keyed = docs.withColumn("_th", _text_hash())
+    out = keyed.join(made, keyed["doc_id"].eqNullSafe(made["_id"]) & (keyed["_th"] == made["text_hash"]))
     out = out.withColumn("text", F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text")))
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, their secrets replaced by a mark."""
-    out = secret_scan.redact(docs, cut(secret_scan.secret_scan(docs), "spans"))
+    keyed = docs.withColumn("_doc", F.col("doc_id")).withColumn("doc_id", F.concat_ws(":", "doc_id", _text_hash()))
+    out = secret_scan.redact(keyed, cut(secret_scan.secret_scan(keyed, repository="_doc"), "spans")).withColumn("doc_id", F.col("_doc"))
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 

@@ -161,13 +161,14 @@ def _allowed(a: str, b: str, bits: int = BITS, most: int = most_bits()) -> str:
     return " + ".join(f"bit_count({a}[{i}] ^ {b}[{i}])" for i in range(bits // 64)) + f" <= {most}"
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75, text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 75, text: str = "text", hashed: bool = False) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of ``docs(doc_id, text)``.
 
     Links join documents with 100 * intersection >= ``percent`` * union of their shingle sets: 5 words each, A-Z
     lower-cased, or the whole sequence of fewer words. Documents without words link with nothing. Repeated rows give
     repeated results; a null doc_id counts as the least id and comes back null, also as a component. An empty table
-    gives none; other columns are ignored. Bands of 4 samples miss a pair of similarity 0.75 with probability 5e-6,
+    gives none; other columns are ignored. ``hashed`` adds ``text_hash`` and ``first``: of near copies that share the
+    least doc_id, only the text of least hash is first, and of repeated rows all. Bands of 4 samples miss a pair of similarity 0.75 with probability 5e-6,
     a sketch with 1e-4, more similar ones with far less.
     """
     body = F.coalesce(F.col(text), F.lit(""))
@@ -208,9 +209,10 @@ def near_duplicates(docs: DataFrame, percent: int = 75, text: str = "text") -> D
     if not again.isEmpty():
         links = cut(links.unionAll(confirmed(again, texts(again), percent)), "links")
         parts = components(links)
-    named = classes.select("c", F.col("rep._id").alias("least")).join(parts.withColumnRenamed("id", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))
+    named = classes.select("c", F.col("rep").alias("least")).join(parts.withColumnRenamed("id", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))
     least = named.groupBy("component").agg(F.min("least").alias("least"))
     known = named.select("c", "component").join(least, "component").select("c", "least")
-    out = signed.select("_id", "n", "c").join(known, "c", "left").withColumn("least", F.coalesce("least", "_id"))
+    out = signed.select("_id", "_th", "n", "c").join(known, "c", "left").withColumn("rep", F.coalesce("least", F.struct("_id", "_th"))).withColumn("least", F.col("rep._id"))
     null = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
-    return out.select(null("_id").alias("doc_id"), F.col("n").alias("n_shingles"), null("least").alias("component_id"), (F.col("_id") == F.col("least")).alias("kept"))
+    more = [F.col("_th").alias("text_hash"), (F.struct("_id", "_th") == F.col("rep")).alias("first")] if hashed else []
+    return out.select(null("_id").alias("doc_id"), F.col("n").alias("n_shingles"), null("least").alias("component_id"), (F.col("_id") == F.col("least")).alias("kept"), *more)

@@ -312,7 +312,7 @@ def covered(length: int, spans: list[dict] | None) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-def with_spans(docs: DataFrame, spans: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, _z, spans: null where nothing is removed) of every row of ``docs`` once."""
+def with_spans(docs: DataFrame, spans: DataFrame, text: str = "text", hashed: bool = False) -> DataFrame:
+    """(doc_id, _z, spans: null where nothing is removed and, with ``hashed``, text_hash) of every row of ``docs`` once."""
     rows = squeezed(docs, text).join(spans, ["_id", "_th"], "left")
-    return rows.select(F.when(F.col("_id") != NULL_ID, F.col("_id")).alias("doc_id"), "_z", "spans")
+    return rows.select(F.when(F.col("_id") != NULL_ID, F.col("_id")).alias("doc_id"), "_z", "spans", *[F.col("_th").alias("text_hash")] * hashed)

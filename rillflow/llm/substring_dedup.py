@@ -88,8 +88,8 @@ def _strip(batches: Iterator[pa.RecordBatch], keep_text: bool) -> Iterator[pa.Re
         yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(n)) for n in rest], *columns.values()], names=[*rest, *columns])
 
 
-def remove_repeated_words(docs: DataFrame, how: repeats.Repeats = WORDS, text: str = "text", keep_text: bool = True) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept_sha256 and, with ``keep_text``, kept) of every row of ``docs(doc_id, text)``.
+def remove_repeated_words(docs: DataFrame, how: repeats.Repeats = WORDS, text: str = "text", keep_text: bool = True, hashed: bool = False) -> DataFrame:
+    """(doc_id, with ``hashed`` text_hash, n_words, n_removed, kept_sha256 and, with ``keep_text``, kept) of every row of ``docs(doc_id, text)``.
 
     Removed is each word covered by a window of ``how.span`` words whose sequence also starts earlier: in a document
     of smaller doc_id, or before it in the same one. Windows are judged on the input. Null text has no words; a null
@@ -97,6 +97,6 @@ def remove_repeated_words(docs: DataFrame, how: repeats.Repeats = WORDS, text: s
     words stay. An empty table gives none; other columns are ignored.
     """
     rows = docs.selectExpr("cast(doc_id as bigint) as doc_id", f"`{text}` as text")
-    joined = repeats.with_spans(rows, repeats.repeated_spans(rows, how, solve))
-    schema = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string" + ", kept string" * keep_text
+    joined = repeats.with_spans(rows, repeats.repeated_spans(rows, how, solve), hashed=hashed)
+    schema = "doc_id bigint, " + "text_hash bigint, " * hashed + "n_words bigint, n_removed bigint, kept_sha256 string" + ", kept string" * keep_text
     return joined.mapInArrow(lambda batches: _strip(batches, keep_text), schema)

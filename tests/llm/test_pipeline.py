@@ -39,3 +39,27 @@ def test_pipeline(spark, tmp_path):
     assert dict(secrets)[102].endswith("[SECRET]") and all(t == dict(substring)[i] for i, t in secrets if i != 102)
     out = [r.asDict() for r in corpus_pipeline.run(spark, str(tmp_path)).collect()]
     assert check_packing(out, secrets) < 0.1
+
+
+def test_shared_and_null_ids_stay_whole(spark, tmp_path):
+    rng = random.Random(10)
+    say = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 8))) for _ in range(n))
+    clean = [(None, say(90)) for _ in range(6)] + [(5, say(90) + " secret=" + "k" * 16), (5, say(90)), (5, say(120))]
+    near = (None, clean[0][1] + " changed")
+    rows = [(*r, "en", "s1", 0) for r in [*clean, near, clean[1], clean[1], clean[6]]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    order = lambda pairs: sorted(pairs, key=str)
+    for _, stage in corpus_pipeline.STAGES[:2]:
+        docs = stage(spark, docs, str(tmp_path))
+    kept = order((r.doc_id, r.text) for r in docs.collect())
+    assert kept in (order(clean), order([near, *clean[1:]]))
+    # One copy more of a passage, under another id, for the substring stage.
+    docs = docs.unionByName(spark.createDataFrame([(9, clean[7][1] + " " + say(60), "en", "s1", 0)], docs.schema))
+    before = {(r.doc_id, r.text) for r in docs.collect()}
+    for _, stage in corpus_pipeline.STAGES[2:4]:
+        docs = stage(spark, docs, str(tmp_path))
+    got = [(r.doc_id, r.text) for r in docs.collect()]
+    assert len(got) == len(before) == 10
+    want = {(i, t.replace("secret=" + "k" * 16, "[SECRET]")) for i, t in before if i != 9}
+    assert {x for x in got if x[0] != 9} == want and [len(t.split()) for i, t in got if i == 9] == [60]
