@@ -139,14 +139,16 @@ def link(calls: DataFrame, results: DataFrame, schemas: Mapping[str, Mapping[str
 def turns_as_tools(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Calls and results of plain conversations: a user's message is a call, the assistant's message in the next turn its result.
 
-    A call needs the call two turns before, if there is one: the exchange it goes on from.
+    A call needs the call two turns before, if there is one: the exchange it goes on from. A user's message
+    without conv_id or turn is a call without identifier or needs; such an assistant's message is no call's result.
     """
     call_id = lambda turn: F.concat_ws(":", F.lit("call"), F.col("conv_id").cast("string"), turn.cast("string"))
     query = F.coalesce("text", F.lit(""))
     n = F.size(F.array_remove(F.split(query, r"[\x20\x09-\x0D]+"), "")).cast("long")
     name = F.when(n <= 12, "search").otherwise("answer")
     arguments = F.to_json(F.struct(query.alias("query"), n.alias("n_words")))
-    spoken = messages.where("conv_id is not null and turn is not null")
-    calls = spoken.where("role = 'user'").select("conv_id", "turn", call_id(F.col("turn")).alias("call_id"), name.alias("name"), arguments.alias("arguments"), F.array(call_id(F.col("turn") - 2)).alias("needs"))
-    results = spoken.where("role = 'assistant'").select(call_id(F.col("turn") - 1).alias("call_id"), "turn", F.col("text").alias("content"))
+    placed = F.col("conv_id").isNotNull() & F.col("turn").isNotNull()
+    needs = F.when(placed, F.array(call_id(F.col("turn") - 2))).otherwise(F.expr("cast(array() as array<string>)"))
+    calls = messages.where("role = 'user'").select("conv_id", "turn", F.when(placed, call_id(F.col("turn"))).alias("call_id"), name.alias("name"), arguments.alias("arguments"), needs.alias("needs"))
+    results = messages.where(placed).where("role = 'assistant'").select(call_id(F.col("turn") - 1).alias("call_id"), "turn", F.col("text").alias("content"))
     return calls, results

@@ -234,3 +234,10 @@ def test_secrets_of_one_owner_and_long_runs(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     got = {r.doc_id: r.spans for r in secret_scan.digest(secret_scan.secret_scan(docs)).collect()}
     assert got == {i: f"token:5:{5 + len(own)}" for i in range(30)} | {40: f"token:3:{3 + len(key)}"} | {50 + i: "" for i in range(3)}
+
+
+def test_turns_without_keys_are_calls(spark):
+    rows = [(1, 0, "user", "find a b"), (1, 1, "assistant", "yes"), (None, 2, "user", "find c"), (1, None, "user", "find d"), (None, None, "assistant", "no")]
+    calls, results = tool_links.turns_as_tools(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    got = sorted(((r.conv_id, r.turn, r.call_id, r.level, r.result_turn) for r in tool_links.link(calls, results, queries.TOOLS).collect()), key=str)
+    assert got == [(1, 0, "call:1:0", 0, 1), (1, None, None, 0, None), (None, 2, None, 0, None)]
