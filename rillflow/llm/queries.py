@@ -74,7 +74,7 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.remove_repeated_words(_table(spark, sf_dir, "documents"), keep_text=False)
+    return substring_dedup.remove_repeated_words(_table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False).drop("row")
 
 
 QUERIES: dict[str, Query] = {

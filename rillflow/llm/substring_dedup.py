@@ -1,10 +1,9 @@
-"""Substring dedup of words by prefix-partitioned suffix trees.
+"""Substring dedup of words by suffix trees over groups of suffixes.
 
-The suffixes that matter are the windows of ``repeats``: they go to tasks by their seed. Within a task, trees grow
-breadth-first over variable-length prefixes: at each depth the suffixes of a node split by their longer prefix, and a
-node with one suffix is a leaf and grows no further. Nodes that are left at depth ``span`` with several suffixes are
-deep internal nodes: their path is a repeat, of which the earliest suffix stays. A seed whose pieces wouldn't fit a
-task takes the whole window as its prefix: each such group is a node of full depth and only its least place is kept.
+The suffixes that matter are the windows of ``repeats``, dealt to groups by the words at their trigger: five, and in a
+group too large for memory ten, fifteen, then all twenty. Of each group a suffix tree is built, down to depth ``span``:
+its leaves in order, with the common prefix of neighbours. Internal nodes of that depth are maximal runs of leaves
+whose neighbours share ``span`` words; their path is a repeat, of which the earliest leaf stays.
 """
 
 from __future__ import annotations
@@ -17,86 +16,90 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from rillflow.llm import repeats
-from rillflow.llm.text_arrays import Rolling, chunks, word_symbols, words
-
-WORDS = repeats.Repeats("words", span=20, gram=5, first=True)
-
-
-def deep_nodes(symbols: np.ndarray, suffixes: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """(index into ``suffixes``, node) of the suffixes below internal nodes of ``depth``, nodes in ascending order."""
-    rolling = Rolling(symbols)
-    live, node, reach = np.arange(len(suffixes)), np.zeros(len(suffixes), np.int64), 1
-    while len(live):
-        prefix = rolling.of(suffixes[live], suffixes[live] + reach)
-        order = np.lexsort((prefix, node))
-        live, node, prefix = live[order], node[order], prefix[order]
-        new = np.ones(len(live), bool)
-        new[1:] = (node[1:] != node[:-1]) | (prefix[1:] != prefix[:-1])
-        sizes = np.diff(np.append(np.flatnonzero(new), len(live)))
-        inner = np.repeat(sizes > 1, sizes)
-        node = (np.cumsum(new) - 1)[inner]
-        live = live[inner]
-        if reach == depth:
-            break
-        reach = min(2 * reach, depth)
-    return live, node
-
-
-def solve(texts: list[bytes], ids: np.ndarray, starts: np.ndarray, how: repeats.Repeats) -> list[np.ndarray]:
-    """Which windows of each text start earlier in these texts, by (id, start)."""
-    body = np.frombuffer(b"".join(texts), np.uint8)
-    at = np.cumsum([0] + [len(t) for t in texts])
+from rillflow.llm.suffix_dedup import double
+from rillflow.llm.text_arrays import chunks, word_symbols, words
+
+WORDS = repeats.Repeats("words", span=20, grams=(5, 10, 15, 20), first=True)
+
+
+def suffix_tree(symbols: np.ndarray, left: np.ndarray, suffixes: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The tree of the suffixes that begin at ``suffixes``, cut at ``depth``: its leaves (places in ``suffixes``) in order, and
+    the depth of the node at which each leaf parts from the one before it. ``left``: symbols up to the end of a suffix's text."""
+    _, names = np.unique(symbols, return_inverse=True)
+    rank = double(names.astype(np.int64) + 1, left, 1, depth)
+    order = np.argsort(rank[suffixes], kind="stable")
+    p, q = suffixes[order[:-1]], suffixes[order[1:]]
+    common, live = np.zeros(len(order), np.int64), np.arange(len(p))
+    for k in range(depth):
+        live = live[(np.minimum(left[p[live]], left[q[live]]) > k)]
+        live = live[names[p[live] + k] == names[q[live] + k]]
+        common[live + 1] += 1
+    return order, common
+
+
+def deep_nodes(order: np.ndarray, common: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """(leaf, node) of the leaves below internal nodes of ``depth``, nodes in ascending order."""
+    node = np.cumsum(common < depth) - 1
+    inner = np.bincount(node, minlength=1)[node] > 1 if len(node) else np.zeros(0, bool)
+    return order[inner], node[inner]
+
+
+def solve(body: np.ndarray, at: np.ndarray, bag: dict[str, np.ndarray], how: repeats.Repeats) -> np.ndarray:
+    """Which windows of each phrase start earlier in these phrases, by (id, start)."""
     begin, end, first = words(body, at)
-    many = np.maximum(np.diff(first) - how.span + 1, 0)
-    owner = np.repeat(np.arange(len(texts)), many)
+    count = np.diff(first)
+    many = np.maximum(count - how.span + 1, 0)
+    owner = np.repeat(np.arange(len(many)), many)
     place = np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many)
-    live, node = deep_nodes(word_symbols(body, begin, end), first[owner] + place, how.span)
-    order = np.lexsort((starts[owner[live]] + place[live], ids[owner[live]], node))
-    live, node = live[order], node[order]
+    left = np.repeat(first[1:], count) - np.arange(len(begin))
+    leaf, node = deep_nodes(*suffix_tree(word_symbols(body, begin, end), left, first[owner] + place, how.span), how.span)
     flags = np.zeros(len(owner), bool)
-    if len(live):
-        later = np.append(False, node[1:] == node[:-1])
-        flags[live[later]] = True
-    return np.split(flags, np.cumsum(many)[:-1]) if len(many) else []
-
-
-def _strip(batches: Iterator[pa.RecordBatch], keep_text: bool) -> Iterator[pa.RecordBatch]:
-    for batch, body, at in chunks(repeats.opened(batches), "_text"):
-        begin, end, first = words(body, at)
-        raw = body.tobytes()
-        spans = batch.column(batch.schema.get_field_index("spans")).to_pylist()
-        removed, digest, kept = [], [], []
-        for i, s in enumerate(spans):
-            lo, hi = int(first[i]), int(first[i + 1])
-            gone = repeats.covered(hi - lo, s)
-            stay = lo + np.flatnonzero(~gone)
-            removed.append(int(gone.sum()))
-            digest.append(hashlib.sha256(b" ".join([raw[a:b] for a, b in zip(begin[stay].tolist(), end[stay].tolist(), strict=True)])).hexdigest())
+    if len(leaf):
+        ids, starts = bag["id"][owner[leaf]], bag["start"][owner[leaf]] + place[leaf]
+        by = np.lexsort((starts, ids, node))
+        head = np.append(True, node[by][1:] != node[by][:-1])
+        least = by[head][np.cumsum(head) - 1]
+        flags[leaf[by]] = (ids[by] != ids[least]) | (starts[by] != starts[least])
+    return flags
+
+
+def _strip(keep_text: bool) -> repeats.Batches:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, body, at in chunks(batches, "_text"):
+            begin, end, first = words(body, at)
+            raw = body.tobytes()
+            removed, digest, kept = [], [], []
+            for i, s in enumerate(batch.column(batch.schema.get_field_index("spans")).to_pylist()):
+                lo, hi = int(first[i]), int(first[i + 1])
+                gone = repeats.covered(hi - lo, s)
+                stay = lo + np.flatnonzero(~gone)
+                removed.append(int(gone.sum()))
+                digest.append(hashlib.sha256(b" ".join([raw[a:b] for a, b in zip(begin[stay].tolist(), end[stay].tolist(), strict=True)])).hexdigest())
+                if keep_text:
+                    # What goes is each run of words with the white space after it.
+                    edges = begin[lo:hi].tolist() + [int(at[i + 1])]
+                    text, here = [], int(at[i])
+                    for a, b in zip(*(x.tolist() for x in repeats.runs(gone)), strict=True):
+                        text.append(raw[here : edges[a]])
+                        here = edges[b]
+                    text.append(raw[here : int(at[i + 1])])
+                    kept.append(b"".join(text).decode("utf-8", "replace"))
+            columns = {"n_words": pa.array(np.diff(first), pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_sha256": pa.array(digest, pa.string())}
             if keep_text:
-                # What goes is each run of words with the white space after it.
-                edges = begin[lo:hi].tolist() + [int(at[i + 1])]
-                text, here = [], int(at[i])
-                for a, b in zip(*(x.tolist() for x in repeats.runs(gone)), strict=True):
-                    text.append(raw[here : edges[a]])
-                    here = edges[b]
-                text.append(raw[here : int(at[i + 1])])
-                kept.append(b"".join(text).decode("utf-8", "replace"))
-        columns = {"n_words": pa.array(np.diff(first), pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_sha256": pa.array(digest, pa.string())}
-        if keep_text:
-            columns["kept"] = pa.array(kept, pa.string())
-        rest = [n for n in batch.schema.names if n not in ("_text", "spans")]
-        yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(n)) for n in rest], *columns.values()], names=[*rest, *columns])
-
-
-def remove_repeated_words(docs: DataFrame, how: repeats.Repeats = WORDS, text: str = "text", keep_text: bool = True, hashed: bool = False) -> DataFrame:
-    """(doc_id, with ``hashed`` text_hash, n_words, n_removed, kept_sha256 and, with ``keep_text``, kept) of every row of ``docs(doc_id, text)``.
+                columns["kept"] = pa.array(kept, pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns.values()], names=["row", *columns])
+
+    return run
+
+
+def remove_repeated_words(docs: DataFrame, how: repeats.Repeats = WORDS, text: str = "text", keep_text: bool = True) -> DataFrame:
+    """(doc_id, the other columns as the struct row, n_words, n_removed, kept_sha256 and, with ``keep_text``, kept) of every row of ``docs(doc_id, text)``.
 
     Removed is each word covered by a window of ``how.span`` words whose sequence also starts earlier: in a document
     of smaller doc_id, or before it in the same one. Windows are judged on the input. Null text has no words; a null
-    doc_id comes before all others; rows that share a doc_id are not earlier than each other; documents of fewer
-    words stay. An empty table gives none; other columns are ignored.
+    doc_id comes before all others; rows that share a doc_id are one document, so of repeated rows each stays what the
+    others are; documents of fewer words stay. An empty table gives none.
     """
-    rows = docs.selectExpr("cast(doc_id as bigint) as doc_id", f"`{text}` as text")
-    joined = repeats.with_spans(rows, repeats.repeated_spans(rows, how, solve), hashed=hashed)
-    schema = "doc_id bigint, " + "text_hash bigint, " * hashed + "n_words bigint, n_removed bigint, kept_sha256 string" + ", kept string" * keep_text
-    return joined.mapInArrow(lambda batches: _strip(batches, keep_text), schema)
+    columns = "n_words bigint, n_removed bigint, kept_sha256 string" + ", kept string" * keep_text
+    out = repeats.stripped(docs, repeats.repeated_spans(docs, how, solve, text), _strip(keep_text), columns, text)
+    return out.select("row.doc_id", "row", *[c.split()[0] for c in columns.split(", ")])
