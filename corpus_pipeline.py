@@ -34,12 +34,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def substring(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the word windows that start earlier in the corpus; those with no word left go."""
-    made = substring_dedup.remove_repeated_words(docs, hashed=True).where("n_words > n_removed").select(F.col("doc_id").alias("_id"), "text_hash", "kept", "n_removed")
-    keyed = docs.withColumn("_th", _text_hash())
-    out = keyed.join(made, keyed["doc_id"].eqNullSafe(made["_id"]) & (keyed["_th"] == made["text_hash"]))
-    out = out.withColumn("text", F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text")))
-    return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    """Documents without the word windows that start earlier in the corpus; those with no word left go. Ids may be null or shared."""
+    out = substring_dedup.remove_repeated_words(docs).where("n_words > n_removed")
+    rest = [F.col("kept").alias(c) if c == "text" else F.length("kept").cast("long").alias(c) if c == "n_chars" else F.col(f"row.`{c}`") for c in docs.columns]
+    return out.select(*rest)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
