@@ -22,7 +22,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionAll(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def components(links: DataFrame, rounds: int = 50) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(id, component: the least id that links reach) of every id in ``links(u, v)``, both long.
 
     Each round is two aggregations and two joins of the edges, cut at a table in the shared folder; it ends when a
@@ -32,7 +32,7 @@ def components(links: DataFrame, rounds: int = 50) -> DataFrame:
     edges = links.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     edges = cut(edges, "edges")
     before = None
-    for _ in range(rounds):
+    while True:
         edges = cut(_small_star(_large_star(edges)), "edges")
         # The same set of edges as before: equal counts and equal sums of their hashes.
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()

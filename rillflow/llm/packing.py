@@ -9,6 +9,7 @@ minimum is the head of a monotone queue, so every cut is chosen with constant am
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from unicodedata import normalize
@@ -134,6 +135,18 @@ class Packer:
 
 
 _CACHES: dict[str, tuple[WordCache, np.ndarray]] = {}
+_WHOLE: dict[str, tuple] = {}
+
+
+def whole_texts(path: str) -> tuple:
+    """The unmodified library tokenizer, and a pattern of the texts that hold one of its added tokens: those are encoded as a whole."""
+    if path not in _WHOLE:
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(path)
+        added = [re.escape(t.content.encode()) for t in tokenizer.get_added_tokens_decoder().values()]
+        _WHOLE[path] = tokenizer, re.compile(b"|".join(added), re.IGNORECASE) if added else None
+    return _WHOLE[path]
 
 
 def word_tokenizer(path: str) -> tuple[WordCache, np.ndarray]:
@@ -199,11 +212,17 @@ def units(body: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
 def tokens(batches: Iterator[pa.RecordBatch], path: str, text: str, end_id: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     """Slices of the batches with the ids of each row, ``end_id`` last."""
     cache, _ = word_tokenizer(path)
+    tokenizer, added = whole_texts(path)
     for batch, body, at in chunks(batches, text, 4 * CHUNK_BYTES):
         starts, ends, first = units(body, at)
         flat, counts = cache.ids(word_symbols(body, starts, ends, lower=True), body, starts, ends) if len(starts) else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
         upto = np.concatenate([[0], np.cumsum(counts)])[first]
-        yield batch, [np.append(flat[a:b], np.uint32(end_id)) for a, b in zip(upto[:-1].tolist(), upto[1:].tolist(), strict=True)]
+        ids = [np.append(flat[a:b], np.uint32(end_id)) for a, b in zip(upto[:-1].tolist(), upto[1:].tolist(), strict=True)]
+        raw = body.tobytes()
+        for i in sorted({int(np.searchsorted(at, m.start(), side="right")) - 1 for m in added.finditer(raw)}) if added else ():
+            given = tokenizer.encode(raw[at[i] : at[i + 1]].decode("utf-8", "replace"), add_special_tokens=False).ids
+            ids[i] = np.array([*given, end_id], np.uint32)
+        yield batch, ids
 
 
 def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int = 1, run_tokens: int = RUN_TOKENS, text: str = "text") -> DataFrame:

@@ -101,7 +101,7 @@ j AS (SELECT c.*, lv.level, a.turn AS result_turn, a.text AS result, concat_ws('
     CASE WHEN name = 'search' AND n < 1 THEN 'n_words: below 1' END) AS errors
   FROM c JOIN lv USING (conv_id, turn) LEFT JOIN conversations a ON a.role = 'assistant' AND a.conv_id = c.conv_id AND a.turn = c.turn + 1)
 SELECT conv_id, turn, call_id, name, level, result_turn, errors, errors = '' AS valid,
-  '{"arguments":{"n_words":' || n || ',"query":' || to_json(q) || '},"call_id":"' || call_id || '","needs":["call:' || conv_id || ':' || (turn - 2) || '"],"name":"' || name || '",'
+  '{"arguments":{"n_words":' || n || ',"query":' || to_json(q) || '},"call_id":"' || call_id || '","name":"' || name || '","needs":["call:' || conv_id || ':' || (turn - 2) || '"],'
   || coalesce('"result":' || to_json(result) || ',', '') || '"valid":' || (errors = '') || '}' AS json FROM j""",
     "op3_quality_rules": r"""
 WITH w AS (SELECT doc_id, coalesce(text, '') AS body, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),

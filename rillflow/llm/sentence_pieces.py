@@ -280,7 +280,11 @@ def decode(encoded: DataFrame, model_path: str) -> DataFrame:
 
 def round_trip(docs: DataFrame, model_path: str, text: str = "text") -> DataFrame:
     """Encode and decode every row: doc_id, n_tokens, n_fallback (byte pieces), ids_crc32 (little-endian 32-bit ids),
-    decoded_sha256 (lowercase hex of the decoded bytes) and exact (whether they are the text, markers as spaces)."""
+    decoded_sha256 (lowercase hex of the decoded bytes) and exact (whether they are the text, markers as spaces).
+
+    Null text is empty and has no pieces; of equal scores the longest last piece wins; a text of any length is encoded
+    whole; repeated rows and null ids give a row each; an empty table gives none; other columns are ignored.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = unigram(model_path)

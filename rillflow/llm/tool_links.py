@@ -1,6 +1,7 @@
 """Chat formatting: tool calls linked to results, ordered, validated and serialised.
 
-All DataFrame expressions. Calls and results meet in a hash join on the call's identifier. A call's level is one more
+All DataFrame expressions. Calls and results meet in a hash join on the conversation and the call's identifier: other
+conversations may use the same one. A call's level is one more
 than the highest level among the calls it needs: chains of single needs are followed by pointer doubling, calls with
 several needs settle round by round; calls on a cycle, or behind one, never settle and are marked. Arguments are parsed once as a
 variant, whose objects keep their keys sorted, so that serialising it again is canonical. Nothing is gathered by
@@ -9,13 +10,14 @@ conversation: rows carry (conv_id, level, turn), which orders a conversation of
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rillflow.llm.cut import cut
+from rillflow.llm.cut import cut, shared_dir
 
 BLOCK = r"(?s)<{0}>\s*(\{{.*?\}})\s*</{0}>"
 
@@ -47,9 +49,9 @@ def calls_in(messages: DataFrame, text: str = "text") -> DataFrame:
 
 
 def results_in(messages: DataFrame, text: str = "text") -> DataFrame:
-    """(call_id, turn, content) of the ``<tool_result>`` blocks: JSON with id and content."""
+    """(conv_id, call_id, turn, content) of the ``<tool_result>`` blocks: JSON with id and content."""
     b = blocks(messages, "tool_result", text)
-    return b.select(F.get_json_object("body", "$.id").alias("call_id"), "turn", F.get_json_object("body", "$.content").alias("content"))
+    return b.select("conv_id", F.get_json_object("body", "$.id").alias("call_id"), "turn", F.get_json_object("body", "$.content").alias("content"))
 
 
 def errors(schemas: Mapping[str, Mapping[str, Field]], name: Column, arguments: Column) -> Column:
@@ -103,36 +105,54 @@ def levels(calls: DataFrame) -> DataFrame:
     jumps = _jumps(single, known.count())
     ends = jumps.select(F.col("call_id").alias("need"), F.when(~F.col("open"), F.col("anchor")).otherwise(F.col("call_id")).alias("anchor"), "distance")
     edges = several.join(ends, "need", "left").select("call_id", F.coalesce("anchor", "need").alias("anchor"), (F.coalesce("distance", F.lit(0)) + 1).alias("distance"))
-    edges = cut(edges, "edges")
+    edges, now = cut(edges.withColumn("level", F.lit(None).cast("int")), "edges"), settled
+    spark = calls.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/rillflow/{spark.sparkContext.applicationId}/levels-{uuid.uuid4().hex}"
+    settled.write.parquet(path)
+    # Only what the last round settled meets the edges that are left; all rounds append to one table.
     while not edges.isEmpty():
-        met = edges.join(settled.select(F.col("call_id").alias("anchor"), F.col("level").alias("_l")), "anchor", "left")
-        now = met.groupBy("call_id").agg(F.count_if(F.col("_l").isNull()).alias("left"), F.max(F.col("_l") + F.col("distance")).alias("level")).where("left = 0")
+        met = edges.join(now.select(F.col("call_id").alias("anchor"), F.col("level").alias("_l")), "anchor", "left")
+        edges = cut(met.select("call_id", "anchor", "distance", F.coalesce("level", F.col("_l") + F.col("distance")).cast("int").alias("level")), "edges")
+        now = edges.groupBy("call_id").agg(F.count_if(F.col("level").isNull()).alias("left"), F.max("level").alias("level")).where("left = 0")
         now = cut(now.select("call_id", "level"), "level")
         if now.isEmpty():
             break
-        settled, edges = settled.unionAll(now), cut(edges.join(now, "call_id", "left_anti"), "edges")
+        now.write.mode("append").parquet(path)
+        edges = edges.join(now.select("call_id"), "call_id", "left_anti")
+    settled = spark.read.schema(settled.schema).parquet(path)
     ended = jumps.where("not open").join(settled.withColumnRenamed("call_id", "anchor"), "anchor")
     return settled.unionAll(ended.select("call_id", (F.col("level") + F.col("distance")).cast("int").alias("level")))
 
 
+def _key(call_id: Column | str) -> Column:
+    """A call's identifier within its conversation."""
+    return F.to_json(F.struct(F.col("conv_id").cast("string").alias("c"), (F.col(call_id) if isinstance(call_id, str) else call_id).alias("i")))
+
+
 def link(calls: DataFrame, results: DataFrame, schemas: Mapping[str, Mapping[str, Field]]) -> DataFrame:
     """One row for each call: conv_id, turn, call_id, name, level, result_turn, errors (comma-joined), valid and json.
 
     ``json``: the call with its result as canonical JSON, keys sorted, no spaces; null results and unparsed arguments
-    are left out. Of several calls, or results, with one identifier the least (turn, then content) counts. A call
-    without identifier meets no result and has level 0; one on a cycle has a null level and the error ``cycle``. An
-    empty table gives none; other columns are ignored.
+    are left out. An identifier holds within its conversation (calls without conv_id are one). Of several results with
+    one identifier the least (turn, then content) counts; of several calls the least (turn, name, arguments), and the
+    others are kept with the error ``duplicate``, no result and level 0. A call without identifier meets no result and
+    has level 0; one on a cycle has a null level and the error ``cycle``. Null needs are none. An empty table gives
+    none; other columns are ignored.
     """
-    body = F.struct("turn", "conv_id", "name", "arguments", "needs")
-    named = calls.where("call_id is not null").groupBy("call_id").agg(F.min(body).alias("b")).select("b.conv_id", "b.turn", "call_id", "b.name", "b.arguments", "b.needs")
-    bare = calls.where("call_id is null").select("conv_id", "turn", "call_id", "name", "arguments", "needs")
-    answers = results.where("call_id is not null").groupBy("call_id").agg(F.min(F.struct("turn", "content")).alias("r")).select("call_id", F.col("r.turn").alias("result_turn"), F.col("r.content").alias("result"))
-    joined = named.join(levels(named), "call_id", "left").join(answers, "call_id", "left")
-    none = bare.withColumns({"level": F.lit(0), "result_turn": F.lit(None).cast("long"), "result": F.lit(None).cast("string")})
-    rows = joined.unionByName(none)
-    wrong = F.concat(errors(schemas, F.col("name"), F.col("arguments")), F.when(F.col("level").isNull(), F.array(F.lit("cycle"))).otherwise(F.expr("cast(array() as array<string>)")))
+    given = calls.select("conv_id", "turn", "call_id", "name", "arguments", F.coalesce("needs", F.expr("cast(array() as array<string>)")).alias("needs"))
+    given = cut(given.withColumn("_k", F.when(F.col("call_id").isNotNull(), _key("call_id"))).withColumn("_row", F.monotonically_increasing_id()), "calls")
+    first = given.where("_k is not null").groupBy("_k").agg(F.min(F.struct("turn", "name", "arguments", "_row")).alias("b"), F.count(F.lit(1)).alias("n"))
+    named = given.join(first.select(F.col("_k").alias("_f"), F.col("b._row").alias("_row")), "_row").drop("_f")
+    again = given.join(first.where("n > 1").select("_k", F.col("b._row").alias("_least")), "_k").where("_row != _least").drop("_least").select(*given.columns)
+    answers = results.where("call_id is not null").select(_key("call_id").alias("_k"), "turn", "content").groupBy("_k").agg(F.min(F.struct("turn", "content")).alias("r")).select("_k", F.col("r.turn").alias("result_turn"), F.col("r.content").alias("result"))
+    known = named.select(F.col("_k").alias("call_id"), F.transform("needs", _key).alias("needs"))
+    joined = named.join(levels(known).withColumnRenamed("call_id", "_k"), "_k", "left").join(answers, "_k", "left").withColumn("_double", F.lit(False))
+    none = {"level": F.lit(0), "result_turn": F.lit(None).cast("long"), "result": F.lit(None).cast("string")}
+    rows = joined.unionByName(given.where("_k is null").withColumns({**none, "_double": F.lit(False)})).unionByName(again.withColumns({**none, "_double": F.lit(True)}))
+    marks = F.array_compact(F.array(F.when(F.col("level").isNull(), F.lit("cycle")), F.when(F.col("_double"), F.lit("duplicate"))))
+    wrong = F.concat(errors(schemas, F.col("name"), F.col("arguments")), marks)
     rows = rows.withColumn("errors", F.array_join(wrong, ", ")).withColumn("valid", F.col("errors") == "")
-    canonical = F.to_json(F.struct(F.try_parse_json("arguments").alias("arguments"), "call_id", F.array_sort("needs").alias("needs"), "name", "result", "valid"))
+    canonical = F.to_json(F.struct(F.try_parse_json("arguments").alias("arguments"), "call_id", "name", F.array_sort("needs").alias("needs"), "result", "valid"))
     return rows.select("conv_id", "turn", "call_id", "name", "level", "result_turn", "errors", "valid", canonical.alias("json"))
 
 
@@ -150,5 +170,5 @@ def turns_as_tools(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     placed = F.col("conv_id").isNotNull() & F.col("turn").isNotNull()
     needs = F.when(placed, F.array(call_id(F.col("turn") - 2))).otherwise(F.expr("cast(array() as array<string>)"))
     calls = messages.where("role = 'user'").select("conv_id", "turn", F.when(placed, call_id(F.col("turn"))).alias("call_id"), name.alias("name"), arguments.alias("arguments"), needs.alias("needs"))
-    results = messages.where(placed).where("role = 'assistant'").select(call_id(F.col("turn") - 1).alias("call_id"), "turn", F.col("text").alias("content"))
+    results = messages.where(placed).where("role = 'assistant'").select("conv_id", call_id(F.col("turn") - 1).alias("call_id"), "turn", F.col("text").alias("content"))
     return calls, results

@@ -1,6 +1,7 @@
 """Tokenizing, packing, quality rules, secrets, URL filters and tool links."""
 
 import hashlib
+import json
 import random
 import re
 import zlib
@@ -66,6 +67,7 @@ def test_round_trip(spark):
     assert len(rows) == len(ODD) + 1 and all(r.exact for r in rows.values())
     for i, t in enumerate(ODD):
         assert rows[i].decoded_sha256 == hashlib.sha256((t or "").replace("▁", " ").encode()).hexdigest()
+    assert sentence_pieces.round_trip(docs.limit(0), PIECES).count() == 0 and sentence_pieces.round_trip(docs.unionAll(docs), PIECES).count() == 2 * len(rows)
     back = {r.doc_id: r.text for r in sentence_pieces.decode(sentence_pieces.encode(docs, PIECES), PIECES).collect()}
     assert all(back[i] == (t or "").replace("▁", " ") for i, t in enumerate(ODD))
 
@@ -74,8 +76,7 @@ def test_word_tokens_equal_the_library():
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(WORDS)
-    library.encode_special_tokens = True
-    texts = [t or "" for t in ODD] + ["it's they'll a'b 'x' x,y;z 1a2 -é- İx", "q." * 40]
+    texts = [t or "" for t in ODD] + ["a<|endoftext|>b <|startoftext|>", "<|ENDOFTEXT|> é <|endoftext|><|endoftext|>", "it's they'll a'b 'x' x,y;z 1a2 -é- İx", "q." * 40]
     batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
     got = [x.tolist() for _, rows in packing.tokens(iter([batch]), WORDS, "text", 1) for x in rows]
     assert got == [e.ids + [1] for e in library.encode_batch(texts, add_special_tokens=False)]
@@ -101,7 +102,6 @@ def check_packing(rows, docs, window=2048):
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(WORDS)
-    library.encode_special_tokens = True
     ids = {i: library.encode(t or "", add_special_tokens=False).ids + [1] for i, t in docs}
     by_doc, by_sequence = defaultdict(list), defaultdict(list)
     for r in rows:
@@ -127,10 +127,12 @@ def check_packing(rows, docs, window=2048):
 @pytest.mark.parametrize("run_tokens", [1 << 20, 3000])
 def test_packing(spark, run_tokens):
     rng = random.Random(2)
-    docs = [(i, " ".join(rng.choice(["a", "the", "ship", "sails."]) for _ in range(rng.choice([0, 3, 60, 700, 5000])))) for i in range(40)] + [(900, None), (901, ""), (902, "x" * 9000)]
+    docs = [(i, " ".join(rng.choice(["a", "the", "ship", "sails."]) for _ in range(rng.choice([0, 3, 60, 700, 5000])))) for i in range(40)] + [(900, None), (901, ""), (902, "x" * 9000), (903, "a <|endoftext|> b"), (None, "no id")]
     made = spark.createDataFrame([(*d, 5) for d in docs], "doc_id long, text string, length int").repartition(2)
     rows = [r.asDict() for r in packing.pack(made, WORDS, run_tokens=run_tokens).collect()]
     assert check_packing(rows, docs) < 0.05
+    twice = packing.pack(made.unionAll(made), WORDS, run_tokens=run_tokens)
+    assert twice.groupBy("doc_id").agg({"length": "sum", "doc_tokens": "max"}).where("`sum(length)` != 2 * `max(doc_tokens)`").count() == 0
     assert packing.pack(made.limit(0), WORDS).count() == 0
 
 
@@ -152,18 +154,42 @@ def test_quality_counts(spark):
     assert quality_rules.quality(docs.limit(0)).count() == 0
 
 
+def test_cascade_is_measured(spark):
+    docs = spark.createDataFrame([(i, "one two three " * 30 + ("### " * 60 if i % 4 else "")) for i in range(400)], "doc_id long, text string")
+    known = quality_rules.estimates(docs, sample_rows=200)
+    assert 0.5 < known["symbols"][0] < 0.95 and known["capitals"][0] == 0 and all(t > 0 for _, t in known.values())
+    assert quality_rules.cascade(docs.limit(0)) and quality_rules.estimates(docs.limit(0))["symbols"][0] == 0
+
+
 def test_cascade_order(spark):
     docs = spark.createDataFrame([(i, "one two three " * 30 + "### " * 60) for i in range(4)], "doc_id long, text string")
     assert quality_rules.cascade(docs)[0].name == "symbols"
 
 
-def test_base_secrets():
-    text = 'password: token: abcdefghijklmnop; API-KEY=x; api_key = "AKIA1234567890ABCD" 0123456789abcdef0 PassWord=\'short\' secret=' + "z" * 12
-    got = secret_scan.base_spans(text)
-    want = []
-    for kind, pattern, group, least in secret_scan.BASE:
-        want += [(m.start(), m.end(), kind) for m in pattern.finditer(text) if len(m.group(group)) >= least]
-    assert got == sorted(want, key=lambda x: (x[0], secret_scan.KINDS.index(x[2]))) and {k for _, _, k in got} == {"assign", "access", "hex"}
+def base_by_contract(text):
+    """The contract's patterns, written out: kind, start and end in code points."""
+    found = [("assign", m.start(), m.end(), len(m.group(2))) for m in re.finditer(r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?[ ]*[:=][ ]*["']?([A-Za-z0-9+/_.=-]+)""", text)]
+    found = [x[:3] for x in found if x[3] >= 12]
+    found += [("access", m.start(), m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m.group()) >= 18]
+    found += [("hex", m.start(), m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m.group()) >= 16]
+    return sorted(found, key=lambda x: (x[1], ("assign", "access", "hex").index(x[0])))
+
+
+def test_base_secrets(spark):
+    rng = random.Random(8)
+    parts = ["password", "PASSWD", "Secret", "tOkEn", "api_key", "APIKEY", "apiKey", '"', "'", " ", ":", "=", "AKIA", "AKIA1234567890ABCD", "0123456789abcdef", "deadbeef", "z" * 12, "a/b+c.d=e-f_g", "é", "🙂", "\n", "ſecret", "to\u212aen", "A", "F0"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 40))) for _ in range(300)] + [None, "", "AKIA" + "Q" * 4000, "token=" + "k" * 5000, "0" * 3000]
+    docs = spark.createDataFrame([(i, t, f"s{i}", 0) for i, t in enumerate(texts)], "doc_id long, text string, source string, spans int")
+    some = 0
+    for r in secret_scan.digest(secret_scan.secret_scan(docs)).collect():
+        want = base_by_contract(texts[r.doc_id] or "")
+        count = Counter(k for k, _, _ in want)
+        assert (r.n_assign, r.n_access, r.n_hex) == (count["assign"], count["access"], count["hex"])
+        listed = [f"{k}:{a}:{b}" for k, a, b in want]
+        assert r.base_sha256 == hashlib.sha256(",".join(listed).encode()).hexdigest()
+        assert [x for x in r.spans.split(",") if x and not x.startswith("token")] == listed
+        some += len(want)
+    assert some > 300
 
 
 def test_secrets(spark):
@@ -176,9 +202,9 @@ def test_secrets(spark):
     assert all(r.spans == "" for r in out if r.doc_id != 50)
     full = next(r for r in out if r.n_assign)
     text = rows[12][1]
-    spans = sorted([(text.index(own), f"token:{text.index(own)}:{text.index(own) + len(own)}")] + [(a, f"{k}:{a}:{b}") for a, b, k in secret_scan.base_spans(text)])
+    spans = sorted([(text.index(own), f"token:{text.index(own)}:{text.index(own) + len(own)}")] + [(a, f"{k}:{a}:{b}") for k, a, b in base_by_contract(text)])
     assert full.spans == ",".join(s for _, s in spans)
-    assert full.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, b, k in secret_scan.base_spans(text)).encode()).hexdigest()
+    assert full.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in base_by_contract(text)).encode()).hexdigest()
     clean = secret_scan.redact(docs.where("source = 's1' and text like '%secret=%'"), scanned).first()
     assert clean.text == "mine [SECRET] and [SECRET] é [SECRET]" and clean.value == "v"
     assert secret_scan.secret_scan(docs.limit(0)).count() == 0
@@ -194,6 +220,16 @@ def test_urls(spark):
     }
 
 
+def test_urls_without_rows_repeated_and_bare(spark):
+    rows = [(1, None), (1, None), (2, "https://a.com/en/5"), (2, "https://a.com/en/5"), (None, "x"), (3, "a.com/en/5")]
+    pages = spark.createDataFrame(rows, "page_id long, url string").repartition(2)
+    got = sorted((str(r.page_id), r.host, r.verdict) for r in url_filter.url_filter(pages, queries.URL_RULES).collect())
+    assert got == [("1", "", "allow"), ("1", "", "allow"), ("2", "a.com", "block"), ("2", "a.com", "block"), ("3", "", "allow"), ("None", "", "allow")]
+    listed = spark.createDataFrame([("",), (None,), ("b.com/x",)], "canonical string")
+    assert {r.verdict for r in url_filter.url_filter(pages, (), listed).where("host = ''").collect()} == {"block"}
+    assert url_filter.url_filter(pages.limit(0), queries.URL_RULES).count() == 0
+
+
 def test_bloom_has_no_false_negatives(spark):
     rows = spark.range(3000).selectExpr("concat('u', id) as k")
     listed = rows.where("hash(k) % 3 = 0")
@@ -211,12 +247,24 @@ def test_tool_links(spark):
     messages = spark.createDataFrame([(1, i, "assistant", t, 0) for i, t in enumerate(texts)], "conv_id long, turn long, role string, text string, level int")
     got = {r.call_id: r for r in tool_links.link(tool_links.calls_in(messages), tool_links.results_in(messages), queries.TOOLS).collect()}
     assert {k: r.level for k, r in got.items()} == {"a": 0, "b": 1, "e": 2, "c": None, "d": None}
-    assert got["a"].json == '{"arguments":{"n_words":2,"query":"abc"},"call_id":"a","needs":[],"name":"search","result":"r","valid":true}'
+    assert got["a"].json == '{"arguments":{"n_words":2,"query":"abc"},"call_id":"a","name":"search","needs":[],"result":"r","valid":true}'
     assert got["b"].errors == "query: below 3, n_words: missing, extra: x"
     assert got["c"].errors == "not an object, query: missing, n_words: missing, cycle" and got["d"].errors.startswith("query: not string")
     assert tool_links.link(tool_links.calls_in(messages.limit(0)), tool_links.results_in(messages.limit(0)), queries.TOOLS).count() == 0
 
 
+def test_identifiers_hold_within_a_conversation(spark):
+    calls = [(1, 0, "a", "search", '{"query": "abc", "n_words": 1}', []), (2, 0, "a", "search", '{"query": "xyz", "n_words": 1}', ["b"]), (2, 4, "b", "search", '{"query": "ab"}', None), (None, 3, "a", "search", "{}", ["a"])]
+    calls += [(1, 5, "a", "search", "[]", ["a"]), (1, 5, "a", "search", "[]", ["a"]), (3, 0, None, None, None, None)]
+    results = [(1, "a", 1, "one"), (2, "a", 9, "two"), (2, "a", 7, "seven"), (None, "a", 5, "none"), (4, "a", 2, "nobody's"), (1, None, 2, "lost")]
+    made = spark.createDataFrame(calls, "conv_id long, turn long, call_id string, name string, arguments string, needs array<string>").repartition(3)
+    got = tool_links.link(made, spark.createDataFrame(results, "conv_id long, call_id string, turn long, content string"), queries.TOOLS).collect()
+    rows = sorted(((r.conv_id, r.turn, r.call_id, r.level, r.result_turn, r.valid) for r in got), key=str)
+    assert rows == sorted([(1, 0, "a", 0, 1, True), (2, 0, "a", 1, 7, True), (2, 4, "b", 0, None, False), (None, 3, "a", None, 5, False), (1, 5, "a", 0, None, False), (1, 5, "a", 0, None, False), (3, 0, None, 0, None, False)], key=str)
+    assert [r.errors for r in got if r.conv_id == 1 and r.turn == 5] == ["not an object, query: missing, n_words: missing, duplicate"] * 2
+    assert all(list(json.loads(r.json)) == sorted(json.loads(r.json)) for r in got)
+
+
 def test_levels_are_longest_paths(spark):
     rng = random.Random(5)
     needs = {i: [i - 1] if 0 < i < 150 else [] for i in range(150)} | {i: sorted({rng.randrange(i) for _ in range(rng.randint(0, 3))}) for i in range(150, 260)}
