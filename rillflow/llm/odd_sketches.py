@@ -7,8 +7,9 @@ similarity closely from a population count.
 
 Classes that share a band meet there at a pivot, the least class of the band; pairs whose sketches allow the
 similarity are confirmed on the full sets and linked. Bands whose members are then still in several components go on:
-members outside the band's largest component meet all members of other components, by a longer odd sketch, then by set.
-No band's pairs are ever listed as such, and a pivot's confirmations are spread over salted groups.
+members outside the band's largest component meet all members of other components, by both odd sketches, then by set.
+They meet block against block: a band of any size is spread over tasks in groups of two blocks of some ``BLOCK`` sketches,
+which return only the pairs that both sketches allow. A pivot's confirmations are spread over salted groups.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ SKETCH_LEAST = 0.57
 LONG_SAMPLES, LONG_BITS, LONG_LEAST = 1024, 4096, 0.68
 #: Members that one salted group of a pivot confirms.
 GROUP = 64
+#: Members of a band in one block: two of them meet in a task.
+BLOCK = 256
 _FACTORS = seeded(BANDS * ROWS, 505) | U(1)
 _LONG_FACTORS = seeded(LONG_SAMPLES, 90_210) | U(1)
 
@@ -161,6 +164,63 @@ def _allowed(a: str, b: str, bits: int = BITS, most: int = most_bits()) -> str:
     return " + ".join(f"bit_count({a}[{i}] ^ {b}[{i}])" for i in range(bits // 64)) + f" <= {most}"
 
 
+def _words(column: pa.Array) -> np.ndarray:
+    """Rows x words of a column of sketches."""
+    return np.asarray(column.flatten()).view(np.uint64).reshape(len(column), -1)
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (band, bi, bj, side, c, component, odd, long) sorted by the first three, two blocks of a band each, to the
+    pairs of several components that both sketches allow."""
+    held: list[pa.RecordBatch] = []
+
+    def pairs(batch: pa.RecordBatch, edges: list[int]) -> pa.RecordBatch:
+        bi, bj, side, c, component = (np.asarray(batch.column(i)) for i in range(1, 6))
+        odd, long = _words(batch.column(6)), _words(batch.column(7))
+        left, right = [], []
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            if bi[a] == bj[a]:
+                u, v = np.triu_indices(b - a, 1)
+                u, v = u + a, v + a
+            else:
+                u, v = (x.ravel() for x in np.meshgrid(a + np.flatnonzero(side[a:b] == 0), a + np.flatnonzero(side[a:b] == 1), indexing="ij"))
+            apart = component[u] != component[v]
+            left.append(u[apart]), right.append(v[apart])
+        u, v = np.concatenate(left), np.concatenate(right)
+        fits = np.bitwise_count(odd[u] ^ odd[v]).sum(1, dtype=np.int64) <= most_bits()
+        u, v = u[fits], v[fits]
+        fits = np.bitwise_count(long[u] ^ long[v]).sum(1, dtype=np.int64) <= most_bits(LONG_LEAST, LONG_SAMPLES, LONG_BITS)
+        return pa.RecordBatch.from_arrays([pa.array(c[u[fits]], pa.int64()), pa.array(c[v[fits]], pa.int64())], names=["c", "pivot"])
+
+    def groups(batch: pa.RecordBatch) -> np.ndarray:
+        keys = [np.asarray(batch.column(i)) for i in range(3)]
+        return np.flatnonzero(np.append(True, np.any([k[1:] != k[:-1] for k in keys], axis=0)))
+
+    def whole(batch: pa.RecordBatch, heads: np.ndarray, end: int) -> Iterator[pa.RecordBatch]:
+        edges = [*heads.tolist(), end]
+        # Some 2**18 pairs at once, or one group of more.
+        i = 0
+        while i < len(edges) - 1:
+            j, size = i + 1, (edges[i + 1] - edges[i]) ** 2
+            while j < len(edges) - 1 and size < 1 << 18:
+                size, j = size + (edges[j + 1] - edges[j]) ** 2, j + 1
+            yield pairs(batch, edges[i : j + 1])
+            i = j
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        both = pa.concat_batches(held) if len(held) > 1 else batch
+        heads = groups(both)
+        if len(heads) > 1:
+            yield from whole(both, heads[:-1], int(heads[-1]))
+            both = both.slice(int(heads[-1]))
+        held = [both]
+    if held:
+        yield from whole(held[0], np.array([0]), held[0].num_rows)
+
+
 def near_duplicates(docs: DataFrame, percent: int = 75, text: str = "text", hashed: bool = False) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of ``docs(doc_id, text)``.
 
@@ -197,13 +257,19 @@ def near_duplicates(docs: DataFrame, percent: int = 75, text: str = "text", hash
     top = sizes.groupBy("band").agg(F.max(F.struct("k", "component")).alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("band", F.col("top.component").alias("top"))
     open_ = cut(member.join(top, "band").join(sketch, "c"), "open")
     longer = texts(open_.select("c", F.col("c").alias("pivot"))).mapInArrow(_sign_long, "c bigint, long array<bigint>").groupBy("c").agg(F.first("long").alias("long"))
-    shared_bands = open_.groupBy("c").agg(F.collect_set("band").alias("bands"))  # BANDS at most
-    open_ = cut(open_.join(longer, "c").join(shared_bands, "c"), "open")
-    other = open_.select("band", F.col("c").alias("pivot"), F.col("component").alias("pcomponent"), F.col("odd").alias("podd"), F.col("long").alias("plong"), F.col("bands").alias("pbands"))
-    again = open_.where("component != top").join(other, "band").where("component != pcomponent and (pcomponent = top or c > pivot)").where(_allowed("odd", "podd"))
-    again = again.where(_allowed("long", "plong", LONG_BITS, most_bits(LONG_LEAST, LONG_SAMPLES, LONG_BITS)))
-    # A pair that meets in several open bands counts in the least of them.
-    again = again.where("band = array_min(array_intersect(bands, pbands))")
+    open_ = cut(open_.join(longer, "c").withColumn("rest", F.col("component") != F.col("top")), "open")
+    # Blocks of each band: members outside its largest component meet each other, and those inside it.
+    ranked = F.pmod(F.xxhash64("c", "band"), F.col("blocks")).cast("int")
+    many = open_.groupBy("band").agg(F.ceil(F.count_if("rest") / BLOCK).cast("int").alias("blocks"), F.ceil(F.count_if(~F.col("rest")) / BLOCK).cast("int").alias("inner"))
+    member = open_.join(many, "band")
+    rest = member.where("rest").withColumn("block", ranked)
+    inner = member.where("not rest").withColumn("block", F.pmod(F.xxhash64("c", "band"), F.col("inner")).cast("int"))
+    sides = "band", "bi", "bj", "side", "c", "component", "odd", "long"
+    one = rest.withColumn("o", F.explode(F.expr("sequence(0, blocks - 1)"))).select("band", F.least("block", "o").alias("bi"), F.greatest("block", "o").alias("bj"), F.when(F.col("block") <= F.col("o"), 0).otherwise(1).alias("side"), *sides[4:])
+    two = rest.withColumn("o", F.explode(F.expr("if(inner > 0, sequence(0, inner - 1), array())"))).select("band", F.col("block").alias("bi"), (-1 - F.col("o")).alias("bj"), F.lit(0).alias("side"), *sides[4:])
+    three = inner.withColumn("o", F.explode(F.expr("sequence(0, blocks - 1)"))).select("band", F.col("o").alias("bi"), (-1 - F.col("block")).alias("bj"), F.lit(1).alias("side"), *sides[4:])
+    dealt = one.unionAll(two).unionAll(three).repartition("band", "bi", "bj").sortWithinPartitions("band", "bi", "bj")
+    again = dealt.mapInArrow(_meet, "c bigint, pivot bigint")
     again = again.select(F.greatest("c", "pivot").alias("c"), F.least("c", "pivot").alias("pivot")).distinct()
     again = cut(again.join(first.select(F.greatest("c", "pivot").alias("c"), F.least("c", "pivot").alias("pivot")), ["c", "pivot"], "left_anti"), "pairs")
     if not again.isEmpty():

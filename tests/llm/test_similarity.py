@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from rillflow.llm import odd_sketches, tree_forest
@@ -56,6 +57,40 @@ def test_near_duplicates(spark):
     assert sorted((tuple(r) for r in odd_sketches.near_duplicates(made).collect()), key=str) == brute(rows)
 
 
+@pytest.mark.parametrize("block", [256, 3])
+def test_open_bands_meet_block_against_block(spark, monkeypatch, block):
+    """A common passage puts unlike documents in one band; some of them are alike among themselves."""
+    monkeypatch.setattr(odd_sketches, "BLOCK", block)
+    rng = random.Random(12)
+    say = lambda n: ["".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(n)]
+    passage, docs = say(60), []
+    for _ in range(14):
+        own = passage + say(50)
+        docs += [own, own[:-3] + say(3), own[:-8] + say(8)]
+    rows = [(i, " ".join(w)) for i, w in enumerate(docs)]
+    got = odd_sketches.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted(map(tuple, got), key=str) == brute(rows) and len({r.component_id for r in got}) < 40
+
+
+def test_near_duplicates_of_odd_tables(spark):
+    long = " ".join(f"w{i % 4001}" for i in range(30_000))
+    rows = [(1, long), (2, long + " more"), (3, None), (3, None), (4, "a b"), (5, "a b"), (6, "a b c")]
+    made = spark.createDataFrame([(*r, 0, "x") for r in rows], "doc_id long, text string, kept int, component_id string")
+    assert sorted(map(tuple, odd_sketches.near_duplicates(made).collect()), key=str) == brute(rows)
+    assert odd_sketches.near_duplicates(made.limit(0)).count() == 0
+
+
+def test_short_sketch_holds_pairs_at_the_bound():
+    rng = np.random.default_rng(5)
+    lost = 0
+    for _ in range(400):
+        both = rng.integers(0, 1 << 63, 1000, dtype=np.uint64)
+        a, b = np.sort(both[:875]), np.sort(both[125:])  # 750 of 1000
+        _, _, odd = odd_sketches.signatures(np.concatenate([a, b]), np.array([0, 875, 1750]))
+        lost += int(np.bitwise_count(odd[0] ^ odd[1]).sum()) > odd_sketches.most_bits()
+    assert lost <= 1
+
+
 def test_sketch_estimates():
     rng = np.random.default_rng(2)
     both = rng.integers(0, 1 << 63, 900, dtype=np.uint64)
@@ -104,6 +139,68 @@ def test_forest_recall_and_rules(spark):
     assert tree_forest.near_vectors(df.limit(0)).count() == 0
 
 
+def recall(y, got, query):
+    """Share of each query vector's links that it has, averaged over the query vectors that have any."""
+    shares = []
+    for i in query:
+        links = int((y @ y[i] >= 0.9).sum()) - 1
+        assert got[i] <= links
+        if links:
+            shares.append(got[i] / links)
+    return sum(shares) / len(shares), len(shares)
+
+
+def planted(n, seed):
+    """Vectors of 64 dimensions, half of them with a partner at cosine 0.9 to 0.97."""
+    r = np.random.default_rng(seed)
+    x = r.normal(size=(n, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    half = n // 2
+    cosine, side = r.uniform(0.901, 0.97, half)[:, None], r.normal(size=(half, 64))
+    side -= (side * x[:half]).sum(1)[:, None] * x[:half]
+    side /= np.linalg.norm(side, axis=1)[:, None]
+    x[half : 2 * half] = cosine * x[:half] + np.sqrt(1 - cosine**2) * side
+    return x.astype(np.float32)
+
+
+def test_recall_per_vector(spark):
+    """Ids divisible by 20 against all rows, with the parameters of production."""
+    n = 12_000
+    x = planted(n, 5)
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * 64, pa.int32()), pa.array(x.ravel()))
+    df = spark.createDataFrame(pa.table({"vec_id": pa.array(np.arange(n)), "embedding": lists})).repartition(4)
+    got = {r.vec_id: r.n_links for r in tree_forest.near_vectors(df).select("vec_id", "n_links").collect()}
+    y = x.astype(np.float64)
+    y /= np.linalg.norm(y, axis=1)[:, None]
+    share, many = recall(y, got, range(0, n, 20))
+    assert many > 500 and share >= 0.9
+
+
+def test_recall_beyond_the_fitted_leaves():
+    """Over 2**12 leaves a tree, with levels below the fitted ones: partners that share a leaf."""
+    x = planted(12_000, 13).astype(np.float64)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    forest = tree_forest.fit(x, 12_000, 0.9, None, 2, 0.1, 0.97, 11)
+    assert forest.deeper == 2
+    row, leaf = forest.leaves(x)
+    order = np.lexsort((leaf, row))
+    each = np.split(leaf[order], np.cumsum(np.bincount(row, minlength=12_000))[:-1])
+    met = [len(np.intersect1d(each[i], each[i + 6000])) > 0 for i in range(0, 6000, 20)]
+    assert sum(met) >= 0.9 * len(met)
+
+
+def test_copies_grow_slowly():
+    """Leaves a vector: with 600 times the rows some five times as many."""
+    r = np.random.default_rng(3)
+    x = r.normal(size=(20_000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    copies = []
+    for rows in (50_000, 30_000_000):
+        forest = tree_forest.fit(x, rows, 0.9, None, 512, 0.1, 0.97, 1)
+        copies.append(len(forest.leaves(x[:1000])[0]) / 1000)
+    assert copies[0] < 14 and copies[1] < 7 * copies[0]
+
+
 @pytest.mark.parametrize("rows", [3000])
 def test_large_leaves_meet_in_blocks(spark, rows, monkeypatch):
     monkeypatch.setattr(tree_forest, "BLOCK", 500)
