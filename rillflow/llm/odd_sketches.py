@@ -170,13 +170,14 @@ def _words(column: pa.Array) -> np.ndarray:
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (band, bi, bj, side, c, component, odd, long) sorted by the first three, two blocks of a band each, to the
-    pairs of several components that both sketches allow."""
+    """Rows (band, bi, bj, side, c, component, odd, long, bands) sorted by the first three, two blocks of a band each, to the
+    pairs of several components that both sketches allow, each in the first band that it shares."""
     held: list[pa.RecordBatch] = []
 
     def pairs(batch: pa.RecordBatch, edges: list[int]) -> pa.RecordBatch:
         bi, bj, side, c, component = (np.asarray(batch.column(i)) for i in range(1, 6))
-        odd, long = _words(batch.column(6)), _words(batch.column(7))
+        odd, long, bands = (_words(batch.column(i)) for i in (6, 7, 8))
+        band = np.asarray(batch.column(0)).view(np.uint64)
         left, right = [], []
         for a, b in zip(edges[:-1], edges[1:], strict=True):
             if bi[a] == bj[a]:
@@ -190,6 +191,8 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fits = np.bitwise_count(odd[u] ^ odd[v]).sum(1, dtype=np.int64) <= most_bits()
         u, v = u[fits], v[fits]
         fits = np.bitwise_count(long[u] ^ long[v]).sum(1, dtype=np.int64) <= most_bits(LONG_LEAST, LONG_SAMPLES, LONG_BITS)
+        u, v = u[fits], v[fits]
+        fits = bands[u, (bands[u] == bands[v]).argmax(1)] == band[u]
         return pa.RecordBatch.from_arrays([pa.array(c[u[fits]], pa.int64()), pa.array(c[v[fits]], pa.int64())], names=["c", "pivot"])
 
     def groups(batch: pa.RecordBatch) -> np.ndarray:
@@ -239,7 +242,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, text: str = "text", hash
     bands = classes.select("c", F.explode("bands").alias("band"))
     met = bands.groupBy("band").agg(F.min("c").alias("pivot"), F.max("c").alias("last")).where("pivot != last").drop("last")
     shared = cut(bands.join(met, "band"), "bands")
-    sketch = classes.select("c", "odd")
+    sketch, both = classes.select("c", "odd"), classes.select("c", "odd", "bands")
     first = shared.where("c != pivot").select("c", "pivot").distinct()
     first = first.join(sketch, "c").join(sketch.select(F.col("c").alias("pivot"), F.col("odd").alias("podd")), "pivot")
     first = cut(first.where(_allowed("odd", "podd")).select("c", "pivot"), "pairs")
@@ -255,7 +258,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, text: str = "text", hash
     member = shared.select("band", "c").join(parts.withColumnRenamed("id", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))
     sizes = member.groupBy("band", "component").agg(F.count(F.lit(1)).alias("k"))
     top = sizes.groupBy("band").agg(F.max(F.struct("k", "component")).alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("band", F.col("top.component").alias("top"))
-    open_ = cut(member.join(top, "band").join(sketch, "c"), "open")
+    open_ = cut(member.join(top, "band").join(both, "c"), "open")
     longer = texts(open_.select("c", F.col("c").alias("pivot"))).mapInArrow(_sign_long, "c bigint, long array<bigint>").groupBy("c").agg(F.first("long").alias("long"))
     open_ = cut(open_.join(longer, "c").withColumn("rest", F.col("component") != F.col("top")), "open")
     # Blocks of each band: members outside its largest component meet each other, and those inside it.
@@ -264,7 +267,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, text: str = "text", hash
     member = open_.join(many, "band")
     rest = member.where("rest").withColumn("block", ranked)
     inner = member.where("not rest").withColumn("block", F.pmod(F.xxhash64("c", "band"), F.col("inner")).cast("int"))
-    sides = "band", "bi", "bj", "side", "c", "component", "odd", "long"
+    sides = "band", "bi", "bj", "side", "c", "component", "odd", "long", "bands"
     one = rest.withColumn("o", F.explode(F.expr("sequence(0, blocks - 1)"))).select("band", F.least("block", "o").alias("bi"), F.greatest("block", "o").alias("bj"), F.when(F.col("block") <= F.col("o"), 0).otherwise(1).alias("side"), *sides[4:])
     two = rest.withColumn("o", F.explode(F.expr("if(inner > 0, sequence(0, inner - 1), array())"))).select("band", F.col("block").alias("bi"), (-1 - F.col("o")).alias("bj"), F.lit(0).alias("side"), *sides[4:])
     three = inner.withColumn("o", F.explode(F.expr("sequence(0, blocks - 1)"))).select("band", F.col("o").alias("bi"), (-1 - F.col("block")).alias("bj"), F.lit(1).alias("side"), *sides[4:])
