@@ -16,7 +16,6 @@ HASH_ANSWER = r"####\s*(-?[0-9.,$]+)"
 LOOSE_NUMBER = r"(-?[0-9.,]{1,})"
 ARTICLES = r"\b(a|an|the)\b"
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-SCALES = (("billion", 1e9), ("million", 1e6), ("thousand", 1e3))
 
 
 def last(items: Column) -> Column:
@@ -131,37 +130,29 @@ def format_matrix(answered: Column, matched: Column, formatted: Column, retrieve
     )
 
 
-def unit_of(text: Column) -> Column:
-    t = F.lower(text)
-    out = F.when(F.contains(t, F.lit("%")) | F.contains(t, F.lit("percent")), "%")
-    for name, _ in SCALES:
-        out = out.when(F.contains(t, F.lit(name)), name)
-    return out.when(F.contains(t, F.lit("$")), "$").otherwise("")
-
-
 def number_and_unit(text: Column) -> Column:
-    n = F.regexp_replace(F.regexp_extract(text, r"(-?\d[\d,]*\.?\d*)", 1), ",", "")
-    return F.struct(F.when(n != "", n).try_cast("double").alias("number"), unit_of(text).alias("unit"))
+    """The first number of a text (``.5`` too; null if there is none), and its unit: the first of %, million, billion and $ that occurs."""
+    t = F.lower(F.trim(text))
+    n = F.regexp_extract(t, r"([-+]?[0-9]*\.?[0-9]+)", 1)
+    unit = F.when(F.contains(t, F.lit("%")), "%").when(F.contains(t, F.lit("million")), "million").when(F.contains(t, F.lit("billion")), "billion").when(F.contains(t, F.lit("$")), "$").otherwise("")
+    return F.struct(F.when(n != "", n).try_cast("double").alias("number"), unit.alias("unit"))
 
 
 def finance_match(answer: Column, truth: Column) -> Column:
-    """Within 0.01 first; then by unit: percent against fraction within 0.15 points, scales reconciled; else within 5 %."""
+    """Texts without a number must be equal, but for case and outer space. Numbers match within 0.01; else a percentage matches only a
+    percentage, within 0.15 after rounding to one decimal, and other numbers within 5 % of the truth (of 1 at least)."""
 
     def judge(pair: Column) -> Column:
         a, t = pair.getField("a"), pair.getField("t")
         x, y = a.getField("number"), t.getField("number")
-        close = lambda p, q: F.abs(p - q) <= 0.05 * F.abs(q)
-        percent = (a.getField("unit") == "%") != (t.getField("unit") == "%")
-        scaled = F.lit(False)
-        for _, s in SCALES:
-            scaled = scaled | close(x * s, y) | close(x, y * s)
+        rate, true_rate = a.getField("unit") == "%", t.getField("unit") == "%"
         return (
-            F.when(x.isNull() | y.isNull(), False).when(F.abs(x - y) < 0.01, True)
-            .when(percent, (F.abs(x - y * 100) <= 0.15) | (F.abs(x * 100 - y) <= 0.15) | close(x, y))
-            .when(a.getField("unit") != t.getField("unit"), scaled | close(x, y)).otherwise(close(x, y))
+            F.when(x.isNull() | y.isNull(), pair.getField("same")).when(F.abs(x - y) < 0.01, True).when(rate != true_rate, False)
+            .when(rate, F.abs(F.bround(x, 1) - F.bround(y, 1)) < 0.15).otherwise(F.abs(x - y) / F.greatest(F.abs(y), F.lit(1.0)) < 0.05)
         )
 
-    return let(F.struct(number_and_unit(answer).alias("a"), number_and_unit(truth).alias("t")), judge)
+    same = F.lower(F.trim(answer)) == F.lower(F.trim(truth))
+    return let(F.struct(number_and_unit(answer).alias("a"), number_and_unit(truth).alias("t"), same.alias("same")), judge)
 
 
 def numeric_equal(a: Column, b: Column, relative: float = 1e-4) -> Column:
@@ -300,3 +291,67 @@ def quantity_score(text: Column, truth: Column) -> Column:
     pred = quantity_answer(F.right(text, F.lit(300)))
     acc = pred == quantity_form(truth)
     return F.struct(F.when(acc, 1.0).otherwise(-1.0).alias("score"), acc.alias("acc"), pred.alias("pred"))
+
+
+#: Units that stay with their number, and spans of time by another name.
+UNITS = ("days", "years", "pages", "km/h", "mph")
+PERIODS = {"1 week": "7 days", "2 weeks": "14 days", "1 year": "12 months"}
+
+
+def table_answer(text: Column) -> Column:
+    """A table question's answer in one spelling: numbers without commas (with a known unit too), whole floats as integers, known spans of
+    time, lists sorted and joined by ``|``; other texts lower-cased, without accents, punctuation and surplus white space. Null is empty."""
+    from rillflow.functions.mathtext import strip_accents
+
+    def of(t: Column) -> Column:
+        with_unit = "^([\\d,]+)\\s*(" + "|".join(UNITS) + ")$"
+        number = F.replace(t, F.lit(",")).try_cast("double")
+        items = F.filter(F.transform(F.split(t, r"[|,]\s*"), lambda x: F.trim(x)), lambda x: x != "")
+        words = F.trim(F.regexp_replace(F.regexp_replace(strip_accents(t), r"(?U)[^\w\s]", ""), r"(?U)\s+", " "))
+        period = F.coalesce(*[F.when(t == k, v) for k, v in PERIODS.items()])
+        return (
+            F.when(t == "", "").when(t.rlike(with_unit), F.concat_ws(" ", F.replace(F.regexp_extract(t, with_unit, 1), F.lit(",")), F.regexp_extract(t, with_unit, 2)))
+            .when(t.rlike(r"^[\d,]+$"), F.replace(t, F.lit(","))).when(period.isNotNull(), period)
+            .when(number.isNotNull() & (F.abs(number) < 1e15), F.when(number == F.floor(number), number.cast("long").cast("string")).otherwise(number.cast("string")))
+            .when(F.contains(t, F.lit("|")) | F.contains(t, F.lit(",")), F.array_join(F.array_sort(items), "|")).otherwise(words)
+        )
+
+    return of(F.trim(F.lower(F.coalesce(text, F.lit("")))))
+
+
+def table_match(answer: Column, truth: Column) -> Column:
+    """Equal in one spelling; or the truth is the answer with a unit; or both are lists of the same items."""
+    a, t = table_answer(answer), table_answer(truth)
+    unit = r"^(\d+)\s+([a-z/]+)$"
+    bare = a.rlike(r"^\d+$") & t.rlike(unit) & (a == F.regexp_extract(t, unit, 1))
+    x, y = (F.array_sort(F.array_distinct(F.split(F.lower(c), r"[|,]\s*"))) for c in (answer, truth))
+    return F.coalesce((a == t) | bare | ((F.size(x) > 1) & (x == y)), F.lit(False)) & answer.isNotNull() & truth.isNotNull()
+
+
+def strict_box(text: Column, truth: Column, tail: int = 100) -> Column:
+    """1 if the last boxed answer within the last ``tail`` characters is exactly the truth, else -1."""
+    from rillflow.functions.mathtext import boxed_answer
+
+    return F.when(F.coalesce(boxed_answer(F.right(text, F.lit(tail))) == truth, F.lit(False)), 1).otherwise(-1)
+
+
+def boxed_and_format(text: Column, truth: Column, use_boxed: bool = True, format_score: float = 0.1) -> Column:
+    """(1 - ``format_score``) for a right answer and ``format_score`` for thoughts in tags followed by a boxed answer."""
+    from rillflow.functions.mathtext import boxed_answer, math_equal
+
+    right = F.coalesce(math_equal(boxed_answer(text) if use_boxed else text, truth), F.lit(False))
+    shaped = text.rlike(r"(?s)^<think>.*</think>.*\\boxed\{.*\}.*$")
+    return (1 - format_score) * right.cast("double") + format_score * shaped.cast("double")
+
+
+#: What a judge of a report must score.
+SOUNDNESS = ("faithfulness", "instruction_answering", "analytical_depth", "process_coherence", "visualization")
+
+
+def soundness(reply: Column) -> Column:
+    """The five scores, 0 to 4, of the last fenced JSON of a judge's reply (of the whole reply without a fence); an error where one lacks or is out of range."""
+    body = F.coalesce(last(found(reply, r"(?is)```json(.*?)```")), last(found(reply, r"(?s)```(.*?)```")), reply)
+    scores = F.from_json(F.trim(body), "map<string,double>")
+    bad = F.exists(F.array(*[F.lit(k) for k in SOUNDNESS]), lambda k: F.coalesce(~F.try_element_at(scores, k).between(0.0, 4.0), F.lit(True)))
+    kept = F.struct(*[F.try_element_at(scores, F.lit(k)).alias(k) for k in SOUNDNESS])
+    return F.when(F.coalesce(bad, F.lit(True)), F.raise_error(F.concat(F.lit("no soundness scores in: "), F.substring(reply, 1, 80))).cast(", ".join(f"{k}: double" for k in SOUNDNESS).join(["struct<", ">"]))).otherwise(kept)

@@ -205,3 +205,19 @@ def unfold(array: Arr, parts: int) -> Column:
     """``parts`` equal slices of an array, as an array."""
     size = (F.size(_c(array)) / parts).cast("int")
     return F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda i: F.slice(_c(array), i * size + 1, size))
+
+
+def truncate(ids: Arr, response: Arr, most: int, most_response: int) -> Column:
+    """(ids, response): both cut at their limits, from the end."""
+    return F.struct(F.slice(_c(ids), 1, most).alias("ids"), F.slice(_c(response), 1, most_response).alias("response"))
+
+
+def supervised_mask(mask: Arr, prompt: Column, response: Column, prefix: Arr, answer: Arr) -> Column:
+    """A loss mask over a padded sequence: the prompt but for its last token, the response's last token and the response's
+    longest common prefix with ``prefix`` (null or empty: none) count 0. ``prompt`` and ``response`` are lengths."""
+    n = F.size(_c(mask))
+    begin = F.greatest(prompt - 1, F.lit(0))
+    match = F.coalesce(common_prefix(prefix, answer), F.lit(0))
+    end = F.least(prompt + response, n) - 1
+    hidden = lambda i: ((prompt > 1) & (i < F.least(prompt, n) - 1)) | (i == end) | ((i >= begin) & (i < begin + match))
+    return F.transform(_c(mask), lambda m, i: F.when(hidden(i), 0).otherwise(m))

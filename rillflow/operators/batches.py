@@ -4,21 +4,27 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from rillflow.operators.tables import cut
+
 
 def number(rows: DataFrame, *order: Column | str) -> DataFrame:
-    """``row_id`` from a total order, without one task for all rows: ranges are sorted apart and offset by the counts before them."""
+    """``row_id`` from a total order, without one task for all rows: ranges are sorted apart and offset by the counts before them.
+
+    The ranges are written once: counts and rows come from the same table, however a later job would have drawn them."""
     spark = rows.sparkSession
     placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id())
+    placed = cut(placed, "ranges")
     counts = placed.groupBy("_p").agg(F.count(F.lit(1)).alias("n"), F.min("_i").alias("_first")).orderBy("_p").collect()  # one row a partition
     at, starts = 0, []
     for c in counts:
         starts.append((c["_p"], at - c["_first"]))
         at += c["n"]
     offsets = spark.createDataFrame(starts, "_p int, _o long")
-    return placed.join(F.broadcast(offsets), "_p").withColumn("row_id", F.col("_i") + F.col("_o")).drop("_p", "_i", "_o")
+    known = F.coalesce("_o", F.raise_error(F.lit("a range without a count")).cast("long"))
+    return placed.join(F.broadcast(offsets), "_p", "left").withColumn("row_id", F.col("_i") + known).drop("_p", "_i", "_o")
 
 
 def running(rows: DataFrame, order: str, value: Column, total: Callable[[Column], Column], until: int = 0) -> DataFrame:
@@ -146,8 +152,10 @@ def pad_with(rows: DataFrame, size: int, count: int, candidate: str = "first") -
 def mini_batches(rows: DataFrame, size: int, epochs: int, seed: int) -> DataFrame:
     """(epoch, batch) of each row: every epoch its own order, by hash."""
     each = rows.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1)))).withColumn("_h", F.md5(F.concat_ws(":", F.lit(str(seed)), "epoch", "row_id")))
-    place = F.row_number().over(Window.partitionBy("epoch").orderBy("_h"))
-    return each.withColumn("batch", F.floor((place - 1) / size).cast("int")).drop("_h")
+    placed = number(each.withColumnRenamed("row_id", "_row"), "epoch", "_h", "_row")
+    first = placed.groupBy("epoch").agg(F.min("row_id").alias("_first"))  # one row an epoch
+    out = placed.join(F.broadcast(first), "epoch").withColumn("batch", F.floor((F.col("row_id") - F.col("_first")) / size).cast("int"))
+    return out.drop("_h", "_first", "row_id").withColumnRenamed("_row", "row_id")
 
 
 def union_columns(a: DataFrame, b: DataFrame, nan_equal: bool = True) -> DataFrame:
@@ -199,3 +207,37 @@ def equal_length_trim(rows: DataFrame, workers: int, count: int, seed: int) -> D
     """A permutation by hash without the last ``count % workers`` rows."""
     shuffled = number(rows.withColumnRenamed("row_id", "_old").withColumn("_h", F.md5(F.concat_ws(":", F.lit(str(seed)), "_old"))), "_h").drop("_h")
     return shuffled.where(F.col("row_id") < count - count % workers)
+
+
+def from_columns(spark: SparkSession, columns: dict[str, Sequence[object]], schema: str) -> DataFrame:
+    """A batch from lists of equal length; another length is an error."""
+    sizes = {k: len(v) for k, v in columns.items()}
+    if len(set(sizes.values())) > 1:
+        raise ValueError(f"columns of different lengths: {sizes}")
+    names = [c.split()[0] for c in schema.split(", ")]
+    rows = [(i, *row) for i, row in enumerate(zip(*(columns[n] for n in names), strict=True))]
+    return spark.createDataFrame(rows, f"row_id long, {schema}")
+
+
+def union_maps(a: Column, b: Column) -> Column:
+    """Both maps as one; a key with two values is an error."""
+    clash = F.filter(F.map_keys(a), lambda k: F.coalesce(F.map_contains_key(b, k) & ~F.try_element_at(a, k).eqNullSafe(F.try_element_at(b, k)), F.lit(False)))
+    more = F.map_filter(b, lambda k, _: ~F.map_contains_key(a, k))
+    return F.when(F.size(clash) > 0, F.raise_error(F.concat(F.lit("two values for "), F.array_join(clash.cast("array<string>"), ", "))).cast("map<string,string>")).otherwise(F.map_concat(a, more))
+
+
+def appended(rows: DataFrame, more: DataFrame, keep: Column) -> DataFrame:
+    """``rows`` and those of ``more`` that ``keep`` holds for, numbered on."""
+    base = rows.agg((F.coalesce(F.max("row_id"), F.lit(-1)) + 1).alias("_n"))
+    new = number(more.where(keep).drop("row_id"), *[c for c in more.columns if c != "row_id"])
+    return rows.unionByName(new.join(F.broadcast(base)).withColumn("row_id", F.col("row_id") + F.col("_n")).drop("_n"))
+
+
+def sampler_order(rows: DataFrame, kind: str, seed: int = 0, difficulty: str | None = None) -> DataFrame:
+    """``place``: the order in which a sampler visits rows: ``sequential``, ``random`` (by a seeded hash) or ``curriculum`` (least ``difficulty`` first)."""
+    keys = {"sequential": [F.col("row_id")], "random": [F.md5(F.concat_ws(":", F.lit(str(seed)), "row_id")), F.col("row_id")], "curriculum": [F.col(difficulty or "row_id"), F.col("row_id")]}
+    if kind not in keys:
+        raise ValueError(f"unknown sampler {kind!r}")
+    keyed = rows.select("row_id", *[k.alias(f"_k{i}") for i, k in enumerate(keys[kind])]).withColumnRenamed("row_id", "_row")
+    placed = number(keyed, *[f"_k{i}" for i in range(len(keys[kind]))])
+    return rows.join(placed.select(F.col("_row").alias("row_id"), F.col("row_id").alias("place")), "row_id")

@@ -85,12 +85,12 @@ def _covariance(tokens: DataFrame, logp: str, advantage: str, mask: str) -> Data
 def clip_cov(tokens: DataFrame, low: float, high: float, ratio: float, order: list[Column], logp: str = "logp", advantage: str = "advantage", mask: str = "mask") -> DataFrame:
     """``keep`` 0 for max(1, floor(ratio * tokens)) of the tokens whose covariance lies between ``low`` and ``high``, first by ``order``, else 1.
 
-    How many is known after one aggregation; the pick itself is a distributed top-n by ``order`` (for example a hash)."""
+    How many is known after one aggregation; the pick itself is a distributed rank by ``order`` (for example a hash)."""
     with_cov = _covariance(tokens, logp, advantage, mask)
     inside = (F.col(mask) != 0) & (F.col("cov") > low) & (F.col("cov") < high)
     n = with_cov.agg(F.greatest(F.lit(1), F.floor(F.count_if(F.col(mask) != 0) * ratio)).alias("n")).first()["n"]
     with_cov = with_cov.withColumn("_key", F.struct(*order))
-    last = with_cov.where(inside).orderBy("_key").limit(int(n)).agg(F.max("_key").alias("_last"))
+    last = batches.number(with_cov.where(inside).select("_key"), "_key").where(F.col("row_id") < int(n)).agg(F.max("_key").alias("_last"))
     return with_cov.join(F.broadcast(last)).withColumn("keep", F.when(inside & (F.col("_key") <= F.col("_last")), 0).otherwise(1)).drop("_key", "_last")
 
 
@@ -100,7 +100,7 @@ def kl_cov(tokens: DataFrame, ratio: float, order: list[Column], logp: str = "lo
     with_cov = _covariance(tokens, logp, advantage, mask)
     n = with_cov.agg(F.greatest(F.lit(1), F.floor(F.count_if(F.col(mask) != 0) * ratio)).alias("n")).first()["n"]
     with_cov = with_cov.withColumn("_key", F.struct((-F.col("cov")).alias("c"), *order))
-    last = with_cov.where(F.col(mask) != 0).orderBy("_key").limit(int(n)).agg(F.max("_key").alias("_last"))
+    last = batches.number(with_cov.where(F.col(mask) != 0).select("_key"), "_key").where(F.col("row_id") < int(n)).agg(F.max("_key").alias("_last"))
     return with_cov.join(F.broadcast(last)).withColumn("penalised", ((F.col(mask) != 0) & (F.col("_key") <= F.col("_last"))).cast("int")).drop("_key", "_last")
 
 

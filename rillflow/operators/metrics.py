@@ -121,16 +121,17 @@ def keep_mixed_groups(rows: DataFrame, group: str, value: str) -> DataFrame:
 
 
 def first_groups(rows: DataFrame, group: str, n: int) -> DataFrame:
-    """Rows of the ``n`` least groups: a top-n of groups and a semi join."""
-    return rows.join(F.broadcast(rows.select(group).distinct().orderBy(group).limit(n)), group, "left_semi")
+    """Rows of the ``n`` least groups: groups are numbered by ranges and semi-joined."""
+    chosen = batches.number(rows.select(group).distinct(), group).where(F.col("row_id") < n).select(group)
+    return rows.join(chosen, group, "left_semi")
 
 
 def filter_and_downsample(rows: DataFrame, group: str, accuracy: str, clipped: str, low: float, high: float, factor: int) -> DataFrame:
-    """Groups with an accuracy within the band and no clipped row come first; 1 / ``factor`` of all groups stays."""
+    """Groups with an accuracy within the band and no clipped row come first; 1 / ``factor`` of all groups stays, by a distributed rank."""
     each = rows.groupBy(group).agg(F.avg(accuracy).alias("a"), F.max(F.col(clipped).cast("int")).alias("c"))
-    n = each.count() // factor
     passing = (F.col("a") >= low) & (F.col("a") <= high) & (F.col("c") == 0)
-    chosen = each.orderBy(F.when(passing, 0).otherwise(1), group).limit(n).select(group)
+    ranked = batches.number(each.select(group, F.when(passing, 0).otherwise(1).alias("_late")), "_late", group)
+    chosen = ranked.where(F.col("row_id") < ranked.count() // factor).select(group)
     return rows.join(chosen, group, "left_semi")
 
 
@@ -171,3 +172,33 @@ def islands(rows: DataFrame, order: str, value: str, partition: str | None = Non
     new = F.coalesce((F.col(value) != F.lag(value).over(by)).cast("int"), F.lit(1))
     run = rows.withColumn("_n", new).withColumn("_r", F.sum("_n").over(by))
     return run.withColumn("place", F.row_number().over(Window.partitionBy(*([partition] if partition else []), "_r").orderBy(order)) - 1).drop("_n", "_r")
+
+
+def masked_mean_of_all(rows: DataFrame, value: str, mask: str) -> DataFrame:
+    """(mean, n): the mean of masked-in values over all rows and tokens."""
+    return rows.agg((F.sum(F.when(F.col(mask) != 0, F.col(value))) / F.count_if(F.col(mask) != 0)).alias("mean"), F.count_if(F.col(mask) != 0).alias("n"))
+
+
+def reduce_timing(rows: DataFrame, name: str, seconds: str) -> DataFrame:
+    """(name, seconds): each timer's mean over ranks."""
+    return rows.groupBy(name).agg(F.avg(seconds).alias(seconds))
+
+
+def response_info(rows: DataFrame, mask: str, responses: str) -> DataFrame:
+    """``prompt_length`` and ``response_length``: masked-in tokens before and within the last ``size(responses)`` of a row's mask."""
+    n = F.size(responses)
+    ones = lambda a: F.aggregate(a, F.lit(0), lambda t, x: t + x.cast("int"))
+    head = F.slice(mask, F.lit(1), F.greatest(F.size(mask) - n, F.lit(0)))
+    tail = F.slice(mask, F.greatest(F.size(mask) - n, F.lit(0)) + 1, F.greatest(n, F.lit(0)))
+    return rows.withColumn("prompt_length", ones(head)).withColumn("response_length", ones(tail))
+
+
+def preference_metrics(rows: DataFrame, score: str, reward: str, logits: str, chosen: str, rejected: str, response: str, prompt: str, most_response: int, most_prompt: int) -> DataFrame:
+    """(key, value) of preference training: scores, rewards, log-probabilities, lengths and how many were clipped."""
+    stats = lambda k, c: [F.avg(c).alias(f"{k}/mean"), F.max(c).cast("double").alias(f"{k}/max"), F.min(c).cast("double").alias(f"{k}/min")]
+    clipped = lambda k, c, most: F.avg((F.col(c) == most).cast("double")).alias(f"{k}/clip_ratio")
+    one = rows.agg(
+        *stats("reward/score", score), *stats("reward/rewards", reward), F.avg(logits).alias("actor/dpo_logits"), F.avg(chosen).alias("actor/chosen_logps"), F.avg(rejected).alias("actor/rejected_logps"),
+        *stats("response_length", response), clipped("response_length", response, most_response), *stats("prompt_length", prompt), clipped("prompt_length", prompt, most_prompt),
+    )
+    return long_form(one)

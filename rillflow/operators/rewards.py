@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import importlib.util
+import signal
 from collections.abc import Callable
+from functools import partial
+from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -41,14 +45,23 @@ def batch(rows: DataFrame, function: Callable[[list[str], list[str]], list[float
 
 
 @REWARD_MANAGERS.register("prime")
-def prime(rows: DataFrame, function: Callable[[str, str], float], response: str = "response", truth: str = "truth") -> DataFrame:
-    """``reward`` by a Python function of one response; one that raises scores 0."""
+def prime(rows: DataFrame, function: Callable[[str, str], float], response: str = "response", truth: str = "truth", seconds: float = 300.0) -> DataFrame:
+    """``reward`` by a Python function of one response; one that raises, or takes more than ``seconds``, scores 0."""
+
+    def late(*_: object) -> None:
+        raise TimeoutError(f"no score within {seconds} seconds")
 
     def safe(a: str, b: str) -> float:
+        # A worker scores in its main thread, where a timer may interrupt.
+        before = signal.signal(signal.SIGALRM, late)
+        signal.setitimer(signal.ITIMER_REAL, seconds)
         try:
             return float(function(a, b))
         except Exception:  # noqa: BLE001  a scorer's failure is a score of 0
             return 0.0
+        finally:
+            signal.setitimer(signal.ITIMER_REAL, 0)
+            signal.signal(signal.SIGALRM, before)
 
     score = F.pandas_udf(lambda a, b: pd.Series([safe(x, y) for x, y in zip(a, b, strict=True)], dtype=float), DoubleType())
     return rows.withColumn("reward", score(response, truth))
@@ -105,3 +118,23 @@ def teacher_gate(student: Column, teacher: Column, suffix: Column, reward: Colum
         .when(F.size(suffix) < F.greatest(F.lit(least_suffix), F.lit(1)), "short_suffix").when(total > most_tokens, "too_long").when(most_tokens - total < room, "no_room").when(reward <= threshold, "low_reward")
     )
     return F.struct(match.alias("match"), why.alias("skip_reason"))
+
+
+def load_scorer(path: str, name: str, **fixed: object) -> Callable:
+    """The function ``name`` of the Python file at ``path``, with ``fixed`` keyword arguments bound; a missing file or name is an error."""
+    if not Path(path).is_file():
+        raise FileNotFoundError(f"no scorer file {path!r}")
+    spec = importlib.util.spec_from_file_location(f"rillflow_scorer_{Path(path).stem}", path)
+    module = importlib.util.module_from_spec(spec)
+    spec.loader.exec_module(module)
+    if not hasattr(module, name):
+        raise AttributeError(f"{path!r} has no {name!r}")
+    return partial(getattr(module, name), **fixed) if fixed else getattr(module, name)
+
+
+def load_manager(name: str, scorer: Callable | None = None, default: Callable | None = None, **fixed: object) -> Callable[[DataFrame], DataFrame]:
+    """The reward manager of that name, with ``scorer``, or else ``default``, bound."""
+    manager, chosen = REWARD_MANAGERS.get(name), scorer or default
+    if chosen is None:
+        raise ValueError(f"reward manager {name!r} needs a scorer")
+    return lambda rows: manager(rows, chosen, **fixed)

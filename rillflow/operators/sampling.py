@@ -45,21 +45,18 @@ def priority_laps(rows: DataFrame, group: str, step: str, n: int, *keys: str) ->
 
 
 def resample(rows: DataFrame, weight: str, n: int, seed: int, *order: str) -> DataFrame:
-    """``n`` draws with replacement in proportion to a weight: a range join of draws with running weights, bucketed
-    so that a draw meets only the rows of its buckets."""
-    from rillflow.operators.batches import number
+    """``n`` draws with replacement in proportion to a weight. Draws and the places where rows begin, on the line of running
+    weights, are one sequence: a draw takes the last row that began before it, by a running maximum over ranges, and fetches it by number."""
+    from rillflow.operators.batches import number, running
 
     placed = number(rows.where(F.col(weight) > 0), *order)
-    part = placed.withColumn("_b", F.floor(F.col("row_id") / 4096))
-    sums = part.groupBy("_b").agg(F.sum(weight).alias("_w"))
-    ends = sums.withColumn("_hi", F.sum("_w").over(Window.orderBy("_b"))).withColumn("_lo", F.col("_hi") - F.col("_w"))
-    total = sums.agg(F.sum("_w").alias("_t"))
-    draws = rows.sparkSession.range(n).withColumnRenamed("id", "draw")
-    draws = draws.join(F.broadcast(total)).withColumn("_x", uniform(seed, "draw") * F.col("_t"))
-    block = draws.join(ends, (F.col("_x") >= F.col("_lo")) & (F.col("_x") < F.col("_hi"))).select("draw", "_b", (F.col("_x") - F.col("_lo")).alias("_x"))
-    inside = part.withColumn("_to", F.sum(weight).over(Window.partitionBy("_b").orderBy("row_id"))).withColumn("_from", F.col("_to") - F.col(weight))
-    hit = block.join(inside, "_b").where((F.col("_x") >= F.col("_from")) & (F.col("_x") < F.col("_to")))
-    return hit.drop("_b", "_x", "_from", "_to", "row_id")
+    upto = running(placed.select("row_id", F.col(weight).cast("double").alias("_w")), "row_id", F.col("_w"), F.sum)
+    starts = upto.select((F.coalesce("_before", F.lit(0.0)) + F.col("_here") - F.col("_w")).alias("_x"), F.col("row_id").alias("_row"), F.lit(None).cast("long").alias("draw"))
+    total = placed.agg(F.sum(F.col(weight).cast("double")).alias("_t"))
+    draws = rows.sparkSession.range(n).withColumnRenamed("id", "draw").join(F.broadcast(total)).where("_t > 0")
+    both = starts.unionByName(draws.select((uniform(seed, "draw") * F.col("_t")).alias("_x"), F.lit(None).cast("long").alias("_row"), "draw"))
+    taken = running(both, "_x", F.col("_row"), F.max).where("draw is not null").select("draw", F.greatest("_before", "_here").alias("row_id"))
+    return taken.join(placed, "row_id").drop("row_id")
 
 
 def reweight(score: Column, method: str, power: float = 1.0) -> Column:
@@ -72,3 +69,13 @@ def reweight(score: Column, method: str, power: float = 1.0) -> Column:
     if method == "max_random":
         return F.when(score == F.max(score).over(w), 0.4).otherwise(0.1)
     raise ValueError(f"unknown reweighting {method!r}")
+
+
+def shown(rows: DataFrame, text: str, n: int, seed: int) -> DataFrame:
+    """``n`` rows to look at, by a seeded hash of their text and then the text."""
+    return rows.withColumn("_u", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(text)))).orderBy("_u", text).limit(n).drop("_u")
+
+
+def branch_points(nodes: DataFrame, chain: str, node: str, expandable: Column, n: int, seed: int) -> DataFrame:
+    """Up to ``n`` expandable nodes of each chain, uniformly by a seeded hash."""
+    return capped(nodes.where(expandable).withColumn("_u", uniform(seed, chain, node)), chain, n, "_u", node).drop("_u")

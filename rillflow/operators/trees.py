@@ -1,22 +1,27 @@
-"""Trees as adjacency tables (node, parent): closures by recursive SQL or joins, aggregates by ancestor."""
+"""Trees as adjacency tables (node, parent): closures by pointer doubling, aggregates by ancestor."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from rillflow.operators.tables import cut
 
-def closure(nodes: DataFrame, depth: int = 64) -> DataFrame:
-    """(node, ancestor, distance) of every node, itself at 0; a path that comes back to a node of its own, or goes deeper than ``depth``, ends there."""
-    spark = nodes.sparkSession
-    nodes.select("node", "parent").createOrReplaceTempView("_rillflow_nodes")
-    return spark.sql(f"""
-        WITH RECURSIVE up(node, ancestor, distance, seen) AS (
-          SELECT node, node, 0, array(node) FROM _rillflow_nodes
-          UNION ALL
-          SELECT up.node, n.parent, up.distance + 1, concat(up.seen, array(n.parent)) FROM up JOIN _rillflow_nodes n ON up.ancestor = n.node
-          WHERE n.parent IS NOT NULL AND NOT array_contains(up.seen, n.parent) AND up.distance < {depth})
-        SELECT node, ancestor, distance FROM up""")
+
+def closure(nodes: DataFrame) -> DataFrame:
+    """(node, ancestor, distance) of every node, itself at 0. By doubling: a round joins what lies within ``reach`` steps to what lies
+    ``reach`` steps up, so a chain of any length takes the logarithm of its length in rounds. On a cycle each ancestor counts once, at its least distance."""
+    edges = cut(nodes.select("node", "parent").where("parent is not null").distinct(), "jumps")
+    most = edges.count()
+    ids = nodes.select("node").unionAll(edges.select(F.col("parent").alias("node"))).distinct()
+    up = cut(ids.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("distance")), "closure")
+    jump, reach = edges.select("node", F.col("parent").alias("to")), 1
+    while reach <= most and not jump.isEmpty():
+        further = jump.join(up.select(F.col("node").alias("to"), "ancestor", "distance"), "to").select("node", "ancestor", (F.col("distance") + reach).alias("distance"))
+        up = cut(up.unionAll(further).groupBy("node", "ancestor").agg(F.min("distance").alias("distance")), "closure")
+        jump = cut(jump.join(jump.select(F.col("node").alias("to"), F.col("to").alias("_far")), "to").select("node", F.col("_far").alias("to")).distinct(), "jumps")
+        reach *= 2
+    return up.join(nodes.select("node").distinct(), "node", "left_semi")
 
 
 def depths(nodes: DataFrame) -> DataFrame:
@@ -64,3 +69,14 @@ def deepest(nodes: DataFrame, n: int, up: DataFrame | None = None) -> DataFrame:
     depth = up.groupBy("node").agg(F.max("distance").alias("depth"))
     kids = nodes.where("parent is not null").groupBy(F.col("parent").alias("node")).agg(F.count(F.lit(1)).alias("children"))
     return depth.join(kids, "node", "left").fillna(0, ["children"]).orderBy(F.desc("depth"), F.desc("children"), F.desc("node")).limit(n)
+
+
+def contexts(nodes: DataFrame, most_lineage: int, up: DataFrame | None = None) -> DataFrame:
+    """(node, depth, lineage, lineage_cut, descendants, deepest): the last ``most_lineage`` nodes of the path from the root, how many were cut,
+    how many nodes lie below and the largest depth among them and the node. ``lineage`` is as long as the path, at most."""
+    up = closure(nodes) if up is None else up
+    depth = up.groupBy("node").agg(F.max("distance").alias("depth"))
+    below = up.join(depth, "node").groupBy(F.col("ancestor").alias("node")).agg((F.count(F.lit(1)) - 1).alias("descendants"), F.max("depth").alias("deepest"))
+    near = up.where(F.col("distance") < most_lineage).groupBy("node").agg(F.sort_array(F.collect_list(F.struct((-F.col("distance")).alias("d"), "ancestor"))).alias("p"))
+    out = depth.join(below, "node").join(near, "node", "left")
+    return out.select("node", "depth", F.coalesce(F.col("p.ancestor"), F.array().cast("array<string>")).alias("lineage"), F.greatest(F.col("depth") + 1 - most_lineage, F.lit(0)).alias("lineage_cut"), "descendants", "deepest")

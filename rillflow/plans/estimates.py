@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rillflow.functions import tokens as tk
-from rillflow.operators import advantages, losses
+from rillflow.operators import advantages, batches, losses
 from rillflow.plans.bindings import R, T, exploded, rollouts, sequences, tokens
 from rillflow.plans.catalog import query, table
 
@@ -166,22 +166,15 @@ def _kl_cov(rows: DataFrame) -> DataFrame:
     with_cov = losses._covariance(rows, "new", "adv", "m").withColumn("cov", F.round("cov", 6))
     n = with_cov.agg(F.greatest(F.lit(1), F.floor(F.count_if(F.col("m") == 1) * 0.02)).alias("n")).first()["n"]
     key = F.struct((-F.col("cov")).alias("c"), "id")
-    last = with_cov.where("m = 1").select(key.alias("k")).orderBy("k").limit(int(n)).agg(F.max("k").alias("last"))
+    last = batches.number(with_cov.where("m = 1").select(key.alias("k")), "k").where(F.col("row_id") < int(n)).agg(F.max("k").alias("last"))
     return with_cov.join(F.broadcast(last)).withColumn("penalised", ((F.col("m") == 1) & (key <= F.col("last"))).cast("int"))
 
 
-@query("adaptive_kl", """WITH s AS (SELECT event_id AS step, (event_id % 17) / 100.0::DOUBLE AS kl, 64 AS n FROM events WHERE event_id < 500)
+@query("adaptive_kl", """WITH s AS (SELECT event_id AS step, (event_id % 17) / 100.0::DOUBLE AS kl, 64 AS n FROM events)
   SELECT step, round(0.2::DOUBLE * exp(sum(ln(1 + greatest(least(kl / 0.06::DOUBLE - 1, 0.2::DOUBLE), -0.2::DOUBLE) * n / 10000.0::DOUBLE)) OVER (ORDER BY step)), 6) AS beta FROM s""")
 def adaptive_kl(spark: SparkSession, sf_dir: str) -> DataFrame:
-    steps = table(spark, sf_dir, "events").where("event_id < 500").selectExpr("event_id as step", "(event_id % 17) / 100.0D as kl", "64 as n")
-    return _r6(losses.adaptive_kl(steps, 0.2, 0.06, 10000.0).select("step", "beta"), "beta")
-
-
-@query("adaptive_kl_all", """WITH s AS (SELECT event_id, (event_id % 17) / 100.0::DOUBLE AS kl, 64 AS n FROM events)
-  SELECT event_id, round(0.2::DOUBLE * exp(sum(ln(1 + greatest(least(kl / 0.06::DOUBLE - 1, 0.2::DOUBLE), -0.2::DOUBLE) * n / 10000.0::DOUBLE)) OVER (ORDER BY event_id)), 6) AS kl_coef FROM s""")
-def adaptive_kl_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     steps = table(spark, sf_dir, "events").selectExpr("event_id as step", "(event_id % 17) / 100.0D as kl", "64 as n")
-    return _r6(losses.adaptive_kl(steps, 0.2, 0.06, 10000.0).select(F.col("step").alias("event_id"), F.col("beta").alias("kl_coef")), "kl_coef")
+    return _r6(losses.adaptive_kl(steps, 0.2, 0.06, 10000.0).select("step", "beta"), "beta")
 
 
 @query("dpo_losses", f"""WITH {T}, z AS (SELECT id, (new - old) - (ref - old) AS z FROM t), y AS (SELECT id, z, 0.5::DOUBLE * z AS x FROM z)

@@ -125,13 +125,8 @@ def pair_winner(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.pair_winner(rows, "pair", "doc_id", "n_chars").select("doc_id", "wins")
 
 
-@query("running_best", "SELECT event_id, coalesce(value > max(value) OVER (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), TRUE) AS improved FROM events WHERE event_id < 2000")
+@query("running_best", "SELECT event_id, coalesce(value > max(value) OVER (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), TRUE) AS improved FROM events")
 def running_best(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.running_best(table(spark, sf_dir, "events").where("event_id < 2000").select("event_id", "value"), "event_id", "value").select("event_id", "improved")
-
-
-@query("running_best_all", "SELECT event_id, coalesce(value > max(value) OVER (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), TRUE) AS improved FROM events")
-def running_best_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.running_best(table(spark, sf_dir, "events").select("event_id", "value"), "event_id", "value").select("event_id", "improved")
 
 

@@ -39,13 +39,8 @@ def grade_number_reward(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", s.reward.alias("reward"), s.completed.alias("completed"))
 
 
-@query("grade_plain_answer", r"""SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(lower(regexp_replace(substr(text, 1, 60), '[^ -~]', 'x', 'g')), '[!-/:-@\[-`{-~]', '', 'g'), '\b(a|an|the)\b', ' ', 'g'), '\s+', ' ', 'g')) AS answer FROM documents""")
+@query("grade_plain_answer", r"""SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(lower(regexp_replace(text, '[^\t\n -~]', 'x', 'g')), '[!-/:-@\[-`{-~]', '', 'g'), '\b(a|an|the)\b', ' ', 'g'), '\s+', ' ', 'g')) AS answer FROM documents""")
 def grade_plain_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", g.plain_answer(F.regexp_replace(F.substring("text", 1, 60), "[^ -~]", "x")).alias("answer"))
-
-
-@query("grade_plain_answer_whole", r"""SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(lower(regexp_replace(text, '[^\t\n -~]', 'x', 'g')), '[!-/:-@\[-`{-~]', '', 'g'), '\b(a|an|the)\b', ' ', 'g'), '\s+', ' ', 'g')) AS answer FROM documents""")
-def grade_plain_answer_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", g.plain_answer(F.regexp_replace("text", r"[^\t\n -~]", "x")).alias("answer"))
 
 
@@ -73,12 +68,25 @@ def grade_tag_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", g.valid_sequence(t).alias("strict"), g.valid_sequence(t, loose=True).alias("loose"), g.retrieval_correct(t, golds).alias("retrieved"), F.round(reward, 6).alias("reward"))
 
 
-@query("grade_finance", """SELECT doc_id, doc_id % 6 NOT IN (4, 5) AS correct FROM documents""")
+#: Answers by ``doc_id % 13`` beside the number ``doc_id + 100``: (answer, truth), with ``N`` for the number.
+_FINANCE = (
+    ("N", "N"), ("N%", "0.N"), ("$N million", "N000000"), ("N.004", "N"), ("none", "N"), ("Yes ", "yes"), ("no", "yes"), (".5", "0.5"), ("N.24%", "N.3%"), ("N.4%", "N.6%"),
+    ("$1.04 billion", "1 billion"), ("about -N.9", "-N"), ("N percent", "N%"),
+)
+
+
+def _finance_sql(side: int) -> str:
+    return "CASE doc_id % 13 " + " ".join(f"WHEN {i} THEN replace('{p[side]}', 'N', (doc_id + 100)::VARCHAR)" for i, p in enumerate(_FINANCE)) + " END"
+
+
+@query("grade_finance", rf"""WITH p AS (SELECT doc_id, {_finance_sql(0)} AS a, {_finance_sql(1)} AS t FROM documents),
+  n AS (SELECT *, TRY_CAST(nullif(regexp_extract(a, '[-+]?[0-9]*\.?[0-9]+'), '') AS DOUBLE) AS x, TRY_CAST(nullif(regexp_extract(t, '[-+]?[0-9]*\.?[0-9]+'), '') AS DOUBLE) AS y, contains(a, '%') AS ap, contains(t, '%') AS tp FROM p)
+  SELECT doc_id, CASE WHEN x IS NULL OR y IS NULL THEN lower(trim(a)) = lower(trim(t)) WHEN abs(x - y) < 0.01 THEN TRUE WHEN ap <> tp THEN FALSE WHEN ap THEN abs(round(x, 1) - round(y, 1)) < 0.15
+    ELSE abs(x - y) / greatest(abs(y), 1) < 0.05 END AS correct FROM n""")
 def grade_finance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kind, n = F.col("doc_id") % 6, (F.col("doc_id") + 100).cast("string")
-    answer = F.when(kind == 0, n).when(kind == 1, F.concat(n, F.lit("%"))).when(kind == 2, F.concat(F.lit("$"), n, F.lit(" million"))).when(kind == 3, F.concat(n, F.lit(".004"))).when(kind == 4, "none").otherwise(F.concat(n, F.lit("0")))
-    truth = F.when(kind == 1, ((F.col("doc_id") + 100) / 100).cast("string")).when(kind == 2, F.concat(n, F.lit("000000"))).otherwise(n)
-    return table(spark, sf_dir, "documents").select("doc_id", g.finance_match(answer, truth).alias("correct"))
+    kind, n = F.col("doc_id") % 13, (F.col("doc_id") + 100).cast("string")
+    pick = lambda side: F.coalesce(*[F.when(kind == i, F.replace(F.lit(p[side]), F.lit("N"), n)) for i, p in enumerate(_FINANCE)])
+    return table(spark, sf_dir, "documents").select("doc_id", g.finance_match(pick(0), pick(1)).alias("correct"))
 
 
 @query("grade_numeric_equal", "SELECT event_id, abs(value - value * (1 + (event_id % 5) / 20000.0::DOUBLE)) <= 1e-4 * greatest(abs(value), abs(value * (1 + (event_id % 5) / 20000.0::DOUBLE))) AS same FROM events")
@@ -95,13 +103,8 @@ def grade_named_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", s.reward.alias("reward"), s.completed.alias("completed"))
 
 
-@query("grade_code_traces", "SELECT doc_id, round((doc_id % 4) / 4.0::DOUBLE, 6) AS passed, doc_id % 2 = 0 AS fenced, TRUE AS tagged, 0.75::DOUBLE AS quality FROM documents WHERE doc_id % 4 <> 0")
+@query("grade_code_traces", "SELECT doc_id, round((doc_id % 4) / 4.0::DOUBLE, 6) AS passed, doc_id % 2 = 0 AS fenced, TRUE AS tagged, 0.75::DOUBLE AS quality FROM documents")
 def grade_code_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _code_traces(table(spark, sf_dir, "documents").where("doc_id % 4 <> 0"))
-
-
-@query("grade_code_traces_all", "SELECT doc_id, round((doc_id % 4) / 4.0::DOUBLE, 6) AS passed, doc_id % 2 = 0 AS fenced, TRUE AS tagged, 0.75::DOUBLE AS quality FROM documents")
-def grade_code_traces_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _code_traces(table(spark, sf_dir, "documents"))
 
 

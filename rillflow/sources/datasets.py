@@ -118,3 +118,28 @@ def generate(rows: DataFrame, key: str, prompt: str, n: int, model) -> DataFrame
             yield pd.DataFrame({key: g[key], "responses": [list(x) for x in zip(*by_sample, strict=True)]})
 
     return rows.select(key, prompt).mapInPandas(run, f"{key} {dict(rows.dtypes)[key]}, responses array<string>")
+
+
+def same_files(spark: SparkSession, source: str, copy: str) -> DataFrame:
+    """(name, length, copied) of files whose length differs or that one of two folders lacks; none if the copy is whole."""
+
+    def of(folder: str) -> DataFrame:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", "length")
+        root = F.regexp_replace(F.lit(folder), "^file:/*", "/")
+        path = F.regexp_replace("path", "^file:/*", "/")
+        return files.select(F.substring(path, F.length(F.regexp_replace(root, "/+$", "")) + 2, F.length(path)).alias("name"), "length")
+
+    both = of(source).join(of(copy).withColumnRenamed("length", "copied"), "name", "full")
+    return both.where(~F.col("length").eqNullSafe(F.col("copied")))
+
+
+def counting_prompts(spark: SparkSession, n: int, seed: int, least: int = 3, most: int = 5) -> DataFrame:
+    """(index, prompt, truth): synthetic questions how often a letter is in a word of letters joined by dashes; all by a seeded hash."""
+    digit = lambda k, lo, hi: (F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), "index", k)), 1, 8), 16, 10).cast("long") % (hi - lo + 1) + lo).cast("int")
+    rows = spark.range(n).withColumnRenamed("id", "index").withColumn("_n", digit(F.lit("n"), F.lit(least), F.lit(most))).withColumn("_c", digit(F.lit("c"), F.lit(0), F.lit(25)))
+    rows = rows.withColumn("truth", digit(F.lit("t"), F.lit(1), F.col("_n")))
+    other = lambda i: (F.col("_c") + digit(F.concat(F.lit("o"), i.cast("string")), F.lit(1), F.lit(25))) % 26
+    letter = lambda i: F.char(97 + F.when(i <= F.col("truth"), F.col("_c")).otherwise(other(i)))
+    letters = F.transform(F.sequence(F.lit(1), F.col("_n")), lambda i: F.struct(F.md5(F.concat_ws(":", F.lit(str(seed)), "index", F.lit("s"), i.cast("string"))).alias("h"), letter(i).alias("l")))
+    word = F.array_join(F.array_sort(letters).getField("l"), "-")
+    return rows.select("index", F.concat(F.lit("How many "), F.char(97 + F.col("_c")), F.lit(" are there in word "), word, F.lit("?")).alias("prompt"), "truth")

@@ -30,7 +30,7 @@ def test_running_best_and_adaptive_kl_equal_a_loop(spark):
     assert metrics.running_best(df.limit(0), "step", "value").count() == 0
 
 
-@pytest.mark.parametrize("name", ["running_best_all", "adaptive_kl_all"])
+@pytest.mark.parametrize("name", ["running_best", "adaptive_kl"])
 def test_all_events_count(spark, name):
     """By ranges: no window over all rows in one task."""
     df = catalog.QUERIES[name](spark, DATA)

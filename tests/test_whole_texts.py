@@ -43,11 +43,11 @@ def test_math_repetition_reads_whole_texts(spark, tmp_path):
 def test_plain_answer_reads_whole_texts(spark, tmp_path):
     texts = ["x " * 40 + "The  end,\n\tof\n\n(an) answer: a-b é THE", None, ""]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    got = {r.doc_id: r.answer for r in catalog.QUERIES["grade_plain_answer_whole"](spark, str(tmp_path)).collect()}
+    got = {r.doc_id: r.answer for r in catalog.QUERIES["grade_plain_answer"](spark, str(tmp_path)).collect()}
     assert got == {0: "x " * 40 + "end of answer ab x", 1: None, 2: ""}
 
 
 def test_code_traces_take_all_documents(spark, tmp_path):
     spark.createDataFrame([(i, "x") for i in range(8)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    got = {r.doc_id: r.passed for r in catalog.QUERIES["grade_code_traces_all"](spark, str(tmp_path)).collect()}
+    got = {r.doc_id: r.passed for r in catalog.QUERIES["grade_code_traces"](spark, str(tmp_path)).collect()}
     assert got == {i: i % 4 / 4 for i in range(8)}
