@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rillflow.llm.cut import cut, shared_dir
+from rillflow.operators.tables import cut, shared_dir
 
 BLOCK = r"(?s)<{0}>\s*(\{{.*?\}})\s*</{0}>"
 
