@@ -355,3 +355,9 @@ def soundness(reply: Column) -> Column:
     bad = F.exists(F.array(*[F.lit(k) for k in SOUNDNESS]), lambda k: F.coalesce(~F.try_element_at(scores, k).between(0.0, 4.0), F.lit(True)))
     kept = F.struct(*[F.try_element_at(scores, F.lit(k)).alias(k) for k in SOUNDNESS])
     return F.when(F.coalesce(bad, F.lit(True)), F.raise_error(F.concat(F.lit("no soundness scores in: "), F.substring(reply, 1, 80))).cast(", ".join(f"{k}: double" for k in SOUNDNESS).join(["struct<", ">"]))).otherwise(kept)
+
+
+def verdict(reply: Column) -> Column:
+    """The last ``Final Score:`` of a judge's reply; an error unless it is 0 or 1."""
+    n = last(found(reply, r"(?i)(?:###\s*)?Final\s*Score\s*:\s*([\d.]+)")).try_cast("double")
+    return F.when(F.coalesce(n.isin(0.0, 1.0), F.lit(False)), n).otherwise(F.raise_error(F.concat(F.lit("no final score of 0 or 1 in: "), F.substring(reply, 1, 80))).cast("double"))

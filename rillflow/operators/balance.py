@@ -5,7 +5,7 @@ from __future__ import annotations
 import heapq
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -77,3 +77,14 @@ def imbalance(assigned: DataFrame, batch: str, length: str) -> DataFrame:
     """(batch, least, most, spread, mean) of the parts' sums."""
     sums = assigned.groupBy(batch, "part").agg(F.sum(length).alias("n"))
     return sums.groupBy(batch).agg(F.min("n").alias("least"), F.max("n").alias("most"), (F.max("n") - F.min("n")).alias("spread"), F.avg("n").alias("mean"))
+
+
+def micro_batch_rows(rows: DataFrame, batch: str, item: str, length: str, most_tokens: int, least: int = 1, divisor: int = 1) -> DataFrame:
+    """(batch, item, length, part): every batch in as many micro-batches as ``micro_batches`` says, of about equal tokens."""
+    bins = micro_batches(rows, batch, length, most_tokens, least, divisor).agg(F.max("bins").alias("bins")).first().bins
+    return assign(rows, batch, item, length, bins or 1)
+
+
+def reordered(assigned: DataFrame, batch: str, item: str) -> DataFrame:
+    """(batch, item, place): rows of a batch in the order of their parts, items ascending within one."""
+    return assigned.select(batch, item, (F.row_number().over(Window.partitionBy(batch).orderBy("part", item)) - 1).alias("place"))

@@ -202,3 +202,43 @@ def preference_metrics(rows: DataFrame, score: str, reward: str, logits: str, ch
         *stats("response_length", response), clipped("response_length", response, most_response), *stats("prompt_length", prompt), clipped("prompt_length", prompt, most_prompt),
     )
     return long_form(one)
+
+
+def checkpoint_due(remaining: Column, longest_step: Column, save: float = 60.0, spare: float = 0.0) -> Column:
+    """Whether another step and a checkpoint may not fit in the ``remaining`` seconds, which are still positive; without a deadline (null): no."""
+    return F.coalesce((remaining > 0) & (longest_step > 0) & (remaining <= longest_step + save + spare), F.lit(False))
+
+
+def detached_pair_loss(rows: DataFrame, group: str, score: str, accuracy: str, beta: float, best_of: str | None = None) -> DataFrame:
+    """(loss): -log sigmoid of the gap between a row's scaled score and the mean of its group's rows on the other side of accuracy, with the sign of
+    its own side; the mean over rows. ``best_of`` (a column): the sum instead, weighted by n * share(column <= own) ** (n - 1) within the group."""
+    gap = beta * (F.col(score) - F.coalesce("opposite", F.lit(0.0)))
+    signed = gap * F.when(F.col(accuracy) > 0, 1.0).otherwise(-1.0)
+    loss = F.greatest(-signed, F.lit(0.0)) + F.log1p(F.exp(-F.abs(signed)))
+    judged = opposite_mean(rows, group, score, accuracy).withColumn("_loss", loss)
+    if best_of is None:
+        return judged.agg(F.avg("_loss").alias("loss"))
+    n = F.count(F.lit(1)).over(Window.partitionBy(group))
+    share = F.cume_dist().over(Window.partitionBy(group).orderBy(best_of))
+    return judged.withColumn("_w", n * F.pow(share, n - 1)).agg(F.sum(F.col("_loss") * F.col("_w")).alias("loss"))
+
+
+def fit_logistic(rows: DataFrame, x: str, y: str, penalty: float = 1.0, rounds: int = 50) -> tuple[float, float] | None:
+    """(slope, intercept) of P(y = 1) by Newton's method; five sums a round come to the driver. ``penalty * slope ** 2 / 2`` is added to the loss.
+    Null with ten rows or fewer, or with one class only."""
+    seen = rows.select(F.col(x).cast("double").alias("x"), F.col(y).cast("int").alias("y")).where("x is not null and y is not null").groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"))
+    counts = {r.y: r.n for r in seen.groupBy("y").agg(F.sum("n").alias("n")).collect()}
+    if sum(counts.values()) <= 10 or not counts.get(0) or not counts.get(1):
+        return None
+    a = b = 0.0
+    for _ in range(rounds):
+        p = 1 / (1 + F.exp(-(a * F.col("x") + b)))
+        g, h = F.col("n") * (p - F.col("y")), F.col("n") * p * (1 - p)
+        s = seen.agg(F.sum(g).alias("gb"), F.sum(g * F.col("x")).alias("ga"), F.sum(h).alias("hb"), F.sum(h * F.col("x")).alias("hab"), F.sum(h * F.col("x") * F.col("x")).alias("ha")).first()
+        ga, ha = s.ga + penalty * a, s.ha + penalty
+        det = ha * s.hb - s.hab**2
+        da, db = (s.hb * ga - s.hab * s.gb) / det, (ha * s.gb - s.hab * ga) / det
+        a, b = a - da, b - db
+        if abs(da) + abs(db) < 1e-10:
+            break
+    return a, b

@@ -138,3 +138,38 @@ def load_manager(name: str, scorer: Callable | None = None, default: Callable |
     if chosen is None:
         raise ValueError(f"reward manager {name!r} needs a scorer")
     return lambda rows: manager(rows, chosen, **fixed)
+
+
+def attach_teacher(students: DataFrame, teachers: DataFrame, key: str, least_match: int, least_ratio: float, least_suffix: int, most_tokens: int, room: int = 32, threshold: float = 0.0) -> DataFrame:
+    """Every student row ``(key, ids, ...)`` with its tree's newest continuation of ``teachers(key, teacher, suffix, reward, step)``: ``match`` and
+    ``skip_reason`` (``no_teacher`` without one; null if it is used), and ``ids`` of the used ones replaced by the common prefix and the suffix."""
+    newest = teachers.groupBy(key).agg(F.max_by(F.struct("teacher", "suffix", F.col("reward").alias("teacher_reward")), "step").alias("_t"))
+    both = students.join(newest, key, "left")
+    gate = teacher_gate(F.col("ids"), F.col("_t.teacher"), F.col("_t.suffix"), F.col("_t.teacher_reward"), least_match, least_ratio, least_suffix, most_tokens, room, threshold)
+    out = both.withColumn("_g", F.when(F.col("_t").isNotNull(), gate))
+    out = out.withColumns({"match": F.coalesce("_g.match", F.lit(0)), "skip_reason": F.when(F.col("_t").isNull(), "no_teacher").otherwise(F.col("_g.skip_reason"))})
+    used = F.col("skip_reason").isNull()
+    return out.withColumn("ids", F.when(used, F.concat(F.slice("ids", F.lit(1), F.col("match")), "_t.suffix")).otherwise(F.col("ids"))).drop("_t", "_g")
+
+
+def process_scores(logp: Column, ref: Column, n: Column, beta: float, lam: float = 0.0, accuracy: Column | None = None) -> Column:
+    """Implicit rewards of the first ``n - 1`` of ``n`` tokens, zeros after them: scaled log-ratios, or with ``lam`` their sums from each token on,
+    discounted by it. With ``accuracy`` the last token's reward is the accuracy less all rewards before it."""
+
+    def judge(q: Column) -> Column:
+        r = q
+        if lam:
+            before = F.aggregate(F.slice(q, F.lit(1), F.greatest(n - 1, F.lit(0))), F.lit(0.0), lambda s, x: s + x)
+            filled = F.transform(q, lambda x, i: F.when(i == n - 1, accuracy - before).otherwise(x)) if accuracy is not None else q
+            r = tk.discounted_returns(filled, F.transform(filled, lambda _: F.lit(1)), lam)
+        return F.transform(r, lambda x, i: F.when(i < n - 1, x).otherwise(0.0))
+
+    return tk.let(F.zip_with(logp, ref, lambda a, b: (a - b) * beta).alias("q"), lambda q: tk.let(F.transform(q, lambda x, i: F.when(i < n, x).otherwise(0.0)), judge))
+
+
+def by_source(source: Column, graders: dict[str | tuple[str, ...], Column]) -> Column:
+    """The score of the grader that a row's source names (one, or a tuple of names); an error for any other source."""
+    out = F.raise_error(F.concat(F.lit("no grader for source "), F.coalesce(source, F.lit("null")))).cast("double")
+    for names, score in reversed(graders.items()):
+        out = F.when(source.isin(names) if isinstance(names, str) else source.isin(*names), score.cast("double")).otherwise(out)
+    return out

@@ -79,3 +79,12 @@ def shown(rows: DataFrame, text: str, n: int, seed: int) -> DataFrame:
 def branch_points(nodes: DataFrame, chain: str, node: str, expandable: Column, n: int, seed: int) -> DataFrame:
     """Up to ``n`` expandable nodes of each chain, uniformly by a seeded hash."""
     return capped(nodes.where(expandable).withColumn("_u", uniform(seed, chain, node)), chain, n, "_u", node).drop("_u")
+
+
+def branch_utility(nodes: DataFrame, chain: str, place: str, length: str, expandable: Column, n: int, seed: int, model: tuple[float, float] | None = None, bias: float = 0.1) -> DataFrame:
+    """Up to ``n`` expandable nodes of each chain without replacement, in proportion to P(success) * ratio ** bias; ratio is (place + 1) / length,
+    and P a logistic ``model(slope, intercept)`` of it, 1 without a model."""
+    ratio = (F.col(place) + 1) / F.col(length)
+    success = F.lit(1.0) if model is None else 1 / (1 + F.exp(-(model[0] * ratio + model[1])))
+    weighted = nodes.where(expandable).withColumn("weight", success * F.pow(ratio, F.lit(bias)))
+    return capped(weighted.withColumn("_key", F.log(uniform(seed, chain, place)) / F.col("weight")), chain, n, F.desc("_key"), place).drop("_key")

@@ -80,3 +80,15 @@ def contexts(nodes: DataFrame, most_lineage: int, up: DataFrame | None = None) -
     near = up.where(F.col("distance") < most_lineage).groupBy("node").agg(F.sort_array(F.collect_list(F.struct((-F.col("distance")).alias("d"), "ancestor"))).alias("p"))
     out = depth.join(below, "node").join(near, "node", "left")
     return out.select("node", "depth", F.coalesce(F.col("p.ancestor"), F.array().cast("array<string>")).alias("lineage"), F.greatest(F.col("depth") + 1 - most_lineage, F.lit(0)).alias("lineage_cut"), "descendants", "deepest")
+
+
+def packages(nodes: DataFrame, leaves: DataFrame, most: int, up: DataFrame | None = None) -> DataFrame:
+    """(node, reward, ids, advantages, advantage): a training row a leaf. The segments ``nodes(node, parent, ids, process)`` from the root down, end
+    to end, at most ``most`` tokens; a token's advantage is its segment's process reward. Paths without tokens are left out, a null segment is empty."""
+    up = closure(nodes) if up is None else up
+    segments = nodes.select(F.col("node").alias("ancestor"), "ids", F.transform("ids", lambda _: F.col("process")).alias("a"))
+    parts = up.join(leaves.select("node", F.coalesce("reward", F.lit(0.0)).alias("reward")), "node").join(segments.where("ids is not null"), "ancestor")
+    packed = parts.groupBy("node").agg(F.first("reward").alias("reward"), F.sort_array(F.collect_list(F.struct((-F.col("distance")).alias("d"), "ids", "a"))).alias("p"))
+    joined = lambda c: F.slice(F.flatten(F.col(f"p.{c}")), 1, most)
+    rows = packed.select("node", "reward", joined("ids").alias("ids"), joined("a").alias("advantages")).where(F.size("ids") > 0)
+    return rows.withColumn("advantage", F.aggregate("advantages", F.lit(0.0), lambda s, x: s + x) / F.size("advantages"))

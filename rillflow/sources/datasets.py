@@ -143,3 +143,21 @@ def counting_prompts(spark: SparkSession, n: int, seed: int, least: int = 3, mos
     letters = F.transform(F.sequence(F.lit(1), F.col("_n")), lambda i: F.struct(F.md5(F.concat_ws(":", F.lit(str(seed)), "index", F.lit("s"), i.cast("string"))).alias("h"), letter(i).alias("l")))
     word = F.array_join(F.array_sort(letters).getField("l"), "-")
     return rows.select("index", F.concat(F.lit("How many "), F.char(97 + F.col("_c")), F.lit(" are there in word "), word, F.lit("?")).alias("prompt"), "truth")
+
+
+def append_metrics(metrics: DataFrame, path: str, step: int) -> None:
+    """(key, value) rows of a step in the metric table at ``path``; a step that is written again replaces its rows."""
+    metrics.select("key", "value").write.mode("overwrite").parquet(f"{path}/step={step}")
+
+
+def contest_rows(rows: DataFrame, date: str, first: str, before: str, public: str, private: str, prompt: str, starter: str) -> DataFrame:
+    """Rows whose date text lies in [first, before): ``inputs`` and ``outputs`` of both JSON test lists, public ones first, and whether code is given."""
+    tests = "array<struct<input:string,output:string>>"
+    cases = F.concat(*[F.coalesce(F.from_json(c, tests), F.array().cast(tests)) for c in (public, private)])
+    kept = rows.where((F.col(date) >= first) & (F.col(date) < before)).withColumn("_t", cases)
+    return kept.withColumns({"inputs": F.col("_t.input"), "outputs": F.col("_t.output"), "given": F.coalesce(F.length(starter) > 0, F.lit(False)), "prompt": F.trim(prompt)}).drop("_t")
+
+
+def checked_split(rows: DataFrame, key: str, truth: str, share: float, seed: int) -> DataFrame:
+    """``split`` of the rows that have a truth: null and blank ones are left out."""
+    return hash_split(rows.where(F.length(F.trim(truth)) > 0), key, share, seed)

@@ -3,11 +3,11 @@ stream, or folded over a table's events per key in a batch. Sampling over keys i
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import asdict, dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -190,3 +190,48 @@ def windowed_metrics(stream: DataFrame, ts: str, width: str, late: str, value: s
     """Count and mean by event-time window; rows later than ``late`` are dropped."""
     by = [F.window(ts, width).alias("w"), *keys]
     return stream.withWatermark(ts, late).groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"))
+
+
+def save_state(nodes: DataFrame, events: DataFrame, path: str) -> None:
+    """A snapshot of a pool: its nodes and its queued events."""
+    nodes.write.mode("overwrite").parquet(f"{path}/nodes")
+    events.write.mode("overwrite").parquet(f"{path}/events")
+
+
+def load_state(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(nodes, events) of a snapshot; events that were with a teacher when it was taken are queued again."""
+    return spark.read.parquet(f"{path}/nodes"), spark.read.parquet(f"{path}/events").withColumn("in_flight", F.lit(False))
+
+
+def epoch_phase(nodes: DataFrame, events: DataFrame, first: int, last: int, size: int, passes: int = 1) -> DataFrame:
+    """(key, value) of an epoch's end: suffix nodes created within the inclusive window are frozen, all events cleared, trees without an active node
+    cleaned, and the frozen nodes replayed ``passes`` times in batches of ``size`` distinct trees. With fewer trees than that the phase waits."""
+    frozen = freeze(nodes, first, last)
+    one = frozen.agg(F.count(F.lit(1)).alias("snapshot_nodes"), F.count_distinct("tree").alias("snapshot_trees"))
+    cleared = events.agg(F.count(F.lit(1)).alias("events_cleared"), F.count_if(~F.col("in_flight")).alias("events_cleared_pending"), F.count_if("in_flight").alias("events_cleared_in_flight"))
+    dead = nodes.groupBy("tree").agg(F.bool_or("active").alias("alive")).agg(F.count_if(~F.col("alive")).alias("trees_cleaned"))
+    full = round_robin_batches(frozen, size).agg(F.count(F.lit(1)).alias("_taken"))
+    rows = one.join(F.broadcast(cleared)).join(F.broadcast(dead)).join(F.broadcast(full))  # one row each
+    ready = F.col("snapshot_trees") >= size
+    sampled = F.when(ready, F.col("_taken") * passes).otherwise(0)
+    rows = rows.withColumns({
+        "sampled_entries": sampled, "sample_batches": (sampled / size).cast("long"), "dropped_entries": F.when(ready, F.col("snapshot_nodes") * passes - sampled).otherwise(0),
+        "waiting_for_full_batch": (~ready & (F.col("snapshot_nodes") > 0)).cast("int"), "needed_for_next_batch": F.when(~ready & (F.col("snapshot_nodes") > 0), size - F.col("snapshot_trees")).otherwise(0),
+    }).drop("_taken")
+    return rows.select(*[F.col(c).cast("double").alias(c) for c in rows.columns]).unpivot([], rows.columns, "key", "value")
+
+
+def debug_records(nodes: DataFrame, events: DataFrame, samples: DataFrame) -> DataFrame:
+    """A record a sampled rollout ``samples(tid, tree, node, source, ...)``: its node, the node's parent, and how many teacher events wait there."""
+    node = nodes.select("tree", "node", F.struct(*[c for c in nodes.columns if c not in ("tree", "node")]).alias("state"))
+    waiting = events.groupBy("tree", F.col("parent").alias("node")).agg(F.count(F.lit(1)).alias("events"), F.count_if("in_flight").alias("in_flight"))
+    return samples.join(node, ["tree", "node"], "left").join(waiting, ["tree", "node"], "left").fillna(0, ["events", "in_flight"]).withColumn("known", F.col("state").isNotNull())
+
+
+def feedback(stream: DataFrame, path: str, checkpoint: str, react: Callable[[DataFrame], DataFrame]) -> None:
+    """Calls ``react`` on every batch that a stream has now and appends its rows to the table at ``path``, a folder a batch: a batch that is run again replaces its folder."""
+
+    def each(batch: DataFrame, n: int) -> None:
+        react(batch).write.mode("overwrite").parquet(f"{path}/batch={n}")
+
+    stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
