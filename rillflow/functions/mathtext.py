@@ -55,9 +55,14 @@ def latex_form(text: str) -> str:
     return text.replace(" ", "")
 
 
+def without_thousands(text: str) -> str:
+    """``1,234,567`` as ``1234567``; commas of lists stay."""
+    return re.sub(r"(?<=\d),(?=\d{3}(?:\D|$))", "", text) if "," in text else text
+
+
 def value_of(text: str) -> float | None:
     """The number that a simple answer stands for."""
-    t = text.replace(",", "")
+    t = without_thousands(text)
     m = re.fullmatch(r"(-?)\\frac\{(-?\d+)\}\{(-?\d+)\}", t)
     if m and int(m[3]):
         return (-1 if m[1] else 1) * int(m[2]) / int(m[3])

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rillflow.functions import algebra
 from rillflow.functions import grading as g
 from rillflow.functions import mathtext as mt
 from rillflow.plans.catalog import query, table
@@ -22,19 +23,40 @@ def _n() -> Column:
     return F.format_number("n_chars", 0)
 
 
-@query("grade_hash_answer", f"""WITH {D}, e AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'no answer' ELSE 'so #### $' || {_num} || '.' END AS t FROM d)
-  SELECT doc_id, CASE WHEN doc_id % 3 <> 0 THEN n_chars || '.' END AS strict, CASE WHEN doc_id % 3 <> 0 THEN {_num} || '.' END AS loose FROM d JOIN e USING (doc_id)""")
+#: Replies by ``doc_id`` modulo their number, with ``N`` for ``n_chars`` with thousands separators.
+_HASHED = ("no answer", "so #### $N.", "#### 1 then #### -N", "N. and .", "#### none, 7")
+
+
+def _by_id(replies: tuple[str, ...], n: Column) -> Column:
+    return F.coalesce(*[F.when(F.col("doc_id") % len(replies) == i, F.replace(F.lit(r), F.lit("N"), n)) for i, r in enumerate(replies)])
+
+
+def _by_id_sql(replies: tuple[str, ...], n: str) -> str:
+    return f"CASE doc_id % {len(replies)} " + " ".join(f"WHEN {i} THEN replace('{r}', 'N', {n})" for i, r in enumerate(replies)) + " END"
+
+
+_LOOSE = "regexp_extract_all({0}, '-?[0-9.,]+')"
+
+
+@query("grade_hash_answer", rf"""WITH {D}, e AS (SELECT doc_id, {_by_id_sql(_HASHED, _num)} AS t FROM d)
+  SELECT doc_id, regexp_replace(regexp_extract_all(t, '####\s*(-?[0-9.,$]+)', 1)[-1], '[,$]', '', 'g') AS strict,
+    coalesce([x FOR x IN {_LOOSE.format('t')} IF x <> '.'][-1], {_LOOSE.format('t')}[1]) AS loose FROM e""")
 def grade_hash_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = F.when(F.col("doc_id") % 3 == 0, "no answer").otherwise(F.concat(F.lit("so #### $"), _n(), F.lit(".")))
+    t = _by_id(_HASHED, _n())
     return _docs(spark, sf_dir).select("doc_id", g.strict_number(t).alias("strict"), g.loose_number(t).alias("loose"))
 
 
-@query("grade_number_reward", f"""WITH {D} SELECT doc_id, CASE WHEN doc_id % 4 IN (0, 1) THEN 0.0::DOUBLE ELSE CASE WHEN doc_id % 4 = 2 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END END AS reward,
-  CASE WHEN doc_id % 4 IN (0, 1) THEN 0 ELSE 1 END AS completed FROM d""")
+#: Replies with ``N`` for the truth, ``n_chars``.
+_NUMBERS = ("none", "#### 1 #### N", "#### N", "#### 0", "first 12, then N", "\\boxed{N} \\boxed{N}")
+
+
+@query("grade_number_reward", rf"""WITH {D}, e AS (SELECT doc_id, n_chars::VARCHAR AS truth, '#### 5<|im_end|><|im_start|>assistant ' || {_by_id_sql(_NUMBERS, 'n_chars::VARCHAR')} || '<|im_end|> 77' AS t FROM d),
+  r AS (SELECT *, string_split(string_split(t, '<|im_start|>assistant')[-1], '<|im_end|>')[1] AS r FROM e),
+  a AS (SELECT *, coalesce([x FOR x IN {_LOOSE.format('r')} IF x <> '.'][-1], {_LOOSE.format('r')}[1]) AS a, len(regexp_extract_all(r, '####\s*(-?[0-9.,$]+)')) > 1 OR len(regexp_extract_all(r, '\\boxed')) > 1 AS bad FROM r)
+  SELECT doc_id, (a IS NOT NULL AND NOT bad AND a = truth)::INT::DOUBLE AS reward, (a IS NOT NULL AND NOT bad)::INT AS completed FROM a""")
 def grade_number_reward(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kind, n = F.col("doc_id") % 4, F.col("n_chars").cast("string")
-    reply = F.when(kind == 0, "none").when(kind == 1, F.concat(F.lit("#### 1 #### "), n)).when(kind == 2, F.concat(F.lit("#### "), n)).otherwise("#### 0")
-    t = F.concat(F.lit("<|im_start|>user\n#### 5<|im_end|>\n<|im_start|>assistant\n"), reply, F.lit("<|im_end|> 77"))
+    n = F.col("n_chars").cast("string")
+    t = F.concat(F.lit("<|im_start|>user\n#### 5<|im_end|>\n<|im_start|>assistant\n"), _by_id(_NUMBERS, n), F.lit("<|im_end|> 77"))
     s = g.number_score(t, n)
     return _docs(spark, sf_dir).select("doc_id", s.reward.alias("reward"), s.completed.alias("completed"))
 
@@ -103,7 +125,12 @@ def grade_named_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", s.reward.alias("reward"), s.completed.alias("completed"))
 
 
-@query("grade_code_traces", "SELECT doc_id, round((doc_id % 4) / 4.0::DOUBLE, 6) AS passed, doc_id % 2 = 0 AS fenced, TRUE AS tagged, 0.75::DOUBLE AS quality FROM documents")
+_TRACE = "CASE WHEN doc_id % 2 = 0 THEN E'<Code>```python\\nx\\n```</Code>' ELSE '<Code>x</Code>' END || repeat('<Execute>fine</Execute>', (doc_id % 4)::INT) || repeat('<Execute>[Error]: bad</Execute>', (4 - doc_id % 4)::INT)"
+
+
+@query("grade_code_traces", rf"""WITH t AS (SELECT doc_id, {_TRACE} AS t FROM documents), e AS (SELECT doc_id, t, regexp_extract_all(t, '(?s)<Execute>(.*?)</Execute>', 1) AS runs, regexp_extract_all(t, '(?s)<Code>(.*?)</Code>', 1) AS codes FROM t)
+  SELECT doc_id, round(len([x FOR x IN runs IF NOT contains(x, '[Error]:')]) / len(runs)::DOUBLE, 6) AS passed, len([x FOR x IN codes IF NOT regexp_matches(x, '(?s)^\s*```python\n.*```\s*$')]) = 0 AS fenced,
+    contains(t, '<Code>') AND contains(t, '</Code>') AND contains(t, '<Execute>') AND contains(t, '</Execute>') AS tagged, regexp_extract_all(t || ' SCORE: 1 SCORE: 3', 'SCORE:\s*(\d+)', 1)[-1]::INT / 4.0::DOUBLE AS quality FROM e""")
 def grade_code_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _code_traces(table(spark, sf_dir, "documents"))
 
@@ -145,19 +172,24 @@ def text_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", g.passages(items).alias("passages"), g.table_text(F.array("lang", "source"), rows).alias("table_text"))
 
 
-@query("text_cleanup", """SELECT doc_id, lang || '. ' || source || ' b' AS text FROM documents""")
+@query("text_cleanup", r"""SELECT doc_id, replace(regexp_replace(replace(trim('  ' || lang || ' [title]' || source || ' [step] b '), ' [title]', '. '), '\[.*?\]', '', 'g'), '  ', ' ') AS text FROM documents""")
 def text_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.concat(F.lit("  "), F.col("lang"), F.lit(" [title]"), F.col("source"), F.lit(" [step] b "))
     return table(spark, sf_dir, "documents").select("doc_id", g.cleaned(t).alias("text"))
 
 
-@query("text_tool_calls", """SELECT doc_id, 0 AS i, 'find' AS name, '{"n":' || n_chars || '}' AS arguments FROM documents""")
+@query("text_tool_calls", r"""WITH t AS (SELECT doc_id, E'x <tool_call>\n{"name": "find", "arguments": {"n": ' || n_chars || E'}}\n</tool_call> <tool_call>oops</tool_call>' AS t FROM documents),
+  b AS (SELECT doc_id, [x FOR x IN regexp_extract_all(t, '(?s)<tool_call>\s*(.*?)\s*</tool_call>', 1) IF json_valid(x)] AS b FROM t), e AS (SELECT doc_id, unnest(range(len(b))) AS i, unnest(b) AS b FROM b)
+  SELECT doc_id, i::INT AS i, json_extract_string(b, '$.name') AS name, json_extract_string(b, '$.arguments') AS arguments FROM e""")
 def text_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.concat(F.lit('x <tool_call>\n{"name": "find", "arguments": {"n": '), F.col("n_chars").cast("string"), F.lit("}}\n</tool_call> <tool_call>oops</tool_call>"))
     return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(g.tool_calls(t)).alias("i", "c")).select("doc_id", "i", "c.*")
 
 
-@query("math_boxed", "SELECT doc_id, '\\frac{' || n_chars || '}{2}' AS answer, doc_id % 2 = 0 AS correct FROM documents")
+@query("math_boxed", r"""WITH t AS (SELECT doc_id, n_chars, 'so \boxed{1} or \boxed{\frac{' || n_chars || '}{2}} .' AS t FROM documents),
+  a AS (SELECT doc_id, regexp_extract_all(t, '\\boxed\{((?:[^{}]|\{[^{}]*\})*)\}', 1)[-1] AS answer, n_chars / CASE WHEN doc_id % 2 = 0 THEN 2 ELSE 3 END AS truth FROM t),
+  v AS (SELECT *, regexp_extract(answer, '\{(\d+)\}\{', 1)::DOUBLE / regexp_extract(answer, '\}\{(\d+)\}', 1)::DOUBLE AS v FROM a)
+  SELECT doc_id, answer, abs(v - truth) <= 1e-4 * greatest(abs(v), abs(truth)) AS correct FROM v""")
 def math_boxed(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("n_chars").cast("string")
     t = F.concat(F.lit("so \\boxed{1} or \\boxed{\\frac{"), n, F.lit("}{2}} ."))
@@ -166,6 +198,26 @@ def math_boxed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "answer", mt.math_equal("answer", "truth").alias("correct"))
 
 
+#: Answers and truths by ``doc_id`` modulo their number, ``N`` for ``doc_id + 100``; and the same in SQL, of ``x`` and ``n``.
+_GRADED = (
+    ("(x+N)^2", "x^2+2*N*x+N^2", "(x + n) * (x + n)", "x * x + 2 * n * x + n * n"), ("(x+N)^2", "x^2+N^2", "(x + n) * (x + n)", "x * x + n * n"), ("0.5", "\\frac{1}{2}", "0.5", "1 / 2"),
+    ("N,000", "N000 meters", "n * 1000", "n * 1000"), ("\\frac{N}{x+7}", "N/(7+x)", "n / (x + 7)", "n / (7 + x)"), ("\\sqrt{N^2*x^2}", "N*x", "sqrt(n * n * x * x)", "n * x"),
+    ("x(x-N)", "x^2 - N x", "x * (x - n)", "x * x - n * x"), ("N 1/2", "N+0.5", "n + 0.5", "n + 0.5"),
+)
+
+
+def _graded_sql(i: int) -> str:
+    same = lambda x: f"({_GRADED[i][2]}) = ({_GRADED[i][3]})".replace("x", x)
+    return f"WHEN {i} THEN " + " AND ".join(same(x) for x in ("p", "q"))
+
+
+@query("math_graded", f"WITH d AS (SELECT doc_id, (doc_id + 100)::DOUBLE AS n, 2.0::DOUBLE AS p, (-3.0)::DOUBLE AS q FROM documents) SELECT doc_id, CASE doc_id % {len(_GRADED)} {' '.join(map(_graded_sql, range(len(_GRADED))))} END AS correct FROM d")
+def math_graded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = (F.col("doc_id") + 100).cast("string")
+    given, truth = _by_id(tuple(p[0] for p in _GRADED), n), _by_id(tuple(p[1] for p in _GRADED), n)
+    return table(spark, sf_dir, "documents").select("doc_id", algebra.math_graded(given, truth).alias("correct"))
+
+
 @query("math_repetition")
 def math_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", (mt.repetition("text") > 0.2).alias("repetitive"), mt.strip_accents("text").alias("plain"))
