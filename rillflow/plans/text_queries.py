@@ -66,7 +66,18 @@ def grade_plain_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", g.plain_answer(F.regexp_replace("text", r"[^\t\n -~]", "x")).alias("answer"))
 
 
-@query("grade_tag_answer", """SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 0.0 WHEN 1 THEN 1.0 WHEN 2 THEN 0.1 ELSE 0.25 END::DOUBLE AS score, CASE doc_id % 4 WHEN 0 THEN 0.0 WHEN 2 THEN 0.1 WHEN 3 THEN 0.25 ELSE 1.0 END::DOUBLE AS sub FROM documents""")
+def _plain_sql(x: str) -> str:
+    return rf"trim(regexp_replace(regexp_replace(regexp_replace(lower({x}), '[!-/:-@\[-`{{-~]', '', 'g'), '\b(a|an|the)\b', ' ', 'g'), '\s+', ' ', 'g'))"
+
+
+_ANSWERED = "trim(regexp_extract_all(t, '(?s)<answer>(.*?)</answer>', 1)[-1])"
+
+
+@query("grade_tag_answer", rf"""WITH g AS (SELECT doc_id, source, '<answer>The ' || source || '!</answer>' AS good FROM documents),
+  t AS (SELECT doc_id, ['other', upper(source)] AS golds, CASE doc_id % 4 WHEN 0 THEN 'nothing' WHEN 1 THEN good WHEN 2 THEN '<answer>no</answer>' ELSE repeat('<answer>x</answer>', 10) || good END AS t FROM g),
+  a AS (SELECT doc_id, golds, {_ANSWERED} AS a, CASE WHEN len(regexp_extract_all(t, '<answer>')) > 10 THEN 0.25 ELSE 1.0 END AS best FROM t)
+  SELECT doc_id, CASE WHEN a IS NULL THEN 0 WHEN len([x FOR x IN golds IF {_plain_sql('x')} = {_plain_sql('a')}]) > 0 THEN best ELSE 0.1 END::DOUBLE AS score,
+    CASE WHEN a IS NULL THEN 0 WHEN len([x FOR x IN golds IF contains({_plain_sql('a')}, {_plain_sql('x')})]) > 0 THEN best ELSE 0.1 END::DOUBLE AS sub FROM a""")
 def grade_tag_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.col("doc_id") % 4
     good = F.concat(F.lit("<answer>The "), F.col("source"), F.lit("!</answer>"))
@@ -75,8 +86,17 @@ def grade_tag_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", g.tag_score(t, golds, format_score=0.1).alias("score"), g.tag_score(t, golds, g.sub_match, format_score=0.1).alias("sub"))
 
 
-@query("grade_tag_states", """SELECT doc_id, doc_id % 5 IN (0, 1) AS strict, doc_id % 5 IN (0, 1, 2) AS loose, doc_id % 5 = 1 AS retrieved,
-  round(CASE doc_id % 5 WHEN 0 THEN 1.0 WHEN 1 THEN 1.0 WHEN 2 THEN 0.8 ELSE 0.0 END::DOUBLE, 6) AS reward FROM documents""")
+_TAGS_EVEN = " AND ".join(f"len(regexp_extract_all(t, '<{k}>')) = len(regexp_extract_all(t, '</{k}>'))" for k in ("think", "search", "information", "answer"))
+_TAGS_ORDER = r"\s*<think>[^<]*</think>\s*(<search>[^<]*</search>\s*<information>[^<]*</information>\s*<think>[^<]*</think>\s*)*<answer>[^<]*</answer>\s*"
+
+
+@query("grade_tag_states", rf"""WITH g AS (SELECT doc_id, source, '<answer>' || source || '</answer>' AS a FROM documents),
+  t AS (SELECT doc_id, source, CASE doc_id % 5 WHEN 0 THEN E'<think>a</think>\n' || a WHEN 1 THEN '<think>a</think><search>q</search><information>the ' || source || ' is</information><think>b</think>' || a
+    WHEN 2 THEN '<search>q</search><think>a</think>' || a WHEN 3 THEN '<think>a</think><answer>' ELSE '<think>a' END AS t FROM g),
+  j AS (SELECT doc_id, {_ANSWERED} AS a, regexp_full_match(t, '{_TAGS_ORDER}') AS strict, {_TAGS_EVEN} AND regexp_extract_all(t, '</?(?:think|search|information|answer)>')[-1] = '</answer>' AS loose,
+    len([x FOR x IN regexp_extract_all(t, '(?s)<information>(.*?)</information>', 1) IF contains({_plain_sql('x')}, {_plain_sql('source')})]) > 0 AS retrieved, source FROM t)
+  SELECT doc_id, strict, loose, retrieved, round(CASE WHEN a IS NOT NULL AND {_plain_sql('a')} = {_plain_sql('source')} THEN CASE WHEN strict THEN 1.0 ELSE 0.8 END
+    WHEN strict THEN CASE WHEN retrieved THEN 0.3 ELSE 0.2 END WHEN a IS NOT NULL THEN 0.1 ELSE 0.0 END::DOUBLE, 6) AS reward FROM j""")
 def grade_tag_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind, s = F.col("doc_id") % 5, F.col("source")
     answer = F.concat(F.lit("<answer>"), s, F.lit("</answer>"))
@@ -117,7 +137,13 @@ def grade_numeric_equal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", g.numeric_equal(v, v * (1 + (F.col("event_id") % 5) / 20000.0)).alias("same"))
 
 
-@query("grade_named_values", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS reward, (doc_id % 3 <> 2)::INT AS completed FROM documents")
+def _named_sql(name: str) -> str:
+    return f"[v[i] FOR i IN range(1, len(k) + 1) IF k[i] = '{name}'][-1]"
+
+
+@query("grade_named_values", rf"""WITH t AS (SELECT doc_id, lang, n_chars, '@lang[' || lang || '] ' || CASE doc_id % 3 WHEN 0 THEN '@n[0] @n[' || n_chars || '.0000001]' WHEN 1 THEN '@n[-1]' ELSE '' END AS t FROM documents),
+  p AS (SELECT *, regexp_extract_all(t, '@(\w+)\[(.*?)\]', 1) AS k, regexp_extract_all(t, '@(\w+)\[(.*?)\]', 2) AS v FROM t), n AS (SELECT *, {_named_sql('lang')} AS l, {_named_sql('n')} AS n FROM p)
+  SELECT doc_id, coalesce(l = lang AND abs(n::DOUBLE - n_chars) <= 1e-6, FALSE)::INT::DOUBLE AS reward, (l IS NOT NULL AND n IS NOT NULL)::INT AS completed FROM n""")
 def grade_named_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind, n = F.col("doc_id") % 3, F.col("n_chars").cast("string")
     t = F.concat(F.lit("@lang["), F.col("lang"), F.lit("] "), F.when(kind == 0, F.concat(F.lit("@n[0] @n["), n, F.lit(".0000001]"))).when(kind == 1, "@n[-1]").otherwise(""))
@@ -153,13 +179,16 @@ def grade_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(score), 6).alias("score"))
 
 
-@query("text_segments", """WITH s AS (SELECT doc_id, unnest(range(3)) AS i FROM documents) SELECT doc_id, i::INT AS i, ['code', 'interpreter', 'answer'][i + 1] AS kind, ['print(1)', '1', doc_id::VARCHAR][i + 1] AS body FROM s""")
+@query("text_segments", r"""WITH t AS (SELECT doc_id, 'a <code> print(1) </code> b <interpreter>1</interpreter><answer>' || doc_id || '</answer>' AS t FROM documents),
+  w AS (SELECT doc_id, regexp_extract_all(t, '(?s)<code>.*?</code>|<interpreter>.*?</interpreter>|<answer>.*?</answer>') AS w FROM t), e AS (SELECT doc_id, unnest(range(len(w))) AS i, unnest(w) AS w FROM w)
+  SELECT doc_id, i::INT AS i, regexp_extract(w, '^<(\w+)>', 1) AS kind, trim(regexp_extract(w, '(?s)^<\w+>(.*)</\w+>$', 1)) AS body FROM e""")
 def text_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.concat(F.lit("a <code> print(1) </code> b <interpreter>1</interpreter><answer>"), F.col("doc_id").cast("string"), F.lit("</answer>"))
     return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(g.segments(t)).alias("i", "s")).select("doc_id", "i", "s.*")
 
 
-@query("text_media_parts", """WITH s AS (SELECT doc_id, lang, unnest(range(4)) AS i FROM documents) SELECT doc_id, i::INT AS i, ['text', 'image', 'text', 'video'][i + 1] AS type, CASE i WHEN 0 THEN lang WHEN 2 THEN ' then' END AS text FROM s""")
+@query("text_media_parts", """WITH w AS (SELECT doc_id, regexp_extract_all(lang || '<image> then<video>', '<image>|<video>|[^<]+') AS w FROM documents), e AS (SELECT doc_id, unnest(range(len(w))) AS i, unnest(w) AS w FROM w)
+  SELECT doc_id, i::INT AS i, CASE w WHEN '<image>' THEN 'image' WHEN '<video>' THEN 'video' ELSE 'text' END AS type, CASE WHEN w NOT IN ('<image>', '<video>') THEN w END AS text FROM e""")
 def text_media_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.concat("lang", F.lit("<image> then<video>"))
     return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(g.media_parts(t)).alias("i", "s")).select("doc_id", "i", "s.type", "s.text")
