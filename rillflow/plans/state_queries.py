@@ -145,6 +145,27 @@ def pool_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pools.pool_stats(_pool(spark, sf_dir), pools.failures(_seen(spark, sf_dir)))
 
 
+def _forest_sql() -> str:
+    """Every gauge by a scalar query of its own."""
+    of = {
+        "trees": "count(DISTINCT tree) FROM f", "nodes": "count(*) FROM f", "active": "count(*) FROM f WHERE active", "active_child": "count(*) FROM f WHERE active AND parent IS NOT NULL", "suffixes": "count(*) FROM f WHERE suffixed",
+        "inactive": "count(*) FROM f WHERE NOT active", "sft_nodes": "count(*) FROM f WHERE active AND parent IS NOT NULL AND suffixed", "sft_trees": "count(DISTINCT tree) FROM f WHERE active AND parent IS NOT NULL AND suffixed",
+        "sft_updates": "sum(sft_updates) FROM f", "ready_trees": "count(DISTINCT tree) FROM f WHERE active AND parent IS NOT NULL", "root_seen": "count(*) FROM f WHERE parent IS NULL", "child_seen": "count(*) FROM f WHERE parent IS NOT NULL",
+        "root_rate": "avg((k_succ > 0)::INT) FROM f WHERE parent IS NULL", "child_rate": "avg((k_succ > 0)::INT) FROM f WHERE parent IS NOT NULL",
+        "events": "count(*) FROM e", "in_flight": "0", "queued": "count(*) FROM e", **{k: f"count(*) FROM orders WHERE o_orderkey % {len(pools.LOGGED)} = {i}" for i, k in enumerate(pools.LOGGED)},
+    }
+    parts = [f"SELECT '{k}' AS key, round((SELECT {of[v]}), 6)::DOUBLE AS value" for k, v in pools.GAUGES.items()] + [f"SELECT '{k}', 0.0::DOUBLE" for k in pools.ZEROS]
+    return f"WITH {P}, f AS (SELECT *, node % 7 <> 0 AND parent IS NOT NULL AS suffixed, node % 3 AS sft_updates FROM p) " + " UNION ALL ".join(parts)
+
+
+@query("pool_forest_stats", _forest_sql())
+def pool_forest_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = _pool(spark, sf_dir).selectExpr("*", "node % 7 <> 0 and parent is not null as suffixed", "node % 3 as sft_updates")
+    kinds = F.array(*[F.lit(k) for k in pools.LOGGED])
+    log = table(spark, sf_dir, "orders").select(F.get(kinds, (F.col("o_orderkey") % len(pools.LOGGED)).cast("int")).alias("kind"))
+    return pools.forest_stats(nodes, pools.failures(_seen(spark, sf_dir)), log).withColumn("value", F.round("value", 6))
+
+
 @query("pool_evict", "SELECT event_id FROM events WHERE 500 - event_id % 600 <= 200 ORDER BY event_id DESC LIMIT 1000")
 def pool_evict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pools.evict(table(spark, sf_dir, "events").selectExpr("event_id", "event_id % 600 as step"), 500, 200, 1000, "event_id").select("event_id")

@@ -176,6 +176,47 @@ def pool_stats(nodes: DataFrame, events: DataFrame) -> DataFrame:
     return both.select(*[F.col(c).cast("double").alias(c) for c in both.columns]).unpivot([], both.columns, "key", "value")
 
 
+# Gauges of a dashboard by the count they show, other names of the same, and names that show 0.
+GAUGES = {
+    "forest/num_trees": "trees", "forest/num_nodes": "nodes", "forest/active_nodes": "active", "forest/active_nonroot_nodes": "active_child", "forest/teacher_suffix_nodes": "suffixes", "forest/deactivated_nodes": "inactive",
+    "teacher/events_queued": "queued", "teacher/events_dispatched": "dispatched", "teacher/events_in_flight": "in_flight", "teacher/events_succeeded": "success", "teacher/events_duplicate_dropped": "duplicate",
+    "teacher/events_invalid": "invalid", "teacher/events_stale_parent_inactive": "inactive_parent", "teacher/events_failed": "failed", "teacher/events_stale": "stale", "teacher/events_cleared": "cleared",
+    "sft/eligible_trees": "sft_trees", "sft/eligible_nodes": "sft_nodes", "sft/sampled_nodes": "sft_sampled", "sft/recorded_node_updates": "sft_updates",
+    "prefix_any_success_rate": "child_rate", "root_any_success_rate": "root_rate",
+    "forest_pool/trees": "trees", "forest_pool/active_trees": "ready_trees", "forest_pool/total_nodes": "nodes", "forest_pool/observed_root_nodes": "root_seen", "forest_pool/observed_nonroot_nodes": "child_seen",
+    "forest_pool/pending_events": "events", "forest_pool/suffix_sft_nodes": "suffixes", "forest_pool/suffix_sft_candidate_nodes": "sft_nodes", "forest_pool/suffix_sft_updates_total": "sft_updates",
+    "forest_pool/suffix_sft_sampled_cumulative": "sft_sampled", "forest_pool/rollout_retired_nodes": "inactive", "forest_pool/events_enqueued": "enqueued", "forest_pool/events_dispatched": "dispatched",
+    "forest_pool/teacher_successes": "success", "forest_pool/teacher_failed": "failed", "forest_pool/teacher_stale": "stale", "forest_pool/teacher_cleared": "cleared", "forest_pool/duplicate_child": "duplicate", "forest_pool/invalid_child": "invalid",
+}
+ZEROS = (
+    "sft/optimizer_steps", "forest_pool/solved_trees", "forest_pool/suffix_sft_maturation_steps", "forest_pool/suffix_sft_matured_nodes", "forest_pool/suffix_sft_matured_cumulative", "forest_pool/events_coalesced",
+    "forest_pool/pruned_nodes", "forest_pool/solved_cumulative", "forest_pool/reactivated_cumulative", "forest_pool/rr_tree_queue_size",
+)
+#: What the log of a pool counts.
+LOGGED = ("enqueued", "dispatched", "success", "duplicate", "invalid", "inactive_parent", "failed", "stale", "cleared", "sft_sampled")
+
+
+def forest_stats(nodes: DataFrame, events: DataFrame, log: DataFrame) -> DataFrame:
+    """(key, value) of all gauges: of the snapshot ``nodes`` (with ``suffixed``: a teacher's suffix is there, and ``sft_updates``), of the
+    waiting ``events`` and of ``log(kind)``, one row for each thing that happened. Nodes are counted by tree first, so no distinct counts."""
+    child, seen = F.col("parent").isNotNull(), F.col("k_total") > 0
+    flags = {
+        "nodes": F.lit(True), "active": F.col("active"), "active_child": F.col("active") & child, "suffixes": F.col("suffixed"), "inactive": ~F.col("active"), "sft_nodes": F.col("active") & child & F.col("suffixed"),
+        "root_seen": seen & ~child, "child_seen": seen & child, "root_good": seen & ~child & (F.col("k_succ") > 0), "child_good": seen & child & (F.col("k_succ") > 0),
+    }
+    by_tree = nodes.groupBy("tree").agg(*[F.count_if(c).alias(k) for k, c in flags.items()], F.sum("sft_updates").alias("sft_updates"))
+    rate = lambda good, all_: F.coalesce(F.try_divide(F.sum(good), F.sum(all_)), F.lit(0.0))
+    counts = by_tree.agg(
+        F.count(F.lit(1)).alias("trees"), *[F.sum(k).alias(k) for k in (*flags, "sft_updates")], F.count_if(F.col("active_child") > 0).alias("ready_trees"), F.count_if(F.col("sft_nodes") > 0).alias("sft_trees"),
+        rate("root_good", "root_seen").alias("root_rate"), rate("child_good", "child_seen").alias("child_rate"),
+    )
+    waiting = events.agg(F.count(F.lit(1)).alias("events"), F.count_if("in_flight").alias("in_flight"), F.count_if(~F.col("in_flight")).alias("queued"))
+    happened = log.agg(*[F.count_if(F.col("kind") == k).alias(k) for k in LOGGED])
+    one = counts.join(F.broadcast(waiting)).join(F.broadcast(happened))
+    shown = {**{k: F.coalesce(F.col(v).cast("double"), F.lit(0.0)) for k, v in GAUGES.items()}, **{k: F.lit(0.0) for k in ZEROS}}
+    return one.select(F.explode(F.array(*[F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in shown.items()])).alias("g")).select("g.*")
+
+
 def evict(entries: DataFrame, step: int, most_age: int, most: int, order: str = "seq") -> DataFrame:
     """Entries of at most ``most_age`` steps, and of these the newest ``most``."""
     return entries.where(step - F.col("step") <= most_age).orderBy(F.desc(order)).limit(most)
