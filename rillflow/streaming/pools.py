@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from rillflow.operators.batches import number
+
 LEARNING, DEEPENING, COMPLETED, ABANDONED = "learning", "deepening_requested", "completed", "abandoned"
 
 
@@ -157,12 +159,14 @@ def sample_suffixes(nodes: DataFrame, n: int, per_tree: int = 1) -> DataFrame:
 
 
 def round_robin_batches(nodes: DataFrame, size: int) -> DataFrame:
-    """``batch``: rounds over trees, every batch of ``size`` nodes of distinct trees; what doesn't fill a batch is left out."""
+    """``batch``: rounds over trees, every batch of ``size`` nodes of distinct trees; what doesn't fill a batch is left out.
+
+    A round has a row of every tree that is large enough, so places within rounds come from ranges of (round, tree), not from a window of a round."""
     turn = F.row_number().over(Window.partitionBy("tree").orderBy("created", "node"))
-    placed = nodes.withColumn("round", turn)
-    place = F.row_number().over(Window.partitionBy("round").orderBy("tree"))
-    full = F.floor(F.count(F.lit(1)).over(Window.partitionBy("round")) / size) * size
-    return placed.withColumn("_p", place).withColumn("_f", full).where("_p <= _f").withColumn("batch", F.floor((F.col("_p") - 1) / size)).drop("_p", "_f")
+    placed = number(nodes.withColumn("round", turn), "round", "tree")
+    rounds = placed.groupBy("round").agg(F.min("row_id").alias("_first"), (F.floor(F.count(F.lit(1)) / size) * size).alias("_full"))
+    kept = placed.join(rounds, "round").withColumn("_p", F.col("row_id") - F.col("_first")).where("_p < _full")
+    return kept.withColumn("batch", F.floor(F.col("_p") / size)).drop("_p", "_first", "_full", "row_id")
 
 
 def pool_stats(nodes: DataFrame, events: DataFrame) -> DataFrame:
