@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rillflow.llm import odd_sketches, packing, quality_rules, secret_scan, sentence_pieces, substring_dedup, suffix_dedup, tool_links, tree_forest, url_filter
+from rillflow.llm import collocations, odd_sketches, packing, quality_rules, secret_scan, sentence_pieces, substring_dedup, suffix_dedup, tool_links, tree_forest, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -77,6 +77,10 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeated_words(_table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False).drop("row")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents").select("lang", "text"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_sentence_pieces": op1_sentence_pieces,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -88,6 +92,7 @@ QUERIES: dict[str, Query] = {
     "op8_odd_sketches": op8_odd_sketches,
     "op9_secret_scan": op9_secret_scan,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_collocations": op11_collocations,
 }
 
 SQL: dict[str, str] = {
@@ -127,4 +132,22 @@ j AS (SELECT q.page_id, q.host, q.path, fits.rule, fits.ruled,
   regexp_replace(regexp_replace(q.host, '(:\d*|\.)$', ''), '^(www|m)\.', '') || regexp_replace(regexp_replace(q.path, '/{2,}', '/', 'g'), '(\.html?|/)$', '') AS canonical
   FROM q LEFT JOIN fits USING (page_id))
 SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN canonical IN (SELECT canonical FROM j WHERE ruled = 'block') THEN 'block' ELSE 'allow' END) AS verdict FROM j""",
+    "op11_collocations": r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+i AS (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM w),
+g AS (SELECT lang, ws, i, unnest(range(1, least(4, len(ws) - i + 1) + 1)) AS d FROM i),
+f AS (SELECT lang, ws[i : i + d - 1] AS path, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 30),
+total AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM w GROUP BY lang),
+c AS (SELECT lang, path, f AS a FROM f WHERE len(path) > 1),
+k AS (SELECT *, unnest(range(1, len(path))) AS k FROM c),
+s AS (SELECT k.lang, k.path, k.k, k.a, x.f AS l, y.f AS r, (2000000::HUGEINT * k.a) // (x.f + y.f) AS score
+  FROM k JOIN f x ON x.lang = k.lang AND x.path = k.path[1 : k.k] JOIN f y ON y.lang = k.lang AND y.path = k.path[k.k + 1 :]),
+best AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, path ORDER BY score, k) = 1),
+b AS (SELECT lang, path, a, unnest(range(1, len(path) + 1)) AS i FROM c),
+e AS (SELECT lang, path, a, i, unnest(range(2, len(path) - i + 2)) AS d FROM b),
+inside AS (SELECT lang, path[i : i + d - 1] AS path, max(a) AS over FROM e WHERE d < len(path) GROUP BY ALL),
+kept AS (SELECT best.* FROM best LEFT JOIN inside USING (lang, path) WHERE over IS NULL OR 100 * over::HUGEINT < 80 * a::HUGEINT),
+r AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(path, ' ')) AS rank, array_to_string(path, ' ') AS phrase, a, l, r, score FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM r JOIN total USING (lang) WHERE rank <= 2000""",
 }
