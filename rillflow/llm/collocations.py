@@ -31,7 +31,7 @@ DEPTH = 4
 #: 64-bit words of the bitmap of frequent nodes.
 BITMAP_WORDS = 1 << 20
 #: Paths that a shard holds before it writes them as a run and starts anew.
-RUN_PATHS = 1 << 20
+RUN_PATHS = 1 << 19
 #: Groups in which a language's phrases are ranked before the last ranking.
 SALTS = 64
 _UPPER = np.zeros(256, np.uint8)
@@ -45,10 +45,16 @@ Batches = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
 def _parts(body: np.ndarray, at: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
     """Ranges of about ``limit`` bytes that end where a row or a piece ends: a phrase never crosses them, and a long text comes in several."""
-    ends = np.union1d(at[1:], np.flatnonzero(_CUT[body]) + 1)
     a = 0
     while a < len(body):
-        b = int(ends[min(np.searchsorted(ends, a + limit), len(ends) - 1)])
+        b = min(a + limit, len(body))
+        row = int(at[np.searchsorted(at, b)])
+        while b < row:
+            found = np.flatnonzero(_CUT[body[b - 1 : min(b - 1 + limit, row)]])
+            if len(found):
+                b += int(found[0])
+                break
+            b = min(b + limit, row)
         yield a, b
         a = b
 
@@ -101,17 +107,17 @@ def _runs(count: Callable[[_Words, np.ndarray, pa.Array], pa.RecordBatch | None]
     """A shard's trie as sorted runs: ``count`` gives the paths of a range of words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, limit = [], 0, RUN_PATHS
+        held, size = [], 0
         for words, body, langs in _each(batches):
             got = count(words, body, langs) if len(words.symbols) else None
             if got is None or not got.num_rows:
                 continue
             held.append(got)
             size += got.num_rows
-            if size > 2 * limit:
+            if size > RUN_PATHS * 3 // 2:
                 held = [_sorted_run(held, path)]
                 size = held[0].num_rows
-                if size > limit:
+                if size > RUN_PATHS:
                     yield held.pop()
                     size = 0
         if held:
@@ -163,8 +169,8 @@ def _deep(least: int, most: int, known: int, bitmap) -> Callable[[_Words, np.nda
             keys, node, n = np.unique((node.astype(np.int64) << 32) | symbol[begin + depth - 1], return_inverse=True, return_counts=True)
             paths = [p[keys >> 32] for p in paths] + [names[keys & 0xFFFFFFFF]]
             if depth >= least:
-                columns = [p.view(np.int64) for p in paths] + [np.zeros(len(n), np.int64)] * (DEPTH - depth)
-                out.append(pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(n.astype(np.int64))], names=[*PATH, "n"]))
+                columns = [p.view(np.int64) for p in paths] + [np.zeros(len(n), np.int64)] * (most - depth)
+                out.append(pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(n.astype(np.int64))], names=[*PATH[:most], "n"]))
         return pa.concat_batches(out) if out else None
 
     return count
@@ -256,13 +262,14 @@ def collocations(docs: DataFrame, least: int = 30, top: int = 2000, percent: int
     shards = cut(rows.mapInArrow(_runs(_single, ["w1"]), "w1 bigint, lang string, word string, n bigint"), "tries")
     total = shards.groupBy("lang").agg(F.sum("n").alias("n"))
     words = merged(shards, ["w1"], least)
-    schema = ", ".join(f"{w} bigint" for w in PATH) + ", n bigint"
 
-    def grown(nodes: DataFrame, path: list[str], shortest: int, longest: int) -> DataFrame:
-        return merged(cut(rows.mapInArrow(_runs(_deep(shortest, longest, len(path), bitmap(nodes, path)), PATH), schema), "tries"), PATH, least)
+    def grown(nodes: DataFrame, known: int, shortest: int, longest: int) -> DataFrame:
+        path, schema = PATH[:longest], ", ".join(f"{w} bigint" for w in [*PATH[:longest], "n"])
+        count = _deep(shortest, longest, known, bitmap(nodes, PATH[:known]))
+        return merged(cut(rows.mapInArrow(_runs(count, path), schema), "tries"), path, least)
 
-    pairs = grown(words, PATH[:1], 2, 2)
-    deep = grown(pairs, PATH[:2], 3, DEPTH)
+    pairs = grown(words, 1, 2, 2)
+    deep = grown(pairs, 2, 3, DEPTH)
     none = F.array().cast("array<bigint>")
     one = words.select("w1", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), F.col("n").alias("a"), none.alias("lefts"), none.alias("rights"))
     levels, above = [], one
