@@ -3,6 +3,7 @@
 Every shard (a task's rows) counts the phrases of its texts in tries of at most ``DEPTH`` words. A trie is written as
 sorted runs of its paths; runs of all shards are dealt out by ranges of the paths and merged there, so a node gets its
 count in the whole corpus however many shards and texts hold it, and a frequent first word is spread over many ranges.
+The ranges' bounds are quantiles of the paths of some ``SAMPLE_ROWS`` rows; they settle who merges what, not what counts.
 
 Tries grow in three passes over the texts: words, pairs of words, then phrases of three and four. No phrase is more
 frequent than its parts, so a pass follows only parts that the pass before found often enough. It knows them by a
@@ -32,6 +33,8 @@ DEPTH = 4
 BITMAP_WORDS = 1 << 20
 #: Paths that a shard holds before it writes them as a run and starts anew.
 RUN_PATHS = 1 << 19
+#: Rows whose paths bound the ranges, and paths of each of their runs.
+SAMPLE_ROWS, SAMPLE_PATHS = 512, 512
 #: Groups in which a language's phrases are ranked before the last ranking.
 SALTS = 64
 _UPPER = np.zeros(256, np.uint8)
@@ -41,6 +44,7 @@ _CUT[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
 _GAP[[0x20, 0x09]] = True
 PATH = ["w1", "w2", "w3", "w4"]
 Batches = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+Count = Callable[["_Words", np.ndarray, pa.Array], pa.RecordBatch | None]
 
 
 def _parts(body: np.ndarray, at: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
@@ -103,8 +107,24 @@ def _sorted_run(held: list[pa.RecordBatch], path: list[str]) -> pa.RecordBatch:
     return both.set_column(both.schema.get_field_index("n"), "n", pa.array(n, pa.int64()))
 
 
-def _runs(count: Callable[[_Words, np.ndarray, pa.Array], pa.RecordBatch | None], path: list[str]) -> Batches:
-    """A shard's trie as sorted runs: ``count`` gives the paths of a range of words."""
+def _ranges(run: pa.RecordBatch, path: list[str], bounds: np.ndarray) -> np.ndarray:
+    """The range of each path of a sorted run: how many of ``bounds`` (sorted paths) are not above it."""
+    keys = [np.asarray(run.column(k)) for k in path]
+    begins = np.empty(len(bounds), np.int64)
+    for i, bound in enumerate(bounds):
+        a, b = 0, run.num_rows
+        for key, x in zip(keys[:-1], bound[:-1], strict=True):
+            a, b = a + np.searchsorted(key[a:b], x, "left"), a + np.searchsorted(key[a:b], x, "right")
+        begins[i] = a + np.searchsorted(keys[-1][a:b], bound[-1], "left")
+    return np.searchsorted(begins, np.arange(run.num_rows), "right").astype(np.int32)
+
+
+def _runs(count: Count, path: list[str], bounds: np.ndarray) -> Batches:
+    """A shard's trie as sorted runs with their ``range``: ``count`` gives the paths of a range of words."""
+
+    def ranged(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        run = _sorted_run(held, path)
+        return pa.RecordBatch.from_arrays([*run.columns, pa.array(_ranges(run, path, bounds))], names=[*run.schema.names, "range"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -118,10 +138,10 @@ def _runs(count: Callable[[_Words, np.ndarray, pa.Array], pa.RecordBatch | None]
                 held = [_sorted_run(held, path)]
                 size = held[0].num_rows
                 if size > RUN_PATHS:
-                    yield held.pop()
-                    size = 0
+                    yield ranged(held)
+                    held, size = [], 0
         if held:
-            yield _sorted_run(held, path)
+            yield ranged(held)
 
     return run
 
@@ -145,7 +165,7 @@ def _bits(path: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return (h >> U(12)) % U(BITMAP_WORDS), (U(1) << (h & U(63))) | (U(1) << ((h >> U(6)) & U(63)))
 
 
-def _deep(least: int, most: int, known: int, bitmap) -> Callable[[_Words, np.ndarray, pa.Array], pa.RecordBatch | None]:
+def _deep(least: int, most: int, known: int, bitmap) -> Count:
     """Nodes of ``least`` to ``most`` words whose parts of ``known`` words are all in the bitmap."""
 
     def count(words: _Words, body: np.ndarray, langs: pa.Array) -> pa.RecordBatch | None:
@@ -197,10 +217,28 @@ def _merge(path: list[str], least: int) -> Batches:
     return run
 
 
-def merged(runs: DataFrame, path: list[str], least: int) -> DataFrame:
-    """Sorted runs of all shards, a table, merged by ranges of their paths: nodes that occur ``least`` times in all. A table."""
-    dealt = runs.repartitionByRange(*path).sortWithinPartitions(*path)
-    return cut(dealt.mapInArrow(_merge(path, least), runs.schema), "nodes")
+def _bounds(rows: DataFrame, count: Count, path: list[str], ranges: int) -> np.ndarray:
+    """Paths that cut the corpus' paths into about equal ranges; at most ``SAMPLE_ROWS`` * ``SAMPLE_PATHS`` come to the driver, or so."""
+    none = np.zeros((0, len(path)), np.int64)
+
+    def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for run in _runs(count, path, none)(batches):
+            yield run.select(path).take(pa.array(np.arange(0, run.num_rows, -(-run.num_rows // SAMPLE_PATHS))))
+
+    part = min(1.0, SAMPLE_ROWS / max(1, rows.count()))
+    taken = rows.sample(part, seed=11).mapInArrow(thin, ", ".join(f"{w} bigint" for w in path)).toArrow()
+    keys = [np.asarray(taken.column(k)) for k in path]
+    order = np.lexsort(keys[::-1])
+    at = order[np.arange(1, ranges) * len(order) // ranges] if len(order) else order
+    return np.unique(np.stack([k[at] for k in keys], 1), axis=0) if len(at) else none
+
+
+def merged(rows: DataFrame, count: Count, path: list[str], columns: str, least: int) -> DataFrame:
+    """Tries of all shards, their sorted runs merged by ranges of their paths: nodes that occur ``least`` times in all. A table of ``columns``."""
+    ranges = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    runs = rows.mapInArrow(_runs(count, path, _bounds(rows, count, path, ranges)), f"{columns}, range int")
+    dealt = runs.repartitionById(ranges, "range").drop("range").sortWithinPartitions(*path)
+    return cut(dealt.mapInArrow(_merge(path, least), columns), "nodes")
 
 
 def bitmap(nodes: DataFrame, path: list[str]):
@@ -259,14 +297,13 @@ def collocations(docs: DataFrame, least: int = 30, top: int = 2000, percent: int
     without candidates gives no row; other columns of ``docs`` are ignored. Words are known by 64-bit hashes.
     """
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    shards = cut(rows.mapInArrow(_runs(_single, ["w1"]), "w1 bigint, lang string, word string, n bigint"), "tries")
-    total = shards.groupBy("lang").agg(F.sum("n").alias("n"))
-    words = merged(shards, ["w1"], least)
+    nodes = merged(rows, _single, PATH[:1], "w1 bigint, lang string, word string, n bigint", 1)
+    total = nodes.groupBy("lang").agg(F.sum("n").alias("n"))
+    words = nodes.where(F.col("n") >= least)
 
     def grown(nodes: DataFrame, known: int, shortest: int, longest: int) -> DataFrame:
-        path, schema = PATH[:longest], ", ".join(f"{w} bigint" for w in [*PATH[:longest], "n"])
-        count = _deep(shortest, longest, known, bitmap(nodes, PATH[:known]))
-        return merged(cut(rows.mapInArrow(_runs(count, path), schema), "tries"), path, least)
+        path = PATH[:longest]
+        return merged(rows, _deep(shortest, longest, known, bitmap(nodes, PATH[:known])), path, ", ".join(f"{w} bigint" for w in [*path, "n"]), least)
 
     pairs = grown(words, 1, 2, 2)
     deep = grown(pairs, 2, 3, DEPTH)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillflow.llm import collocations, hard_negatives, odd_sketches, packing, quality_rules, secret_scan, sentence_pieces, substring_dedup, suffix_dedup, tool_links, tree_forest, url_filter
+from rillflow.llm import collocations, hard_negatives, odd_sketches, packing, page_text, quality_rules, secret_scan, sentence_pieces, substring_dedup, suffix_dedup, tool_links, tree_forest, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -82,6 +82,10 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(_table(spark, sf_dir, "documents").select("lang", "text"))
 
 
+def op12_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_text.page_texts(_table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label"))
     return hard_negatives.hard_negatives(rows, F.col("vec_id") % 100 == 0)
@@ -99,6 +103,7 @@ QUERIES: dict[str, Query] = {
     "op9_secret_scan": op9_secret_scan,
     "op10_substring_dedup": op10_substring_dedup,
     "op11_collocations": op11_collocations,
+    "op12_page_text": op12_page_text,
     "op13_hard_negatives": op13_hard_negatives,
 }
 
@@ -157,6 +162,11 @@ inside AS (SELECT lang, path[i : i + d - 1] AS path, max(a) AS over FROM e WHERE
 kept AS (SELECT best.* FROM best LEFT JOIN inside USING (lang, path) WHERE over IS NULL OR 100 * over::HUGEINT < 80 * a::HUGEINT),
 r AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(path, ' ')) AS rank, array_to_string(path, ' ') AS phrase, a, l, r, score FROM kept)
 SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM r JOIN total USING (lang) WHERE rank <= 2000""",
+    "op12_page_text": r"""
+WITH a AS (SELECT page_id, url, unnest(string_split_regex(regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1), '</?(?:p|h1)>')) AS block, generate_subscripts(string_split_regex(regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1), '</?(?:p|h1)>'), 1) AS i FROM pages),
+d AS (SELECT page_id, url, i, replace(replace(replace(replace(regexp_replace(block, '<br>|\s', ' ', 'g'), '<b>', ''), '</b>', ''), '&#39;', chr(39)), '&quot;', '"') AS t FROM a),
+e AS (SELECT page_id, url, i, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&amp;?', '&', 'g'), ' +', ' ', 'g')) AS t FROM d)
+SELECT page_id, url, coalesce(string_agg(t, chr(10) ORDER BY i) FILTER (WHERE t <> ''), '') AS text, coalesce(length(string_agg(t, chr(10) ORDER BY i) FILTER (WHERE t <> '')), 0)::BIGINT AS n_chars FROM e GROUP BY page_id, url""",
     "op13_hard_negatives": r"""
 WITH v AS (SELECT vec_id, (CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END)::BIGINT AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
   FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
