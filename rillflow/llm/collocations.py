@@ -25,18 +25,20 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rillflow.llm.text_arrays import CHUNK_BYTES, Rolling, U, byte_symbols, bytes_of, mix
+from rillflow.llm.text_arrays import Rolling, U, byte_symbols, bytes_of, mix
 from rillflow.operators.tables import cut
 
 DEPTH = 4
 #: 64-bit words of the bitmap of frequent nodes.
 BITMAP_WORDS = 1 << 20
 #: Paths that a shard holds before it writes them as a run and starts anew.
-RUN_PATHS = 1 << 19
+RUN_PATHS = 3 << 17
 #: Rows whose paths bound the ranges, and paths of each of their runs.
 SAMPLE_ROWS, SAMPLE_PATHS = 512, 512
 #: Groups in which a language's phrases are ranked before the last ranking.
 SALTS = 64
+#: Bytes of text whose words are taken at once.
+RANGE_BYTES = 1 << 18
 _UPPER = np.zeros(256, np.uint8)
 _UPPER[65:91] = 32
 _CUT, _GAP = np.zeros(256, bool), np.zeros(256, bool)
@@ -79,7 +81,7 @@ class _Words:
         self.symbols = mix(Rolling(byte_symbols(body, lower=True)).of(self.start, self.end) ^ langs[self.row])
 
 
-def _each(batches: Iterator[pa.RecordBatch], limit: int = CHUNK_BYTES) -> Iterator[tuple[_Words, np.ndarray, pa.Array]]:
+def _each(batches: Iterator[pa.RecordBatch], limit: int = RANGE_BYTES) -> Iterator[tuple[_Words, np.ndarray, pa.Array]]:
     """Words of the rows (lang, text), range by range, with the range's bytes and each row's language."""
     for batch in batches:
         body, at = bytes_of(batch.column(1))
