@@ -231,20 +231,55 @@ def math_boxed(spark: SparkSession, sf_dir: str) -> DataFrame:
 _GRADED = (
     ("(x+N)^2", "x^2+2*N*x+N^2", "(x + n) * (x + n)", "x * x + 2 * n * x + n * n"), ("(x+N)^2", "x^2+N^2", "(x + n) * (x + n)", "x * x + n * n"), ("0.5", "\\frac{1}{2}", "0.5", "1 / 2"),
     ("N,000", "N000 meters", "n * 1000", "n * 1000"), ("\\frac{N}{x+7}", "N/(7+x)", "n / (x + 7)", "n / (7 + x)"), ("\\sqrt{N^2*x^2}", "N*x", "sqrt(n * n * x * x)", "n * x"),
-    ("x(x-N)", "x^2 - N x", "x * (x - n)", "x * x - n * x"), ("N 1/2", "N+0.5", "n + 0.5", "n + 0.5"),
+    ("x(x-N)", "x^2 - N x", "x * (x - n)", "x * x - n * x"), ("N 1/2", "N+0.5", "n + 0.5", "n + 0.5"), ("\\frac{N}{\\sqrt{N}+3}", "\\frac{N\\sqrt{N}-3*N}{N-9}", "n / (sqrt(n) + 3)", "(n * sqrt(n) - 3 * n) / (n - 9)"),
+    ("\\sqrt{N}+\\sqrt{2}", "\\sqrt{N+2}", "sqrt(n) + sqrt(2)", "sqrt(n + 2)"), ("x+y+N z", "N z+y+x", "x + 3 * x + n * x", "n * x + 3 * x + x"), ("2^{N}x", "4^{N/2}x", "2 * x", "2 * x"),
 )
+#: The same, where a way of writing decides: what is right only if that doesn't count.
+_LENIENT = (*_GRADED, ("\\frac{N}{2*N}", "\\frac{1}{2}", "n / (2 * n)", "1 / 2"), ("\\frac{6*N}{2}", "3*N", "6 * n / 2", "3 * n"), ("\\frac{30}{3}", "10", "30 / 3", "10"), ("2^{3}N", "8*N+1", "8 * n", "8 * n + 1"))
 
 
-def _graded_sql(i: int) -> str:
-    same = lambda x: f"({_GRADED[i][2]}) = ({_GRADED[i][3]})".replace("x", x)
-    return f"WHEN {i} THEN " + " AND ".join(same(x) for x in ("p", "q"))
+def _graded_sql(cases: tuple, n_of: str = "doc_id") -> str:
+    """Whether given and truth have the same values at two points."""
+    same = lambda c, x: f"abs(({c[2]}) - ({c[3]})) <= 1e-9 * greatest(1, abs({c[2]}))".replace("x", x).replace(f"ma{x}", "max")
+    return f"CASE {n_of} % {len(cases)} " + " ".join(f"WHEN {i} THEN " + " AND ".join(same(c, x) for x in ("p", "q")) for i, c in enumerate(cases)) + " END"
 
 
-@query("math_graded", f"WITH d AS (SELECT doc_id, (doc_id + 100)::DOUBLE AS n, 2.0::DOUBLE AS p, (-3.0)::DOUBLE AS q FROM documents) SELECT doc_id, CASE doc_id % {len(_GRADED)} {' '.join(map(_graded_sql, range(len(_GRADED))))} END AS correct FROM d")
-def math_graded(spark: SparkSession, sf_dir: str) -> DataFrame:
+_POINTS_SQL = "d AS (SELECT doc_id, (doc_id + 100)::DOUBLE AS n, 2.0::DOUBLE AS p, (-3.0)::DOUBLE AS q FROM documents)"
+
+
+def _answers(cases: tuple) -> tuple[Column, Column]:
     n = (F.col("doc_id") + 100).cast("string")
-    given, truth = _by_id(tuple(p[0] for p in _GRADED), n), _by_id(tuple(p[1] for p in _GRADED), n)
-    return table(spark, sf_dir, "documents").select("doc_id", algebra.math_graded(given, truth).alias("correct"))
+    return _by_id(tuple(c[0] for c in cases), n), _by_id(tuple(c[1] for c in cases), n)
+
+
+@query("math_graded", f"WITH {_POINTS_SQL} SELECT doc_id, {_graded_sql(_GRADED)} AS correct FROM d")
+def math_graded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", algebra.math_graded(*_answers(_GRADED)).alias("correct"))
+
+
+@query("math_graded_lenient", f"WITH {_POINTS_SQL} SELECT doc_id, {_graded_sql(_LENIENT)} AS correct FROM d")
+def math_graded_lenient(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", algebra.math_graded_lenient(*_answers(_LENIENT)).alias("correct"))
+
+
+@query("grade_boxed_any", f"""WITH {_POINTS_SQL}, r AS (SELECT doc_id, doc_id % 7 <> 3 AS formatted, doc_id % 5 = 1 AS among, {_graded_sql(_LENIENT)} AS same FROM d)
+  SELECT doc_id, formatted, formatted AND (same OR among) AS correct FROM r""")
+def grade_boxed_any(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replies that box their answer, but for one in seven, against several truths; one in five has the answer itself among them."""
+    given, truth = _answers(_LENIENT)
+    reply = F.concat(F.lit("first \\boxed{1}, then "), F.when(F.col("doc_id") % 7 == 3, F.lit("no box\\boxed")).otherwise(F.concat(F.lit("\\boxed{"), given, F.lit("}."))))
+    golds = F.array(F.lit("monday"), F.concat(F.lit("so \\boxed{"), truth, F.lit("}")), F.lit(None), F.when(F.col("doc_id") % 5 == 1, given))
+    return table(spark, sf_dir, "documents").select("doc_id", algebra.graded_box(reply, golds).alias("g")).select("doc_id", "g.*")
+
+
+@query("grade_think_answer", f"""WITH {_POINTS_SQL}, r AS (SELECT doc_id, doc_id % 4 <> 1 AS formatted, {_graded_sql(_LENIENT)} AS same FROM d) SELECT doc_id, formatted, formatted AND same AS correct FROM r""")
+def grade_think_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers in a tag after the thoughts, boxed or not; one in four has the tag in another place."""
+    given, truth = _answers(_LENIENT)
+    gap = F.when(F.col("doc_id") % 4 == 1, F.lit("\n")).otherwise(F.lit(" "))
+    answer = F.when(F.col("doc_id") % 2 == 0, given).otherwise(F.concat(F.lit("it is \\boxed{"), given, F.lit("}")))
+    reply = F.concat(F.lit("<think>an <answer>1</answer>?</think>"), gap, F.lit("<answer>"), answer, F.lit("</answer>"))
+    return table(spark, sf_dir, "documents").select("doc_id", algebra.graded_tag(reply, F.array(truth)).alias("g")).select("doc_id", "g.*")
 
 
 @query("math_repetition")
