@@ -44,9 +44,8 @@ def tree_values(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT n.node, round((2 * v.value - r.value - p.value) / sqrt(v.leaves), 4) AS process FROM n JOIN v ON v.node = n.node JOIN v p ON p.node = n.parent JOIN root ON root.node = n.node JOIN v r ON r.node = root.root""")
 def tree_process_rewards(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = _nodes(spark, sf_dir)
-    up = trees.closure(nodes)
-    root = up.where("ancestor like 'r%'").select("node", F.col("ancestor").alias("root"))
-    return trees.process_rewards(nodes, trees.values(nodes, _leaves(spark, sf_dir), up), root).withColumn("process", F.round("process", 4))
+    ladder = trees.Ladder(nodes)
+    return trees.process_rewards(nodes, trees.values(nodes, _leaves(spark, sf_dir), ladder), ladder.roots().select("node", "root")).withColumn("process", F.round("process", 4))
 
 
 @query("tree_leaf_paths", f"WITH RECURSIVE {N} SELECT node, string_agg(ancestor, '/' ORDER BY distance DESC) AS path FROM up WHERE node LIKE 'c%' GROUP BY 1")

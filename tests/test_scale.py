@@ -1,5 +1,6 @@
 """What only shows beyond small tables: many wide rows, deep trees, scorers that hang."""
 
+import random
 import time
 
 import pytest
@@ -37,6 +38,74 @@ def test_trees_of_any_depth(spark):
     assert got == want
 
 
+def brute_tree(rows, leaves):
+    """Depth, root, what lies below and the path of every node, by walking; a cycle isn't followed."""
+    parent = {}
+    for n, p in rows:
+        if p is not None:
+            parent[n] = min(p, parent.get(n, p))
+    ids = {n for n, _ in rows} | set(parent.values())
+    depth, round_ = {}, set()
+    for n in ids:
+        seen, at = [], n
+        while at is not None and at not in seen:
+            seen.append(at)
+            at = parent.get(at)
+        depth[n] = len(seen) - (at is None)
+        round_ |= set(seen[seen.index(at) :]) if at is not None else set()
+    parent = {n: p for n, p in parent.items() if n not in round_}
+    paths, below = {}, {}
+    for n in ids:
+        at, path = n, []
+        while at is not None:
+            path.append(at)
+            at = parent.get(at)
+        paths[n] = path[::-1]
+        for a in path:
+            below.setdefault(a, []).append(n)
+    return depth, paths, below
+
+
+def test_ladders_against_walks(spark):
+    rng = random.Random(6)
+    rows = [(f"n{i}", f"n{rng.randrange(max(0, i - 3), i)}" if i else None) for i in range(60)] + [(f"s{i}", "n3") for i in range(40)]
+    rows += [("a", "b"), ("b", "c"), ("c", "b"), ("d", "a"), ("e", "e"), ("f", "e"), ("g", "gone"), ("h", "n1"), ("h", "n0"), ("n5", None), ("z", None)]
+    rewards = {n: rng.choice([None, 0.5, 1.0, 3.0]) for n, _ in rows if rng.random() < 0.6}
+    depth, paths, below = brute_tree(rows, rewards)
+    nodes, leaves = spark.createDataFrame(rows, "node string, parent string"), spark.createDataFrame(list(rewards.items()), "node string, reward double")
+    own = {n for n, _ in rows}
+    assert {r.node: r.depth for r in trees.depths(nodes).collect()} == {n: d for n, d in depth.items() if n in own}
+    ladder = trees.Ladder(nodes)
+    assert {r.node: r.root for r in ladder.roots().collect()} == {n: p[0] for n, p in paths.items()}
+    want = {}
+    for n, under in below.items():
+        kept = [rewards[u] for u in under if u in rewards]
+        known = [x for x in kept if x is not None]
+        if kept:
+            want[n] = (len(kept), pytest.approx(sum(known) / len(known)) if known else None)
+    assert {r.node: (r.leaves, r.value) for r in trees.values(nodes, leaves).collect()} == want
+    assert {r.node: r.path for r in trees.leaf_paths(nodes, leaves).collect()} == {n: paths[n] for n in rewards}
+    for most in (0, 1, 3, 100):
+        got = {r.node: (r.lineage, r.lineage_cut, r.descendants, r.deepest) for r in trees.contexts(nodes, most, ladder).collect()}
+        assert got == {n: (paths[n][-most:] if most else [], max(0, depth[n] + 1 - most), len([u for u in below[n] if u in own]) - 1, max(depth[u] for u in below[n] if u in own)) for n in own}
+    assert trees.depths(nodes.limit(0)).count() == trees.values(nodes.limit(0), leaves.limit(0)).count() == 0
+
+
+def test_a_chain_and_a_star_of_200_000(spark):
+    n = 200_000
+    chain = spark.range(n).selectExpr("id as node", "if(id = 0, null, id - 1) as parent")
+    star = spark.range(n).selectExpr("id + 1000000 as node", "if(id = 0, null, 1000000) as parent")
+    nodes = chain.unionAll(star)
+    ladder = trees.Ladder(nodes)
+    assert len(ladder.jumps) == 18 and ladder.cycles is None
+    deep = ladder.roots().groupBy("root").agg(F.max("depth").alias("d"), F.sum("depth").alias("s")).orderBy("root").collect()
+    assert [tuple(r) for r in deep] == [(0, n - 1, n * (n - 1) // 2), (1_000_000, 1, n - 1)]
+    valued = trees.values(nodes, nodes.selectExpr("node", "double(node % 2) as reward"), ladder)
+    got = valued.where(f"node in (0, 1, {n - 1}, 1000000, 1000001)").orderBy("node").collect()
+    assert [(r.node, r.leaves, round(r.value, 6)) for r in got] == [(0, n, 0.5), (1, n - 1, 0.500003), (n - 1, 1, 1.0), (1_000_000, n, 0.5), (1_000_001, 1, 1.0)]
+    assert valued.where(f"node < {n} and leaves <> {n} - node").isEmpty()
+
+
 def test_groups_are_ranked(spark):
     rows = spark.range(400).select((F.col("id") % 40).alias("g"), (F.col("id") % 3).cast("double").alias("a"), F.lit(False).alias("c"))
     assert sorted({r.g for r in metrics.first_groups(rows, "g", 7).collect()}) == list(range(7))
