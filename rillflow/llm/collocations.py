@@ -32,7 +32,9 @@ DEPTH = 4
 #: 64-bit words of the bitmap of frequent nodes.
 BITMAP_WORDS = 1 << 20
 #: Paths that a shard holds before it writes them as a run and starts anew.
-RUN_PATHS = 3 << 17
+RUN_PATHS = 7 << 17
+#: Paths of a run that are written at once.
+SLICE = 1 << 16
 #: Rows whose paths bound the ranges, and paths of each of their runs.
 SAMPLE_ROWS, SAMPLE_PATHS = 512, 512
 #: Groups in which a language's phrases are ranked before the last ranking.
@@ -46,7 +48,7 @@ _CUT[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
 _GAP[[0x20, 0x09]] = True
 PATH = ["w1", "w2", "w3", "w4"]
 Batches = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
-Count = Callable[["_Words", np.ndarray, pa.Array], pa.RecordBatch | None]
+Count = Callable[["_Words", np.ndarray, pa.Array], "_WordRun | _PathRun | None"]
 
 
 def _parts(body: np.ndarray, at: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
@@ -98,15 +100,59 @@ def _heads(keys: list[np.ndarray]) -> np.ndarray:
     return np.flatnonzero(np.append(True, np.any([k[1:] != k[:-1] for k in keys], axis=0)))
 
 
-def _sorted_run(held: list[pa.RecordBatch], path: list[str]) -> pa.RecordBatch:
-    """One run of all: sorted by path, counts ``n`` of equal paths summed, other columns from any of them."""
-    both = pa.concat_batches(held)
-    keys = [np.asarray(both.column(k)) for k in path]
-    order = np.lexsort(keys[::-1])
-    heads = _heads([k[order] for k in keys])
-    n = np.add.reduceat(np.asarray(both.column("n"))[order], heads)
-    both = both.take(pa.array(order[heads]))
-    return both.set_column(both.schema.get_field_index("n"), "n", pa.array(n, pa.int64()))
+class _WordRun:
+    """Words (w1, lang, word, n) of a shard as a batch, sorted and each once when ``joined``."""
+
+    def __init__(self, batch: pa.RecordBatch):
+        self.batch, self.size = batch, batch.num_rows
+
+    @classmethod
+    def joined(cls, held: list[_WordRun]) -> _WordRun:
+        both = pa.concat_batches([h.batch for h in held])
+        key = np.asarray(both.column("w1"))
+        order = np.argsort(key, kind="stable")
+        heads = _heads([key[order]])
+        n = np.add.reduceat(np.asarray(both.column("n"))[order], heads)
+        both = both.take(pa.array(order[heads]))
+        return cls(both.set_column(both.schema.get_field_index("n"), "n", pa.array(n, pa.int64())))
+
+    def slices(self) -> Iterator[pa.RecordBatch]:
+        yield self.batch
+
+
+class _PathRun:
+    """Paths of a shard's trie: numbers of words in ``names`` (sorted), a column for each place of the path, and counts. Half the bytes of the words themselves."""
+
+    def __init__(self, names: np.ndarray, paths: list[np.ndarray], n: np.ndarray):
+        self.names, self.paths, self.n, self.size = names, paths, n, len(n)
+
+    @classmethod
+    def joined(cls, held: list[_PathRun]) -> _PathRun:
+        names = np.unique(np.concatenate([h.names for h in held]))
+        moved = [np.searchsorted(names, h.names).astype(np.int32) for h in held]
+        # The number after the last word stands for no word; it is given as -1 and comes first.
+        paths = [np.concatenate([np.where(h.paths[d] < 0, np.int32(-1), m[h.paths[d]]) for h, m in zip(held, moved, strict=True)]) for d in range(len(held[0].paths))]
+        n = np.concatenate([h.n for h in held])
+        held.clear()
+        pairs = [(a.astype(np.int64) << 32) + b for a, b in zip(paths[::2], paths[1::2], strict=True)]
+        order = np.lexsort(pairs[::-1])
+        heads = _heads([p[order] for p in pairs])
+        del pairs
+        first = order[heads]
+        return cls(names, [p[first] for p in paths], np.add.reduceat(n[order], heads))
+
+    def trimmed(self) -> _PathRun:
+        """Without names that no path has."""
+        used = np.zeros(len(self.names) + 1, bool)
+        for p in self.paths:
+            used[p] = True
+        to = np.append(np.cumsum(used[:-1]) - 1, -1).astype(np.int32)
+        return _PathRun(self.names[used[:-1]], [to[p] for p in self.paths], self.n)
+
+    def slices(self) -> Iterator[pa.RecordBatch]:
+        for i in range(0, self.size, SLICE):
+            words = [np.where(p[i : i + SLICE] < 0, 0, self.names[p[i : i + SLICE]]) for p in self.paths]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, words), pa.array(self.n[i : i + SLICE])], names=[*PATH[: len(words)], "n"])
 
 
 def _ranges(run: pa.RecordBatch, path: list[str], bounds: np.ndarray) -> np.ndarray:
@@ -124,31 +170,31 @@ def _ranges(run: pa.RecordBatch, path: list[str], bounds: np.ndarray) -> np.ndar
 def _runs(count: Count, path: list[str], bounds: np.ndarray) -> Batches:
     """A shard's trie as sorted runs with their ``range``: ``count`` gives the paths of a range of words."""
 
-    def ranged(held: list[pa.RecordBatch]) -> pa.RecordBatch:
-        run = _sorted_run(held, path)
-        return pa.RecordBatch.from_arrays([*run.columns, pa.array(_ranges(run, path, bounds))], names=[*run.schema.names, "range"])
+    def ranged(held: list) -> Iterator[pa.RecordBatch]:
+        for part in type(held[0]).joined(held).slices():
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(_ranges(part, path, bounds))], names=[*part.schema.names, "range"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for words, body, langs in _each(batches):
             got = count(words, body, langs) if len(words.symbols) else None
-            if got is None or not got.num_rows:
+            if got is None or not got.size:
                 continue
             held.append(got)
-            size += got.num_rows
-            if size > RUN_PATHS * 3 // 2:
-                held = [_sorted_run(held, path)]
-                size = held[0].num_rows
+            size += got.size
+            if size > RUN_PATHS * 5 // 4:
+                held = [type(got).joined(held)]
+                size = held[0].size
                 if size > RUN_PATHS:
-                    yield ranged(held)
+                    yield from ranged(held)
                     held, size = [], 0
         if held:
-            yield ranged(held)
+            yield from ranged(held)
 
     return run
 
 
-def _single(words: _Words, body: np.ndarray, langs: pa.Array) -> pa.RecordBatch:
+def _single(words: _Words, body: np.ndarray, langs: pa.Array) -> _WordRun:
     """Nodes of depth one: every word of a range, with its language and text."""
     symbols, first, n = np.unique(words.symbols, return_index=True, return_counts=True)
     start, size = words.start[first], words.end[first] - words.start[first]
@@ -156,7 +202,7 @@ def _single(words: _Words, body: np.ndarray, langs: pa.Array) -> pa.RecordBatch:
     take = np.arange(offsets[-1]) + np.repeat(start - offsets[:-1], size)
     text = body[take] + _UPPER[body[take]]
     word = pa.Array.from_buffers(pa.large_string(), len(size), [None, pa.py_buffer(offsets.astype(np.int64).tobytes()), pa.py_buffer(text.tobytes())])
-    return pa.RecordBatch.from_arrays([pa.array(symbols.view(np.int64)), langs.take(pa.array(words.row[first])), word.cast(pa.string()), pa.array(n.astype(np.int64))], names=["w1", "lang", "word", "n"])
+    return _WordRun(pa.RecordBatch.from_arrays([pa.array(symbols.view(np.int64)), langs.take(pa.array(words.row[first])), word.cast(pa.string()), pa.array(n.astype(np.int64))], names=["w1", "lang", "word", "n"]))
 
 
 def _bits(path: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -170,17 +216,16 @@ def _bits(path: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 def _deep(least: int, most: int, known: int, bitmap) -> Count:
     """Nodes of ``least`` to ``most`` words whose parts of ``known`` words are all in the bitmap."""
 
-    def count(words: _Words, body: np.ndarray, langs: pa.Array) -> pa.RecordBatch | None:
+    def count(words: _Words, body: np.ndarray, langs: pa.Array) -> _PathRun | None:
         s, bits, size = words.symbols, bitmap.value, len(words.symbols) - known + 1
         if size <= 0:
             return None
         at, mask = _bits([s[i : i + size] for i in range(known)])
         fits = ((bits[at.astype(np.int64)] & mask) == mask) & (words.piece[:size] == words.piece[known - 1 :])
-        names, symbol = np.unique(s, return_inverse=True)
+        names, symbol = np.unique(s.view(np.int64), return_inverse=True)
         # Level by level: a node is its parent's number and its last word, so nodes come sorted by path.
-        begin, node, paths = np.flatnonzero(fits), symbol, [names]
-        node = symbol[begin]
-        out = []
+        begin = np.flatnonzero(fits)
+        node, paths, out = symbol[begin], [np.arange(len(names), dtype=np.int32)], []
         for depth in range(2, most + 1):
             if depth > known:
                 more = begin + depth - known
@@ -189,11 +234,10 @@ def _deep(least: int, most: int, known: int, bitmap) -> Count:
             if not len(begin):
                 break
             keys, node, n = np.unique((node.astype(np.int64) << 32) | symbol[begin + depth - 1], return_inverse=True, return_counts=True)
-            paths = [p[keys >> 32] for p in paths] + [names[keys & 0xFFFFFFFF]]
+            paths = [p[keys >> 32] for p in paths] + [(keys & 0xFFFFFFFF).astype(np.int32)]
             if depth >= least:
-                columns = [p.view(np.int64) for p in paths] + [np.zeros(len(n), np.int64)] * (most - depth)
-                out.append(pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(n.astype(np.int64))], names=[*PATH[:most], "n"]))
-        return pa.concat_batches(out) if out else None
+                out.append(_PathRun(names, paths + [np.full(len(n), -1, np.int32)] * (most - depth), n.astype(np.int64)))
+        return _PathRun.joined(out).trimmed() if out else None
 
     return count
 
