@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rillflow.operators import trees
-from rillflow.sources import datasets
+from rillflow.sources import chat, datasets
 from rillflow.streaming import pools
 from rillflow.plans.bindings import sequences
 from rillflow.plans.catalog import query, table
@@ -228,6 +228,52 @@ def dataset_loss_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", datasets.loss_mask(F.col("role")).alias("mask"), datasets.check_system_first(F.col("turn"), F.col("role")).alias("misplaced"))
 
 
+def _chats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A conversation a row, from its first message that isn't a system's in the wrong place; one in three has tools, one in two doesn't think."""
+    turns = table(spark, sf_dir, "conversations").where("role <> 'system' or turn = 0")
+    return datasets.messages_of(turns).withColumns({"tools": F.expr("if(conv_id % 3 = 0, '[{\"name\":\"find\"}]', null)"), "thinking": F.expr("conv_id % 2 = 0")})
+
+
+C = r"""c AS (SELECT conv_id, row_number() OVER w - 1 AS i, role, coalesce(text, '') AS t, CASE WHEN conv_id % 3 = 0 THEN E'\n\n# Tools\n[{"name":"find"}]' ELSE '' END AS tools, CASE WHEN conv_id % 2 = 0 THEN '' ELSE E'<think>\n\n</think>\n\n' END AS think
+  FROM conversations WHERE role <> 'system' OR turn = 0 WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+  m AS (SELECT *, CASE WHEN i = 0 AND tools <> '' AND role <> 'system' THEN E'<|im_start|>system\n' || tools || E'<|im_end|>\n' ELSE '' END || '<|im_start|>' || role || E'\n' || CASE WHEN role = 'assistant' THEN think ELSE '' END AS head,
+  t || CASE WHEN role = 'system' AND i = 0 THEN tools ELSE '' END || E'<|im_end|>\n' AS body FROM c)"""
+
+
+@query("chat_rendered", f"WITH {C} SELECT conv_id, string_agg(head || body, '' ORDER BY i) || E'<|im_start|>assistant\n' || any_value(think) AS text FROM m GROUP BY 1")
+def chat_rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = chat.pieces(F.col("messages"), None, F.col("tools"), F.col("thinking"), prompt=True)
+    return _chats(spark, sf_dir).select("conv_id", chat.text_of(made).alias("text"))
+
+
+@query("chat_learn_spans", f"""WITH {C}, p AS (SELECT conv_id, i, sum(length(head || body)) OVER (PARTITION BY conv_id ORDER BY i) - length(body) AS begins, length(body) AS n FROM m QUALIFY role = 'assistant')
+  SELECT conv_id, begins::INT AS start, (begins + n)::INT AS "end" FROM p""")
+def chat_learn_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the assistant's part of each conversation lies in its text, in characters."""
+    made = chat.spans_of(chat.pieces(F.col("messages"), None, F.col("tools"), F.col("thinking")))
+    return _chats(spark, sf_dir).select("conv_id", F.explode(F.filter(made, lambda s: s["learn"])).alias("s")).select("conv_id", "s.start", "s.end")
+
+
+@query("chat_token_masks")
+def chat_token_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids, masks, attention and positions of 512 tokens a conversation; longer ones lose their beginning. Tests hold it against re-encoded prefixes."""
+    import public_tokenizers
+
+    out = chat.sft_rows(_chats(spark, sf_dir), "messages", public_tokenizers.path("byte_bpe_50k.json"), 512, "left", tools="tools", thinking="thinking")
+    return out.select("conv_id", "ids", "learn", "attention", "positions", "n_tokens", "fault")
+
+
+@query("chat_prompts")
+def chat_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prompts of all but an assistant's last message, padded on the left to 256 tokens, those that are longer cut in the middle."""
+    import public_tokenizers
+
+    last = F.element_at("messages", -1)["role"] == "assistant"
+    rows = _chats(spark, sf_dir).withColumn("messages", F.when(last, F.slice("messages", 1, F.size("messages") - 1)).otherwise(F.col("messages")))
+    out = chat.prompt_rows(rows, "messages", public_tokenizers.path("byte_bpe_50k.json"), 256, "middle")
+    return out.select("conv_id", "ids", "raw_ids", "attention", "positions")
+
+
 @query("dataset_role_blocks", "WITH n AS (SELECT *, (role IS DISTINCT FROM lag(role) OVER w)::INT AS n FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) SELECT conv_id, turn, sum(n) OVER (PARTITION BY conv_id ORDER BY turn)::BIGINT AS block FROM n")
 def dataset_role_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return datasets.tool_groups(table(spark, sf_dir, "conversations")).select("conv_id", "turn", "block")
