@@ -108,7 +108,7 @@ def test_too_long_fails(spark):
 
 def test_faults(spark):
     rows = spark.createDataFrame([(0, [("user", "a"), ("system", "b")]), (1, [("robot", "a")]), (2, [(None, "a")]), (3, None), (4, [("system", "a"), ("user", "b")])], "id int, m array<struct<role:string,content:string>>")
-    got = {r.id: r for r in chat.sft_rows(rows, "m", PATH, 30).collect()}
+    got = {r.id: r for r in chat.sft_rows(rows, "m", PATH, 60).collect()}
     assert [got[i].fault for i in range(5)] == ["system message is not first", "unknown role robot", "unknown role null", "no messages", None]
     assert [got[i].ids is None and got[i].learn is None and got[i].attention is None and got[i].positions is None for i in range(5)] == [True] * 4 + [False]
     assert chat.sft_rows(rows.limit(0), "m", PATH, 30).count() == 0
