@@ -7,7 +7,7 @@ import os
 import duckdb
 import pytest
 
-from rillflow.plans import batch_queries, catalog, estimates, metric_queries, reward_queries, state_queries, table_queries, text_queries, trainer_queries  # noqa: F401
+from rillflow.plans import batch_queries, buffer_queries, catalog, estimates, metric_queries, reward_queries, state_queries, table_queries, text_queries, trainer_queries  # noqa: F401
 
 DATA = os.environ.get("RILLFLOW_DATA", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
