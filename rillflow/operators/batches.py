@@ -29,11 +29,11 @@ def number(rows: DataFrame, *order: Column | str) -> DataFrame:
 
 def running(rows: DataFrame, order: str, value: Column, total: Callable[[Column], Column], until: int = 0) -> DataFrame:
     """``_here`` and ``_before``: ``total`` of ``value`` up to each row (``until`` rows on) within its range of the numeric ``order``, and over all earlier
-    ranges; null where there are no rows. Ranges are bounded by quantiles, so no task sorts all rows, and one row a range is joined back."""
-    parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    bounds = sorted(set(rows.select(F.col(order).cast("double").alias("o")).approxQuantile("o", [i / parts for i in range(1, parts)], 0.25 / parts))) if parts > 1 else []
-    place = F.coalesce(F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col(order).cast("double"))), F.lit(0)) if bounds else F.lit(0)
-    placed = rows.withColumn("_range", F.when(F.col(order).isNull(), -1).otherwise(place)).withColumn("_value", value)
+    ranges; null where there are no rows. Ranges are those of a range partitioning, written once, so no task sorts all rows and the plan holds no bounds;
+    one row a range is joined back. Rows without an order are a range of their own, before all others."""
+    at = F.col(order).cast("double")
+    placed = rows.withColumn("_value", value).repartitionByRange(at).withColumn("_range", F.when(at.isNull(), -1).otherwise(F.spark_partition_id()))
+    placed = cut(placed, "ranges")
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     ranges = placed.groupBy("_range").agg(total(F.col("_value")).alias("_t")).select("_range", total(F.col("_t")).over(before).alias("_before"))  # one row a range
     here = Window.partitionBy("_range").orderBy(order).rowsBetween(Window.unboundedPreceding, until)
@@ -197,6 +197,83 @@ def union_filled(parts: Sequence[DataFrame], fills: dict[str, object]) -> DataFr
     return out.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in fills.items()})
 
 
+def interleaved(parts: Sequence[DataFrame], counts: Sequence[int], workers: int, fills: dict[str, object]) -> DataFrame:
+    """Parts numbered so that consecutive runs of rows go to ``workers`` (column ``worker``), each with its share of every part, parts in order; absent columns are filled.
+
+    Worker i gets the rows from floor(i n / W) of a part of n rows, so shares differ by one row at most. A row's place is
+    arithmetic on its number in its part: nothing is sorted or gathered.
+    """
+    begin = lambda i, n: F.floor(i * n / workers)
+    out = []
+    for at, (part, n) in enumerate(zip(parts, counts, strict=True)):
+        if n < 1:
+            continue
+        worker = F.floor((F.col("row_id") * workers + workers + n - 1) / n) - 1
+        before = sum((begin(F.col("worker"), m) for m in counts), F.lit(0)) + sum((begin(F.col("worker") + 1, m) - begin(F.col("worker"), m) for m in counts[:at]), F.lit(0))
+        moved = part.withColumn("worker", worker.cast("long"))
+        out.append(moved.withColumn("row_id", (before + F.col("row_id") - begin(F.col("worker"), n)).cast("long")))
+    if not out:
+        raise ValueError("nothing to interleave")
+    return union_filled(out, fills)
+
+
+def zipped(columns: dict[str, DataFrame]) -> DataFrame:
+    """A batch from columns that are tables of their own, ``(row_id, value)`` each and numbered from 0; columns of different lengths are an error."""
+    sizes = {name: c.count() for name, c in columns.items()}
+    if len(set(sizes.values())) > 1:
+        raise ValueError(f"columns of different lengths: {sizes}")
+    out = None
+    for name, c in columns.items():
+        one = c.select("row_id", F.col("value").alias(name))
+        out = one if out is None else out.join(one, "row_id")
+    if out is None:
+        raise ValueError("a batch without columns")
+    return out
+
+
+_FLOATS = ("float", "double")
+
+
+def digests(rows: DataFrame, *columns: str) -> DataFrame:
+    """(column, rows, total, nans) of columns over ``row_id``: an order-free digest, two 64-bit hashes of each (row_id, value) added up, and the NaNs in it.
+
+    Batches with equal digests are equal but for a chance of 2**-64, so two of any size are compared without a join. Nulls, NaNs and both zeros count as values of their own."""
+    kinds = dict(rows.dtypes)
+    plain = {c: F.col(c) + F.lit(0.0).cast(kinds[c]) if kinds[c] in _FLOATS else F.col(c) for c in columns}
+    both = lambda c: [F.sum(F.xxhash64("row_id", F.isnull(c), c, F.lit(seed)).cast("decimal(38,0)")) for seed in (1, 2)]
+    nans = lambda c: F.count_if(F.isnan(c)) if kinds[c] in _FLOATS else F.count_if(F.exists(c, lambda x: F.isnan(x))) if kinds[c] in ("array<float>", "array<double>") else F.lit(0).cast("long")
+    each = [F.struct(F.lit(c).alias("column"), F.count(F.lit(1)).alias("rows"), F.concat_ws(":", *[F.coalesce(t, F.lit(0)).cast("string") for t in both(plain[c])]).alias("total"), nans(c).alias("nans")) for c in columns]
+    return rows.agg(F.array(*each).alias("d")).select(F.explode("d").alias("d")).select("d.*")
+
+
+def equal_columns(a: DataFrame, b: DataFrame, *columns: str, nan_equal: bool = True) -> DataFrame:
+    """(column, equal) of columns that both batches have. Without ``nan_equal`` a NaN equals nothing, itself included."""
+    other = digests(b, *columns).select("column", F.struct("rows", "total").alias("o"))
+    kept = digests(a, *columns).join(F.broadcast(other), "column")
+    return kept.select("column", ((F.struct("rows", "total") == F.col("o")) & (F.lit(nan_equal) | (F.col("nans") == 0))).alias("equal"))
+
+
+def united(a: DataFrame, b: DataFrame, nan_equal: bool = True) -> DataFrame:
+    """``a`` with the columns of ``b`` that it lacks; shared ones must be equal, or it is an error before anything is joined."""
+    shared = [c for c in b.columns if c in a.columns and c != "row_id"]
+    if shared and (other := [r.column for r in equal_columns(a, b, *shared, nan_equal=nan_equal).where("not equal").collect()]):
+        raise ValueError(f"columns differ: {', '.join(sorted(other))}")
+    return a.join(b.drop(*shared), "row_id")
+
+
+def consistency(rows: DataFrame, required: dict[str, str]) -> DataFrame:
+    """(check, ok): that required columns are there with their types, that ``row_id`` has no nulls, no repeats and no gaps, and that arrays of a column are equally long."""
+    kinds = dict(rows.dtypes)
+    known = [(f"{c} is {t}", kinds.get(c) == t) for c, t in required.items()]
+    arrays = [c for c, t in rows.dtypes if t.startswith("array")]
+    counts = rows.agg(F.count(F.lit(1)).alias("n"), F.count("row_id").alias("named"), F.min("row_id").alias("least"), F.max("row_id").alias("most"), *[(F.count_distinct(F.size(c)) <= 1).alias(f"_{i}") for i, c in enumerate(arrays)])
+    repeats = rows.where("row_id is not null").groupBy("row_id").agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.max("n"), F.lit(1)).alias("times"), F.count(F.lit(1)).alias("ids"))
+    one = counts.join(F.broadcast(repeats))
+    checks = [(F.lit(k), F.lit(v)) for k, v in known] + [(F.lit("row_id has no nulls"), F.col("n") == F.col("named")), (F.lit("row_id has no repeats"), F.col("times") == 1)]
+    checks += [(F.lit("row_id has no gaps"), (F.col("ids") == 0) | ((F.col("least") == 0) & (F.col("most") == F.col("ids") - 1)))] + [(F.lit(f"{c} is equally long"), F.col(f"_{i}")) for i, c in enumerate(arrays)]
+    return one.select(F.explode(F.array(*[F.struct(k.alias("check"), F.coalesce(v, F.lit(False)).alias("ok")) for k, v in checks])).alias("c")).select("c.*")
+
+
 def check_consistency(rows: DataFrame, required: dict[str, str]) -> list[str]:
     """What is wrong with a batch's schema."""
     have = dict(rows.dtypes)

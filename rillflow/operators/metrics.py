@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rillflow.operators import batches
+from rillflow.operators.tables import cut
 
 
 def long_form(one_row: DataFrame, *keys: str) -> DataFrame:
@@ -96,22 +97,22 @@ def validation_metrics(rows: DataFrame, source: str, prompt: str, value: str) ->
     return base.unionAll(ends).groupBy(source, "m.metric").agg(F.avg("m.value").alias("value"))
 
 
-def bootstrap(rows: DataFrame, keys: Sequence[str], value: str, size: int, draws: int, seed: int) -> DataFrame:
-    """(keys, mean and population deviation of the resamples' mean, max and min): ``draws`` resamples of ``size`` by NumPy's generator."""
-    import numpy as np
-    import pandas as pd
+def bootstrap(rows: DataFrame, keys: Sequence[str], value: str, size: int, draws: int, seed: int, order: Sequence[str] = ()) -> DataFrame:
+    """(keys, mean and population deviation of the resamples' mean, max and min): ``draws`` resamples of ``size`` values with replacement.
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        xs = np.sort(g[value].to_numpy(float))
-        picks = xs[np.random.default_rng(seed).integers(0, len(xs), (draws, size))]
-        out = {k: [g[k].iloc[0]] for k in keys}
-        for name, each in (("mean", picks.mean(1)), ("max", picks.max(1)), ("min", picks.min(1))):
-            out |= {f"{name}_mean": [each.mean()], f"{name}_std": [each.std()]}
-        return pd.DataFrame(out)
-
-    kinds = dict(rows.dtypes)
-    schema = ", ".join([f"{k} {kinds[k]}" for k in keys] + [f"{n}_{s} double" for n in ("mean", "max", "min") for s in ("mean", "std")])
-    return rows.select(*keys, value).groupBy(*keys).applyInPandas(run, schema)
+    A draw is a place in its group, by a hash of the group, the seed and its number; rows are numbered over all groups by ranges
+    and only those that are drawn are fetched, so a group of any size is ``draws * size`` places, and no task holds it. Values are
+    numbered in ``order``, else by size. Null values are left out; a group without values gives no row.
+    """
+    held = rows.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"), *[F.col(o) for o in order if o not in (*keys, value)])
+    placed = batches.number(held, *keys, *(o if o != value else "_v" for o in order), *([] if value in order else ["_v"])).select(*keys, "_v", "row_id")
+    groups = placed.groupBy(*keys).agg(F.min("row_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    drawn = groups.withColumn("_draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(size - 1))))
+    hashed = F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys], "_draw", "_k"))
+    place = F.floor(F.conv(F.substring(hashed, 1, 12), 16, 10).cast("double") / float(1 << 48) * F.col("_n"))
+    taken = drawn.withColumn("row_id", (F.col("_first") + place).cast("long")).drop("_first", "_n", "_k").join(placed.select("row_id", "_v"), "row_id")
+    each = taken.groupBy(*keys, "_draw").agg(F.avg("_v").alias("mean"), F.max("_v").alias("max"), F.min("_v").alias("min"))
+    return each.groupBy(*keys).agg(*[f(m).alias(f"{m}_{n}") for m in ("mean", "max", "min") for n, f in (("mean", F.avg), ("std", F.stddev_pop))])
 
 
 def keep_mixed_groups(rows: DataFrame, group: str, value: str) -> DataFrame:
@@ -225,8 +226,12 @@ def detached_pair_loss(rows: DataFrame, group: str, score: str, accuracy: str, b
 
 def fit_logistic(rows: DataFrame, x: str, y: str, penalty: float = 1.0, rounds: int = 50) -> tuple[float, float] | None:
     """(slope, intercept) of P(y = 1) by Newton's method; five sums a round come to the driver. ``penalty * slope ** 2 / 2`` is added to the loss.
-    Null with ten rows or fewer, or with one class only."""
+
+    Rows are counted by (x, y) into a table once, which each round reads: far fewer rows where x repeats, and as many where it
+    doesn't. Null with ten rows or fewer, with one class only, or where x is (nearly) the same in all rows and no penalty holds the slope.
+    """
     seen = rows.select(F.col(x).cast("double").alias("x"), F.col(y).cast("int").alias("y")).where("x is not null and y is not null").groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"))
+    seen = cut(seen, "seen")
     counts = {r.y: r.n for r in seen.groupBy("y").agg(F.sum("n").alias("n")).collect()}
     if sum(counts.values()) <= 10 or not counts.get(0) or not counts.get(1):
         return None
@@ -237,6 +242,8 @@ def fit_logistic(rows: DataFrame, x: str, y: str, penalty: float = 1.0, rounds:
         s = seen.agg(F.sum(g).alias("gb"), F.sum(g * F.col("x")).alias("ga"), F.sum(h).alias("hb"), F.sum(h * F.col("x")).alias("hab"), F.sum(h * F.col("x") * F.col("x")).alias("ha")).first()
         ga, ha = s.ga + penalty * a, s.ha + penalty
         det = ha * s.hb - s.hab**2
+        if det <= 1e-12 * max(1.0, ha * s.hb):
+            return None
         da, db = (s.hb * ga - s.hab * s.gb) / det, (ha * s.gb - s.hab * ga) / det
         a, b = a - da, b - db
         if abs(da) + abs(db) < 1e-10:

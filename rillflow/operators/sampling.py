@@ -59,16 +59,18 @@ def resample(rows: DataFrame, weight: str, n: int, seed: int, *order: str) -> Da
     return taken.join(placed, "row_id").drop("row_id")
 
 
-def reweight(score: Column, method: str, power: float = 1.0) -> Column:
-    """Weights of a preference resample: |score|^power, or min-max extremes (1 at the least or largest score, else 0)."""
-    w = Window.partitionBy()
+def reweight(rows: DataFrame, score: str, method: str, power: float = 1.0, name: str = "weight") -> DataFrame:
+    """Rows with the weights of a preference resample: |score| ** power (``pow``), 1 at the least or largest score and 0 elsewhere (``max_min``), or 0.4 at
+    the largest and 0.1 elsewhere (``max_random``). The ends are aggregated and joined as one row, so no task sees all rows."""
+    s = F.col(score)
     if method == "pow":
-        return F.pow(F.abs(score), F.lit(power))
-    if method == "max_min":
-        return F.when((score == F.max(score).over(w)) | (score == F.min(score).over(w)), 1.0).otherwise(0.0)
-    if method == "max_random":
-        return F.when(score == F.max(score).over(w), 0.4).otherwise(0.1)
-    raise ValueError(f"unknown reweighting {method!r}")
+        return rows.withColumn(name, F.pow(F.abs(s), F.lit(power)))
+    if method not in ("max_min", "max_random"):
+        raise ValueError(f"unknown reweighting {method!r}")
+    ends = rows.agg(F.max(s).alias("_most"), F.min(s).alias("_least"))
+    out = rows.join(F.broadcast(ends))
+    w = F.when((s == F.col("_most")) | (s == F.col("_least")), 1.0).otherwise(0.0) if method == "max_min" else F.when(s == F.col("_most"), 0.4).otherwise(0.1)
+    return out.withColumn(name, w).drop("_most", "_least")
 
 
 def shown(rows: DataFrame, text: str, n: int, seed: int) -> DataFrame:
@@ -76,6 +78,26 @@ def shown(rows: DataFrame, text: str, n: int, seed: int) -> DataFrame:
     return rows.withColumn("_u", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(text)))).orderBy("_u", text).limit(n).drop("_u")
 
 
+def bottom_k(rows: DataFrame, n: int, seed: int, *keys: str, group: str | None = None, salts: int = 32) -> DataFrame:
+    """The ``n`` rows of least seeded hash of their keys, of all or of each group: the same rows however the table is cut, and of any part of it those that would be of the whole.
+
+    Tasks keep ``n`` rows (a group and salt) and merge them, so no group is gathered."""
+    u = rows.withColumn("_u", F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys])))
+    if group is None:
+        return u.orderBy("_u", *keys).limit(n).drop("_u")
+    for by in ([group, F.pmod(F.xxhash64("_u"), F.lit(salts))], [group]):
+        u = u.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy("_u", *keys))).where(F.col("_n") <= n).drop("_n")
+    return u.drop("_u")
+
+
+def prefixes(rows: DataFrame, tokens: str, step: int = 1) -> DataFrame:
+    """A row for each place at which a branch may start, every ``step`` tokens but the end: ``place``, ``ratio`` (place + 1 of the length) and the ``prefix`` up to it."""
+    size = F.size(tokens)
+    places = F.when(size > 1, F.sequence(F.lit(0), size - 2, F.lit(step))).otherwise(F.array().cast("array<int>"))
+    out = rows.withColumn("place", F.explode(places))
+    return out.withColumns({"ratio": (F.col("place") + 1) / size, "prefix": F.slice(tokens, 1, F.col("place") + 1)}).drop(tokens)
+
+
 def branch_points(nodes: DataFrame, chain: str, node: str, expandable: Column, n: int, seed: int) -> DataFrame:
     """Up to ``n`` expandable nodes of each chain, uniformly by a seeded hash."""
     return capped(nodes.where(expandable).withColumn("_u", uniform(seed, chain, node)), chain, n, "_u", node).drop("_u")

@@ -212,7 +212,9 @@ def sample_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.resample(rows, "w", 500, 21, "key").select("draw", "key")
 
 
-@query("sample_reweight", """SELECT p_partkey AS key, round(power(abs(p_size - 25.0::DOUBLE), 2), 4) AS pow, CASE WHEN p_size = (SELECT max(p_size) FROM part) OR p_size = (SELECT min(p_size) FROM part) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS extreme FROM part""")
+@query("sample_reweight", """SELECT p_partkey AS key, round(power(abs(p_size - 25.0::DOUBLE), 2), 4) AS pow, CASE WHEN p_size = (SELECT max(p_size) FROM part) OR p_size = (SELECT min(p_size) FROM part) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS extreme,
+  CASE WHEN p_size = (SELECT max(p_size) FROM part) THEN 0.4::DOUBLE ELSE 0.1::DOUBLE END AS top FROM part""")
 def sample_reweight(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = F.col("p_size") - 25.0
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"), F.round(sampling.reweight(s, "pow", 2.0), 4).alias("pow"), sampling.reweight(F.col("p_size"), "max_min").alias("extreme"))
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"), (F.col("p_size") - 25.0).alias("s"), "p_size")
+    out = sampling.reweight(sampling.reweight(sampling.reweight(rows, "s", "pow", 2.0, "pow"), "p_size", "max_min", name="extreme"), "p_size", "max_random", name="top")
+    return out.select("key", F.round("pow", 4).alias("pow"), "extreme", "top")

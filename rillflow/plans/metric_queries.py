@@ -76,9 +76,14 @@ def majority_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.majority(rollouts(spark, sf_dir), ["uid"], "flag", "reward", "length").select("uid", "votes", "value")
 
 
-@query("bootstrap_metric")
+@query("bootstrap_metric", f"""WITH {R}, p AS (SELECT data_source, flag, reward, row_number() OVER (PARTITION BY data_source, flag ORDER BY reward) - 1 AS i, count(*) OVER (PARTITION BY data_source, flag) AS n FROM r),
+  g AS (SELECT data_source, flag, any_value(n) AS n FROM p GROUP BY 1, 2), d AS (SELECT data_source, flag, n, unnest(range(200)) AS draw FROM g), k AS (SELECT *, unnest(range(4)) AS k FROM d),
+  t AS (SELECT *, floor(('0x' || substr(md5('42:' || data_source || ':' || flag || ':' || draw || ':' || k), 1, 12))::BIGINT::DOUBLE / 281474976710656.0::DOUBLE * n)::BIGINT AS i FROM k),
+  e AS (SELECT data_source, flag, draw, avg(reward) AS m, max(reward) AS hi, min(reward) AS lo FROM t JOIN p USING (data_source, flag, i) GROUP BY 1, 2, 3)
+  SELECT data_source, flag, round(avg(m), 6) AS mean_mean, round(stddev_pop(m), 6) AS mean_std, round(avg(hi), 6) AS max_mean, round(stddev_pop(hi), 6) AS max_std, round(avg(lo), 6) AS min_mean, round(stddev_pop(lo), 6) AS min_std FROM e GROUP BY 1, 2""")
 def bootstrap_metric(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.bootstrap(rollouts(spark, sf_dir), ["data_source", "flag"], "reward", 4, 200, 42)
+    out = metrics.bootstrap(rollouts(spark, sf_dir), ["data_source", "flag"], "reward", 4, 200, 42)
+    return out.select("data_source", "flag", *[F.round(c, 6).alias(c) for c in out.columns if c not in ("data_source", "flag")])
 
 
 @query("source_rollup", f"WITH {R}, p AS (SELECT data_source, uid, avg(reward) AS m FROM r GROUP BY 1, 2), s AS (SELECT data_source, avg(m) AS score, count(*) AS prompts FROM p GROUP BY 1) SELECT data_source, round(score, 6) AS score, prompts, round((SELECT avg(score) FROM s), 6) AS cross_source FROM s")

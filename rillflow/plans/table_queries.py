@@ -149,9 +149,11 @@ def batch_union_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("key", F.col("m")["a"].alias("a"), F.col("m")["b"].alias("b"), F.size("m").alias("n"))
 
 
-@query("batch_from_columns", "SELECT unnest(range(4)) AS row_id, unnest(['a', 'b', 'c', 'd']) AS label, unnest([1.5, 2.5, 3.5, 4.5])::DOUBLE AS score")
+@query("batch_from_columns", "SELECT row_number() OVER (ORDER BY doc_id) - 1 AS row_id, lang AS label, (n_chars / 2)::DOUBLE AS score FROM documents")
 def batch_from_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return batches.from_columns(spark, {"label": list("abcd"), "score": [1.5, 2.5, 3.5, 4.5]}, "label string, score double")
+    """Two columns that come as tables of their own."""
+    rows = batches.number(table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars"), "doc_id")
+    return batches.zipped({"label": rows.select("row_id", F.col("lang").alias("value")), "score": rows.select("row_id", (F.col("n_chars") / 2).alias("value"))})
 
 
 @query("shown_generations", "SELECT doc_id FROM documents ORDER BY md5('42:' || text), text LIMIT 20")
@@ -160,6 +162,57 @@ def shown_generations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.shown(table(spark, sf_dir, "documents").select("doc_id", "text").where("text is not null"), "text", 20, 42).select("doc_id")
 
 
+@query("shown_generations_table", """WITH s AS (SELECT unnest([1, 2]) AS step), d AS (SELECT step, doc_id, lang, row_number() OVER (PARTITION BY step ORDER BY md5('42:' || text), text) AS n FROM documents, s WHERE text IS NOT NULL AND (step = 2 OR n_chars % 2 = 0))
+  SELECT step, doc_id, lang FROM d WHERE n <= 20""")
+def shown_generations_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports of two steps appended to one table; the first is written twice."""
+    path, rows = _folder(spark, "shown"), table(spark, sf_dir, "documents").where("text is not null")
+    for step, part in ((1, rows), (2, rows), (1, rows.where("n_chars % 2 = 0"))):
+        datasets.append_step(sampling.shown(part.select("doc_id", "lang", "text"), "text", 20, 42).select("doc_id", "lang"), path, step)
+    return spark.read.parquet(path).select("step", "doc_id", "lang")
+
+
+@query("recoverability_records", """WITH l AS (SELECT d.doc_id, d.lang, regexp_extract_all(d.text, '[a-z]+') AS ws, row_number() OVER (PARTITION BY d.lang ORDER BY md5('7:' || d.doc_id), d.doc_id) AS n FROM documents d JOIN labels USING (doc_id) WHERE quality = 0),
+  p AS (SELECT doc_id, ws, unnest(range(0, len(ws) - 1, 40)) AS place FROM l WHERE n <= 25) SELECT doc_id, place::BIGINT AS place, round((place + 1) / len(ws), 6) AS ratio, array_to_string(ws[: place + 1], ' ') AS prefix FROM p""")
+def recoverability_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Failed answers, 25 of each language by a seeded sample, branched at every 40th word and written as lines of JSON."""
+    failed = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").where("quality = 0"), "doc_id").select("doc_id", "lang", F.expr("regexp_extract_all(text, '[a-z]+', 0)").alias("words"))
+    made = sampling.prefixes(sampling.bottom_k(failed, 25, 7, "doc_id", group="lang"), "words", 40)
+    path = _folder(spark, "recoverability")
+    for _ in range(2):
+        datasets.append_step(made.select("doc_id", "place", "ratio", F.array_join("prefix", " ").alias("prefix")), path, 1, "json")
+    return spark.read.schema("doc_id long, place long, ratio double, prefix string").json(f"{path}/step=1").withColumn("ratio", F.round("ratio", 6))
+
+
+@query("batch_consistency", f"""WITH {O}, m AS (SELECT CASE WHEN key % 97 = 0 THEN NULL WHEN key % 89 = 0 THEN row_id - 1 ELSE row_id END AS row_id FROM o), c AS (SELECT row_id, count(*) AS n FROM m WHERE row_id IS NOT NULL GROUP BY 1), s AS (SELECT max(n) AS times, count(*) AS ids, min(row_id) AS least, max(row_id) AS most FROM c)
+  SELECT 'price is double' AS "check", TRUE AS ok UNION ALL SELECT 'priority is bigint', FALSE UNION ALL SELECT 'mask is array<int>', FALSE UNION ALL SELECT 'row_id has no nulls', (SELECT count(*) = count(row_id) FROM m) UNION ALL SELECT 'row_id has no repeats', times = 1 FROM s
+  UNION ALL SELECT 'row_id has no gaps', least = 0 AND most = ids - 1 FROM s UNION ALL SELECT 'ids is equally long', FALSE UNION ALL SELECT 'pair is equally long', TRUE""")
+def batch_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A batch with null and repeated numbers, gaps, and arrays of several lengths."""
+    rows = _rows(spark, sf_dir).withColumns({"row_id": F.when(F.col("key") % 97 == 0, None).when(F.col("key") % 89 == 0, F.col("row_id") - 1).otherwise(F.col("row_id")), "ids": F.sequence(F.lit(0), F.col("key") % 3), "pair": F.array("key", "key")})
+    return batches.consistency(rows, {"price": "double", "priority": "bigint", "mask": "array<int>"})
+
+
+@query("batch_equal_columns", """WITH t AS (SELECT event_id, value, CASE WHEN event_id % 50 = 0 THEN 'nan'::DOUBLE ELSE value END AS v, event_type FROM events)
+  SELECT * FROM (VALUES ('value', TRUE, TRUE), ('with_nan', TRUE, FALSE), ('kind', TRUE, TRUE)) AS x("column", equal, strict) UNION ALL SELECT 'one_off', (SELECT count(*) = 0 FROM events WHERE event_id = (SELECT max(event_id) FROM events)), FALSE""")
+def batch_equal_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A batch and a copy of it in another order, in which one column differs in one row: equal columns, and strictly equal ones, for which NaN isn't itself."""
+    rows = table(spark, sf_dir, "events").select(F.col("event_id").alias("row_id"), "value", F.expr("if(event_id % 50 = 0, double('NaN'), value)").alias("with_nan"), F.col("event_type").alias("kind"), F.col("user_id").alias("one_off"))
+    last = rows.agg(F.max("row_id")).first()[0]
+    other = rows.repartition(5, "kind").withColumn("one_off", F.col("one_off") + F.when(F.col("row_id") == last, 1).otherwise(0))
+    columns = "value", "with_nan", "kind", "one_off"
+    return batches.equal_columns(rows, other, *columns).join(batches.equal_columns(rows, other, *columns, nan_equal=False).withColumnRenamed("equal", "strict"), "column")
+
+
+@query("batch_interleaved", f"""WITH {O}, p AS (SELECT o_orderkey AS key, o_totalprice AS price, CASE o_orderstatus WHEN 'O' THEN 0 WHEN 'F' THEN 1 ELSE 2 END AS source FROM orders), r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY key) - 1 AS i, count(*) OVER (PARTITION BY source) AS m FROM p),
+  w AS (SELECT *, (SELECT max(w) FROM range(6) t(w) WHERE w * m // 6 <= i) AS worker FROM r) SELECT row_number() OVER (ORDER BY worker, source, i) - 1 AS row_id, worker, source, key, CASE WHEN source = 2 THEN -1.0::DOUBLE ELSE price END AS price FROM w""")
+def batch_interleaved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders by status as three parts, the last without a price, dealt to six workers."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_totalprice").alias("price"), F.expr("case o_orderstatus when 'O' then 0 when 'F' then 1 else 2 end").alias("source"))
+    parts = [batches.number(orders.where(F.col("source") == i).drop(*["price"] * (i == 2)), "key") for i in range(3)]
+    return batches.interleaved(parts, [p.count() for p in parts], 6, {"price": -1.0}).select("row_id", "worker", "source", "key", "price")
+
+
 @query("sample_branch_points", """WITH u AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY md5('9:' || user_id || ':' || event_id)[1:12], event_id) AS n FROM events WHERE event_type <> 'error') SELECT user_id, event_id FROM u WHERE n <= 3""")
 def sample_branch_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type")
@@ -268,10 +321,10 @@ def sink_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(same, not other)], "same boolean, differs boolean")
 
 
-@query("source_counting", "SELECT unnest(range(500)) AS index, TRUE AS right")
+@query("source_counting", "SELECT doc_id AS index, TRUE AS right FROM documents")
 def source_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Synthetic counting prompts; their truth is counted again from the prompt."""
-    rows = datasets.counting_prompts(spark, 500, 3)
+    """A synthetic counting prompt a document; its truth is counted again from the prompt."""
+    rows = datasets.counting_prompts(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("index")), 3)
     word, letter = F.regexp_extract("prompt", r"word ([a-z-]+)\?", 1), F.regexp_extract("prompt", "many ([a-z])", 1)
     counted = F.size(F.filter(F.split(word, "-"), lambda x: x == letter))
     return rows.select("index", ((counted == F.col("truth")) & F.size(F.split(word, "-")).between(3, 5)).alias("right"))

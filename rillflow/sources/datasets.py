@@ -133,10 +133,10 @@ def same_files(spark: SparkSession, source: str, copy: str) -> DataFrame:
     return both.where(~F.col("length").eqNullSafe(F.col("copied")))
 
 
-def counting_prompts(spark: SparkSession, n: int, seed: int, least: int = 3, most: int = 5) -> DataFrame:
-    """(index, prompt, truth): synthetic questions how often a letter is in a word of letters joined by dashes; all by a seeded hash."""
+def counting_prompts(rows: DataFrame, seed: int, least: int = 3, most: int = 5) -> DataFrame:
+    """(index, prompt, truth) for each row's ``index``: synthetic questions how often a letter is in a word of letters joined by dashes; all by a seeded hash."""
     digit = lambda k, lo, hi: (F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), "index", k)), 1, 8), 16, 10).cast("long") % (hi - lo + 1) + lo).cast("int")
-    rows = spark.range(n).withColumnRenamed("id", "index").withColumn("_n", digit(F.lit("n"), F.lit(least), F.lit(most))).withColumn("_c", digit(F.lit("c"), F.lit(0), F.lit(25)))
+    rows = rows.select("index").withColumn("_n", digit(F.lit("n"), F.lit(least), F.lit(most))).withColumn("_c", digit(F.lit("c"), F.lit(0), F.lit(25)))
     rows = rows.withColumn("truth", digit(F.lit("t"), F.lit(1), F.col("_n")))
     other = lambda i: (F.col("_c") + digit(F.concat(F.lit("o"), i.cast("string")), F.lit(1), F.lit(25))) % 26
     letter = lambda i: F.char(97 + F.when(i <= F.col("truth"), F.col("_c")).otherwise(other(i)))
@@ -150,6 +150,11 @@ def append_metrics(metrics: DataFrame, path: str, step: int) -> None:
     metrics.select("key", "value").write.mode("overwrite").parquet(f"{path}/step={step}")
 
 
+def append_step(rows: DataFrame, path: str, step: int, kind: str = "parquet") -> None:
+    """Rows of a step in the table at ``path``, as ``parquet`` or as lines of ``json``; a step that is written again replaces its rows and no other's."""
+    rows.write.mode("overwrite").format(kind).save(f"{path}/step={step}")
+
+
 def contest_rows(rows: DataFrame, date: str, first: str, before: str, public: str, private: str, prompt: str, starter: str) -> DataFrame:
     """Rows whose date text lies in [first, before): ``inputs`` and ``outputs`` of both JSON test lists, public ones first, and whether code is given."""
     tests = "array<struct<input:string,output:string>>"
