@@ -82,6 +82,42 @@ def sub_match(text: Column, golds: Column) -> Column:
     return F.exists(golds, lambda g: F.contains(plain_answer(text), plain_answer(g)))
 
 
+# Where an answer stands in a reply about tables.
+ANSWER_BLOCK = r"(?s)<Answer>(.*?)</Answer>"
+THOUGHTS = r"(?s)<Analyze>(.*?)</Analyze>"
+AFTER_THOUGHTS = r"(?s)<Analyze>.*?</Analyze>\s*(.*)"
+ANSWER_MARK = "Answer:"
+SAID = r"(?i)(?:the\s+answer\s+is\s*:?\s*)([^\n]*?)(?:$|\.|\n)"
+CONCLUDED = r"(?i)(?:therefore|thus|so|hence|consequently|in conclusion)[,:]?\s+([^\n]*?)(?:$|\.|\n)"
+
+
+def table_reply_answer(text: Column, by_line: bool = False) -> Column:
+    """The answer in a reply about tables; null counts as empty, and an empty answer as none.
+
+    It is looked for in the answer block, else after the mark (the rest of its last line, ``by_line``, or of the reply), else in the whole reply (or
+    its last line). What follows the thoughts counts, else what they say the answer is or conclude; then what is said to be the answer, without quotes.
+    """
+    strip = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    first = lambda c, pattern: F.get(F.regexp_extract_all(c, F.lit(pattern), F.lit(1)), 0)
+    after_mark = lambda c: F.substring_index(c, ANSWER_MARK, -1)
+    text = F.coalesce(text, F.lit(""))
+    block = strip(first(text, ANSWER_BLOCK))
+    marked = F.when(F.contains(text, F.lit(ANSWER_MARK)), last(F.regexp_extract_all(text, F.lit(ANSWER_MARK + r"\s*([^\n]*)"), F.lit(1))) if by_line else after_mark(text))
+    rest = F.substring_index(strip(text), "\n", -1) if by_line else text
+    raw = F.regexp_replace(strip(F.coalesce(F.when(F.contains(block, F.lit(ANSWER_MARK)), after_mark(block)).otherwise(block), marked, rest)), "</?Answer>", "")
+    thoughts, after = first(raw, THOUGHTS), strip(first(raw, AFTER_THOUGHTS))
+    thought = F.when(after == "", F.coalesce(F.regexp_replace(strip(first(thoughts, SAID)), r"""^["'](.*?)["']\.?$""", "$1"), strip(first(thoughts, CONCLUDED))))
+    shown = F.when(after != "", after).otherwise(raw)
+    return F.coalesce(thought, F.regexp_replace(strip(first(shown, SAID)), r"""^["'](.*)["']$""", "$1"), strip(shown))
+
+
+def table_reply_score(text: Column, truth: Column, by_line: bool = False) -> Column:
+    """(reward, completed): the answer is the truth in plain form; without an answer neither."""
+    answer = table_reply_answer(text, by_line)
+    reward = F.when(answer == "", 0.0).when(plain_answer(answer) == plain_answer(truth), 1.0).otherwise(0.0)
+    return F.struct(F.coalesce(reward, F.lit(0.0)).alias("reward"), F.when(answer == "", 0).otherwise(1).alias("completed"))
+
+
 def tag_answer(text: Column, least: int = 1) -> Column:
     """The last ``<answer>`` block, if there are ``least`` of them."""
     every = found(text, r"(?s)<answer>(.*?)</answer>")

@@ -86,6 +86,47 @@ def grade_tag_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", g.tag_score(t, golds, format_score=0.1).alias("score"), g.tag_score(t, golds, g.sub_match, format_score=0.1).alias("sub"))
 
 
+#: Replies about tables by ``doc_id`` modulo their number, ``N`` for the source.
+_TABLE_REPLIES = (
+    "<Answer>The N!</Answer>", "<Answer>first\nAnswer: N </Answer>", "Answer: other\nAnswer: N\nbye", "\n nothing here\n N. ", "", "<Analyze>I look. The answer is: \"N\".</Analyze>", "<Analyze>hm</Analyze>\n The answer is ''N''\nmore",
+    "<Analyze>Therefore, the N. Or not</Analyze>", "<Analyze>nothing</Analyze> ", "I think THE ANSWER  IS N. Surely", "<Answer></Answer>", "<Analyze>so  x</Analyze><Answer>N</Answer>", "<Answer>y</Answer> <Answer>N</Answer>", "Answer:\n\nN\nx",
+)
+
+
+def _table_reply_sql(by_line: bool) -> str:
+    strip = lambda x: rf"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
+    first = lambda x, p: f"regexp_extract_all({x}, '{p}', 1)[1]"
+    said = r"(?i)(?:the\s+answer\s+is\s*:?\s*)([^\n]*?)(?:$|\.|\n)"
+    ended = r"(?i)(?:therefore|thus|so|hence|consequently|in conclusion)[,:]?\s+([^\n]*?)(?:$|\.|\n)"
+    marked = r"regexp_extract_all(t, 'Answer:\s*([^\n]*)', 1)[-1]" if by_line else "string_split(t, 'Answer:')[-1]"
+    rest = rf"string_split({strip('t')}, chr(10))[-1]" if by_line else "t"
+    return rf"""b AS (SELECT *, {strip(first('t', '(?s)<Answer>(.*?)</Answer>'))} AS b FROM t),
+  r AS (SELECT *, regexp_replace({strip(f"CASE WHEN b IS NOT NULL THEN string_split(b, 'Answer:')[-1] WHEN contains(t, 'Answer:') THEN {marked} ELSE {rest} END")}, '</?Answer>', '', 'g') AS r FROM b),
+  h AS (SELECT *, {first('r', '(?s)<Analyze>(.*?)</Analyze>')} AS h, {strip(first('r', r'(?s)<Analyze>.*?</Analyze>\s*(.*)'))} AS f FROM r),
+  k AS (SELECT *, CASE WHEN f = '' THEN coalesce(regexp_replace({strip(first('h', said))}, '^["''](.*?)["'']\.?$', '\1'), {strip(first('h', ended))}) END AS k, CASE WHEN f <> '' THEN f ELSE r END AS g FROM h),
+  a AS (SELECT *, coalesce(k, regexp_replace({strip(first('g', said))}, '^["''](.*)["'']$', '\1'), {strip('g')}) AS answer FROM k)"""
+
+
+def _table_reply_query(by_line: bool) -> str:
+    return rf"""WITH t AS (SELECT doc_id, source, {_by_id_sql(tuple(r.replace(chr(10), "' || chr(10) || '") for r in _TABLE_REPLIES), "source")} AS t FROM documents), {_table_reply_sql(by_line)}
+  SELECT doc_id, answer, CASE WHEN answer <> '' AND {_plain_sql('answer')} = {_plain_sql('source')} THEN 1 ELSE 0 END::DOUBLE AS reward, (answer <> '')::INT AS completed FROM a"""
+
+
+def _table_replies(spark: SparkSession, sf_dir: str, by_line: bool) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select("doc_id", "source", _by_id(tuple(r.replace("''", "'") for r in _TABLE_REPLIES), F.col("source")).alias("t"))
+    return rows.select("doc_id", g.table_reply_answer(F.col("t"), by_line).alias("answer"), g.table_reply_score(F.col("t"), F.col("source"), by_line).alias("s")).select("doc_id", "answer", "s.*")
+
+
+@query("grade_table_reply", _table_reply_query(False))
+def grade_table_reply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table_replies(spark, sf_dir, False)
+
+
+@query("grade_table_reply_lines", _table_reply_query(True))
+def grade_table_reply_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table_replies(spark, sf_dir, True)
+
+
 _TAGS_EVEN = " AND ".join(f"len(regexp_extract_all(t, '<{k}>')) = len(regexp_extract_all(t, '</{k}>'))" for k in ("think", "search", "information", "answer"))
 _TAGS_ORDER = r"\s*<think>[^<]*</think>\s*(<search>[^<]*</search>\s*<information>[^<]*</information>\s*<think>[^<]*</think>\s*)*<answer>[^<]*</answer>\s*"
 
