@@ -63,3 +63,28 @@ def test_shared_and_null_ids_stay_whole(spark, tmp_path):
     assert len(got) == len(before) == 10
     want = {(i, t.replace("secret=" + "k" * 16, "[SECRET]")) for i, t in before if i != 9}
     assert {x for x in got if x[0] != 9} == want and [len(t.split()) for i, t in got if i == 9] == [60]
+
+
+def test_columns_of_any_name_stay(spark, tmp_path):
+    """Names that stages use themselves, in the user's table."""
+    rng = random.Random(12)
+    say = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 8))) for _ in range(n))
+    more = ("_th", "_id", "_doc", "_text", "_z", "row", "first", "n", "kept", "spans", "found", "repository", "owner", "n_words", "text_hash", "c", "component_id", "_word", "_bits", "odd name", "base_failed")
+    texts = [say(90) for _ in range(8)]
+    texts += [texts[0], texts[1] + " changed", texts[2] + " secret=" + "k" * 16]
+    rows = [(i, t, "en", "s1", len(t), *[f"{m}{i}" for m in more]) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{m}` string" for m in more)).repartition(3)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        made = stage(spark, docs, str(tmp_path))
+        assert made.columns == docs.columns and made.dtypes == docs.dtypes
+        got = made.collect()
+        assert all(r[m] == f"{m}{r.doc_id}" for r in got for m in more)
+        docs = spark.createDataFrame(got, docs.schema)
+    assert {r.doc_id for r in got} == set(range(8))
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() >= 8
+
+
+def test_an_empty_table_gives_none(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
