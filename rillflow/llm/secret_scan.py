@@ -121,12 +121,14 @@ def secret_scan(docs: DataFrame, owner: str = "source", repository: str = "doc_i
 
 
 def digest(scanned: DataFrame) -> DataFrame:
-    """Counts of the base kinds, the hash of the base spans' list, and the list of all spans."""
+    """Counts of the base kinds, the hash of the base spans' list, the list of all spans, and how many of them look live: their value stays
+    with few owners, while that of an example is widely copied."""
     listed = "array_join(transform({}, x -> concat_ws(':', x.kind, cast(x.start as string), cast(x.end as string))), ',')"
     n = lambda kind: F.expr(f"cast(size(filter(spans, x -> x.kind = '{kind}')) as bigint)")
     return scanned.select(
         "doc_id", n("assign").alias("n_assign"), n("access").alias("n_access"), n("hex").alias("n_hex"),
         F.sha2(F.expr(listed.format("filter(spans, x -> x.kind != 'token')")), 256).alias("base_sha256"), F.expr(listed.format("spans")).alias("spans"),
+        *[F.expr(f"cast(size(filter(spans, x -> {which} x.example)) as bigint)").alias(name) for name, which in (("n_live", "not"), ("n_example", ""))],
     )
 
 
