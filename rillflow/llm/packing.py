@@ -213,7 +213,7 @@ def tokens(batches: Iterator[pa.RecordBatch], path: str, text: str, end_id: int)
     """Slices of the batches with the ids of each row, ``end_id`` last."""
     cache, _ = word_tokenizer(path)
     tokenizer, added = whole_texts(path)
-    for batch, body, at in chunks(batches, text, 4 * CHUNK_BYTES):
+    for batch, body, at in chunks(batches, text):
         starts, ends, first = units(body, at)
         flat, counts = cache.ids(word_symbols(body, starts, ends, lower=True), body, starts, ends) if len(starts) else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
         upto = np.concatenate([[0], np.cumsum(counts)])[first]

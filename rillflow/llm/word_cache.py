@@ -15,7 +15,7 @@ Encode = Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]
 class WordCache:
     """Encodes each distinct word once. Over ``most`` words it starts afresh, so its memory is bounded."""
 
-    def __init__(self, encode: Encode, most: int = 600_000):
+    def __init__(self, encode: Encode, most: int = 400_000):
         self.encode, self.most = encode, most
         self.clear()
 
