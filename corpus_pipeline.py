@@ -27,8 +27,9 @@ def _columns(docs: DataFrame, **changed: Column) -> list[Column]:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the quality rules. Null texts fail them; repeated rows each pass or fail; an empty table gives none."""
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "text")
-    return quality_rules.quality(whole).where("kept").select(*_columns(docs))
+    numbered = [f"c{i}" for i in range(len(docs.columns))]
+    judged = quality_rules.quality(docs.toDF(*numbered), text=numbered[docs.columns.index("text")])
+    return judged.where("kept").select(*[F.col(n).alias(c) for n, c in zip(numbered, docs.columns, strict=True)])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
