@@ -201,6 +201,30 @@ def spans_in(ids: Arr, parts: int) -> Column:
     return F.transform(F.sequence(F.lit(0), k - 1), lambda i: F.struct((i * base + F.least(i, extra)).alias("start"), ((i + 1) * base + F.least(i + 1, extra)).alias("end")))
 
 
+def chain_nodes(prompt: Arr, response: Arr, spans: Column) -> Column:
+    """(prompt, ids) of the nodes that ``spans`` (start, end) cut a response into: each one's prompt ends where the one before it ends."""
+    return F.transform(spans, lambda s: F.struct(F.concat(_c(prompt), F.slice(_c(response), F.lit(1), s["start"])).alias("prompt"), F.slice(_c(response), s["start"] + 1, s["end"] - s["start"]).alias("ids")))
+
+
+def rectangle(rows, prompt: str, response: str, mask: str, most_prompt: int, most_response: int, pad: int = 0):
+    """``rows`` with ``ids`` of ``most_prompt`` + ``most_response`` (the prompt's last ones padded on the left, the response's first ones on the right), ``attention``,
+    ``response_mask`` (padding is 0), ``positions`` (counted from the first real token; padding repeats the nearest) and ``reward_at``, the place of the response's last token."""
+    p, r = F.slice(_c(prompt), F.greatest(F.size(prompt) - most_prompt + 1, F.lit(1)), most_prompt), F.slice(_c(response), 1, most_response)
+    k, n = F.least(F.size(prompt), F.lit(most_prompt)), F.least(F.size(response), F.lit(most_response))
+    kind = lambda c: rows.schema[c].dataType.elementType.simpleString()
+    fill = lambda c, by, size: F.array_repeat(F.lit(by).cast(kind(c)), size)
+    one = lambda by, size: F.array_repeat(F.lit(by), size)
+    before, after = F.lit(most_prompt) - k, F.lit(most_response) - n
+    places = F.concat(
+        F.transform(F.sequence(F.lit(0), F.lit(most_prompt - 1)), lambda i: F.greatest(i - (most_prompt - F.least(F.size(prompt), F.lit(most_prompt))), F.lit(0))),
+        F.transform(F.sequence(F.lit(0), F.lit(most_response - 1)), lambda i: F.least(F.size(prompt), F.lit(most_prompt)) + F.least(i, F.greatest(F.least(F.size(response), F.lit(most_response)), F.lit(1)) - 1)),
+    )
+    return rows.withColumns({
+        "positions": places, "ids": F.concat(fill(prompt, pad, before), p, r, fill(prompt, pad, after)), "attention": F.concat(one(0, before), one(1, k), one(1, n), one(0, after)),
+        "response_mask": F.concat(F.slice(_c(mask), 1, most_response), fill(mask, 0, after)), "reward_at": F.when(n > 0, n - 1),
+    })
+
+
 def unfold(array: Arr, parts: int) -> Column:
     """``parts`` equal slices of an array, as an array."""
     size = (F.size(_c(array)) / parts).cast("int")

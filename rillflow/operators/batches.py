@@ -78,6 +78,22 @@ def take(rows: DataFrame, start: int | None = None, stop: int | None = None, ste
     return rows.where((i <= a) & (i > b) & ((a - i) % -s == 0)).withColumn("row_id", F.floor((a - i) / -s))
 
 
+def item(rows: DataFrame, key, count: int | None = None) -> DataFrame:
+    """What ``batch[key]`` is: the row of an int, a slice, the rows of a list (in its order, negative ones from the end), or those of a mask, a column or a list of truth values; numbered afresh."""
+    if isinstance(key, Column):
+        return select_mask(rows, key)
+    if isinstance(key, slice):
+        return take(rows, key.start, key.stop, key.step or 1, count)
+    places = [key] if isinstance(key, int) and not isinstance(key, bool) else list(key)
+    if places and all(isinstance(p, bool) for p in places):
+        places = [i for i, p in enumerate(places) if p]
+    n = rows.count() if count is None else count
+    if any(not -n <= p < n for p in places):
+        raise IndexError(f"{n} rows: {key!r}")
+    listed = rows.sparkSession.createDataFrame([(i, p % n) for i, p in enumerate(places)], "pos long, row_id long")
+    return select_rows(rows, F.broadcast(listed) if len(places) < 100_000 else listed)
+
+
 def reorder(rows: DataFrame, permutation: DataFrame) -> DataFrame:
     return select_rows(rows, permutation)
 

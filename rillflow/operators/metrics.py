@@ -28,6 +28,30 @@ def data_metrics(rows: DataFrame, most_length: int, prefix: str = "") -> DataFra
     return long_form(rows.agg(*parts))
 
 
+def critic_metrics(rows: DataFrame, most_response: int, most_prompt: int, use_critic: bool = True) -> DataFrame:
+    """(key, value) of sequences ``rows(reward, score, prompt_len, response_len, advantages, returns, values, mask)``, arrays a token: mean, max and min of scores, rewards,
+    lengths and, over unmasked tokens, of advantages, returns and values, the critic's explained variance, and the shares of rows exactly at the length limits.
+    Tokens are aggregated within their row first, so no row a token is shuffled."""
+    named = {"advantages": "advantages", "returns": "returns"} | ({"values": "values"} if use_critic else {})
+    parts: list[Column] = []
+    for name, column in (("critic/score", "score"), ("critic/rewards", "reward"), ("response_length", "response_len"), ("prompt_length", "prompt_len")):
+        parts += [f(column).alias(f"{name}/{kind}") for kind, f in (("mean", F.avg), ("max", F.max), ("min", F.min))]
+    parts += [F.avg((F.col("response_len") == most_response).cast("double")).alias("response_length/clip_ratio"), F.avg((F.col("prompt_len") == most_prompt).cast("double")).alias("prompt_length/clip_ratio")]
+    kept = lambda c: F.transform(F.filter(F.arrays_zip(F.col(c), F.col("mask")), lambda x: x["mask"] > 0), lambda x: x[c])
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
+    judged = rows
+    for name, c in named.items():
+        judged = judged.withColumn(f"_{c}", kept(c))
+        parts += [(F.sum(total(F.col(f"_{c}"))) / F.sum(F.size(f"_{c}"))).alias(f"critic/{name}/mean"), F.max(F.array_max(f"_{c}")).alias(f"critic/{name}/max"), F.min(F.array_min(f"_{c}")).alias(f"critic/{name}/min")]
+    if use_critic:
+        gap = F.zip_with("_returns", "_values", lambda a, b: a - b)
+        square = lambda a: total(F.transform(a, lambda x: x * x))
+        n = F.sum(F.size("_returns"))
+        var = lambda a: (F.sum(square(a)) - F.sum(total(a)) * F.sum(total(a)) / n) / (n - 1)
+        parts.append((1 - var(gap) / (var(F.col("_returns")) + 1e-5)).alias("critic/vf_explained_var"))
+    return long_form(judged.agg(*parts))
+
+
 def explained_variance(rows: DataFrame, returns: str, values: str) -> DataFrame:
     return rows.agg((1 - F.var_samp(F.col(returns) - F.col(values)) / (F.var_samp(returns) + 1e-5)).alias("explained_variance"))
 

@@ -167,6 +167,13 @@ def process_scores(logp: Column, ref: Column, n: Column, beta: float, lam: float
     return tk.let(F.zip_with(logp, ref, lambda a, b: (a - b) * beta).alias("q"), lambda q: tk.let(F.transform(q, lambda x, i: F.when(i < n, x).otherwise(0.0)), judge))
 
 
+def node_score(finished: Column, source: Column, graders: dict[str | tuple[str, ...], Column], completed: Column) -> Column:
+    """(reward, completed, finished) of a node: all 0 unless its response came to its end, else the score of its source's grader and whether an answer was found.
+    An unfinished node needs no grader."""
+    over = F.coalesce(finished, F.lit(False))
+    return F.struct(F.when(over, by_source(source, graders)).otherwise(0.0).alias("reward"), F.when(over, completed.cast("int")).otherwise(0).alias("completed"), over.cast("int").alias("finished"))
+
+
 def by_source(source: Column, graders: dict[str | tuple[str, ...], Column]) -> Column:
     """The score of the grader that a row's source names (one, or a tuple of names); an error for any other source."""
     out = F.raise_error(F.concat(F.lit("no grader for source "), F.coalesce(source, F.lit("null")))).cast("double")

@@ -218,3 +218,12 @@ def sample_reweight(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"), (F.col("p_size") - 25.0).alias("s"), "p_size")
     out = sampling.reweight(sampling.reweight(sampling.reweight(rows, "s", "pow", 2.0, "pow"), "p_size", "max_min", name="extreme"), "p_size", "max_random", name="top")
     return out.select("key", F.round("pow", 4).alias("pow"), "extreme", "top")
+
+
+@query("batch_item", f"""WITH {O}, i AS (SELECT 'int' AS kind, 0 AS row_id, key FROM o, n WHERE row_id = n - 3 UNION ALL SELECT 'slice', row_id - 5, key FROM o WHERE row_id >= 5 AND row_id < 9
+  UNION ALL SELECT 'list', j.i, key FROM (VALUES (0, 4), (1, 2), (2, 2)) j(i, place) JOIN o ON o.row_id = j.place UNION ALL SELECT 'mask', row_number() OVER (ORDER BY row_id) - 1, key FROM o WHERE key % 5 = 0) SELECT kind, row_id::BIGINT AS row_id, key FROM i""")
+def batch_item(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _rows(spark, sf_dir)
+    keys = {"int": -3, "slice": slice(5, 9), "list": [4, 2, 2], "mask": F.col("key") % 5 == 0}
+    parts = [batches.item(rows, k).select(F.lit(name).alias("kind"), F.col("row_id").cast("long").alias("row_id"), "key") for name, k in keys.items()]
+    return parts[0].unionAll(parts[1]).unionAll(parts[2]).unionAll(parts[3])

@@ -318,3 +318,28 @@ def scaled_logits(spark: SparkSession, sf_dir: str) -> DataFrame:
 def entropy_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select("vec_id", (F.col("label") != 0).cast("int").alias("m"), tk.entropy(F.col("embedding").cast("array<double>")).alias("h"))
     return losses.agg_loss(rows, "h", "m", "vec_id", "token-mean").select(F.round("loss", 5).alias("loss"))
+
+
+@query("chain_nodes", f"""WITH {T}, k AS (SELECT seq, pos, token, coalesce(sum((token IN (3, 9))::INT) OVER (PARTITION BY seq ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS part FROM t),
+  n AS (SELECT seq, min(pos) AS begin, count(*) AS size, sum(token) AS ids FROM k GROUP BY seq, part) SELECT seq, row_number() OVER (PARTITION BY seq ORDER BY begin)::INT - 1 AS node, (begin + 2)::INT AS prompt_size, size::INT AS size, (7 + 8 + coalesce((SELECT sum(token) FROM t WHERE t.seq = n.seq AND t.pos < begin), 0))::BIGINT AS prompt_ids, ids::BIGINT AS ids FROM n""")
+def chain_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequences cut after stop tokens: each node's prompt is the prompt and all that came before it."""
+    nodes = tk.chain_nodes(F.array(F.lit(7).cast("long"), F.lit(8).cast("long")), F.col("token"), tk.spans_at_stops("token", (3, 9)))
+    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
+    rows = sequences(spark, sf_dir, "token").select("seq", F.posexplode(nodes).alias("node", "n"))
+    return rows.select("seq", "node", F.size("n.prompt").alias("prompt_size"), F.size("n.ids").alias("size"), total(F.col("n.prompt")).alias("prompt_ids"), total(F.col("n.ids")).alias("ids"))
+
+
+@query("rollout_padded", f"""WITH {T}, s AS (SELECT seq, list(token ORDER BY pos) AS x, list(m ORDER BY pos) AS m FROM t GROUP BY seq), p AS (SELECT seq, x[:20] AS prompt, x[21:] AS response, m[21:] AS m FROM s),
+  q AS (SELECT seq, list_concat([0 FOR i IN range(24 - len(prompt))], prompt) AS left_ids, list_concat([0 FOR i IN range(24 - len(prompt))], [1 FOR i IN prompt]) AS left_mask, list_concat(response[:48], [0 FOR i IN range(48 - least(48, len(response)))]) AS right_ids,
+    list_concat(m[:48], [0 FOR i IN range(48 - least(48, len(response)))]) AS right_mask, least(48, len(response)) AS n, len(prompt) AS k FROM p)
+  SELECT seq, array_to_string(list_concat(left_ids, right_ids), ' ') AS ids, array_to_string(right_mask, '') AS mask, array_to_string(list_concat([greatest(i - (24 - k), 0) FOR i IN range(24)], [k + least(i, greatest(n, 1) - 1) FOR i IN range(48)]), ' ') AS positions,
+    CASE WHEN n > 0 THEN n::INT - 1 END AS reward_at, round(list_sum([0.5 * x FOR x IN right_mask]), 4)::DOUBLE AS advantage FROM q""")
+def rollout_padded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rollouts as rectangles: prompts padded on the left to 24, responses on the right to 48; the reward on the last token, the advantage on all that count."""
+    rows = sequences(spark, sf_dir, "token", "m").select("seq", F.slice("token", 1, 20).alias("prompt"), F.slice("token", 21, 1 << 30).alias("response"), F.slice("m", 21, 1 << 30).alias("m"))
+    out = tk.rectangle(rows, "prompt", "response", "m", 24, 48)
+    text = lambda c, by=" ": F.array_join(F.col(c).cast("array<string>"), by)
+    given = F.transform("response_mask", lambda x: 0.5 * x)
+    total = F.round(F.aggregate(given, F.lit(0.0), lambda a, x: a + x), 4)
+    return out.select("seq", text("ids").alias("ids"), text("response_mask", "").alias("mask"), text("positions").alias("positions"), F.col("reward_at").cast("int").alias("reward_at"), total.alias("advantage"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rillflow.operators import metrics
-from rillflow.plans.bindings import R, T, rollouts, tokens
+from rillflow.plans.bindings import sequences, R, T, rollouts, tokens
 from rillflow.plans.catalog import query, table
 
 _M = [("reward", "reward"), ("prompt_length", "prompt_len"), ("response_length", "response_len"), ("num_turns", "turns")]
@@ -167,3 +167,18 @@ def paired_group_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count(F.lit(1)).alias("pairs"), F.round(F.avg(rate - F.col("s") / F.col("n")), 6).alias("gain"), F.count_if(F.col("s") == 0).alias("root_zero"),
         F.round(F.avg(F.when(F.col("s") == 0, rate)), 6).alias("gain_zero"), F.count_if(F.col("s") <= 1).alias("root_low"),
     )
+
+
+@query("critic_metrics", f"""WITH {T}, s AS (SELECT seq, sum(r) AS score, sum(r * m) AS reward, count(*) AS response_len, count(*) FILTER (m = 0) AS prompt_len FROM t GROUP BY seq), k AS (SELECT * FROM t WHERE m > 0),
+  x AS (SELECT unnest(['critic/score', 'critic/rewards', 'response_length', 'prompt_length']) AS n, unnest([score, reward, response_len::DOUBLE, prompt_len::DOUBLE]) AS v FROM s UNION ALL SELECT unnest(['critic/advantages', 'critic/returns', 'critic/values']), unnest([adv, ret, v]) FROM k)
+  SELECT n || '/mean' AS key, round(avg(v), 4) AS value FROM x GROUP BY n UNION ALL SELECT n || '/max', round(max(v), 4) FROM x GROUP BY n UNION ALL SELECT n || '/min', round(min(v), 4) FROM x GROUP BY n
+  UNION ALL SELECT 'response_length/clip_ratio', round(avg((response_len = 70)::INT), 4) FROM s UNION ALL SELECT 'prompt_length/clip_ratio', round(avg((prompt_len = 10)::INT), 4) FROM s
+  UNION ALL SELECT 'critic/vf_explained_var', round(1 - var_samp(ret - v) / (var_samp(ret) + 1e-5), 4) FROM k""")
+def critic_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sequences(spark, sf_dir, "r", "m", "adv", "ret", "v")
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
+    rows = rows.select(
+        "seq", total(F.col("r")).alias("score"), total(F.zip_with("r", "m", lambda a, b: a * b)).alias("reward"), F.size("r").alias("response_len"), F.size(F.filter("m", lambda x: x == 0)).alias("prompt_len"),
+        F.col("adv").alias("advantages"), F.col("ret").alias("returns"), F.col("v").alias("values"), F.col("m").alias("mask"),
+    )
+    return metrics.critic_metrics(rows, 70, 10).withColumn("value", F.round("value", 4))

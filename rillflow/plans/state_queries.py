@@ -306,3 +306,12 @@ def dataset_generate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dataset_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.struct("lang", F.struct(F.col("n_chars").alias("n")).alias("size")).alias("meta"))
     return rows.select(*datasets.flat_columns(rows.schema))
+
+
+@query("pool_chain_sample", f"""WITH u AS (SELECT o_orderkey::VARCHAR AS prompt, o_orderkey % 4 AS k, o_orderkey % 5 AS n FROM orders WHERE o_orderkey % 3 <> 0 AND o_orderkey % 4 <= o_orderkey % 5),
+  w AS (SELECT prompt, CASE WHEN n = 0 THEN 1.0 ELSE 4 * (k / n) * (1 - k / n) END AS w, (('0x' || substr(md5('8:' || prompt), 1, 12))::BIGINT::DOUBLE + 0.5) / 281474976710656.0::DOUBLE AS u FROM u)
+  SELECT prompt FROM w ORDER BY CASE WHEN w > 0 THEN ln(u) / w ELSE '-inf'::DOUBLE END DESC, prompt LIMIT 200""")
+def pool_chain_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learning chains drawn by how uncertain their active node is."""
+    chains = table(spark, sf_dir, "orders").where("o_orderkey % 4 <= o_orderkey % 5").selectExpr("cast(o_orderkey as string) as prompt", "if(o_orderkey % 3 = 0, 'completed', 'learning') as state", "o_orderkey % 4 as k_succ", "o_orderkey % 5 as k_total")
+    return pools.sample_chains(chains, 200, 8).select("prompt")

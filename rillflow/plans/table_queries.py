@@ -328,3 +328,16 @@ def source_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
     word, letter = F.regexp_extract("prompt", r"word ([a-z-]+)\?", 1), F.regexp_extract("prompt", "many ([a-z])", 1)
     counted = F.size(F.filter(F.split(word, "-"), lambda x: x == letter))
     return rows.select("index", ((counted == F.col("truth")) & F.size(F.split(word, "-")).between(3, 5)).alias("right"))
+
+
+@query("source_files", """WITH k AS (SELECT n_regionkey AS r, CASE n_regionkey % 3 WHEN 0 THEN 'csv' WHEN 1 THEN 'json' ELSE 'md' END AS kind, sum(length(n_name) + 1) AS n FROM nation GROUP BY 1, 2) SELECT r::INT AS region, kind, n::BIGINT AS length FROM k WHERE r <> 4""")
+def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of a folder by their endings: nations written as lines, a folder a region, one of which has an ending that isn't asked for."""
+    root, nations = _folder(spark, "files"), table(spark, sf_dir, "nation")
+    for r in range(5):
+        kind = "txt" if r == 4 else ("csv", "json", "md")[r % 3]
+        lines = nations.where(F.col("n_regionkey") == r).select("n_name").repartition(1)
+        lines.write.option("fileExtension", kind).option("extension", kind).csv(f"{root}/{r}/{kind}")
+    files = datasets.files_of(spark, root, "part-*")
+    named = files.select(F.regexp_extract("path", r"/(\d)/(\w+)/part-", 1).cast("int").alias("region"), F.regexp_extract("path", r"/(\d)/(\w+)/part-", 2).alias("kind"), "length")
+    return named.where("kind in ('csv', 'json', 'md')").groupBy("region", "kind").agg(F.sum("length").alias("length"))

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from rillflow.functions import grading as g
 from rillflow.functions import tokens as tk
-from rillflow.operators import balance, metrics, rewards, sampling, trees
+from rillflow.operators import balance, metrics, rewards, sampling, trace, trees
+from rillflow.operators.tables import cut
 from rillflow.plans.bindings import R, T, rollouts, sequences
 from rillflow.plans.catalog import query, table
 from rillflow.plans.state_queries import N, P, _leaves, _nodes, _pool, _seen
@@ -204,3 +205,34 @@ def balance_micro_batch_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of each batch in the order of their micro-batches."""
     rows = table(spark, sf_dir, "part").selectExpr("p_partkey % 16 as batch", "p_partkey as item", "cast(p_size as bigint) as length")
     return balance.reordered(balance.micro_batch_rows(rows, "batch", "item", "length", 300, divisor=4), "batch", "item")
+
+
+@query("grade_nodes", """WITH k AS (SELECT doc_id, n_chars, CASE doc_id % 5 WHEN 0 THEN 'gsm' WHEN 4 THEN 'unheard of' ELSE 'words' END AS source, doc_id % 5 <> 4 AND doc_id % 7 > 1 AS over, CASE doc_id % 3 WHEN 0 THEN '#### ' || n_chars WHEN 1 THEN '#### ' || (n_chars + 1) ELSE 'none' END AS t FROM documents)
+  SELECT doc_id, CASE WHEN NOT over THEN 0 WHEN source = 'gsm' THEN (t = '#### ' || n_chars)::INT ELSE (t <> 'none')::INT / 2 END::DOUBLE AS reward, (over AND t <> 'none')::INT AS completed, over::INT AS finished FROM k""")
+def grade_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of which some were cut off, among them all of a source that has no grader."""
+    kind, n = F.col("doc_id") % 5, F.col("n_chars").cast("string")
+    source = F.when(kind == 0, "gsm").when(kind == 4, "unheard of").otherwise("words")
+    text = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("#### "), n)).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("#### "), (F.col("n_chars") + 1).cast("string"))).otherwise("none")
+    score = g.number_score(text, n)
+    graders = {"gsm": score.reward, "words": score.completed / 2}
+    node = rewards.node_score((kind != 4) & (F.col("doc_id") % 7 > 1), source, graders, score.completed)
+    return table(spark, sf_dir, "documents").select("doc_id", node.alias("s")).select("doc_id", "s.*")
+
+
+@query("trace_rows", """WITH d AS (SELECT * FROM documents WHERE n_chars >= 200), g AS (SELECT lang, count(*) AS n FROM d GROUP BY 1), x AS (SELECT 0::BIGINT AS call, 'long_enough' AS op, 'least=200' AS inputs, unnest(['rows', 'chars']) AS metric, unnest([count(*), sum(n_chars)])::DOUBLE AS value FROM d
+  UNION ALL SELECT 1, 'by_language', '', unnest(['rows', 'most']), unnest([count(*), max(n)])::DOUBLE FROM g) SELECT call::INT AS call, op, inputs, metric, value, (SELECT count(*) FROM g) AS languages FROM x""")
+def trace_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two operators watched while their result is written; what they saw, beside the size of the result."""
+    seen = trace.Trace({"step": "1"})
+
+    @seen.op(chars=F.sum("n_chars"))
+    def long_enough(rows: DataFrame, least: int = 200) -> DataFrame:
+        return rows.where(F.col("n_chars") >= least)
+
+    @seen.op(most=F.max("n"))
+    def by_language(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+
+    result = cut(by_language(long_enough(table(spark, sf_dir, "documents"))), "traced")
+    return seen.table(spark).join(F.broadcast(result.agg(F.count(F.lit(1)).alias("languages")))).select("call", "op", "inputs", "metric", "value", "languages")

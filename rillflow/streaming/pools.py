@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from rillflow.operators.batches import number
+from rillflow.operators.sampling import weighted_without_replacement
 
 LEARNING, DEEPENING, COMPLETED, ABANDONED = "learning", "deepening_requested", "completed", "abandoned"
 
@@ -57,6 +58,13 @@ def chain_event(c: Chain, kind: str, step: int, k_succ: int, k_total: int, depth
     return c
 
 
+def sample_chains(chains: DataFrame, n: int, seed: int) -> DataFrame:
+    """At most ``n`` learning chains without replacement, in proportion to 4 p (1 - p) of their active node, 1 for an untried one."""
+    p = F.col("k_succ") / F.when(F.col("k_total") > 0, F.col("k_total"))
+    weighted = chains.where(F.col("state") == LEARNING).withColumn("_weight", F.when(p.isNull(), 1.0).otherwise(4 * p * (1 - p)))
+    return weighted_without_replacement(weighted, "_weight", n, seed, "prompt").drop("_weight")
+
+
 CHAIN_OUT = "prompt string, state string, depth int, nodes int, k_succ int, k_total int, step long, ignored int"
 CHAIN_STATE = "state string, depths array<int>, k_succ int, k_total int, step long, ignored int"
 
