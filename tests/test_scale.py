@@ -157,3 +157,72 @@ def test_columns_and_maps_that_clash(spark):
         batches.from_columns(spark, {"a": [1], "b": [1, 2]}, "a long, b long")
     with pytest.raises(Exception, match="two values for k"):
         spark.range(1).select(batches.union_maps(F.create_map(F.lit("k"), F.lit("1")), F.create_map(F.lit("k"), F.lit("2")))).collect()
+
+
+def test_bootstrap_of_large_and_small_groups(spark):
+    rows = spark.createDataFrame([("s", float(x)) for x in (1, 2, 3, 4, 5)] + [("one", 7.0), ("none", None)], "g string, v double")
+    got = {r.g: r for r in metrics.bootstrap(rows, ["g"], "v", 3, 100, 42).collect()}
+    assert set(got) == {"s", "one"}
+    assert abs(got["s"].mean_mean - 3.0) < 0.3 and 3.5 < got["s"].max_mean < 5 and 1 < got["s"].min_mean < 2.5
+    assert tuple(got["one"])[1:] == (7.0, 0.0, 7.0, 0.0, 7.0, 0.0)
+    large = spark.range(1_000_000).selectExpr("'a' as g", "id * 1.0D as v").unionAll(rows)
+    got = {r.g: r for r in metrics.bootstrap(large, ["g"], "v", 16, 400, 1).collect()}
+    # A mean of 16 uniform values deviates by 1e6 / sqrt(12 * 16); its mean over 400 draws by a twentieth of that.
+    assert abs(got["a"].mean_mean - 5e5) < 4 * 1e6 / (192**0.5 * 20) and abs(got["a"].mean_std / (1e6 / 192**0.5) - 1) < 0.15
+    assert abs(got["a"].max_mean / 1e6 - 16 / 17) < 0.02
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_no_task_takes_all_rows(spark):
+    rows = spark.range(1000).selectExpr("id as k", "id % 7 * 1.0D as s")
+    for method in ("max_min", "max_random"):
+        plan = plan_of(sampling.reweight(rows, "s", method))
+        # The one row of the ends is aggregated by partial aggregates; no window takes the table.
+        assert "Window" not in plan and plan.count("SinglePartition") == 1
+    assert {r.s: r.weight for r in sampling.reweight(rows, "s", "max_min").collect()} == {0.0: 1.0, 6.0: 1.0, **{float(i): 0.0 for i in range(1, 6)}}
+    with pytest.raises(ValueError, match="unknown reweighting"):
+        sampling.reweight(rows, "s", "least")
+    sample = sampling.bottom_k(rows, 5, 3, "k", group="s")
+    assert {r["count"] for r in sample.groupBy("s").count().collect()} == {5}
+    part = sampling.bottom_k(rows.where("k < 500"), 5, 3, "k", group="s")
+    # Rows of the whole's sample that are in the part are in the part's sample.
+    assert {r.k for r in sample.where("k < 500").collect()} <= {r.k for r in part.collect()}
+
+
+def test_batches_are_compared_by_digests(spark):
+    nan = float("nan")
+    a = spark.createDataFrame([(0, 1.0, "x", [1.0, nan]), (1, nan, None, None), (2, -0.0, "y", [])], "row_id long, v double, t string, l array<double>")
+    b = spark.createDataFrame([(2, 0.0, "y", []), (0, 1.0, "x", [1.0, nan]), (1, nan, None, None)], "row_id long, v double, t string, l array<double>")
+    same = lambda x, y, **k: {r.column: r.equal for r in batches.equal_columns(x, y, "v", "t", "l", **k).collect()}
+    assert same(a, b) == {"v": True, "t": True, "l": True}
+    assert same(a, b, nan_equal=False) == {"v": False, "t": True, "l": False}
+    assert same(a, b.where("row_id < 2")) == {"v": False, "t": False, "l": False}
+    swapped = b.withColumn("row_id", F.expr("if(row_id = 0, 1, if(row_id = 1, 0, row_id))"))
+    assert same(a, swapped) == {"v": False, "t": False, "l": False}
+    assert batches.united(a, b.withColumn("w", F.lit(1))).columns == ["row_id", "v", "t", "l", "w"]
+    with pytest.raises(ValueError, match="columns differ: v"):
+        batches.united(a.drop("l"), b.drop("l"), nan_equal=False)
+    ok = {r.check: r.ok for r in batches.consistency(a, {"v": "double", "u": "int"}).collect()}
+    assert ok == {"v is double": True, "u is int": False, "row_id has no nulls": True, "row_id has no repeats": True, "row_id has no gaps": True, "l is equally long": False}
+
+
+def test_columns_and_items_of_a_batch(spark):
+    rows = batches.number(spark.range(10).selectExpr("id as k"), "k")
+    one, two = rows.select("row_id", F.col("k").alias("value")), rows.select("row_id", (F.col("k") * 2).alias("value"))
+    assert sorted(tuple(r) for r in batches.zipped({"a": one, "b": two}).collect()) == [(i, i, 2 * i) for i in range(10)]
+    with pytest.raises(ValueError, match="different lengths"):
+        batches.zipped({"a": one, "b": two.limit(3)})
+    keys = lambda key: [r.k for r in batches.item(rows, key).orderBy("row_id").collect()]
+    assert keys(-1) == [9] and keys([3, -2, 3]) == [3, 8, 3] and keys([True, False, True]) == [0, 2] and keys(slice(2, 8, 3)) == [2, 5] and keys(F.col("k") > 7) == [8, 9]
+    with pytest.raises(IndexError):
+        batches.item(rows, 10)
+
+
+def test_shares_of_parts_that_do_not_divide(spark):
+    parts = [batches.number(spark.range(n).selectExpr("id as k", f"{p} as p"), "k") for p, n in enumerate((10, 0, 3))]
+    out = [tuple(r) for r in batches.interleaved(parts, [10, 0, 3], 4, {}).select("row_id", "worker", "p", "k").orderBy("row_id").collect()]
+    assert [r[0] for r in out] == list(range(13))
+    assert [r[1:] for r in out] == [(w, p, k) for w in range(4) for p, n in ((0, 10), (2, 3)) for k in range(w * n // 4, (w + 1) * n // 4)]

@@ -67,6 +67,8 @@ def test_logistic_fit_is_a_minimum(spark):
     assert abs(np.sum((p - y) * x) + a) < 1e-6 and abs(np.sum(p - y)) < 1e-6
     assert metrics.fit_logistic(spark.createDataFrame([(0.1, 1)] * 30, "x double, y int"), "x", "y") is None
     assert metrics.fit_logistic(spark.createDataFrame([], "x double, y int"), "x", "y") is None
+    # One x for all, and nothing that holds the slope.
+    assert metrics.fit_logistic(spark.createDataFrame([(0.5, i % 2) for i in range(20)], "x double, y int"), "x", "y", penalty=0.0) is None
 
 
 def test_branches_follow_their_weights(spark):
