@@ -149,6 +149,12 @@ def whole_texts(path: str) -> tuple:
     return _WHOLE[path]
 
 
+def release() -> None:
+    """Forget the tokenizers and the words they have seen: a worker that waits for other work holds none of it."""
+    _CACHES.clear()
+    _WHOLE.clear()
+
+
 def word_tokenizer(path: str) -> tuple[WordCache, np.ndarray]:
     """A worker's tokenizer for texts whose tokens never cross ASCII white space, and the ids that end a sentence."""
     if path not in _CACHES:
@@ -244,6 +250,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int
                 yield pa.RecordBatch.from_pylist(rows, _ARROW)
                 rows = []
         rows.extend(packer.run())
+        release()
         yield pa.RecordBatch.from_pylist(rows, _ARROW)
 
     return docs.selectExpr("cast(doc_id as bigint) as doc_id", f"`{text}` as _text").mapInArrow(run, SCHEMA)
