@@ -5,6 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 from typing import Any
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 Function = Callable[..., Any]
 
 
@@ -28,6 +31,14 @@ class Registry:
             raise ValueError(f"unknown {self.kind} {name!r}; known: {', '.join(sorted(self.known))}")
         return self.known[name]
 
+    def dispatch(self, name: Column, *args: Column) -> Column:
+        """What the function that each row's ``name`` stands for makes of ``args``; a name that isn't known, or null, is an error."""
+        out = F.raise_error(F.concat(F.lit(f"unknown {self.kind} "), F.coalesce(name, F.lit("null"))))
+        for known, f in reversed(self.known.items()):
+            made = f(*args)
+            out = F.when(name == known, made).otherwise(out)
+        return out
+
 
 ESTIMATORS = Registry("advantage estimator")
 POLICY_LOSSES = Registry("policy loss", strict=False)

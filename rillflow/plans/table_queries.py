@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from rillflow.functions import grading as g
 from rillflow.functions import tokens as tk
 from rillflow.operators import advantages, batches, metrics, rewards, sampling, trees
-from rillflow.operators.registry import ESTIMATORS, KL_CONTROLLERS, POLICY_LOSSES, REWARD_MANAGERS
+from rillflow.operators.registry import ESTIMATORS, KL_CONTROLLERS, POLICY_LOSSES, REWARD_MANAGERS, Registry
 from rillflow.operators.tables import shared_dir
 from rillflow.plans.batch_queries import O, _rows
 from rillflow.plans.bindings import R, T, rollouts, sequences, tokens
@@ -274,6 +274,18 @@ def registry_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "kind string, known boolean, refused boolean")
 
 
+@query("registry_dispatch", """SELECT doc_id, CASE lang WHEN 'en' THEN n_chars WHEN 'de' THEN -n_chars WHEN 'fr' THEN doc_id ELSE 0 END::DOUBLE AS score FROM documents""")
+def registry_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A function a language, registered by name and chosen by each row; one name is registered again and replaced."""
+    scores = Registry("score", strict=False)
+    scores.register("en")(lambda n, i: n.cast("double"))
+    scores.register("de")(lambda n, i: n.cast("double"))
+    scores.register("de")(lambda n, i: -n.cast("double"))
+    scores.register("fr")(lambda n, i: i.cast("double"))
+    scores.register("es")(lambda n, i: F.lit(0.0))
+    return table(spark, sf_dir, "documents").select("doc_id", scores.dispatch(F.col("lang"), F.col("n_chars"), F.col("doc_id")).alias("score"))
+
+
 @query("reward_custom", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS reward FROM documents")
 def reward_custom(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A scorer from a file, behind a manager chosen by name."""

@@ -195,3 +195,15 @@ def test_sinks_round_trip(spark, tmp_path):
     assert back.count() == 2 and meta == {"seed": "7"}
     with pytest.raises(Exception, match="unknown role"):
         rows.select(datasets.loss_mask(F.col("output"))).collect()
+
+
+def test_registered_functions_by_name_of_the_row(spark):
+    from rillflow.operators.registry import Registry
+
+    known = Registry("score")
+    known.register("a")(lambda x: x + 1)
+    rows = spark.createDataFrame([("a", 1), ("b", 1), (None, 1)], "n string, x int")
+    assert rows.where("n = 'a'").select(known.dispatch(F.col("n"), F.col("x"))).first()[0] == 2
+    for wrong, said in (("n = 'b'", "unknown score b"), ("n is null", "unknown score null")):
+        with pytest.raises(Exception, match=said):
+            rows.where(wrong).select(known.dispatch(F.col("n"), F.col("x"))).collect()
