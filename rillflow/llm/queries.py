@@ -153,10 +153,10 @@ c AS (SELECT doc_id, min(reach) AS component_id FROM r GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept FROM documents d JOIN c USING (doc_id) LEFT JOIN n USING (doc_id)""",
     "op10_substring_dedup": r"""
 WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
-i AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS i FROM w),
-d AS (SELECT doc_id, i FROM i QUALIFY row_number() OVER (PARTITION BY array_to_string(ws[i : i + 19], ' ') ORDER BY doc_id, i) > 1),
-g AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS place FROM d),
 x AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS place FROM w),
+i AS (SELECT doc_id, place, list(word) OVER v AS run FROM x WINDOW v AS (PARTITION BY doc_id ORDER BY place ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING)),
+d AS (SELECT doc_id, place FROM i WHERE len(run) = 20 QUALIFY row_number() OVER (PARTITION BY array_to_string(run, ' ') ORDER BY doc_id, place) > 1),
+g AS (SELECT DISTINCT doc_id, unnest(range(place, place + 20)) AS place FROM d),
 k AS (SELECT x.doc_id, string_agg(word, ' ' ORDER BY place) AS kept, count(*) AS n FROM x ANTI JOIN g USING (doc_id, place) GROUP BY x.doc_id)
 SELECT w.doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(k.n, 0))::BIGINT AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256 FROM w LEFT JOIN k USING (doc_id)""",
     "op7_url_filter": r"""

@@ -21,7 +21,7 @@ def rows_of(df):
     return [tuple(r) for r in df.collect()]
 
 
-@pytest.mark.parametrize("name", ["op11_collocations", "op12_page_text", "op13_hard_negatives"])
+@pytest.mark.parametrize("name", ["op5_tree_forest", "op8_odd_sketches", "op10_substring_dedup", "op11_collocations", "op12_page_text", "op13_hard_negatives"])
 def test_query_equals_sql(spark, name):
     df = queries.QUERIES[name](spark, DATA)
     c = duckdb.connect()
