@@ -163,7 +163,10 @@ def test_pages_of_any_form(html, text):
     assert page_text.Page(html).text(frozenset())[0] == text
 
 
-def test_site_templates(spark):
+@pytest.mark.parametrize("most", [1 << 25, -1])
+def test_site_templates(spark, monkeypatch, most):
+    """Templates broadcast, and joined by host where they are too many for that."""
+    monkeypatch.setattr(page_text, "BROADCAST_BYTES", most)
     rng = random.Random(1)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
     body = [" ".join(word() for _ in range(60)) for _ in range(12)]
