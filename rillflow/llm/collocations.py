@@ -47,6 +47,8 @@ _CUT, _GAP = np.zeros(256, bool), np.zeros(256, bool)
 _CUT[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
 _GAP[[0x20, 0x09]] = True
 PATH = ["w1", "w2", "w3", "w4"]
+#: The word after the last one of a short path: less than any, so that a path comes before those that go on.
+NONE = -(1 << 63)
 Batches = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 Count = Callable[["_Words", np.ndarray, pa.Array], "_WordRun | _PathRun | None"]
 
@@ -130,7 +132,7 @@ class _PathRun:
     def joined(cls, held: list[_PathRun]) -> _PathRun:
         names = np.unique(np.concatenate([h.names for h in held]))
         moved = [np.searchsorted(names, h.names).astype(np.int32) for h in held]
-        # The number after the last word stands for no word; it is given as -1 and comes first.
+        # -1 stands for no word, and comes first.
         paths = [np.concatenate([np.where(h.paths[d] < 0, np.int32(-1), m[h.paths[d]]) for h, m in zip(held, moved, strict=True)]) for d in range(len(held[0].paths))]
         n = np.concatenate([h.n for h in held])
         held.clear()
@@ -151,7 +153,7 @@ class _PathRun:
 
     def slices(self) -> Iterator[pa.RecordBatch]:
         for i in range(0, self.size, SLICE):
-            words = [np.where(p[i : i + SLICE] < 0, 0, self.names[p[i : i + SLICE]]) for p in self.paths]
+            words = [np.where(p[i : i + SLICE] < 0, NONE, self.names[p[i : i + SLICE]]) for p in self.paths]
             yield pa.RecordBatch.from_arrays([*map(pa.array, words), pa.array(self.n[i : i + SLICE])], names=[*PATH[: len(words)], "n"])
 
 
@@ -356,7 +358,7 @@ def collocations(docs: DataFrame, least: int = 30, top: int = 2000, percent: int
     none = F.array().cast("array<bigint>")
     one = words.select("w1", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), F.col("n").alias("a"), none.alias("lefts"), none.alias("rights"))
     levels, above = [], one
-    for depth, nodes in ((2, pairs), (3, deep.where("w4 = 0")), (4, deep.where("w4 != 0"))):
+    for depth, nodes in ((2, pairs), (3, deep.where(F.col("w4") == NONE)), (4, deep.where(F.col("w4") != NONE))):
         above = _linked(nodes, above, depth)
         levels.append(above)
     found = [_candidates(level, longer, depth, percent) for depth, (level, longer) in enumerate(zip(levels, [*levels[1:], None], strict=True), 2)]

@@ -95,6 +95,28 @@ def test_ranges_of_paths():
     assert collocations._ranges(run, ["w1", "w2", "w3"], bounds).tolist() == want
 
 
+def test_runs_of_deep_tries_are_sorted_into_their_ranges():
+    """Paths of three and four words in one run: in the order that Spark sorts them, each in the range that its bounds say."""
+    rng = random.Random(5)
+    text = " ".join(rng.choice(["ab", "b", "c"]) for _ in range(3000))
+    batch = pa.RecordBatch.from_arrays([pa.array(["en", "de"]), pa.array([text, text[:900]])], names=["lang", "text"])
+
+    class Every:
+        value = np.full(collocations.BITMAP_WORDS, (1 << 64) - 1, np.uint64)
+
+    def rows(bounds):
+        out = []
+        for run in collocations._runs(collocations._deep(3, 4, 2, Every), collocations.PATH, bounds)(iter([batch])):
+            out += zip(*[run.column(i).to_pylist() for i in range(6)])
+        return out
+
+    every = [r[:4] for r in rows(np.zeros((0, 4), np.int64))]
+    assert every == sorted(every) and len(set(every)) == len(every) == 2 * (27 + 81)
+    bounds = np.array(sorted(rng.sample(every, 40)))
+    for r in rows(bounds):
+        assert r[5] == sum(tuple(b) <= r[:4] for b in bounds.tolist())
+
+
 def test_runs_of_a_shard_are_sorted_and_whole(monkeypatch):
     """Runs that are written early, and texts that come in several ranges, count as one."""
     rng = random.Random(3)
