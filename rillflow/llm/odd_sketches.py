@@ -169,6 +169,13 @@ def _words(column: pa.Array) -> np.ndarray:
     return np.asarray(column.flatten()).view(np.uint64).reshape(len(column), -1)
 
 
+def _near(sketches: np.ndarray, u: np.ndarray, v: np.ndarray, most: int) -> np.ndarray:
+    """Which pairs differ in ``most`` bits at most; a few MB of sketches at a time."""
+    step = max(1, (1 << 19) // sketches.shape[1])
+    parts = [np.bitwise_count(sketches[u[i : i + step]] ^ sketches[v[i : i + step]]).sum(1, dtype=np.int64) <= most for i in range(0, len(u), step)]
+    return np.concatenate(parts) if parts else np.zeros(0, bool)
+
+
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (band, bi, bj, side, c, component, odd, long, bands) sorted by the first three, two blocks of a band each, to the
     pairs of several components that both sketches allow, each in the first band that it shares."""
@@ -188,9 +195,9 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             apart = component[u] != component[v]
             left.append(u[apart]), right.append(v[apart])
         u, v = np.concatenate(left), np.concatenate(right)
-        fits = np.bitwise_count(odd[u] ^ odd[v]).sum(1, dtype=np.int64) <= most_bits()
+        fits = _near(odd, u, v, most_bits())
         u, v = u[fits], v[fits]
-        fits = np.bitwise_count(long[u] ^ long[v]).sum(1, dtype=np.int64) <= most_bits(LONG_LEAST, LONG_SAMPLES, LONG_BITS)
+        fits = _near(long, u, v, most_bits(LONG_LEAST, LONG_SAMPLES, LONG_BITS))
         u, v = u[fits], v[fits]
         fits = bands[u, (bands[u] == bands[v]).argmax(1)] == band[u]
         return pa.RecordBatch.from_arrays([pa.array(c[u[fits]], pa.int64()), pa.array(c[v[fits]], pa.int64())], names=["c", "pivot"])
