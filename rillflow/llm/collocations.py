@@ -17,12 +17,13 @@ its suffix link (the path without its first word) and the link itself.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rillflow.llm.text_arrays import Rolling, U, byte_symbols, bytes_of, mix
@@ -37,6 +38,8 @@ RUN_PATHS = 7 << 17
 SLICE = 1 << 16
 #: Rows whose paths bound the ranges, and paths of each of their runs.
 SAMPLE_ROWS, SAMPLE_PATHS = 512, 512
+#: Rows of an Arrow batch of texts: a text has kilobytes, and a task holds a batch several times.
+BATCH_ROWS = 1000
 #: Groups in which a language's phrases are ranked before the last ranking.
 SALTS = 64
 #: Bytes of text whose words are taken at once.
@@ -281,12 +284,25 @@ def _bounds(rows: DataFrame, count: Count, path: list[str], ranges: int) -> np.n
     return np.unique(np.stack([k[at] for k in keys], 1), axis=0) if len(at) else none
 
 
+@contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """Jobs that run within pass ``BATCH_ROWS`` rows at a time to Python."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def merged(rows: DataFrame, count: Count, path: list[str], columns: str, least: int) -> DataFrame:
     """Tries of all shards, their sorted runs merged by ranges of their paths: nodes that occur ``least`` times in all. A table of ``columns``."""
     ranges = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    runs = rows.mapInArrow(_runs(count, path, _bounds(rows, count, path, ranges)), f"{columns}, range int")
-    dealt = runs.repartitionById(ranges, "range").drop("range").sortWithinPartitions(*path)
-    return cut(dealt.mapInArrow(_merge(path, least), columns), "nodes")
+    with _small_batches(rows.sparkSession):
+        runs = rows.mapInArrow(_runs(count, path, _bounds(rows, count, path, ranges)), f"{columns}, range int")
+        dealt = runs.repartitionById(ranges, "range").drop("range").sortWithinPartitions(*path)
+        return cut(dealt.mapInArrow(_merge(path, least), columns), "nodes")
 
 
 def bitmap(nodes: DataFrame, path: list[str]):
