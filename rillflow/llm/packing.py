@@ -188,7 +188,7 @@ def word_tokenizer(path: str) -> tuple[WordCache, np.ndarray]:
                 flat.append(ids)
             return (np.concatenate(flat), np.concatenate(lengths)) if flat else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
-        _CACHES[path] = WordCache(encode), np.array(sorted(ends), np.uint32)
+        _CACHES[path] = WordCache(encode, 400_000), np.array(sorted(ends), np.uint32)
     return _CACHES[path]
 
 
