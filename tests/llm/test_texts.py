@@ -229,6 +229,15 @@ def test_urls(spark):
     }
 
 
+def test_registered_url_rules_are_those_of_the_contract(spark):
+    rules = {"com/en/": "block", "example.com/en/7": "allow", "net/de/": "allow", "example.net/de/8": "block", "org/es/": "block"}
+    assert {r.text: r.verdict for r in queries.URL_RULES} == rules
+    urls = ["http://b.net/de/1", "http://www.example.net/de/8", "http://x.example.net/de/9", "http://net/de/", "http://b.net:80/de/1"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filter.url_filter(pages, queries.URL_RULES).collect()}
+    assert got == {0: ("net/de/", "allow"), 1: ("example.net/de/8", "block"), 2: ("net/de/", "allow"), 3: ("net/de/", "allow"), 4: (None, "allow")}
+
+
 def test_urls_without_rows_repeated_and_bare(spark):
     rows = [(1, None), (1, None), (2, "https://a.com/en/5"), (2, "https://a.com/en/5"), (None, "x"), (3, "a.com/en/5")]
     pages = spark.createDataFrame(rows, "page_id long, url string").repartition(2)
