@@ -90,3 +90,15 @@ def test_golds_boxes_and_tags():
 
 def test_commas_of_lists_are_no_thousands():
     assert mt.equal_answers("1,234", "1234") and not mt.equal_answers("1,2", "12")
+
+
+def test_powers_beyond_what_a_coefficient_holds():
+    n = 16_407
+    same = (
+        (f"2^{{{n}}}x", f"4^{{{n}/2}}x"), ("2^{300001}x", "4^{300001/2}x"), ("6^{40000}", "2^{40000}*3^{40000}"), ("2^{40000}+2^{40000}", "2^{40001}"), ("6*2^{40000}", "3*2^{40001}"), ("2^{40000}/2^{39999}", "2"), ("(2^{1000})^{20}", "2^{20000}"),
+        ("\\sqrt{2^{80000}}", "2^{40000}"), ("2^{-32768}*2", "2^{-32767}"), ("(2^{40000}+x)^2", "2^{80000}+2^{40001}x+x^2"), ("x^{70000}", "x*x^{69999}"), ("(-2)^{40001}", "-2^{40001}"), ("2^{10^{400}}x", "x*2^{10^{400}}"),
+    )
+    for given, truth in same:
+        assert algebra.graded_equal(given, truth, lenient=True) and algebra.graded_equal(truth, given, lenient=True), (given, truth)
+    for given, truth in (("2^{40000}", "2^{40001}"), ("2^{40000}x", "2^{40000}y"), ("(-2)^{40000}", "-2^{40000}"), (f"2^{{{n}}}", f"4^{{{n + 1}/2}}"), ("(10^{400}+7)^{2000}", "1")):
+        assert not algebra.graded_equal(given, truth, lenient=True), (given, truth)
