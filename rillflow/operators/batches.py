@@ -27,17 +27,20 @@ def number(rows: DataFrame, *order: Column | str) -> DataFrame:
     return placed.join(F.broadcast(offsets), "_p", "left").withColumn("row_id", F.col("_i") + known).drop("_p", "_i", "_o")
 
 
-def running(rows: DataFrame, order: str, value: Column, total: Callable[[Column], Column], until: int = 0) -> DataFrame:
+def running(rows: DataFrame, order: str, value: Column | Sequence[Column], total: Callable[[Column], Column], until: int = 0) -> DataFrame:
     """``_here`` and ``_before``: ``total`` of ``value`` up to each row (``until`` rows on) within its range of the numeric ``order``, and over all earlier
-    ranges; null where there are no rows. Ranges are those of a range partitioning, written once, so no task sorts all rows and the plan holds no bounds;
-    one row a range is joined back. Rows without an order are a range of their own, before all others."""
+    ranges; null where there are no rows. Of several values, arrays. Ranges are those of a range partitioning, written once, so no task sorts all rows and the
+    plan holds no bounds; one row a range is joined back. Rows without an order are a range of their own, before all others."""
     at = F.col(order).cast("double")
-    placed = rows.withColumn("_value", value).repartitionByRange(at).withColumn("_range", F.when(at.isNull(), -1).otherwise(F.spark_partition_id()))
+    several = not isinstance(value, Column)
+    values = {f"_value{i}": v for i, v in enumerate(value if several else [value])}
+    joined = lambda columns: F.array(*columns) if several else columns[0]
+    placed = rows.withColumns(values).repartitionByRange(at).withColumn("_range", F.when(at.isNull(), -1).otherwise(F.spark_partition_id()))
     placed = cut(placed, "ranges")
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = placed.groupBy("_range").agg(total(F.col("_value")).alias("_t")).select("_range", total(F.col("_t")).over(before).alias("_before"))  # one row a range
+    ranges = placed.groupBy("_range").agg(*[total(F.col(v)).alias(v) for v in values]).select("_range", joined([total(F.col(v)).over(before) for v in values]).alias("_before"))  # one row a range
     here = Window.partitionBy("_range").orderBy(order).rowsBetween(Window.unboundedPreceding, until)
-    return placed.withColumn("_here", total(F.col("_value")).over(here)).join(F.broadcast(ranges), "_range").drop("_range", "_value")
+    return placed.withColumn("_here", joined([total(F.col(v)).over(here) for v in values])).join(F.broadcast(ranges), "_range").drop("_range", *values)
 
 
 def project(rows: DataFrame, *columns: str) -> DataFrame:

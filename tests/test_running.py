@@ -30,6 +30,16 @@ def test_running_best_and_adaptive_kl_equal_a_loop(spark):
     assert metrics.running_best(df.limit(0), "step", "value").count() == 0
 
 
+def test_adaptive_kl_stays_exact_over_many_steps(spark):
+    n, log = 170_000, [math.log(1 + max(-0.2, min(0.2, (i / 100) / 0.06 - 1)) * 64 / 10000) for i in range(17)]
+    steps = spark.range(n).selectExpr("id as step", "(id % 17) / 100.0D as kl", "64 as n")
+    got = losses.adaptive_kl(steps, 0.2, 0.06, 10000.0).where("step % 9973 = 0").collect()
+    for r in got:
+        whole, rest = divmod(r.step + 1, 17)
+        assert math.isclose(r.beta, 0.2 * math.exp(math.fsum([whole * math.fsum(log), *log[:rest]])), rel_tol=1e-12), r
+    assert len(got) == 18
+
+
 @pytest.mark.parametrize("name", ["running_best", "adaptive_kl"])
 def test_all_events_count(spark, name):
     """By ranges: no window over all rows in one task."""
