@@ -2,6 +2,8 @@
 
 import heapq
 import random
+import time
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -119,3 +121,26 @@ def test_a_streamed_ledger_equals_the_batch(spark, tmp_path):
     # The newest event comes last, so that none is late.
     got = run(spark, [events[0:-1:2], events[1:-1:2], events[-1:]], "worker string, at long, id string, kind string", lambda s: buffers.ledger_stream(s.withColumn("ts", F.timestamp_millis("at")).drop("at"), 3, 60, "3 seconds"), tmp_path, "append")
     assert sorted(tuple(r) for r in got.drop("batch").where("worker <> 'end' and at <= 2000").collect()) == want
+
+
+def test_a_long_queue_takes_no_search_a_request():
+    began, ledger = time.monotonic(), buffers.Ledger(1, 10)
+    out = ledger.advance([(i, str(i), "request") for i in range(40_000)], 1 << 60)
+    assert Counter(what for _, what, _, _ in out) == {"sent": 40_000, "expired": 40_000} and out[-1] == ("39999", "expired", 400_000, 10)
+    assert time.monotonic() - began < 10
+
+
+def test_a_worker_is_no_group_of_a_task(spark):
+    """Its events come sorted, in batches, and give the same however these are cut."""
+    events = [(w, *e) for w in ("a", "b", None) for e in requests(5)]
+    rows = spark.createDataFrame(events, "worker string, at long, id string, kind string").repartition(3)
+    want = sorted([(w, *r) for w in ("a", "b", None) for r in ledger_by_clock([e[1:] for e in events if e[0] == w], 3, 60, 2000)], key=str)
+    key, before = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set(key, "7")
+    try:
+        made = buffers.ledger_batch(rows, 3, 60, 2000)
+        assert sorted([tuple(r) for r in made.collect()], key=str) == want
+        assert "FlatMapGroups" not in made._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(key, before)
+    assert buffers.ledger_batch(rows.limit(0), 3, 60, 2000).count() == 0
