@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+from bisect import bisect_left, insort
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -18,25 +19,58 @@ def largest_differencing(lengths: list[int], parts: int, equal_size: bool = Fals
     groups = [order[i : i + parts] for i in range(0, len(order), parts)] if equal_size else [[i] for i in order]
     heap = []
     for k, group in enumerate(groups):
-        sums = [(lengths[i], (i,)) for i in group] + [(0, ())] * (parts - len(group))
-        sums.sort(key=lambda s: (-s[0], s[1]))
-        heap.append((-(sums[0][0] - sums[-1][0]), k, sums))
+        sums = sorted((-lengths[i], (i,)) for i in group)
+        heap.append((-_spread(sums, parts), k, sums))
     heapq.heapify(heap)
     count = len(groups)
     while len(heap) > 1:
         _, _, a = heapq.heappop(heap)
         _, _, b = heapq.heappop(heap)
-        merged = sorted(((x[0] + y[0], x[1] + y[1]) for x, y in zip(a, reversed(b), strict=True)), key=lambda s: (-s[0], s[1]))
-        heapq.heappush(heap, (-(merged[0][0] - merged[-1][0]), count, merged))
+        merged = _merged(a, b, parts)
+        heapq.heappush(heap, (-_spread(merged, parts), count, merged))
         count += 1
     out = [0] * len(lengths)
     if heap:
-        for part, (_, items) in enumerate(sorted(heap[0][2], key=lambda s: min(s[1], default=len(lengths)))):
+        for part, (_, items) in enumerate(sorted(heap[0][2], key=lambda s: min(s[1]))):
             for i in items:
                 out[i] = part
     return out
 
 
+#: A set of partial sums: (sum, negative; items) of the parts that have items, sorted. The others have no place in memory.
+Sums = list[tuple[int, tuple[int, ...]]]
+_NONE = (0, ())
+
+
+def _spread(sums: Sums, parts: int) -> int:
+    return -sums[0][0] + (sums[-1][0] if len(sums) == parts else 0)
+
+
+def _merged(a: Sums, b: Sums, parts: int) -> Sums:
+    """The largest of ``a`` with the least of ``b`` and so on. Parts without items stand behind all others that aren't 0. The longer list is changed, where the other falls on it."""
+    long, short = (a, b) if len(a) >= len(b) else (b, a)
+    free, gap = parts - len(long), bisect_left(long, _NONE)
+    own_free, own_gap = parts - len(short), bisect_left(short, _NONE)
+    used, made = [], []
+    for j, (n, items) in enumerate(short):
+        at = parts - 1 - (j if j < own_gap else j + own_free)
+        if gap <= at < gap + free:
+            made.append((n, items))
+        else:
+            at -= free if at >= gap else 0
+            used.append(at)
+            m, others = long[at]
+            made.append((m + n, others + items if long is a else items + others))
+    if 16 * len(short) > len(long):
+        gone = set(used)
+        return sorted([x for i, x in enumerate(long) if i not in gone] + made)
+    for at in sorted(used, reverse=True):
+        del long[at]
+    for x in made:
+        insort(long, x)
+    return long
+
+
 def greedy(lengths: list[int], parts: int, equal_size: bool = False) -> list[int]:
     """Each item, in order, to the lightest part; ``equal_size`` adds a bias that makes counts come first."""
     if equal_size and len(lengths) % parts:

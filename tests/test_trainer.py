@@ -2,6 +2,8 @@
 
 import math
 import random
+import tracemalloc
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -117,3 +119,17 @@ def test_a_metric_step_is_replaced(spark, tmp_path):
     datasets.append_metrics(rows.withColumn("value", F.col("value") + 1), str(tmp_path), 1)
     datasets.append_metrics(rows, str(tmp_path), 2)
     assert sorted((r.step, r.value) for r in spark.read.parquet(str(tmp_path)).collect()) == [(1, 2.0), (2, 1.0)]
+
+
+def test_parts_without_items_take_no_memory():
+    """As many micro-batches as a large table needs: sets of partial sums hold only what isn't empty."""
+    rng = random.Random(4)
+    lengths = [rng.randint(1, 50) for _ in range(20_000)]
+    parts = -(-sum(lengths) // 300)
+    tracemalloc.start()
+    sums = Counter()
+    for part, n in zip(balance.largest_differencing(lengths, parts), lengths, strict=True):
+        sums[part] += n
+    assert tracemalloc.get_traced_memory()[1] < 100 << 20
+    tracemalloc.stop()
+    assert len(sums) == parts and sum(sums.values()) == sum(lengths) and max(sums.values()) - min(sums.values()) < 50
