@@ -21,12 +21,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from rillflow.llm.text_arrays import CHUNK_BYTES, Rolling, U, byte_symbols, chunks, grouped
+from rillflow.llm.text_arrays import Rolling, U, byte_symbols, chunks, grouped
 from rillflow.llm.word_cache import WordCache
 
 MARK, UNKNOWN_DROP = "▁", 10.0
 #: Texts of up to so many bytes take the Viterbi pass together; longer ones take it one by one.
 TOGETHER = 64
+#: Words whose ids a worker keeps.
+MOST_WORDS = 300_000
 
 
 class DoubleArray:
@@ -138,7 +140,7 @@ class Unigram:
         self.piece_length = np.array([len(r) for r in raw], np.int64)
         self.piece_start = np.cumsum(self.piece_length) - self.piece_length
         self.piece_bytes = np.frombuffer(b"".join(raw), np.uint8)
-        self.cache = WordCache(self.encode_words)
+        self.cache = WordCache(self.encode_words, MOST_WORDS)
 
     def encode_words(self, found: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of these texts end to end, and how many each has."""
@@ -254,7 +256,7 @@ def encode(docs: DataFrame, model_path: str, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = unigram(model_path)
-        for batch, body, at in chunks((marked(b, "_text") for b in batches), "_text", 4 * CHUNK_BYTES):
+        for batch, body, at in chunks((marked(b, "_text") for b in batches), "_text"):
             flat, upto = model.encode(body, at)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.array(flat.astype(np.int32)))], names=["doc_id", "ids"])
 
@@ -290,7 +292,7 @@ def round_trip(docs: DataFrame, model_path: str, text: str = "text") -> DataFram
         model = unigram(model_path)
         byte = np.zeros(len(model.vocabulary.pieces), bool)
         byte[model.vocabulary.byte_ids[model.vocabulary.byte_ids >= 0]] = True
-        for batch, body, at in chunks((marked(b, "_text") for b in batches), "_text", 4 * CHUNK_BYTES):
+        for batch, body, at in chunks((marked(b, "_text") for b in batches), "_text"):
             flat, upto = model.encode(body, at)
             back, places = model.decode(flat, upto)
             odd = np.concatenate([[0], np.cumsum(byte[flat])])[upto]

@@ -307,3 +307,12 @@ def test_turns_without_keys_are_calls(spark):
     calls, results = tool_links.turns_as_tools(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
     got = sorted(((r.conv_id, r.turn, r.call_id, r.level, r.result_turn) for r in tool_links.link(calls, results, queries.TOOLS).collect()), key=str)
     assert got == [(1, 0, "call:1:0", 0, 1), (1, None, None, 0, None), (None, 2, None, 0, None)]
+
+
+def test_sentence_pieces_hold_little_at_once(monkeypatch):
+    """A worker encodes a megabyte at a time, and keeps fewer words."""
+    taken = []
+    monkeypatch.setattr(sentence_pieces, "chunks", lambda batches, column, limit=sentence_pieces.chunks.__defaults__[1]: taken.append(limit) or iter(()))
+    docs = type("D", (), {"selectExpr": lambda self, *a: self, "mapInArrow": lambda self, f, schema: list(f(iter(()))) or taken})()
+    assert sentence_pieces.round_trip(docs, queries.tokenizer_path("piece_bpe_32k.model")) == [1 << 20]
+    assert sentence_pieces.unigram(queries.tokenizer_path("piece_bpe_32k.model")).cache.most <= 300_000
