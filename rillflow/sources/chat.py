@@ -2,12 +2,13 @@
 
 A template is rendered as pieces, an array of (text, learn, glue) built by column expressions: the text of a conversation
 is its pieces end to end, ``learn`` marks what the assistant said, and a glued piece is tokenized with the one before.
-Tokenizing is the only Python: all pieces of a batch go through the tokenizer at once. Lengths, padding, truncation and
+Tokenizing is the only Python: pieces of a batch go through the tokenizer some hundred kilobytes at a time. Lengths, padding, truncation and
 positions are column expressions again.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -17,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Conversations held as Python objects at once, and characters tokenized at once.
+ROWS, CHARACTERS = 64, 1 << 18
 ROLES = ("system", "user", "assistant", "tool")
 PIECES = T.ArrayType(T.StructType([T.StructField("text", T.StringType()), T.StructField("learn", T.BooleanType()), T.StructField("glue", T.BooleanType())]))
 TOKENS = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("learn", T.ArrayType(T.IntegerType())), T.StructField("seams", T.IntegerType())])
@@ -94,14 +97,24 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+def _ids(tokenizer, texts: list[str]) -> Iterator[np.ndarray]:
+    """Ids of each text. What the tokenizer makes of a text takes some hundred bytes a token, so it sees ``CHARACTERS`` at once, or one longer text."""
+    i = 0
+    while i < len(texts):
+        j, size = i + 1, len(texts[i])
+        while j < len(texts) and size + len(texts[j]) <= CHARACTERS:
+            size += len(texts[j])
+            j += 1
+        yield from [np.array(e.ids, np.int32) for e in tokenizer.encode_batch(texts[i:j], add_special_tokens=False)]
+        i = j
+
+
 def tokens(pieces: Column, tokenizer: str) -> Column:
     """(ids, learn, seams) of pieces, by the tokenizer in a file that every executor has: the tokens of each piece (glued ones in one) end to end, 1 where
     they are to be learnt, and how many ids of the whole text differ in number from these; 0 of both nearly always means the same ids. Null stays null."""
 
-    @F.arrow_udf(TOKENS)
-    def encode(column: pa.Array) -> pa.Array:
+    def part(rows: list) -> pa.Array:
         t = _tokenizer(tokenizer)
-        rows = column.to_pylist()
         texts, learn, owner = [], [], []
         for i, row in enumerate(rows):
             for k, p in enumerate(row or ()):
@@ -111,16 +124,20 @@ def tokens(pieces: Column, tokenizer: str) -> Column:
                     texts.append(p["text"] or "")
                     learn.append(bool(p["learn"]))
                     owner.append(i)
-        ids = [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
-        whole = [len(e.ids) for e in t.encode_batch(["".join(p["text"] or "" for p in row or ()) for row in rows], add_special_tokens=False)]
+        ids = list(_ids(t, texts))
+        whole = [len(x) for x in _ids(t, ["".join(p["text"] or "" for p in row or ()) for row in rows])]
         many = np.array([len(x) for x in ids], np.int64)
         size = np.bincount(np.array(owner, np.int64), many, len(rows)).astype(np.int64) if owner else np.zeros(len(rows), np.int64)
         at = pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32())
-        gone = pa.array([row is None for row in rows])
-        flat = pa.array(np.array([x for y in ids for x in y], np.int64), pa.int32())
+        gone = pa.array([row is None for row in rows], pa.bool_())
+        flat = pa.array(np.concatenate([np.zeros(0, np.int32), *ids]))
         lists = [pa.ListArray.from_arrays(at, flat), pa.ListArray.from_arrays(at, pa.array(np.repeat(np.array(learn, np.int32), many) if len(many) else np.zeros(0, np.int32)))]
         return pa.StructArray.from_arrays([*lists, pa.array(np.array(whole, np.int64) - size, pa.int32())], names=["ids", "learn", "seams"], mask=gone)
 
+    @F.arrow_udf(TOKENS)
+    def encode(column: pa.Array) -> pa.Array:
+        return pa.concat_arrays([part(column.slice(i, ROWS).to_pylist()) for i in range(0, max(1, len(column)), ROWS)])
+
     return encode(pieces)
 
 

@@ -124,3 +124,16 @@ def test_prompts_end_with_a_head(spark):
         assert r.full_prompt == text and r.raw_ids == ids[-40:] and r.ids == [0] * (40 - n) + ids[-40:]
         assert r.attention == [0] * (40 - n) + [1] * n and r.positions == [0] * (40 - n) + list(range(n))
     assert chat.prompt_rows(rows, "messages", PATH, 40, keep_longer=False).count() == sum(len(tokenizer().encode(apply(m, True), add_special_tokens=False).ids) <= 40 for m in CHATS)
+
+
+def test_the_tokenizer_sees_few_texts_at_once():
+    class Seen:
+        most = calls = 0
+
+        def encode_batch(self, texts, add_special_tokens):
+            self.most, self.calls = max(self.most, sum(map(len, texts))), self.calls + 1
+            return [type("E", (), {"ids": [len(x)]}) for x in texts]
+
+    seen, texts = Seen(), ["x" * n for n in (5, 0, chat.CHARACTERS + 9, *[1000] * 900)]
+    assert [x.tolist() for x in chat._ids(seen, texts)] == [[len(x)] for x in texts]
+    assert seen.most == chat.CHARACTERS + 9 and seen.calls == 6 and not list(chat._ids(seen, []))
