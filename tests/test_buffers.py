@@ -144,3 +144,23 @@ def test_a_worker_is_no_group_of_a_task(spark):
     finally:
         spark.conf.set(key, before)
     assert buffers.ledger_batch(rows.limit(0), 3, 60, 2000).count() == 0
+
+
+@pytest.mark.parametrize(("most", "parts"), [(3, {1}), (10**6, set(range(3, 9)))])
+def test_a_worker_whose_requests_never_wait_is_dealt_out_by_id(spark, most, parts):
+    """A worker with room for all that it asks is no one task's work; drains, repeats and what is late count as before."""
+    events = requests(11) + [(1200, "drained", "drain"), (1500, "after", "request"), (1501, "after", "answer")]
+    rows = spark.createDataFrame([("a", *e) for e in events], "worker string, at long, id string, kind string").repartition(3)
+    want = sorted(("a", *r) for r in ledger_by_clock(events, most, 60, 2000))
+    assert {"refused", "repeated", "stale", "expired", "answered"} <= {r[2] for r in want}
+    settings = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "8"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        made = buffers.ledger_batch(rows, most, 60, 2000).withColumn("part", F.spark_partition_id()).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sorted(tuple(r)[:-1] for r in made) == want
+    assert len({r.part for r in made}) in parts
