@@ -8,17 +8,19 @@ positions are column expressions again.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Conversations held as Python objects at once, and characters tokenized at once.
+#: Conversations held as Python objects and handed back at once, and characters tokenized at once.
 ROWS, CHARACTERS = 64, 1 << 18
 ROLES = ("system", "user", "assistant", "tool")
 PIECES = T.ArrayType(T.StructType([T.StructField("text", T.StringType()), T.StructField("learn", T.BooleanType()), T.StructField("glue", T.BooleanType())]))
@@ -109,6 +111,46 @@ def _ids(tokenizer, texts: list[str]) -> Iterator[np.ndarray]:
         i = j
 
 
+@lru_cache(maxsize=4)
+def _starts_words_at_spaces(tokenizer) -> bool:
+    """Whether a word of the tokenizer always begins at a space or line end after anything else, as GPT-2's do."""
+    from tokenizers.pre_tokenizers import ByteLevel
+
+    by = tokenizer.pre_tokenizer
+    plain = isinstance(by, ByteLevel) and by.use_regex and not by.add_prefix_space and tokenizer.normalizer is None and tokenizer.truncation is None and tokenizer.padding is None
+    return plain and not any(t.lstrip or t.rstrip or t.single_word or re.search("[ \n]", t.content) for t in tokenizer.get_added_tokens_decoder().values())
+
+
+def _cut(tokenizer, text: str) -> list[str]:
+    """``text`` in parts of about ``CHARACTERS`` whose ids end to end are its own: the tokenizer takes hundreds of bytes a character. Where it has no such places, whole."""
+    if len(text) <= CHARACTERS or not _starts_words_at_spaces(tokenizer):
+        return [text]
+    out, i, place = [], 0, re.compile(r"(?<=\S)[ \n]")
+    while len(text) - i > CHARACTERS and (m := place.search(text, i + CHARACTERS)):
+        out.append(text[i : m.start()])
+        i = m.start()
+    return [*out, text[i:]]
+
+
+def _ids_of_any(tokenizer, texts: list[str]) -> list[np.ndarray]:
+    """``_ids`` of texts of any length."""
+    parts = [_cut(tokenizer, x) for x in texts]
+    ids = _ids(tokenizer, [p for x in parts for p in x])
+    return [np.concatenate([next(ids) for _ in x]) if len(x) > 1 else next(ids) for x in parts]
+
+
+def _few(column: pa.Array) -> Iterator[pa.Array]:
+    """Slices of pieces of ``ROWS`` conversations, of fewer if these have over ``CHARACTERS`` bytes; a longer conversation comes alone."""
+    size = pc.fill_null(pc.binary_length(column.values.field("text")), 0).to_numpy(zero_copy_only=False)
+    begins = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])[column.offsets.to_numpy()]
+    i = 0
+    while i < len(column):
+        j = int(np.searchsorted(begins, begins[i] + CHARACTERS, "right")) - 1
+        j = min(max(j, i + 1), i + ROWS, len(column))
+        yield column.slice(i, j - i)
+        i = j
+
+
 def tokens(pieces: Column, tokenizer: str) -> Column:
     """(ids, learn, seams) of pieces, by the tokenizer in a file that every executor has: the tokens of each piece (glued ones in one) end to end, 1 where
     they are to be learnt, and how many ids of the whole text differ in number from these; 0 of both nearly always means the same ids. Null stays null."""
@@ -124,19 +166,22 @@ def tokens(pieces: Column, tokenizer: str) -> Column:
                     texts.append(p["text"] or "")
                     learn.append(bool(p["learn"]))
                     owner.append(i)
-        ids = list(_ids(t, texts))
-        whole = [len(x) for x in _ids(t, ["".join(p["text"] or "" for p in row or ()) for row in rows])]
+        ids = _ids_of_any(t, texts)
         many = np.array([len(x) for x in ids], np.int64)
         size = np.bincount(np.array(owner, np.int64), many, len(rows)).astype(np.int64) if owner else np.zeros(len(rows), np.int64)
+        # One text is the whole text already.
+        whole, several = size.copy(), np.flatnonzero(np.bincount(np.array(owner, np.int64), minlength=len(rows)) > 1)
+        whole[several] = [len(x) for x in _ids_of_any(t, ["".join(p["text"] or "" for p in rows[i]) for i in several])]
         at = pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32())
         gone = pa.array([row is None for row in rows], pa.bool_())
         flat = pa.array(np.concatenate([np.zeros(0, np.int32), *ids]))
         lists = [pa.ListArray.from_arrays(at, flat), pa.ListArray.from_arrays(at, pa.array(np.repeat(np.array(learn, np.int32), many) if len(many) else np.zeros(0, np.int32)))]
-        return pa.StructArray.from_arrays([*lists, pa.array(np.array(whole, np.int64) - size, pa.int32())], names=["ids", "learn", "seams"], mask=gone)
+        return pa.StructArray.from_arrays([*lists, pa.array(whole - size, pa.int32())], names=["ids", "learn", "seams"], mask=gone)
 
     @F.arrow_udf(TOKENS)
-    def encode(column: pa.Array) -> pa.Array:
-        return pa.concat_arrays([part(column.slice(i, ROWS).to_pylist()) for i in range(0, max(1, len(column)), ROWS)])
+    def encode(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in columns:
+            yield from (part(some.to_pylist()) for some in _few(column))
 
     return encode(pieces)
 

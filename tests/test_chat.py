@@ -1,8 +1,10 @@
 """Chat rows against a plain rendering of every prefix, encoded piece by piece."""
 
 import json
+import random
 from functools import lru_cache
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -137,3 +139,30 @@ def test_the_tokenizer_sees_few_texts_at_once():
     seen, texts = Seen(), ["x" * n for n in (5, 0, chat.CHARACTERS + 9, *[1000] * 900)]
     assert [x.tolist() for x in chat._ids(seen, texts)] == [[len(x)] for x in texts]
     assert seen.most == chat.CHARACTERS + 9 and seen.calls == 6 and not list(chat._ids(seen, []))
+
+
+def test_long_texts_are_tokenized_in_parts(monkeypatch):
+    """The tokenizer sees no long text whole, and the ids are the same, wherever spaces and line ends stand."""
+    rng, seen = random.Random(3), []
+    texts = ["".join(rng.choice(["a", "'s", "Ab", " ", "  ", "\n", "\n \n", "\t", "\x1c", "\u3000", "7", "42", ".", "<|", "<|endoftext|>", "漢字", "é", "e\u0301", "🙂", "ſ"]) for _ in range(n)) for n in (0, 3, 400, 900, 5000)]
+    want = [tokenizer().encode(x, add_special_tokens=False).ids for x in texts]
+    real = chat._ids
+    monkeypatch.setattr(chat, "CHARACTERS", 50)
+    monkeypatch.setattr(chat, "_ids", lambda t, parts: real(t, seen.extend(map(len, parts)) or parts))
+    assert [x.tolist() for x in chat._ids_of_any(tokenizer(), texts)] == want
+    assert max(seen) < 200 and sum(seen) == sum(map(len, texts))
+    assert chat._cut(tokenizer(), "x" * 99) == ["x" * 99]
+
+
+def test_ids_are_handed_back_a_few_conversations_at_a_time(spark, monkeypatch):
+    """No batch is held as objects or as one result, whatever lies in it, and a slice of an array counts from its own start."""
+    rows = [[("x" * n, False, False)] * k for n, k in ((10, 1), (300, 2), (10, 0), (20, 4), (21, 1), (99, 1))] + [None] + [[("", True, False)]] * 150
+    column = pa.array([r and [dict(zip(("text", "learn", "glue"), p, strict=True)) for p in r] for r in rows], pa.list_(pa.struct([("text", pa.string()), ("learn", pa.bool_()), ("glue", pa.bool_())])))
+    monkeypatch.setattr(chat, "CHARACTERS", 100)
+    for whole in (column, column.slice(1), column.slice(3, 9), column.slice(0, 0)):
+        parts = list(chat._few(whole))
+        assert pa.concat_arrays(parts or [whole]).equals(whole)
+        assert all(len(p) <= chat.ROWS and (len(p) == 1 or sum(len(x["text"]) for r in p.to_pylist() for x in r or ()) <= 100) for p in parts)
+    frame = spark.range(1000, numPartitions=1).select(F.array(F.struct(F.format_string("word %d", "id").alias("text"), F.lit(False).alias("learn"), F.lit(False).alias("glue"))).alias("p"))
+    got = frame.select("p", chat.tokens(F.col("p"), PATH).alias("t")).collect()
+    assert [r.t.ids for r in got] == [tokenizer().encode(r.p[0].text, add_special_tokens=False).ids for r in got] and all(r.t.seams == 0 for r in got)
